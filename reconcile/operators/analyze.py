@@ -93,7 +93,7 @@ def keyword_verdict(texts: DataFrame, object_id: str, text: str, keywords: Seque
 def _keyword_hits(texts: DataFrame, object_id: str, text: str, keywords: Sequence[str]) -> DataFrame:
     """Counts per object and keyword, and one row with a NULL keyword for objects without any."""
     wanted = [k.lower() for k in keywords]
-    words = F.split(F.lower(F.col(f"`{text}`")), "[^a-z0-9_]+")
+    words = F.regexp_extract_all(F.lower(F.col(f"`{text}`")), F.lit("[a-z0-9_]+"), F.lit(0))
     found = F.filter(words, lambda word: word.isin(*wanted))
     return (
         texts.select(F.col(f"`{object_id}`"), F.explode_outer(found).alias("keyword"))

@@ -32,6 +32,24 @@ def catalog_rows(information_schema: DataFrame) -> DataFrame:
     )
 
 
+def usage_rows(key_usage: DataFrame) -> DataFrame:
+    """Key columns from a scan of the constraint views, for ``key_columns``."""
+    return key_usage.select(
+        F.col("CONSTRAINT_NAME").alias("constraint_name"),
+        F.col("TABLE_CATALOG").alias("database"),
+        F.col("TABLE_SCHEMA").alias("schema"),
+        F.col("TABLE_NAME").alias("table"),
+        F.col("COLUMN_NAME").alias("column"),
+        F.col("ORDINAL_POSITION").cast("int").alias("ordinal"),
+    )
+
+
+def constraint_rows(constraints: DataFrame) -> DataFrame:
+    return constraints.select(
+        F.col("CONSTRAINT_NAME").alias("constraint_name"), F.col("CONSTRAINT_TYPE").alias("constraint_type")
+    )
+
+
 def describe(df: DataFrame, database: str, schema: str, table: str) -> DataFrame:
     """The columns of a frame as rows (database, schema, table, ordinal, column, type)."""
     rows = [

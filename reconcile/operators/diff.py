@@ -42,17 +42,22 @@ def normalize(df: DataFrame, types: Mapping[str, str] | None = None) -> DataFram
     ``NUMBER(p,s)``, ``BOOLEAN`` or ``VARIANT``. Null tokens are removed from all text.
     """
     wanted = {name.upper(): text.upper().strip() for name, text in (types or {}).items()}
-    return df.select(
-        *[_normalized(f, wanted.get(f.name.upper(), "")).alias(f.name) for f in df.schema.fields]
-    )
+    return df.select(*[_normalized(f, wanted.get(f.name.upper(), "")) for f in df.schema.fields])
 
 
-def _normalized(field: T.StructField, target_type: str) -> Column:
+def _normalized(field: T.StructField, target_type: str) -> Column | str:
+    is_text = isinstance(field.dataType, T.StringType)
+    if not is_text and not target_type:
+        return f"`{field.name}`"
     col = F.col(f"`{field.name}`")
-    if isinstance(field.dataType, T.StringType):
+    if is_text:
         col = null_tokens(col)
+    return _in_type(col, field.dataType, target_type).alias(field.name)
+
+
+def _in_type(col: Column, dtype: T.DataType, target_type: str) -> Column:
     if target_type == "DATE":
-        return date_only(col, field.dataType)
+        return date_only(col, dtype)
     if target_type == "TIME" or target_type.startswith("TIME("):
         return time_to_second(col)
     if target_type in ("BOOLEAN", "NUMBER(1,0)"):
@@ -60,7 +65,7 @@ def _normalized(field: T.StructField, target_type: str) -> Column:
     if target_type.startswith("NUMBER("):
         precision, _, scale = target_type[len("NUMBER("):].rstrip(")").partition(",")
         if int(scale or 0) > 0:
-            return decimal_value(col, field.dataType, int(precision), int(scale))
+            return decimal_value(col, dtype, int(precision), int(scale))
     if target_type == "VARIANT":
         # Well-formed documents count as equal; a lost document still differs.
         return F.when(col.isNotNull() & well_formed_xml(col), F.lit("VALID")).otherwise(col)
@@ -79,11 +84,17 @@ def aligned(source: DataFrame, target: DataFrame, exclude: Sequence[str] = ()) -
         if other is None:
             raise ValueError(f"target has no column {field.name}")
         common = _common_type(field.dataType, other.dataType)
-        left.append(F.col(f"`{field.name}`").cast(common).alias(field.name))
-        right.append(F.col(f"`{other.name}`").cast(common).alias(field.name))
+        left.append(_as(field, common, field.name))
+        right.append(_as(other, common, field.name))
     return source.select(*left), target.select(*right)
 
 
+def _as(field: T.StructField, dtype: T.DataType, name: str) -> Column | str:
+    if field.dataType == dtype and field.name == name:
+        return f"`{name}`"
+    return F.col(f"`{field.name}`").cast(dtype).alias(name)
+
+
 def _common_type(a: T.DataType, b: T.DataType) -> T.DataType:
     if a == b:
         return a
@@ -135,7 +146,8 @@ def pair_by_key(surplus: DataFrame, keys: Sequence[str]) -> DataFrame:
     """
     missing = F.col(SOURCE_COPIES) - F.col(TARGET_COPIES)
     values = [c for c in surplus.columns if c not in (*keys, SOURCE_COPIES, TARGET_COPIES)]
-    row = F.struct(*[F.col(f"`{c}`") for c in values]) if values else F.struct(F.lit(None).alias("_"))
+    # A table of key columns only has one cell to compare, which is always equal.
+    row = F.struct(*[F.col(f"`{c}`") for c in values] or [F.lit("").alias("_")])
     paired = surplus.groupBy(*[f"`{k}`" for k in keys]).agg(
         F.sum(F.greatest(missing, F.lit(0))).alias("missing_rows"),
         F.sum(F.greatest(-missing, F.lit(0))).alias("extra_rows"),
@@ -154,7 +166,7 @@ def pair_by_key(surplus: DataFrame, keys: Sequence[str]) -> DataFrame:
 def cells_of(surplus: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One row per differing cell of the keys that have one row on each side."""
     pairs = pair_by_key(surplus, keys).filter(F.col("status") == CHANGED)
-    values = [f.name for f in pairs.schema["source_row"].dataType.fields if f.name != "_"]
+    values = pairs.schema["source_row"].dataType.names
     source, target = F.col("source_row"), F.col("target_row")
     cells = F.array(
         *[

@@ -10,15 +10,17 @@ from reconcile.operators.catalog import TABLE
 VALID, NOT_VALID = "valid", "Not-valid"
 
 
-def compare_schema(expected: DataFrame, actual: DataFrame) -> DataFrame:
+def compare_schema(expected: DataFrame, actual: DataFrame, type_column: str = "rendered_type") -> DataFrame:
     """One row per column of either side, matched by name in any case.
 
-    ``expected`` has the table columns, ordinal, column, data_type and rendered_type;
-    ``actual`` has the table columns, ordinal, column and type. A column that moved is
+    ``expected`` has the table columns, ordinal, column, data_type and the expected type:
+    ``rendered_type``, or ``spark_type`` for a target that Spark describes. ``actual``
+    has the table columns, ordinal, column and type. A column that moved is
     reported by ``ORDINAL_COMPAR`` and does not shift the columns after it.
     """
     left = expected.select(
-        *TABLE, F.upper("column").alias("_name"), F.col("ordinal").alias("_left"), "data_type", "rendered_type"
+        *TABLE, F.upper("column").alias("_name"), F.col("ordinal").alias("_left"), "data_type",
+        F.col(type_column).alias("_expected"),
     )
     right = actual.select(*TABLE, F.upper("column").alias("_name"), F.col("ordinal").alias("_right"), "type")
     both = left.join(right, [*TABLE, "_name"], "full_outer")
@@ -31,9 +33,9 @@ def compare_schema(expected: DataFrame, actual: DataFrame) -> DataFrame:
         F.col("_name").alias("column_name"),
         F.col("data_type").alias("SQL_Datatype"),
         F.col("type").alias("Snowflake_Datatype"),
-        F.col("rendered_type").alias("Final_Data_types"),
+        F.col("_expected").alias("Final_Data_types"),
         flag(F.col("_left").isNotNull() & F.col("_right").isNotNull()).alias("COLUMN_COMPAR"),
-        flag(F.col("rendered_type") == F.col("type")).alias("COLUMN_AND_LEN_COMPAR"),
+        flag(F.col("_expected") == F.col("type")).alias("COLUMN_AND_LEN_COMPAR"),
         flag(F.col("_left") == F.col("_right")).alias("ORDINAL_COMPAR"),
     )
 

@@ -39,10 +39,16 @@ class TestCase:
     ordered: bool = False
 
 
-def read_cases(spark: SparkSession, path: str) -> list[TestCase]:
-    """Cases of a CSV file with table, sql and, if wanted, ordered. The file is one a person wrote."""
+def read_cases(spark: SparkSession, path: str, tables: Iterable[str] = ()) -> list[TestCase]:
+    """Cases of a CSV file with table, sql and, if wanted, ordered; of some tables or of all.
+
+    The file is one that a person wrote, so its rows fit the driver.
+    """
     rows = spark.read.options(header="true", multiLine="true", quote='"', escape='"').csv(path)
     flag = F.coalesce(F.col("ordered").try_cast("boolean"), F.lit(False)) if "ordered" in rows.columns else F.lit(False)
+    wanted = list(tables)
+    if wanted:
+        rows = rows.filter(F.col("table").isin(*wanted))
     return [TestCase(r[0], r[1], r[2]) for r in rows.select("table", "sql", flag).collect()]
 
 
@@ -139,7 +145,3 @@ def _plain(value):
     if isinstance(value, (dt.date, dt.datetime, decimal.Decimal, bytes, bytearray)):
         return str(value)
     return value
-
-
-def distinct_tables(cases: Iterable[TestCase], order: Callable[[str], object] = str) -> list[str]:
-    return sorted({c.table for c in cases}, key=order)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Mapping
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -116,16 +117,50 @@ def spark_types_of(catalog: DataFrame, *, database: str, schema: str, table: str
     return {r["column"]: r["spark_type"] for r in rows}
 
 
+# Smallest and largest value of the whole-number types.
+WHOLE_RANGES = {
+    "tinyint": (-128, 127),
+    "smallint": (-32768, 32767),
+    "int": (-2147483648, 2147483647),
+    "bigint": (-9223372036854775808, 9223372036854775807),
+}
+
+
 def fits(col: Column, dtype: T.DataType, declared: str) -> Column:
-    """Whether a non-null value fits a declared type such as ``varchar(8)`` or ``decimal(7,2)``."""
-    name = declared.lower().strip()
+    """Whether a non-null value fits a declared type such as ``varchar(8)`` or ``decimal(7,2)``.
+
+    Numbers are tested against the range of the type; a cast that fails costs far more.
+    """
+    name = declared.lower().replace(" ", "")
     sized = re.fullmatch(r"n?(?:var)?char\((-?\d+)\)", name)
     if sized:
         limit = int(sized.group(1))
         return F.lit(True) if limit <= 0 else F.length(col.cast("string")) <= limit
+    digits = re.fullmatch(r"decimal\((\d+),(\d+)\)", name)
+    if digits and isinstance(dtype, T.NumericType):
+        precision, scale = int(digits.group(1)), int(digits.group(2))
+        return F.round(F.abs(col), scale) < _number(10 ** (precision - scale), dtype)
+    if name in WHOLE_RANGES and isinstance(dtype, T.NumericType):
+        low, high = WHOLE_RANGES[name]
+        if _is_float(dtype):
+            # The cast cuts the fraction off, so values up to the next whole number fit.
+            below = float(low - 1)
+            return ((col > below) | (col == float(low))) & (col < float(high + 1))
+        return col.between(_number(low, dtype), _number(high, dtype))
     return col.try_cast(name).isNotNull()
 
 
+def _number(value: int, dtype: T.DataType) -> Column:
+    """A whole number as a literal; above 38 digits no decimal reaches it."""
+    if _is_float(dtype):
+        return F.lit(float(value))
+    return F.lit(Decimal(min(value, 10**38 - 1)))
+
+
+def _is_float(dtype: T.DataType) -> bool:
+    return isinstance(dtype, (T.FloatType, T.DoubleType))
+
+
 def fit_check(df: DataFrame, declared: Mapping[str, str]) -> DataFrame:
     """Per declared column: values checked and values that do not fit, in one pass.
 

@@ -12,6 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reconcile.operators.diff import (
+    AMBIGUOUS,
+    CHANGED,
+    EXTRA,
+    MISSING,
     cells_of,
     diff_keys,
     differing_totals,
@@ -19,12 +23,16 @@ from reconcile.operators.diff import (
     surplus_rows,
     union_all,
 )
+from reconcile.operators.schema import compare_schema, schema_mismatches, schema_verdicts
 from reconcile.plans.reports import append_report
 from reconcile.session import write_through
 
 # Status words of the data report.
 MATCHED, NOT_MATCHED = "Matched", "Not-Matched"
 NO_TABLE, NO_DATA = "Table does not exist in snowflake", "Table has no data"
+NO_SOURCE_DATA = "Error while fetching data from SQL server, validation failed"
+NO_TARGET_DATA = "Error while fetching data from snowflake, validation failed"
+NO_SCHEMA = "Error while comparing Datatypes"
 FAILED = "Data Comparison failed due to some error"
 
 
@@ -107,45 +115,94 @@ def reconcile(pairs: Iterable[Pair]) -> DataFrame:
     return union_all([data_report(p) for p in pairs])
 
 
-def validate_pair(pair: Pair, reports: str, run_id: str) -> None:
-    """Compare one pair and append its data report and its differing cells and keys."""
-    append_report(data_report(pair), reports, "data_report", run_id)
-    if pair.target is None:
-        return
-    keys = list(pair.keys)
-    # Both detail jobs start from the rows that differ, which are computed once.
-    surplus = write_through(surplus_rows(*_normalized(pair), pair.exclude), "surplus")
-    shown = keys or [c for c in surplus.columns[:-2]]
-    key_text = F.concat_ws("|", *[F.coalesce(F.col(f"`{k}`").cast("string"), F.lit("NULL")) for k in shown])
-    rows = diff_keys(surplus, shown).filter(F.col("status") != "changed").select(
-        F.lit(pair.name).alias("table_name"), F.lit(None).cast("string").alias("column_name"),
+def differences(pair: Pair, surplus: DataFrame) -> DataFrame:
+    """Every difference of a pair in the long form of the detail report.
+
+    A differing cell has its column and both values. A key, or without keys a row, that is
+    left over on one side or has no single partner has the numbers of rows left over.
+    """
+    keys = list(pair.keys) or surplus.columns[:-2]
+    key_text = F.concat_ws("|", *[F.coalesce(F.col(f"`{k}`").cast("string"), F.lit("NULL")) for k in keys])
+    name = F.lit(pair.name).alias("table_name")
+    rows = diff_keys(surplus, keys, MISSING, EXTRA, AMBIGUOUS).select(
+        name,
+        F.lit(None).cast("string").alias("column_name"),
         key_text.alias("row_key"),
+        F.col("status"),
         F.col("missing_rows").cast("string").alias("source_value"),
         F.col("extra_rows").cast("string").alias("target_value"),
     )
-    if keys and len(surplus.columns) > len(keys) + 2:
-        cells = cells_of(surplus, keys).select(
-            F.lit(pair.name).alias("table_name"), "column_name", key_text.alias("row_key"),
-            "source_value", "target_value",
-        )
-        rows = rows.unionByName(cells)
-    append_report(rows, reports, "data_detail", run_id)
-
-
-def run_scope(
-    spark: SparkSession, pairs: Iterable[Pair], reports: str, run_id: str, threads: int = 8
-) -> None:
-    """Validate many pairs, a few at a time. A pair that fails is reported and the rest go on."""
-
-    def one(pair: Pair) -> None:
-        spark.sparkContext.setLocalProperty("spark.scheduler.pool", pair.name)
-        try:
-            validate_pair(pair, reports, run_id)
-        except (PySparkException, ValueError):
-            failed = spark.createDataFrame(
-                [(pair.name, FAILED)], "table_name string, result_status string"
-            )
-            append_report(failed, reports, "data_report", run_id)
+    if len(keys) == len(surplus.columns) - 2:
+        return rows
+    cells = cells_of(surplus, keys).select(
+        name, "column_name", key_text.alias("row_key"), F.lit(CHANGED).alias("status"), "source_value", "target_value"
+    )
+    return rows.unionByName(cells)
+
+
+@dataclass(frozen=True)
+class Table:
+    """One table of a scope: how to read both sides, and what the schema should be.
+
+    ``expected`` are mapped catalog rows and ``actual`` the target's column rows of this table.
+    """
+
+    name: str
+    read_source: Callable[[], DataFrame]
+    read_target: Callable[[], DataFrame]
+    keys: Sequence[str] = ()
+    types: dict[str, str] | None = None
+    exclude: Sequence[str] = ()
+    expected: DataFrame | None = None
+    actual: DataFrame | None = None
+
+
+def validate_table(spark: SparkSession, table: Table, reports: str, run_id: str) -> None:
+    """Compare schema, counts and cells of one table and append what was found to the reports."""
+
+    def report(status: str, rows: DataFrame | None = None) -> None:
+        if rows is None:
+            rows = spark.createDataFrame([(table.name, status)], "table_name string, result_status string")
+        append_report(rows, reports, "data_report", run_id)
+
+    try:
+        source = table.read_source()
+    except PySparkException:
+        return report(NO_SOURCE_DATA)
+    try:
+        target = open_table(table.read_target)
+    except PySparkException:
+        return report(NO_TARGET_DATA)
+    try:
+        _validate_schema(spark, table, reports, run_id)
+        pair = Pair(table.name, source, target, table.keys, table.types, table.exclude)
+        report(MATCHED, data_report(pair))
+        if target is not None:
+            # The rows that differ are computed once and read for each kind of detail.
+            surplus = write_through(surplus_rows(*_normalized(pair), pair.exclude), "surplus")
+            append_report(differences(pair, surplus), reports, "data_detail", run_id)
+    except (PySparkException, ValueError):
+        report(FAILED)
+
+
+def _validate_schema(spark: SparkSession, table: Table, reports: str, run_id: str) -> None:
+    if table.expected is None or table.actual is None:
+        return
+    try:
+        comparison = compare_schema(table.expected, table.actual)
+        append_report(schema_mismatches(comparison), reports, "schema_mismatch", run_id)
+        verdicts = schema_verdicts(comparison).withColumnRenamed("Table_name", "table_name")
+    except PySparkException:
+        verdicts = spark.createDataFrame([(table.name, NO_SCHEMA)], "table_name string, result_status string")
+    append_report(verdicts, reports, "schema_report", run_id)
+
+
+def run_scope(spark: SparkSession, tables: Iterable[Table], reports: str, run_id: str, threads: int = 8) -> None:
+    """Validate many tables, a few at a time. One that fails is reported and the rest go on."""
+
+    def one(table: Table) -> None:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", table.name)
+        validate_table(spark, table, reports, run_id)
 
     with ThreadPoolExecutor(max_workers=threads) as pool:
-        list(pool.map(inheritable_thread_target(spark)(one), list(pairs)))
+        list(pool.map(inheritable_thread_target(spark)(one), list(tables)))

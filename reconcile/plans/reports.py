@@ -12,13 +12,23 @@ SCHEMAS = {
         "run_id string, source_dbms string, target_dbms string, table_name string, result_status string, "
         "created_on timestamp, created_by string"
     ),
+    "schema_mismatch": (
+        "run_id string, Table_name string, column_name string, SQL_Datatype string, Snowflake_Datatype string, "
+        "Final_Data_types string, COLUMN_COMPAR string, COLUMN_AND_LEN_COMPAR string, ORDINAL_COMPAR string, "
+        "created_on timestamp, created_by string"
+    ),
+    "test_results": (
+        "run_id string, case_no int, source_table_name string, target_table_name string, test_case string, "
+        "source_table_result string, target_table_result string, status string, execution_start_time timestamp, "
+        "execution_end_time timestamp"
+    ),
     "data_report": (
         "run_id string, source_dbms string, target_dbms string, table_name string, result_status string, "
         "source_record_count bigint, target_record_count bigint, created_on timestamp, created_by string"
     ),
     "data_detail": (
         "run_id string, source_dbms string, target_dbms string, table_name string, column_name string, "
-        "row_key string, source_value string, target_value string, created_on timestamp, created_by string"
+        "row_key string, status string, source_value string, target_value string, created_on timestamp, created_by string"
     ),
     "rejects": (
         "run_id string, error string, file string, category string, column_name string, row_number bigint, "

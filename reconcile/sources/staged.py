@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reconcile.functions import LOAD_NULL_TOKENS, null_tokens
+from reconcile.functions import LOAD_NULL_TOKENS, null_tokens, well_formed_xml
 
 ROW = "_row"
 FILE = "_file"
@@ -18,6 +18,8 @@ FIRST_BAD = "_first_bad"
 LOADED, PARTIALLY_LOADED, LOAD_FAILED = "LOADED", "PARTIALLY_LOADED", "LOAD_FAILED"
 CONVERSION, PARSING = "conversion", "parsing"
 
+XML = "xml"
+
 SHAPE_ERROR = "number of columns in file does not match the table"
 
 # Comma, newline, one header line, quotes doubled inside quotes, no trimming, UTF-8.
@@ -76,7 +78,8 @@ def check_rows(
 ) -> DataFrame:
     """Raw rows with the position of the first column that does not convert.
 
-    ``types`` maps columns to Spark types. Position 0 means a misshapen row, NULL a good
+    ``types`` maps columns to Spark types, or to ``xml`` for text that must be well-formed.
+    Position 0 means a misshapen row, NULL a good
     one. Typed columns are added by ``good_rows``; the raw text stays for the rejects.
     """
     tests = [(F.col(CORRUPT).isNotNull(), 0)] if CORRUPT in raw.columns else []
@@ -90,12 +93,19 @@ def _text(column: str, tokens: Sequence[str]) -> Column:
 
 def _is_bad(column: str, spark_type: str, tokens: Sequence[str]) -> Column:
     text = _text(column, tokens)
+    if spark_type == XML:
+        return ~well_formed_xml(text)
     return text.isNotNull() & text.try_cast(spark_type).isNull()
 
 
+def _typed(column: str, spark_type: str, tokens: Sequence[str]) -> Column:
+    text = _text(column, tokens)
+    return text if spark_type == XML else text.try_cast(spark_type)
+
+
 def good_rows(checked: DataFrame, types: Mapping[str, str], *, tokens: Sequence[str] = LOAD_NULL_TOKENS) -> DataFrame:
     """The rows that convert, in their types."""
-    typed = [_text(c, tokens).try_cast(t).alias(c) for c, t in types.items()]
+    typed = [_typed(c, t, tokens).alias(c) for c, t in types.items()]
     return checked.filter(F.col(FIRST_BAD).isNull()).select(*typed)
 
 
