@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -55,7 +57,8 @@ def append_report(
 ) -> None:
     """Append rows to a report table under ``root``, stamped with run, systems, time and user.
 
-    Columns of the report that ``rows`` lacks are stamped or left NULL.
+    Columns of the report that ``rows`` lacks are stamped or left NULL. Each append has a
+    folder of its own, so that appends of many tables at once do not meet.
     """
     stamps = {
         "run_id": F.lit(run_id),
@@ -69,8 +72,8 @@ def append_report(
     for field in T.StructType.fromDDL(SCHEMAS[report]).fields:
         col = F.col(f"`{field.name}`") if field.name in have else stamps.get(field.name, F.lit(None))
         columns.append(col.cast(field.dataType).alias(field.name))
-    rows.select(*columns).write.mode("append").parquet(f"{root}/{report}")
+    rows.select(*columns).write.parquet(f"{root}/{report}/{uuid.uuid4().hex}")
 
 
 def read_report(spark: SparkSession, root: str, report: str) -> DataFrame:
-    return spark.read.schema(SCHEMAS[report]).parquet(f"{root}/{report}")
+    return spark.read.schema(SCHEMAS[report]).option("recursiveFileLookup", "true").parquet(f"{root}/{report}")
