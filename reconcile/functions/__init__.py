@@ -5,7 +5,9 @@ from reconcile.functions.values import (
     decimal_value,
     flag_to_int,
     is_numeric_text,
+    literal,
     null_tokens,
+    quoted,
     round_decimal,
     scrub_carriage_returns,
     strip_parentheses,
@@ -20,7 +22,9 @@ __all__ = [
     "decimal_value",
     "flag_to_int",
     "is_numeric_text",
+    "literal",
     "null_tokens",
+    "quoted",
     "round_decimal",
     "scrub_carriage_returns",
     "strip_parentheses",

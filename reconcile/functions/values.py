@@ -1,11 +1,13 @@
-"""Column expressions for single values. All of them stay inside the JVM."""
+"""SQL expressions for single values. They take and return SQL text.
+
+Tables to move have hundreds of columns, and text makes one call of a whole select list.
+All expressions are built-in functions, so they stay inside the JVM.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Texts that stand for NULL when two sides are compared.
@@ -23,61 +25,71 @@ CARRIAGE_RETURN_REFERENCE = "&#x0D;"
 CLOCK_TEXT = r"^([01]\d|2[0-3]):[0-5]\d:[0-5]\d$"
 
 
-def null_tokens(col: Column, tokens: Sequence[str] = NULL_TOKENS) -> Column:
+def quoted(name: str) -> str:
+    """A column name as SQL."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def literal(text: str) -> str:
+    """A text value as SQL."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def null_tokens(value: str, tokens: Sequence[str] = NULL_TOKENS) -> str:
     """The value, or NULL where it is one of ``tokens``."""
-    return F.when(~col.isin(*tokens), col)
+    return f"CASE WHEN {value} NOT IN ({', '.join(map(literal, tokens))}) THEN {value} END"
 
 
-def scrub_carriage_returns(col: Column) -> Column:
-    return F.replace(col, F.lit(CARRIAGE_RETURN_REFERENCE), F.lit(" "))
+def scrub_carriage_returns(value: str) -> str:
+    return f"replace({value}, {literal(CARRIAGE_RETURN_REFERENCE)}, ' ')"
 
 
-def flag_to_int(col: Column) -> Column:
+def flag_to_int(value: str) -> str:
     """True/false as 1/0; takes booleans, integers and the usual texts."""
-    return F.coalesce(col.try_cast("int"), col.try_cast("boolean").cast("int"))
+    return f"coalesce(try_cast({value} AS int), CAST(try_cast({value} AS boolean) AS int))"
 
 
-def date_only(col: Column, dtype: T.DataType) -> Column:
+def date_only(value: str, dtype: T.DataType) -> str:
     """The date; text that is no date becomes NULL."""
     if isinstance(dtype, T.StringType):
-        return F.try_to_date(col, "yyyy-MM-dd")
-    return col.cast("date")
+        return f"try_to_date({value}, 'yyyy-MM-dd')"
+    return f"CAST({value} AS date)"
 
 
-def time_to_second(col: Column) -> Column:
+def time_to_second(value: str) -> str:
     """``HH:mm:ss`` without the fraction; text that is no time becomes NULL."""
-    clock = F.split_part(col.cast("string"), F.lit("."), F.lit(1))
-    return F.when(clock.rlike(CLOCK_TEXT), clock)
+    clock = f"split_part(CAST({value} AS string), '.', 1)"
+    return f"CASE WHEN {clock} RLIKE r'{CLOCK_TEXT}' THEN {clock} END"
 
 
-def decimal_value(col: Column, dtype: T.DataType, precision: int, scale: int) -> Column:
+def decimal_value(value: str, dtype: T.DataType, precision: int, scale: int) -> str:
     """The number at a fixed scale.
 
     Text keeps its type and gets the one spelling of its number. Text that is no number
     stays as it is, so that it differs from NULL and from every number.
     """
-    number = col.try_cast(f"decimal({precision},{scale})")
+    number = f"try_cast({value} AS decimal({precision},{scale}))"
     if isinstance(dtype, T.StringType):
-        return F.coalesce(number.cast("string"), col)
+        return f"coalesce(CAST({number} AS string), {value})"
     return number
 
 
-def round_decimal(col: Column, dtype: T.DataType) -> Column:
+def round_decimal(value: str, dtype: T.DataType) -> str:
     """Decimals as doubles with two places; other types are left alone."""
     if isinstance(dtype, T.DecimalType):
-        return F.round(col.cast("double"), 2)
-    return col
+        return f"round(CAST({value} AS double), 2)"
+    return value
 
 
-def is_numeric_text(col: Column) -> Column:
-    return col.rlike(NUMERIC_TEXT)
+def is_numeric_text(value: str) -> str:
+    return f"{value} RLIKE r'{NUMERIC_TEXT}'"
 
 
-def strip_parentheses(col: Column) -> Column:
-    return F.regexp_replace(col, "[()]", "")
+def strip_parentheses(value: str) -> str:
+    return f"regexp_replace({value}, '[()]', '')"
 
 
-def well_formed_xml(col: Column) -> Column:
+def well_formed_xml(value: str) -> str:
     """True for well-formed XML and for NULL."""
-    parsed = F.from_xml(col, "_corrupt_record string", {"mode": "PERMISSIVE"})
-    return col.isNull() | parsed["_corrupt_record"].isNull()
+    parsed = f"from_xml({value}, '_corrupt_record string', map('mode', 'PERMISSIVE'))"
+    return f"({value} IS NULL OR ({parsed})._corrupt_record IS NULL)"

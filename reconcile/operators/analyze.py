@@ -31,12 +31,13 @@ def analyze(
     number the source system limits.
     """
     kind = F.lower("data_type")
-    default = strip_parentheses(F.col("default"))
+    default = F.expr(strip_parentheses("default"))
+    numeric = F.expr(is_numeric_text(strip_parentheses("default")))
     flagged = catalog.select(
         *TABLE,
         "ordinal",
         F.when(~kind.isin(*types), F.upper("data_type")).alias("bad_type"),
-        F.when(~is_numeric_text(default) & ~default.isin(*defaults), default).alias("bad_default"),
+        F.when(~numeric & ~default.isin(*defaults), default).alias("bad_default"),
     )
     per_table = flagged.groupBy(*TABLE).agg(
         F.count(F.lit(1)).alias("_columns"),

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reconcile.functions import null_tokens
+from reconcile.functions import literal, null_tokens, quoted
+from reconcile.operators.frames import union_all
 
 TABLE = ("database", "schema", "table")
 
@@ -61,33 +62,38 @@ def describe(df: DataFrame, database: str, schema: str, table: str) -> DataFrame
     )
 
 
+# Columns that are aggregated together; beyond some dozens, code generation gives up.
+COLUMNS_PER_PASS = 50
+
+
 def profile_columns(df: DataFrame) -> DataFrame:
-    """Rows, nulls, longest text, smallest and largest value of every column, in one pass."""
-    measures, structs = [F.count(F.lit(1)).alias("_rows")], []
-    for i, field in enumerate(df.schema.fields):
-        col = F.col(f"`{field.name}`")
+    """Rows, nulls, longest text, smallest and largest value of every column.
+
+    A wide table is profiled some columns at a time; each pass reads only its columns.
+    """
+    fields = list(enumerate(df.schema.fields, start=1))
+    passes = [fields[i : i + COLUMNS_PER_PASS] for i in range(0, len(fields), COLUMNS_PER_PASS)]
+    return union_all([_profile(df, columns) for columns in passes])
+
+
+def _profile(df: DataFrame, columns: list[tuple[int, T.StructField]]) -> DataFrame:
+    measures, structs = ["count(1) AS _rows"], []
+    for i, field in columns:
+        value = quoted(field.name)
         if isinstance(field.dataType, T.StringType):
-            col = null_tokens(col)
-        text = col.cast("string")
+            value = null_tokens(value)
         measures += [
-            F.count(col).alias(f"_n{i}"),
-            F.max(F.length(text)).alias(f"_l{i}"),
-            F.min(col).alias(f"_a{i}"),
-            F.max(col).alias(f"_z{i}"),
+            f"count({value}) AS _n{i}",
+            f"max(length(CAST({value} AS string))) AS _l{i}",
+            f"min({value}) AS _a{i}",
+            f"max({value}) AS _z{i}",
         ]
         structs.append(
-            F.struct(
-                F.lit(i + 1).alias("ordinal"),
-                F.lit(field.name).alias("column_name"),
-                F.lit(field.dataType.simpleString()).alias("data_type"),
-                F.col("_rows").alias("row_count"),
-                (F.col("_rows") - F.col(f"_n{i}")).alias("null_count"),
-                F.col(f"_l{i}").alias("max_length"),
-                F.col(f"_a{i}").cast("string").alias("min_value"),
-                F.col(f"_z{i}").cast("string").alias("max_value"),
-            )
+            f"named_struct('ordinal', {i}, 'column_name', {literal(field.name)}, "
+            f"'data_type', {literal(field.dataType.simpleString())}, 'row_count', _rows, 'null_count', _rows - _n{i}, "
+            f"'max_length', _l{i}, 'min_value', CAST(_a{i} AS string), 'max_value', CAST(_z{i} AS string))"
         )
-    return df.agg(*measures).select(F.inline(F.array(*structs)))
+    return df.selectExpr(*measures).selectExpr(f"inline(array({', '.join(structs)}))")
 
 
 def key_columns(constraints: DataFrame, usage: DataFrame) -> DataFrame:
@@ -109,11 +115,8 @@ def key_columns(constraints: DataFrame, usage: DataFrame) -> DataFrame:
 
 def key_profile(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
     """One row that says whether ``keys`` are unique and not null in the data."""
-    cols = [F.col(f"`{k}`") for k in keys]
-    has_null = F.lit(False)
-    for col in cols:
-        has_null = has_null | col.isNull()
-    per_key = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_copies"))
+    has_null = F.expr(" OR ".join(f"{quoted(k)} IS NULL" for k in keys))
+    per_key = df.groupBy(*map(quoted, keys)).agg(F.count(F.lit(1)).alias("_copies"))
     copies = F.col("_copies")
     totals = per_key.agg(
         F.coalesce(F.sum(copies), F.lit(0)).alias("row_count"),

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from reconcile.functions import flag_to_int, null_tokens, scrub_carriage_returns, time_to_second
+from reconcile.functions import flag_to_int, null_tokens, quoted, scrub_carriage_returns, time_to_second
 
 
 def convert(df: DataFrame, source_types: Mapping[str, str], spark_types: Mapping[str, str] | None = None) -> DataFrame:
@@ -18,22 +17,22 @@ def convert(df: DataFrame, source_types: Mapping[str, str], spark_types: Mapping
     Text that does not cast becomes NULL here; load it with ``check_rows`` to have it
     rejected instead.
     """
-    return df.select(
+    return df.selectExpr(
         *[
-            _converted(f, source_types.get(f.name, "").lower(), (spark_types or {}).get(f.name)).alias(f.name)
+            f"{_converted(f, source_types.get(f.name, '').lower(), (spark_types or {}).get(f.name))} AS {quoted(f.name)}"
             for f in df.schema.fields
         ]
     )
 
 
-def _converted(field: T.StructField, source_type: str, spark_type: str | None) -> Column:
-    col = F.col(f"`{field.name}`")
+def _converted(field: T.StructField, source_type: str, spark_type: str | None) -> str:
+    value = quoted(field.name)
     if isinstance(field.dataType, T.StringType):
-        col = null_tokens(col)
+        value = null_tokens(value)
         if source_type == "xml":
-            col = scrub_carriage_returns(col)
+            value = scrub_carriage_returns(value)
     if source_type == "bit":
-        return flag_to_int(col)
+        return flag_to_int(value)
     if source_type == "time":
-        return time_to_second(col)
-    return col.try_cast(spark_type) if spark_type else col
+        return time_to_second(value)
+    return f"try_cast({value} AS {spark_type})" if spark_type else value

@@ -9,7 +9,6 @@ rows that are left over, as a rule very few, are shuffled again to be paired by
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +19,9 @@ from reconcile.functions import (
     date_only,
     decimal_value,
     flag_to_int,
+    literal,
     null_tokens,
+    quoted,
     time_to_second,
     well_formed_xml,
 )
@@ -42,34 +43,31 @@ def normalize(df: DataFrame, types: Mapping[str, str] | None = None) -> DataFram
     ``NUMBER(p,s)``, ``BOOLEAN`` or ``VARIANT``. Null tokens are removed from all text.
     """
     wanted = {name.upper(): text.upper().strip() for name, text in (types or {}).items()}
-    return df.select(*[_normalized(f, wanted.get(f.name.upper(), "")) for f in df.schema.fields])
+    return df.selectExpr(*[_normalized(f, wanted.get(f.name.upper(), "")) for f in df.schema.fields])
 
 
-def _normalized(field: T.StructField, target_type: str) -> Column | str:
-    is_text = isinstance(field.dataType, T.StringType)
-    if not is_text and not target_type:
-        return f"`{field.name}`"
-    col = F.col(f"`{field.name}`")
-    if is_text:
-        col = null_tokens(col)
-    return _in_type(col, field.dataType, target_type).alias(field.name)
+def _normalized(field: T.StructField, target_type: str) -> str:
+    value = quoted(field.name)
+    if isinstance(field.dataType, T.StringType):
+        value = null_tokens(value)
+    return f"{_in_type(value, field.dataType, target_type)} AS {quoted(field.name)}"
 
 
-def _in_type(col: Column, dtype: T.DataType, target_type: str) -> Column:
+def _in_type(value: str, dtype: T.DataType, target_type: str) -> str:
     if target_type == "DATE":
-        return date_only(col, dtype)
+        return date_only(value, dtype)
     if target_type == "TIME" or target_type.startswith("TIME("):
-        return time_to_second(col)
+        return time_to_second(value)
     if target_type in ("BOOLEAN", "NUMBER(1,0)"):
-        return flag_to_int(col)
+        return flag_to_int(value)
     if target_type.startswith("NUMBER("):
         precision, _, scale = target_type[len("NUMBER("):].rstrip(")").partition(",")
         if int(scale or 0) > 0:
-            return decimal_value(col, dtype, int(precision), int(scale))
+            return decimal_value(value, dtype, int(precision), int(scale))
     if target_type == "VARIANT":
         # Well-formed documents count as equal; a lost document still differs.
-        return F.when(col.isNotNull() & well_formed_xml(col), F.lit("VALID")).otherwise(col)
-    return col
+        return f"CASE WHEN {value} IS NOT NULL AND {well_formed_xml(value)} THEN 'VALID' ELSE {value} END"
+    return value
 
 
 def aligned(source: DataFrame, target: DataFrame, exclude: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
@@ -86,13 +84,14 @@ def aligned(source: DataFrame, target: DataFrame, exclude: Sequence[str] = ()) -
         common = _common_type(field.dataType, other.dataType)
         left.append(_as(field, common, field.name))
         right.append(_as(other, common, field.name))
-    return source.select(*left), target.select(*right)
+    return source.selectExpr(*left), target.selectExpr(*right)
 
 
-def _as(field: T.StructField, dtype: T.DataType, name: str) -> Column | str:
-    if field.dataType == dtype and field.name == name:
-        return f"`{name}`"
-    return F.col(f"`{field.name}`").cast(dtype).alias(name)
+def _as(field: T.StructField, dtype: T.DataType, name: str) -> str:
+    value = quoted(field.name)
+    if field.dataType != dtype:
+        value = f"CAST({value} AS {dtype.simpleString()})"
+    return f"{value} AS {quoted(name)}"
 
 
 def _common_type(a: T.DataType, b: T.DataType) -> T.DataType:
@@ -116,7 +115,7 @@ def signed_rows(source: DataFrame, target: DataFrame, exclude: Sequence[str] = (
     both = left.select("*", F.lit(1).alias(SOURCE_COPIES), F.lit(0).alias(TARGET_COPIES)).unionAll(
         right.select("*", F.lit(0).alias(SOURCE_COPIES), F.lit(1).alias(TARGET_COPIES))
     )
-    return both.groupBy(*[f"`{c}`" for c in left.columns]).agg(
+    return both.groupBy(*map(quoted, left.columns)).agg(
         F.sum(SOURCE_COPIES).alias(SOURCE_COPIES), F.sum(TARGET_COPIES).alias(TARGET_COPIES)
     )
 
@@ -147,8 +146,8 @@ def pair_by_key(surplus: DataFrame, keys: Sequence[str]) -> DataFrame:
     missing = F.col(SOURCE_COPIES) - F.col(TARGET_COPIES)
     values = [c for c in surplus.columns if c not in (*keys, SOURCE_COPIES, TARGET_COPIES)]
     # A table of key columns only has one cell to compare, which is always equal.
-    row = F.struct(*[F.col(f"`{c}`") for c in values] or [F.lit("").alias("_")])
-    paired = surplus.groupBy(*[f"`{k}`" for k in keys]).agg(
+    row = F.expr(f"struct({', '.join(map(quoted, values))})" if values else "named_struct('_', '')")
+    paired = surplus.groupBy(*map(quoted, keys)).agg(
         F.sum(F.greatest(missing, F.lit(0))).alias("missing_rows"),
         F.sum(F.greatest(-missing, F.lit(0))).alias("extra_rows"),
         F.first(F.when(missing > 0, row), ignorenulls=True).alias("source_row"),
@@ -166,22 +165,15 @@ def pair_by_key(surplus: DataFrame, keys: Sequence[str]) -> DataFrame:
 def cells_of(surplus: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One row per differing cell of the keys that have one row on each side."""
     pairs = pair_by_key(surplus, keys).filter(F.col("status") == CHANGED)
-    values = pairs.schema["source_row"].dataType.names
-    source, target = F.col("source_row"), F.col("target_row")
-    cells = F.array(
-        *[
-            F.struct(
-                F.lit(c).alias("column_name"),
-                source[c].cast("string").alias("source_value"),
-                target[c].cast("string").alias("target_value"),
-                (~source[c].eqNullSafe(target[c])).alias("differs"),
-            )
-            for c in values
-        ]
-    )
-    return pairs.select(*[f"`{k}`" for k in keys], F.inline(F.filter(cells, lambda cell: cell["differs"]))).drop(
-        "differs"
-    )
+    cells = []
+    for c in pairs.schema["source_row"].dataType.names:
+        left, right = f"source_row.{quoted(c)}", f"target_row.{quoted(c)}"
+        cells.append(
+            f"named_struct('column_name', {literal(c)}, 'source_value', CAST({left} AS string), "
+            f"'target_value', CAST({right} AS string), 'differs', NOT ({left} <=> {right}))"
+        )
+    differing = f"inline(filter(array({', '.join(cells)}), cell -> cell.differs))"
+    return pairs.selectExpr(*map(quoted, keys), differing).drop("differs")
 
 
 def diff_cells(
@@ -193,7 +185,7 @@ def diff_cells(
 
 def diff_keys(surplus: DataFrame, keys: Sequence[str], *statuses: str) -> DataFrame:
     """Keys with differences, their status and the number of surplus rows per side."""
-    pairs = pair_by_key(surplus, keys).select(*[f"`{k}`" for k in keys], "status", "missing_rows", "extra_rows")
+    pairs = pair_by_key(surplus, keys).select(*map(quoted, keys), "status", "missing_rows", "extra_rows")
     return pairs.filter(F.col("status").isin(*statuses)) if statuses else pairs
 
 
@@ -210,19 +202,23 @@ def summarize_cells(cells: DataFrame, keys: Sequence[str], sample: int = 5) -> D
     The complete list is ``cells`` itself. The rank keeps only ``sample`` rows per column
     in each task before the shuffle, however many cells of one column differ.
     """
-    key_text = F.concat_ws("|", *[F.coalesce(F.col(f"`{k}`").cast("string"), F.lit("NULL")) for k in keys])
     counts = cells.groupBy("column_name").agg(F.count(F.lit(1)).alias("mismatches"))
-    order = Window.partitionBy("column_name").orderBy(*[F.col(f"`{k}`") for k in keys])
-    first = cells.select("column_name", *[f"`{k}`" for k in keys]).withColumn("rank", F.row_number().over(order))
+    order = Window.partitionBy("column_name").orderBy(*map(quoted, keys))
+    first = cells.select("column_name", *map(quoted, keys)).withColumn("rank", F.row_number().over(order))
     samples = (
         first.filter(F.col("rank") <= sample)
-        .select("column_name", "rank", key_text.alias("key_text"))
+        .select("column_name", "rank", key_text(keys).alias("key_text"))
         .groupBy("column_name")
         .agg(F.expr("listagg(key_text, ', ') within group (order by rank)").alias("sample_keys"))
     )
     return counts.join(samples, "column_name", "left")
 
 
+def key_text(keys: Sequence[str]) -> Column:
+    """The values of a key as one text."""
+    return F.expr("concat_ws('|', " + ", ".join(f"coalesce(CAST({quoted(k)} AS string), 'NULL')" for k in keys) + ")")
+
+
 def with_ordinals(df: DataFrame, order_by: Sequence[str] = (), name: str = "row_number") -> DataFrame:
     """Number the rows from 1 without putting them all into one task.
 
@@ -232,7 +228,7 @@ def with_ordinals(df: DataFrame, order_by: Sequence[str] = (), name: str = "row_
     same placement, also after an executor was lost.
     """
     if order_by:
-        columns = [F.col(f"`{c}`") for c in order_by]
+        columns = list(map(quoted, order_by))
         df = df.repartitionByRange(*columns).sortWithinPartitions(*columns)
     placed = write_through(df.withColumn("_place", F.monotonically_increasing_id()), "ordinals")
     part = F.shiftright("_place", 33)
@@ -244,7 +240,7 @@ def with_ordinals(df: DataFrame, order_by: Sequence[str] = (), name: str = "row_
     return (
         placed.withColumn("_part", part)
         .join(F.broadcast(offsets), "_part")
-        .select(*[f"`{c}`" for c in df.columns], (F.col("_offset") + position + 1).alias(name))
+        .select(*map(quoted, df.columns), (F.col("_offset") + position + 1).alias(name))
     )
 
 
@@ -265,7 +261,3 @@ def differing_totals(source: DataFrame, target: DataFrame, exclude: Sequence[str
         F.sum(F.greatest(-missing, F.lit(0))).alias("extra_rows"),
     )
     return totals.select(*[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in totals.columns])
-
-
-def union_all(frames: Sequence[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)

@@ -110,7 +110,7 @@ def case_results(case: TestCase, source: SparkSession, target: SparkSession) ->
 
 def _positional(result: DataFrame) -> DataFrame:
     renamed = result.toDF(*[f"c{i}" for i in range(len(result.columns))])
-    return renamed.select(*[round_decimal(F.col(f.name), f.dataType).alias(f.name) for f in renamed.schema.fields])
+    return renamed.selectExpr(*[f"{round_decimal(f.name, f.dataType)} AS {f.name}" for f in renamed.schema.fields])
 
 
 def _compare(case: TestCase, source: SparkSession, target: SparkSession) -> tuple[str, str | None, str | None]:

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Mapping
-from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reconcile.functions import null_tokens
+from reconcile.functions import literal, null_tokens, quoted
 
 # Source type, target type, Spark type the column is loaded as.
 TYPE_MAP = [
@@ -126,39 +125,34 @@ WHOLE_RANGES = {
 }
 
 
-def fits(col: Column, dtype: T.DataType, declared: str) -> Column:
+def fits(value: str, dtype: T.DataType, declared: str) -> str:
     """Whether a non-null value fits a declared type such as ``varchar(8)`` or ``decimal(7,2)``.
 
     Numbers are tested against the range of the type; a cast that fails costs far more.
     """
     name = declared.lower().replace(" ", "")
+    is_float = isinstance(dtype, (T.FloatType, T.DoubleType))
     sized = re.fullmatch(r"n?(?:var)?char\((-?\d+)\)", name)
     if sized:
         limit = int(sized.group(1))
-        return F.lit(True) if limit <= 0 else F.length(col.cast("string")) <= limit
+        return "true" if limit <= 0 else f"length(CAST({value} AS string)) <= {limit}"
     digits = re.fullmatch(r"decimal\((\d+),(\d+)\)", name)
     if digits and isinstance(dtype, T.NumericType):
         precision, scale = int(digits.group(1)), int(digits.group(2))
-        return F.round(F.abs(col), scale) < _number(10 ** (precision - scale), dtype)
+        return f"round(abs({value}), {scale}) < {_number(10 ** (precision - scale), is_float)}"
     if name in WHOLE_RANGES and isinstance(dtype, T.NumericType):
         low, high = WHOLE_RANGES[name]
-        if _is_float(dtype):
+        if is_float:
             # The cast cuts the fraction off, so values up to the next whole number fit.
-            below = float(low - 1)
-            return ((col > below) | (col == float(low))) & (col < float(high + 1))
-        return col.between(_number(low, dtype), _number(high, dtype))
-    return col.try_cast(name).isNotNull()
+            above = f"({value} > {_number(low - 1, True)} OR {value} = {_number(low, True)})"
+            return f"{above} AND {value} < {_number(high + 1, True)}"
+        return f"{value} BETWEEN {_number(low, False)} AND {_number(high, False)}"
+    return f"try_cast({value} AS {name}) IS NOT NULL"
 
 
-def _number(value: int, dtype: T.DataType) -> Column:
-    """A whole number as a literal; above 38 digits no decimal reaches it."""
-    if _is_float(dtype):
-        return F.lit(float(value))
-    return F.lit(Decimal(min(value, 10**38 - 1)))
-
-
-def _is_float(dtype: T.DataType) -> bool:
-    return isinstance(dtype, (T.FloatType, T.DoubleType))
+def _number(number: int, is_float: bool) -> str:
+    """A whole number as SQL; no decimal reaches more than 38 digits."""
+    return f"{float(number)!r}D" if is_float else f"{min(number, 10**38 - 1)}BD"
 
 
 def fit_check(df: DataFrame, declared: Mapping[str, str]) -> DataFrame:
@@ -169,17 +163,13 @@ def fit_check(df: DataFrame, declared: Mapping[str, str]) -> DataFrame:
     dtypes = {f.name: f.dataType for f in df.schema.fields}
     measures, structs = [], []
     for i, (name, text) in enumerate(declared.items()):
-        col = F.col(f"`{name}`")
+        value = quoted(name)
         if isinstance(dtypes[name], T.StringType):
-            col = null_tokens(col)
-        measures.append(F.count(col).alias(f"_n{i}"))
-        measures.append(F.count_if(col.isNotNull() & ~fits(col, dtypes[name], text)).alias(f"_m{i}"))
+            value = null_tokens(value)
+        misfit = f"{value} IS NOT NULL AND NOT ({fits(value, dtypes[name], text)})"
+        measures += [f"count({value}) AS _n{i}", f"count_if({misfit}) AS _m{i}"]
         structs.append(
-            F.struct(
-                F.lit(name).alias("column_name"),
-                F.lit(text).alias("declared_type"),
-                F.col(f"_n{i}").alias("checked"),
-                F.col(f"_m{i}").alias("misfits"),
-            )
+            f"named_struct('column_name', {literal(name)}, 'declared_type', {literal(text)}, "
+            f"'checked', _n{i}, 'misfits', _m{i})"
         )
-    return df.agg(*measures).select(F.inline(F.array(*structs)))
+    return df.selectExpr(*measures).selectExpr(f"inline(array({', '.join(structs)}))")

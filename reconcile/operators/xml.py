@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reconcile.functions import well_formed_xml
+from reconcile.functions import quoted, well_formed_xml
 
 
 def check_xml(df: DataFrame, column: str, flag: str = "is_valid") -> DataFrame:
-    return df.withColumn(flag, well_formed_xml(F.col(f"`{column}`")))
+    return df.withColumn(flag, F.expr(well_formed_xml(quoted(column))))
 
 
 def xml_totals(df: DataFrame, column: str) -> DataFrame:
     """One row: documents, malformed documents, and whether all are well-formed."""
-    valid = well_formed_xml(F.col(f"`{column}`"))
+    valid = F.expr(well_formed_xml(quoted(column)))
     bad = F.count_if(~valid)
     return df.agg(
-        F.count(F.col(f"`{column}`")).alias("documents"), bad.alias("malformed"), (bad == 0).alias("all_valid")
+        F.count(quoted(column)).alias("documents"), bad.alias("malformed"), (bad == 0).alias("all_valid")
     )

@@ -19,10 +19,11 @@ from reconcile.operators.diff import (
     cells_of,
     diff_keys,
     differing_totals,
+    key_text,
     normalize,
     surplus_rows,
-    union_all,
 )
+from reconcile.operators.frames import union_all
 from reconcile.operators.schema import compare_schema, schema_mismatches, schema_verdicts
 from reconcile.plans.reports import append_report
 from reconcile.session import write_through
@@ -61,25 +62,32 @@ def open_table(read: Callable[[], DataFrame]) -> DataFrame | None:
 def row_counts(pairs: Iterable[Pair]) -> DataFrame:
     """Record counts of every pair in one job, with existence and empty status."""
 
-    def one(pair: Pair) -> DataFrame:
-        source = pair.source.agg(F.count(F.lit(1)).alias("source_record_count"))
-        if pair.target is None:
-            return source.select(
-                F.lit(pair.name).alias("table_name"), "source_record_count",
-                F.lit(0).cast("bigint").alias("target_record_count"), F.lit(NO_TABLE).alias("result_status"),
-            )
-        target = pair.target.agg(F.count(F.lit(1)).alias("target_record_count"))
-        # Both sides of the join are single rows.
-        both = source.crossJoin(target)
-        return both.select(F.lit(pair.name).alias("table_name"), "*", _count_status().alias("result_status"))
-
-    return union_all([one(p) for p in pairs])
-
+    def side(pair: Pair, rows: DataFrame, counted: str, other: str) -> DataFrame:
+        return rows.agg(F.count(F.lit(1)).alias(counted)).select(
+            F.lit(pair.name).alias("table_name"),
+            counted,
+            F.lit(None).cast("bigint").alias(other),
+        )
 
-def _count_status():
+    sides = []
+    for pair in pairs:
+        sides.append(side(pair, pair.source, "source_record_count", "target_record_count"))
+        if pair.target is not None:
+            sides.append(side(pair, pair.target, "target_record_count", "source_record_count"))
+    counts = union_all(sides).groupBy("table_name").agg(
+        F.sum("source_record_count").alias("source_record_count"),
+        F.sum("target_record_count").alias("target_record_count"),
+    )
     source, target = F.col("source_record_count"), F.col("target_record_count")
-    return (
-        F.when((target == 0) & (source > 0), NO_DATA).when(source == target, MATCHED).otherwise(NOT_MATCHED)
+    status = (
+        F.when(target.isNull(), NO_TABLE)
+        .when((target == 0) & (source > 0), NO_DATA)
+        .when(source == target, MATCHED)
+        .otherwise(NOT_MATCHED)
+    )
+    return counts.select(
+        "table_name", "source_record_count", F.coalesce(target, F.lit(0)).alias("target_record_count"),
+        status.alias("result_status"),
     )
 
 
@@ -122,12 +130,11 @@ def differences(pair: Pair, surplus: DataFrame) -> DataFrame:
     left over on one side or has no single partner has the numbers of rows left over.
     """
     keys = list(pair.keys) or surplus.columns[:-2]
-    key_text = F.concat_ws("|", *[F.coalesce(F.col(f"`{k}`").cast("string"), F.lit("NULL")) for k in keys])
     name = F.lit(pair.name).alias("table_name")
     rows = diff_keys(surplus, keys, MISSING, EXTRA, AMBIGUOUS).select(
         name,
         F.lit(None).cast("string").alias("column_name"),
-        key_text.alias("row_key"),
+        key_text(keys).alias("row_key"),
         F.col("status"),
         F.col("missing_rows").cast("string").alias("source_value"),
         F.col("extra_rows").cast("string").alias("target_value"),
@@ -135,7 +142,7 @@ def differences(pair: Pair, surplus: DataFrame) -> DataFrame:
     if len(keys) == len(surplus.columns) - 2:
         return rows
     cells = cells_of(surplus, keys).select(
-        name, "column_name", key_text.alias("row_key"), F.lit(CHANGED).alias("status"), "source_value", "target_value"
+        name, "column_name", key_text(keys).alias("row_key"), F.lit(CHANGED).alias("status"), "source_value", "target_value"
     )
     return rows.unionByName(cells)
 

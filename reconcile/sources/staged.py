@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reconcile.functions import LOAD_NULL_TOKENS, null_tokens, well_formed_xml
+from reconcile.functions import LOAD_NULL_TOKENS, literal, null_tokens, quoted, well_formed_xml
 
 ROW = "_row"
 FILE = "_file"
@@ -36,9 +36,9 @@ CSV_OPTIONS = {
 
 def stage(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Write rows for a later load, each with an id that rejects can refer to."""
-    rows = df.select(F.monotonically_increasing_id().alias(ROW), *[f"`{c}`" for c in df.columns])
+    rows = df.select(F.monotonically_increasing_id().alias(ROW), *map(quoted, df.columns))
     if fmt == "csv":
-        text = rows.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in rows.columns])
+        text = rows.selectExpr(*[f"CAST({quoted(c)} AS string) AS {quoted(c)}" for c in rows.columns])
         text.write.options(**CSV_OPTIONS).csv(path)
     else:
         rows.write.format(fmt).save(path)
@@ -53,7 +53,7 @@ def read_staged_csv(
     ``numbered`` is false for files from elsewhere, whose rows then get an id here.
     """
     names = [ROW, *columns] if numbered else list(columns)
-    schema = ", ".join(f"`{c}` string" for c in [*names, CORRUPT])
+    schema = ", ".join(f"{quoted(c)} string" for c in [*names, CORRUPT])
     rows = (
         spark.read.schema(schema)
         .options(**CSV_OPTIONS)
@@ -66,7 +66,7 @@ def read_staged_csv(
     )
     number = F.col(ROW).try_cast("bigint") if numbered else F.monotonically_increasing_id()
     return rows.select(
-        F.col("_metadata.file_path").alias(FILE), number.alias(ROW), *[f"`{c}`" for c in columns], CORRUPT
+        F.col("_metadata.file_path").alias(FILE), number.alias(ROW), *map(quoted, columns), CORRUPT
     )
 
 
@@ -82,62 +82,53 @@ def check_rows(
     Position 0 means a misshapen row, NULL a good
     one. Typed columns are added by ``good_rows``; the raw text stays for the rejects.
     """
-    tests = [(F.col(CORRUPT).isNotNull(), 0)] if CORRUPT in raw.columns else []
-    tests += [(_is_bad(c, t, tokens), i) for i, (c, t) in enumerate(types.items(), start=1)]
-    return raw.withColumn(FIRST_BAD, F.coalesce(*[F.when(bad, F.lit(i)) for bad, i in tests]))
+    tests = [f"CASE WHEN {CORRUPT} IS NOT NULL THEN 0 END"] if CORRUPT in raw.columns else []
+    tests += [f"CASE WHEN {_is_bad(c, t, tokens)} THEN {i} END" for i, (c, t) in enumerate(types.items(), start=1)]
+    return raw.withColumn(FIRST_BAD, F.expr(f"coalesce({', '.join(tests)})"))
 
 
-def _text(column: str, tokens: Sequence[str]) -> Column:
-    return null_tokens(F.col(f"`{column}`").cast("string"), tokens)
+def _text(column: str, tokens: Sequence[str]) -> str:
+    return null_tokens(f"CAST({quoted(column)} AS string)", tokens)
 
 
-def _is_bad(column: str, spark_type: str, tokens: Sequence[str]) -> Column:
+def _is_bad(column: str, spark_type: str, tokens: Sequence[str]) -> str:
     text = _text(column, tokens)
     if spark_type == XML:
-        return ~well_formed_xml(text)
-    return text.isNotNull() & text.try_cast(spark_type).isNull()
+        return f"NOT {well_formed_xml(text)}"
+    return f"({text} IS NOT NULL AND try_cast({text} AS {spark_type}) IS NULL)"
 
 
-def _typed(column: str, spark_type: str, tokens: Sequence[str]) -> Column:
+def _typed(column: str, spark_type: str, tokens: Sequence[str]) -> str:
     text = _text(column, tokens)
-    return text if spark_type == XML else text.try_cast(spark_type)
+    return text if spark_type == XML else f"try_cast({text} AS {spark_type})"
 
 
 def good_rows(checked: DataFrame, types: Mapping[str, str], *, tokens: Sequence[str] = LOAD_NULL_TOKENS) -> DataFrame:
     """The rows that convert, in their types."""
-    typed = [_typed(c, t, tokens).alias(c) for c, t in types.items()]
-    return checked.filter(F.col(FIRST_BAD).isNull()).select(*typed)
+    typed = [f"{_typed(c, t, tokens)} AS {quoted(c)}" for c, t in types.items()]
+    return checked.filter(F.col(FIRST_BAD).isNull()).selectExpr(*typed)
 
 
 def reject_rows(checked: DataFrame, types: Mapping[str, str], *, tokens: Sequence[str] = LOAD_NULL_TOKENS) -> DataFrame:
     """One row per cell that does not convert, and one per misshapen row."""
-    record = F.to_csv(F.struct(*[F.col(f"`{c}`").cast("string").alias(c) for c in types]), {"sep": ","})
-    misshapen = F.lit(False)
-    if CORRUPT in checked.columns:
-        misshapen = F.col(CORRUPT).isNotNull()
-        record = F.coalesce(F.col(CORRUPT), record)
+    record = "to_csv(struct(" + ", ".join(f"CAST({quoted(c)} AS string) AS {quoted(c)}" for c in types) + "))"
     cells = [
-        F.struct(
-            F.lit(c).alias("column_name"),
-            F.lit(CONVERSION).alias("category"),
-            F.lit(conversion_error(c, t)).alias("error"),
-            _is_bad(c, t, tokens).alias("bad"),
-        )
+        f"named_struct('column_name', {literal(c)}, 'category', {literal(CONVERSION)}, "
+        f"'error', {literal(conversion_error(c, t))}, 'bad', {_is_bad(c, t, tokens)})"
         for c, t in types.items()
     ]
-    shape = F.array(
-        F.struct(
-            F.lit(None).cast("string").alias("column_name"),
-            F.lit(PARSING).alias("category"),
-            F.lit(SHAPE_ERROR).alias("error"),
-            F.lit(True).alias("bad"),
+    errors = f"filter(array({', '.join(cells)}), cell -> cell.bad)"
+    if CORRUPT in checked.columns:
+        shape = (
+            f"array(named_struct('column_name', CAST(NULL AS string), 'category', {literal(PARSING)}, "
+            f"'error', {literal(SHAPE_ERROR)}, 'bad', true))"
         )
-    )
-    errors = F.when(misshapen, shape).otherwise(F.filter(F.array(*cells), lambda cell: cell["bad"]))
+        errors = f"CASE WHEN {CORRUPT} IS NOT NULL THEN {shape} ELSE {errors} END"
+        record = f"coalesce({CORRUPT}, {record})"
     rows = checked.filter(F.col(FIRST_BAD).isNotNull())
-    file = F.col(FILE) if FILE in checked.columns else F.lit(None).cast("string")
-    return rows.select(
-        file.alias("file"), F.col(ROW).alias("row_number"), record.alias("rejected_record"), F.inline(errors)
+    file = FILE if FILE in checked.columns else "CAST(NULL AS string)"
+    return rows.selectExpr(
+        f"{file} AS file", f"{ROW} AS row_number", f"{record} AS rejected_record", f"inline({errors})"
     ).drop("bad")
 
 
@@ -164,8 +155,9 @@ def load_result(checked: DataFrame, types: Mapping[str, str]) -> DataFrame:
 
 def with_status(totals: DataFrame, types: Mapping[str, str]) -> DataFrame:
     columns = list(types)
-    names = F.array(F.lit(None).cast("string"), *[F.lit(c) for c in columns])
-    texts = F.array(F.lit(SHAPE_ERROR), *[F.lit(conversion_error(c, types[c])) for c in columns])
+    names = F.expr(f"array(CAST(NULL AS string), {', '.join(map(literal, columns))})")
+    texts = [SHAPE_ERROR, *[conversion_error(c, types[c]) for c in columns]]
+    errors_by_column = F.expr(f"array({', '.join(map(literal, texts))})")
     parsed, loaded, errors = F.col("rows_parsed"), F.col("rows_loaded"), F.col("errors_seen")
     status = F.when(errors == 0, LOADED).when(loaded == 0, LOAD_FAILED).otherwise(PARTIALLY_LOADED)
     return totals.select(
@@ -175,7 +167,7 @@ def with_status(totals: DataFrame, types: Mapping[str, str]) -> DataFrame:
         "rows_loaded",
         parsed.alias("error_limit"),
         "errors_seen",
-        F.get(texts, F.col("_first")).alias("first_error"),
+        F.get(errors_by_column, F.col("_first")).alias("first_error"),
         "first_error_line",
         F.lit(None).cast("bigint").alias("first_error_character"),
         F.get(names, F.col("_first")).alias("first_error_column_name"),

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reconcile.operators import analyze, audit, catalog, convert, diff, history, schema, testcases, typemap, xml
+from reconcile.operators.frames import union_all
 from reconcile.plans import reconcile
 from reconcile.plans.reconcile import Pair
 from reconcile.session import scratch_path
@@ -117,7 +118,7 @@ def reconcile_report(spark, sf_dir):
 
 def key_profile(spark, sf_dir):
     items, orders = table(spark, sf_dir, "lineitem"), planted(spark, sf_dir, "src_orders")
-    return diff.union_all(
+    return union_all(
         [
             catalog.key_profile(items, ["l_orderkey", "l_linenumber"], "lineitem"),
             catalog.key_profile(orders, ["o_orderkey"], "orders"),
