@@ -136,6 +136,12 @@ def diff_multiset(source: DataFrame, target: DataFrame, exclude: Sequence[str] =
     )
 
 
+def _actual(df: DataFrame, names: Sequence[str]) -> list[str]:
+    """Names as the frame spells them; catalogs often give them in upper case."""
+    by_name = {c.upper(): c for c in df.columns}
+    return [by_name[n.upper()] for n in names]
+
+
 def pair_by_key(surplus: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Surplus rows gathered by key, with one row of each side and the status of the key.
 
@@ -143,6 +149,7 @@ def pair_by_key(surplus: DataFrame, keys: Sequence[str]) -> DataFrame:
     both sides and more than one on at least one of them, so no pairing is right; the
     rows themselves are all in ``diff_multiset``.
     """
+    keys = _actual(surplus, keys)
     missing = F.col(SOURCE_COPIES) - F.col(TARGET_COPIES)
     values = [c for c in surplus.columns if c not in (*keys, SOURCE_COPIES, TARGET_COPIES)]
     # A table of key columns only has one cell to compare, which is always equal.
@@ -173,7 +180,7 @@ def cells_of(surplus: DataFrame, keys: Sequence[str]) -> DataFrame:
             f"'target_value', CAST({right} AS string), 'differs', NOT ({left} <=> {right}))"
         )
     differing = f"inline(filter(array({', '.join(cells)}), cell -> cell.differs))"
-    return pairs.selectExpr(*map(quoted, keys), differing).drop("differs")
+    return pairs.selectExpr(*map(quoted, _actual(surplus, keys)), differing).drop("differs")
 
 
 def diff_cells(
@@ -185,7 +192,7 @@ def diff_cells(
 
 def diff_keys(surplus: DataFrame, keys: Sequence[str], *statuses: str) -> DataFrame:
     """Keys with differences, their status and the number of surplus rows per side."""
-    pairs = pair_by_key(surplus, keys).select(*map(quoted, keys), "status", "missing_rows", "extra_rows")
+    pairs = pair_by_key(surplus, keys).select(*map(quoted, _actual(surplus, keys)), "status", "missing_rows", "extra_rows")
     return pairs.filter(F.col("status").isin(*statuses)) if statuses else pairs
 
 

@@ -33,6 +33,8 @@ MATCHED, NOT_MATCHED = "Matched", "Not-Matched"
 NO_TABLE, NO_DATA = "Table does not exist in snowflake", "Table has no data"
 NO_SOURCE_DATA = "Error while fetching data from SQL server, validation failed"
 NO_TARGET_DATA = "Error while fetching data from snowflake, validation failed"
+NO_KEYS = "Error while fetching Primary keys, validation on first few column order"
+NO_DETAIL = "Failed to enter in Error Summary table"
 NO_SCHEMA = "Error while comparing Datatypes"
 FAILED = "Data Comparison failed due to some error"
 
@@ -180,16 +182,25 @@ def validate_table(spark: SparkSession, table: Table, reports: str, run_id: str)
         target = open_table(table.read_target)
     except PySparkException:
         return report(NO_TARGET_DATA)
+    keys = table.keys
+    if not {k.upper() for k in keys} <= {c.upper() for c in source.columns}:
+        # Without a usable key the rows are compared by their whole content.
+        report(NO_KEYS)
+        keys = ()
+    pair = Pair(table.name, source, target, keys, table.types, table.exclude)
     try:
         _validate_schema(spark, table, reports, run_id)
-        pair = Pair(table.name, source, target, table.keys, table.types, table.exclude)
         report(MATCHED, data_report(pair))
-        if target is not None:
-            # The rows that differ are computed once and read for each kind of detail.
-            surplus = write_through(surplus_rows(*_normalized(pair), pair.exclude), "surplus")
-            append_report(differences(pair, surplus), reports, "data_detail", run_id)
     except (PySparkException, ValueError):
-        report(FAILED)
+        return report(FAILED)
+    if target is None:
+        return None
+    try:
+        # The rows that differ are computed once and read for each kind of detail.
+        surplus = write_through(surplus_rows(*_normalized(pair), pair.exclude), "surplus")
+        append_report(differences(pair, surplus), reports, "data_detail", run_id)
+    except PySparkException:
+        report(NO_DETAIL)
 
 
 def _validate_schema(spark: SparkSession, table: Table, reports: str, run_id: str) -> None:

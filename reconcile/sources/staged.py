@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reconcile.functions import LOAD_NULL_TOKENS, literal, null_tokens, quoted, well_formed_xml
 
 ROW = "_row"
 FILE = "_file"
+BLOCK = "_block"
 CORRUPT = "_corrupt_record"
 FIRST_BAD = "_first_bad"
 
@@ -50,7 +51,8 @@ def read_staged_csv(
     """Staged text columns in file order, the source file, and the raw record of misshapen rows.
 
     ``multi_line`` keeps quoted newlines together; without it large files can be split.
-    ``numbered`` is false for files from elsewhere, whose rows then get an id here.
+    ``numbered`` is false for files from elsewhere. Their rows get an id and the start of
+    the block they were read from, from which reports work out the row number in the file.
     """
     names = [ROW, *columns] if numbered else list(columns)
     schema = ", ".join(f"{quoted(c)} string" for c in [*names, CORRUPT])
@@ -64,10 +66,34 @@ def read_staged_csv(
         .option("multiLine", str(multi_line).lower())
         .csv(path)
     )
-    number = F.col(ROW).try_cast("bigint") if numbered else F.monotonically_increasing_id()
-    return rows.select(
-        F.col("_metadata.file_path").alias(FILE), number.alias(ROW), *map(quoted, columns), CORRUPT
+    file = F.col("_metadata.file_path").alias(FILE)
+    if numbered:
+        return rows.select(file, F.col(ROW).try_cast("bigint").alias(ROW), *map(quoted, columns), CORRUPT)
+    block = F.col("_metadata.file_block_start").alias(BLOCK)
+    return rows.select(file, block, F.monotonically_increasing_id().alias(ROW), *map(quoted, columns), CORRUPT)
+
+
+def with_file_rows(checked: DataFrame) -> DataFrame:
+    """The rows that were rejected, with their 1-based number in the file as row id.
+
+    A block is read in order by one task, so its row ids count on from its first one.
+    Only rejected rows are joined to the blocks.
+    """
+    blocks = _with_rows_before(
+        checked.groupBy(FILE, BLOCK).agg(F.count(F.lit(1)).alias("_rows"), F.min(ROW).alias("_first_id"))
     )
+    rows = checked.filter(F.col(FIRST_BAD).isNotNull()).join(blocks, [FILE, BLOCK])
+    return rows.withColumn(ROW, _line(F.col(ROW))).drop("_rows", "_first_id", "_before", BLOCK)
+
+
+def _with_rows_before(blocks: DataFrame) -> DataFrame:
+    """Blocks with the number of rows before them; a window over the blocks of one file."""
+    before = Window.partitionBy(FILE).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    return blocks.withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
+
+
+def _line(row_id: Column) -> Column:
+    return F.col("_before") + row_id - F.col("_first_id") + 1
 
 
 def check_rows(
@@ -143,14 +169,23 @@ def load_result(checked: DataFrame, types: Mapping[str, str]) -> DataFrame:
     """
     file = F.col(FILE) if FILE in checked.columns else F.lit(None).cast("string")
     bad = F.col(FIRST_BAD).isNotNull()
-    totals = checked.groupBy(file.alias("file")).agg(
+    counters = [
         F.count(F.lit(1)).alias("rows_parsed"),
         F.count_if(~bad).alias("rows_loaded"),
         F.count_if(bad).alias("errors_seen"),
         F.min(F.when(bad, F.col(ROW))).alias("first_error_line"),
         F.min_by(F.col(FIRST_BAD), F.when(bad, F.col(ROW))).alias("_first"),
+    ]
+    if BLOCK not in checked.columns:
+        return with_status(checked.groupBy(file.alias("file")).agg(*counters), types)
+    blocks = checked.groupBy(FILE, BLOCK).agg(*counters, F.count(F.lit(1)).alias("_rows"), F.min(ROW).alias("_first_id"))
+    line = _line(F.col("first_error_line"))
+    per_file = _with_rows_before(blocks).groupBy(F.col(FILE).alias("file")).agg(
+        *[F.sum(c).alias(c) for c in ("rows_parsed", "rows_loaded", "errors_seen")],
+        F.min(line).alias("first_error_line"),
+        F.min_by("_first", line).alias("_first"),
     )
-    return with_status(totals, types)
+    return with_status(per_file, types)
 
 
 def with_status(totals: DataFrame, types: Mapping[str, str]) -> DataFrame:

@@ -9,7 +9,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from reconcile.operators import audit, convert, history, testcases, typemap, xml
+from reconcile.operators import audit, convert, diff, history, testcases, typemap, xml
 from reconcile.operators.testcases import TestCase
 from reconcile.plans import migrate, reconcile, reports
 from reconcile.sources import staged
@@ -124,6 +124,33 @@ def test_misshapen_rows_are_rejected(spark, tmp_path, multi_line):
     assert result["file"].endswith("in.csv")
 
 
+def test_row_numbers_of_files_read_in_blocks(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    bad = {"a.csv": {7, 61, 200}, "b.csv": {1, 120}}
+    for name, lines in bad.items():
+        rows = [f"{'x' if i in lines else i},1.5,2024-01-01" for i in range(1, 201)]
+        (folder / name).write_text("id,price,day\n" + "\n".join(rows) + "\n")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        frame = staged.read_staged_csv(spark, str(folder), list(TYPES), numbered=False, multi_line=False)
+        checked = staged.check_rows(frame, TYPES)
+        assert frame.rdd.getNumPartitions() > 4
+        rejects = staged.reject_rows(staged.with_file_rows(checked), TYPES).collect()
+        result = staged.load_result(checked, TYPES).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    found = {}
+    for r in rejects:
+        found.setdefault(r["file"].rsplit("/", 1)[1], set()).add(r["row_number"])
+    assert found == bad
+    assert {r["file"].rsplit("/", 1)[1]: (r["rows_parsed"], r["errors_seen"], r["first_error_line"], r["first_error_column_name"])
+            for r in result} == {"a.csv": (200, 3, 7, "id"), "b.csv": (200, 2, 1, "id")}
+
+
 def test_migrate_under_audit(spark, tmp_path):
     root, run = str(tmp_path / "reports"), "run-1"
     source = spark.createDataFrame([("1", "1.5"), ("2", "x"), ("3", "NULL")], "id string, price string")
@@ -165,6 +192,31 @@ def test_load_creates_a_table(spark):
     spark.sql(f"DROP DATABASE `{target.database}_{target.schema}` CASCADE")
 
 
+def test_tables_bucketed_alike_are_compared_without_a_shuffle(spark):
+    database = "shop" + uuid.uuid4().hex[:6]
+    sides = [migrate.Target(database, side, "t", bucket_by=("k",), buckets=4) for side in ("a", "b")]
+    rows = spark.range(1000).selectExpr("id AS k", "concat('v', id % 7) AS v")
+    migrate.load(rows, sides[0])
+    migrate.load(rows.selectExpr("k", "CASE WHEN k = 5 THEN 'new' ELSE v END AS v"), sides[1])
+    source, target = (diff.normalize(migrate.read_back(spark, t, "LOADED")) for t in sides)
+    cells = diff.diff_cells(source, target, ["K"])
+    assert rows_of(cells) == [(5, "V", "v5", "new")]
+    assert "Exchange" not in cells._jdf.queryExecution().executedPlan().toString()
+    for t in sides:
+        spark.sql(f"DROP DATABASE `{t.database}_{t.schema}` CASCADE")
+
+
+def test_migrate_many_tables(spark, tmp_path):
+    jobs = [
+        migrate.Job(lambda n=n: spark.range(n).selectExpr("cast(id as string) id"), {"id": "int"},
+                    migrate.Target("shop", "dbo", f"t{n}", str(tmp_path / f"t{n}")))
+        for n in (3, 4)
+    ]
+    root = str(tmp_path / "reports")
+    assert migrate.migrate_scope(spark, jobs, root, "r") == {"t3": "LOADED", "t4": "LOADED"}
+    assert audit.audit_latest(reports.read_report(spark, root, "audit")).count() == 2
+
+
 def test_audit_running_table_has_no_end(spark):
     event = audit.audit_event(spark, "r", 1, ("d", "s", "t"), audit.IN_PROGRESS)
     state = audit.audit_latest(event).first()
@@ -291,13 +343,15 @@ def test_run_scope(spark, tmp_path):
         reconcile.Table("unreadable", lambda: spark.read.parquet(lost), lambda: target),
         reconcile.Table("no_target", lambda: source, lambda: target.select("nope")),
         reconcile.Table("narrow", lambda: source, lambda: target.drop("v")),
+        reconcile.Table("no_key", lambda: source, lambda: target, ["nope"]),
         reconcile.Table("broken", lambda: source.selectExpr("k / 0 AS k"), lambda: source.select("k")),
     ]
     root = str(tmp_path / "reports")
     reconcile.run_scope(spark, tables, root, "run-1", threads=4)
     verdicts = {r["table_name"]: (r["result_status"], r["source_record_count"], r["target_record_count"])
-                for r in reports.read_report(spark, root, "data_report").collect()}
+                for r in reports.read_report(spark, root, "data_report").orderBy("created_on").collect()}
     assert verdicts == {
+        "no_key": ("Not-Matched", 3, 4),
         "same": ("Matched", 3, 3),
         "changed": ("Not-Matched", 3, 4),
         "keyless": ("Not-Matched", 3, 4),
@@ -309,6 +363,9 @@ def test_run_scope(spark, tmp_path):
         "narrow": ("Data Comparison failed due to some error", None, None),
         "broken": ("Data Comparison failed due to some error", None, None),
     }
+    statuses = reports.read_report(spark, root, "data_report").filter("table_name = 'no_key'").select("result_status")
+    assert {r[0] for r in statuses.collect()} == {
+        "Not-Matched", "Error while fetching Primary keys, validation on first few column order"}
     detail = reports.read_report(spark, root, "data_detail")
     changed = detail.filter("table_name = 'changed'").select("row_key", "status", "column_name", "source_value", "target_value")
     assert rows_of(changed) == [("2", "changed", "v", "b", "c"), ("4", "extra_in_target", None, "0", "1")]
