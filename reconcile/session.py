@@ -9,8 +9,23 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def build_session(app: str = "reconcile", master: str | None = None, **conf: str) -> SparkSession:
-    """Session with the settings the jobs rely on; cluster settings win where given."""
+# Bytes that one shuffle partition should hold, so that it fits well into a task's memory.
+PARTITION_BYTES = 256 * 1024 * 1024
+
+# A shuffle has as many blocks as map tasks times partitions. Beyond this many of either,
+# larger tasks that spill are cheaper than ever smaller blocks.
+MOST_TASKS = 50_000
+
+
+def build_session(
+    app: str = "reconcile", master: str | None = None, data_bytes: int | None = None, **conf: str
+) -> SparkSession:
+    """Session with the settings the jobs rely on; settings given in ``conf`` win.
+
+    ``data_bytes`` is the size of the larger side of what is compared. It sizes the
+    shuffle: adaptive execution joins partitions that turn out small but splits none
+    of an aggregation, so there have to be enough of them from the start.
+    """
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
@@ -18,13 +33,27 @@ def build_session(app: str = "reconcile", master: str | None = None, **conf: str
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
-        **conf,
+        "spark.scheduler.mode": "FAIR",
     }
+    if data_bytes:
+        settings["spark.sql.shuffle.partitions"] = str(shuffle_partitions(data_bytes))
+        settings["spark.sql.files.maxPartitionBytes"] = str(split_bytes(data_bytes))
+    settings.update(conf)
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
 
+def shuffle_partitions(data_bytes: int) -> int:
+    """Partitions for a comparison that shuffles both sides of ``data_bytes`` each."""
+    return min(MOST_TASKS, max(200, -(-2 * data_bytes // PARTITION_BYTES)))
+
+
+def split_bytes(data_bytes: int) -> int:
+    """Bytes that one scan task reads, from Spark's default up to 1 GiB."""
+    return min(2**30, max(2**27, 2 * data_bytes // MOST_TASKS))
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new folder under the session's ``spark.checkpoint.dir``.
 
@@ -37,7 +66,19 @@ def scratch_path(spark: SparkSession, label: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder shared by the executors")
         root = tempfile.mkdtemp(prefix="reconcile-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return os.path.join(root, f"{label}-{uuid.uuid4().hex}")
+    return os.path.join(_own_folder(spark, root), f"{label}-{uuid.uuid4().hex}")
+
+
+def _own_folder(spark: SparkSession, root: str) -> str:
+    return os.path.join(root, f"reconcile-{spark.sparkContext.applicationId}")
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete what this application wrote to scratch. Frames read from there end with it."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark, root))
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def write_through(df: DataFrame, label: str) -> DataFrame:

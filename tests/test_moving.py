@@ -1,6 +1,7 @@
 """Conversion, staging, loading, history, audit, test cases and whole runs."""
 
 import datetime as dt
+import os
 import uuid
 from decimal import Decimal
 
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from reconcile.operators import audit, convert, diff, history, testcases, typemap, xml
 from reconcile.operators.testcases import TestCase
 from reconcile.plans import migrate, reconcile, reports
+from reconcile.session import clear_scratch, shuffle_partitions, split_bytes, write_through
 from reconcile.sources import staged
 
 
@@ -380,8 +382,18 @@ def test_row_counts_of_one_pair(spark):
     assert tuple(reconcile.row_counts([pair]).first()) == ("t", 3, 4, "Not-Matched")
 
 
-def test_scratch_needs_a_shared_folder(spark, tmp_path):
-    from reconcile.session import scratch_path
+def test_scratch_is_in_the_folder_the_session_names(spark):
+    root = spark.conf.get("spark.checkpoint.dir")
+    other = f"{root}/another-application"
+    spark.range(1).write.parquet(other)
+    frame = write_through(spark.range(3), "x")
+    assert frame.inputFiles()[0].removeprefix("file://").startswith(f"{root}/reconcile-") and frame.count() == 3
+    clear_scratch(spark)
+    assert not os.path.exists(f"{root}/reconcile-{spark.sparkContext.applicationId}")
+    assert spark.read.parquet(other).count() == 1
 
-    before = spark.conf.get("spark.checkpoint.dir")
-    assert scratch_path(spark, "x").startswith(before)
+
+def test_shuffle_partitions_grow_with_the_data():
+    sizes = (10**6, 10**12, 50 * 10**12)
+    assert [shuffle_partitions(n) for n in sizes] == [200, 7451, 50_000]
+    assert [split_bytes(n) for n in sizes] == [2**27, 2**27, 2**30]
