@@ -101,7 +101,7 @@ def data_report(pair: Pair) -> DataFrame:
     if pair.target is None:
         return row_counts([pair]).select(
             "table_name", "result_status", "source_record_count", "target_record_count",
-            F.lit(None).cast("bigint").alias("missing_rows"), F.lit(None).cast("bigint").alias("extra_rows"),
+            F.col("source_record_count").alias("missing_rows"), F.lit(0).cast("bigint").alias("extra_rows"),
         )
     totals = differing_totals(*_normalized(pair), pair.exclude)
     equal = (F.col("missing_rows") == 0) & (F.col("extra_rows") == 0)

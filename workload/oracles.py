@@ -109,7 +109,7 @@ _BAD = {c: f"({_FILLED.format(c)} AND {_NUMBER.format(c, t)} IS NULL)" for c, t
 _ANY_BAD = " OR ".join(_BAD.values())
 
 _GOOD = _with("raw_orders") + " SELECT " + ", ".join(
-    f"{_NUMBER.format(c, t)} AS {c}" for c, t in _LOADED.items()
+    f"CAST({_NUMBER.format(c, t)} AS {'VARCHAR' if t == 'DATE' else t}) AS {c}" for c, t in _LOADED.items()
 ) + f" FROM raw_orders WHERE NOT ({_ANY_BAD})"
 
 _REJECTS = _with("raw_orders") + " " + " UNION ALL ".join(
@@ -126,18 +126,16 @@ _FIRST_ERROR = "CASE " + " ".join(
 
 _LOAD_RESULT = _with("raw_orders") + f""",
 r AS (SELECT *, ({_ANY_BAD}) AS bad, {_FIRST} AS bad_column, {_FIRST_ERROR} AS error FROM raw_orders)
-SELECT CAST(NULL AS VARCHAR) AS file,
-       CASE WHEN count(*) FILTER (bad) = 0 THEN 'LOADED' WHEN count(*) FILTER (NOT bad) = 0 THEN 'LOAD_FAILED'
+SELECT CASE WHEN count(*) FILTER (bad) = 0 THEN 'LOADED' WHEN count(*) FILTER (NOT bad) = 0 THEN 'LOAD_FAILED'
             ELSE 'PARTIALLY_LOADED' END AS status,
        count(*) AS rows_parsed, count(*) FILTER (NOT bad) AS rows_loaded, count(*) AS error_limit,
        count(*) FILTER (bad) AS errors_seen,
        arg_min(error, _row) FILTER (bad) AS first_error, min(_row) FILTER (bad) AS first_error_line,
-       CAST(NULL AS BIGINT) AS first_error_character,
        arg_min(bad_column, _row) FILTER (bad) AS first_error_column_name
 FROM r"""
 
 _NORMALIZED = _with("spelled_orders") + """
-SELECT o_orderkey, nullif(nullif(status, ''), 'NULL') AS status, TRY_CAST(day AS DATE) AS day,
+SELECT o_orderkey, nullif(nullif(status, ''), 'NULL') AS status, CAST(TRY_CAST(day AS DATE) AS VARCHAR) AS day,
        CASE WHEN regexp_matches(split_part(clock, '.', 1), '^([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9]$')
             THEN split_part(clock, '.', 1) END AS clock,
        coalesce(CAST(TRY_CAST(price AS DECIMAL(18,4)) AS VARCHAR), price) AS price, CAST(flag AS INTEGER) AS flag
@@ -216,7 +214,7 @@ _REPORT = _ORDERS + f", tgt_lineitem AS ({planted_sql('tgt_lineitem')}) SELECT *
                (SELECT count(*) FROM {s}) AS source_record_count, (SELECT count(*) FROM {t}) AS target_record_count,
                {_left_over(s, t)} AS missing_rows, {_left_over(t, s)} AS extra_rows"""
     for n, s, t in (("orders", "s", "t"), *_PAIRS[1:])
-) + """ UNION ALL SELECT 'part', 'Table does not exist in snowflake', count(*), 0, NULL, NULL FROM part
+) + """ UNION ALL SELECT 'part', 'Table does not exist in snowflake', count(*), 0, count(*), 0 FROM part
     UNION ALL SELECT 'events', 'Table has no data', count(*), 0, count(*), 0 FROM events)"""
 
 
@@ -268,7 +266,7 @@ _TESTS = _with("tgt_orders") + " " + " UNION ALL ".join(
 )
 
 _ALL_ORDER = "o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority"
-_FROM, _AT, _END = "TIMESTAMP '2024-01-01 00:00:00'", "TIMESTAMP '2024-02-01 00:00:00'", "TIMESTAMP '9999-12-31 00:00:00'"
+_FROM, _AT, _END = "'2024-01-01 00:00:00'", "'2024-02-01 00:00:00'", "'9999-12-31 00:00:00'"
 _HISTORY = _ORDERS + f"""
 SELECT {_ALL_ORDER}, {_FROM} AS START_TIME, {_END} AS END_TIME, 'Y' AS ACTIVE FROM (SELECT * FROM s INTERSECT SELECT * FROM t)
 UNION ALL
@@ -317,7 +315,7 @@ ORACLES: dict[str, str] = {
         SELECT count(*) FILTER ("DDL_Migration_Analysis" = 'Success') AS pass_tables,
                count(*) FILTER ("DDL_Migration_Analysis" = 'Fail') AS failed_tables,
                count(*) FILTER ("DDL_Migration_Analysis" = 'Not-Found') AS not_found_tables FROM analysis""",
-    "map_types": _with("catalog") + f' SELECT * EXCLUDE (is_nullable, "default") FROM ({_MAPPED})',
+    "map_types": _with("catalog") + f' SELECT * EXCLUDE (is_nullable, "default", length, scale) FROM ({_MAPPED})',
     "fit_check": _FIT,
     "schema_mismatch": f"""{_SCHEMA} SELECT * FROM comparison
         WHERE COLUMN_COMPAR = 'False' OR COLUMN_AND_LEN_COMPAR = 'False'""",

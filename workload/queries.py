@@ -48,6 +48,11 @@ CASES = (
 )
 
 
+def _as_text(df: DataFrame, *columns: str) -> DataFrame:
+    """Dates, and the far end of history, as text: readers of results differ in what they hold."""
+    return df.withColumns({c: F.col(c).cast("string") for c in columns})
+
+
 def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     source, target = planted(spark, sf_dir, "src_orders"), planted(spark, sf_dir, "tgt_orders")
     return diff.normalize(source), diff.normalize(target)
@@ -86,7 +91,8 @@ def multiset_diff(spark, sf_dir):
 
 
 def normalize_rows(spark, sf_dir):
-    return diff.normalize(planted(spark, sf_dir, "spelled_orders"), SPELLED_TYPES)
+    rows = diff.normalize(planted(spark, sf_dir, "spelled_orders"), SPELLED_TYPES)
+    return _as_text(rows, "day")
 
 
 def row_counts(spark, sf_dir):
@@ -144,7 +150,8 @@ def analyze_totals(spark, sf_dir):
 
 
 def map_types(spark, sf_dir):
-    return typemap.map_types(planted(spark, sf_dir, "catalog").drop("is_nullable", "default"))
+    mapped = typemap.map_types(planted(spark, sf_dir, "catalog"))
+    return mapped.drop("is_nullable", "default", "length", "scale")
 
 
 def fit_check(spark, sf_dir):
@@ -180,7 +187,7 @@ def _checked(spark, sf_dir):
 
 
 def load_good(spark, sf_dir):
-    return staged.good_rows(_checked(spark, sf_dir), LOAD_TYPES)
+    return _as_text(staged.good_rows(_checked(spark, sf_dir), LOAD_TYPES), "o_orderdate")
 
 
 def load_rejects(spark, sf_dir):
@@ -188,7 +195,8 @@ def load_rejects(spark, sf_dir):
 
 
 def load_result(spark, sf_dir):
-    return staged.load_result(_checked(spark, sf_dir), LOAD_TYPES)
+    # The rows come from a table, so there is no file and no position in one.
+    return staged.load_result(_checked(spark, sf_dir), LOAD_TYPES).drop("file", "first_error_character")
 
 
 def staged_load(spark, sf_dir):
@@ -196,7 +204,7 @@ def staged_load(spark, sf_dir):
     path = os.path.join(scratch_path(spark, "staged"), "orders")
     staged.stage(planted(spark, sf_dir, "raw_orders").select(*LOAD_TYPES), path, "csv")
     raw = staged.read_staged_csv(spark, path, list(LOAD_TYPES))
-    return staged.good_rows(staged.check_rows(raw, LOAD_TYPES), LOAD_TYPES)
+    return _as_text(staged.good_rows(staged.check_rows(raw, LOAD_TYPES), LOAD_TYPES), "o_orderdate")
 
 
 def xml_validity(spark, sf_dir):
@@ -232,7 +240,8 @@ def audit_latest(spark, sf_dir):
 def history_apply(spark, sf_dir):
     start, at = (F.lit(t).cast("timestamp_ntz") for t in (HISTORY_FROM, HISTORY_AT))
     first = history.history_start(diff.normalize(planted(spark, sf_dir, "src_orders")), start)
-    return history.history_apply(first, diff.normalize(planted(spark, sf_dir, "tgt_orders")), at)
+    state = history.history_apply(first, diff.normalize(planted(spark, sf_dir, "tgt_orders")), at)
+    return _as_text(state, history.START, history.END)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
