@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from reconcile.functions import flag_to_int, null_tokens, quoted, scrub_carriage_returns, time_to_second
+from reconcile.functions import flag_to_int, null_tokens, quoted, scrub_carriage_returns
 
 
 def convert(df: DataFrame, source_types: Mapping[str, str], spark_types: Mapping[str, str] | None = None) -> DataFrame:
@@ -33,6 +33,4 @@ def _converted(field: T.StructField, source_type: str, spark_type: str | None) -
             value = scrub_carriage_returns(value)
     if source_type == "bit":
         return flag_to_int(value)
-    if source_type == "time":
-        return time_to_second(value)
     return f"try_cast({value} AS {spark_type})" if spark_type else value

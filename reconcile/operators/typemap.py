@@ -104,20 +104,33 @@ def spark_type(name: Column, length: Column, scale: Column) -> Column:
     return F.when(name == "decimal", digits).otherwise(name)
 
 
-def spark_types_of(catalog: DataFrame, *, database: str, schema: str, table: str) -> dict[str, str]:
-    """Spark types of one table by column name, in ordinal order.
+def column_types(catalog: DataFrame, database: str, schema: str, table: str) -> list[tuple[str, str, str, str]]:
+    """The columns of one table in order: name, declared type, type to load, type to check.
 
+    XML is loaded as text that must be well-formed. The type to check is narrower than the
+    type to load where the source's type is: sized text, and the unsigned ``tinyint``.
     Collects the columns of a single table, whose number the source system limits.
     """
     one = catalog.filter(
         (F.col("database") == database) & (F.col("schema") == schema) & (F.col("table") == table)
     )
-    rows = map_types(one).orderBy("ordinal").select("column", "spark_type").collect()
-    return {r["column"]: r["spark_type"] for r in rows}
+    kind, loaded = F.lower("data_type"), F.col("spark_type")
+    to_load = F.when(kind == "xml", "xml").otherwise(loaded)
+    sized = (F.col("target_type") == "VARCHAR") & (loaded == "string") & (F.col("length") > 0)
+    to_check = (
+        F.when(sized, F.concat(F.lit("varchar("), F.col("length").cast("string"), F.lit(")")))
+        .when(kind == "tinyint", UNSIGNED_TINYINT)
+        .otherwise(loaded)
+    )
+    rows = map_types(one).orderBy("ordinal").select("column", kind, to_load, to_check).collect()
+    return [tuple(r) for r in rows]
+
 
+UNSIGNED_TINYINT = "unsigned tinyint"
 
 # Smallest and largest value of the whole-number types.
 WHOLE_RANGES = {
+    UNSIGNED_TINYINT: (0, 255),
     "tinyint": (-128, 127),
     "smallint": (-32768, 32767),
     "int": (-2147483648, 2147483647),
@@ -130,7 +143,7 @@ def fits(value: str, dtype: T.DataType, declared: str) -> str:
 
     Numbers are tested against the range of the type; a cast that fails costs far more.
     """
-    name = declared.lower().replace(" ", "")
+    name = " ".join(declared.lower().split()).replace(", ", ",")
     is_float = isinstance(dtype, (T.FloatType, T.DoubleType))
     sized = re.fullmatch(r"n?(?:var)?char\((-?\d+)\)", name)
     if sized:
@@ -147,6 +160,8 @@ def fits(value: str, dtype: T.DataType, declared: str) -> str:
             above = f"({value} > {_number(low - 1, True)} OR {value} = {_number(low, True)})"
             return f"{above} AND {value} < {_number(high + 1, True)}"
         return f"{value} BETWEEN {_number(low, False)} AND {_number(high, False)}"
+    if name == UNSIGNED_TINYINT:
+        return f"coalesce(try_cast({value} AS smallint) BETWEEN 0 AND 255, false)"
     return f"try_cast({value} AS {name}) IS NOT NULL"
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterable, Mapping
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark import inheritable_thread_target
 from pyspark.errors import PySparkException
@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from reconcile.operators.audit import IN_PROGRESS, audit_event
+from reconcile.operators.convert import convert
+from reconcile.operators.typemap import column_types
 from reconcile.plans.reports import append_report
 from reconcile.sources.staged import (
     FIRST_BAD,
@@ -101,15 +103,17 @@ def migrate_table(
     target: Target,
     reports: str,
     run_id: str,
+    source_types: Mapping[str, str] | None = None,
 ) -> str:
     """Move one table under audit. A failure ends as an audit event, not as an exception.
 
     ``read`` gives the source rows; they get a row id here unless they were staged.
+    ``source_types`` are the declared types by column, by which rows are converted first.
     """
     table = (target.database, target.schema, target.table)
     _audit(spark, run_id, table, IN_PROGRESS, reports)
     try:
-        raw = read()
+        raw = convert(read(), source_types or {})
         if ROW not in raw.columns:
             raw = raw.select(F.monotonically_increasing_id().alias(ROW), "*")
         status = load_with_rejects(raw, types, target, reports, run_id)
@@ -121,11 +125,18 @@ def migrate_table(
 
 @dataclass(frozen=True)
 class Job:
-    """One table to move: how to read it, the types to load, and where it goes."""
+    """One table to move: how to read it, the types to load, where it goes, the declared types."""
 
     read: Callable[[], DataFrame]
     types: Mapping[str, str]
     target: Target
+    source_types: Mapping[str, str] = field(default_factory=dict)
+
+
+def job_of(catalog: DataFrame, read: Callable[[], DataFrame], target: Target) -> Job:
+    """The job that moves a table as the catalog declares it."""
+    columns = column_types(catalog, target.database, target.schema, target.table)
+    return Job(read, {c: t for c, _, t, _ in columns}, target, {c: s for c, s, _, _ in columns})
 
 
 def migrate_scope(
@@ -135,7 +146,9 @@ def migrate_scope(
 
     def one(job: Job) -> tuple[str, str]:
         spark.sparkContext.setLocalProperty("spark.scheduler.pool", job.target.table)
-        return job.target.table, migrate_table(spark, job.read, job.types, job.target, reports, run_id)
+        return job.target.table, migrate_table(
+            spark, job.read, job.types, job.target, reports, run_id, job.source_types
+        )
 
     with ThreadPoolExecutor(max_workers=threads) as pool:
         return dict(pool.map(inheritable_thread_target(spark)(one), list(jobs)))

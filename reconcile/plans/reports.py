@@ -10,6 +10,11 @@ from pyspark.sql import types as T
 
 
 SCHEMAS = {
+    "analysis": (
+        "run_id string, Database string, Schema string, `Table` string, DDL_Migration_Analysis string, "
+        "`Remark-Unsupported Datatypes` string, `Remark-Unsupported Default Values` string, "
+        "created_on timestamp, created_by string"
+    ),
     "schema_report": (
         "run_id string, source_dbms string, target_dbms string, table_name string, result_status string, "
         "created_on timestamp, created_by string"

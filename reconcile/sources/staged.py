@@ -6,8 +6,10 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from reconcile.functions import LOAD_NULL_TOKENS, literal, null_tokens, quoted, well_formed_xml
+from reconcile.operators.typemap import fits
 
 ROW = "_row"
 FILE = "_file"
@@ -105,42 +107,52 @@ def check_rows(
     """Raw rows with the position of the first column that does not convert.
 
     ``types`` maps columns to Spark types, or to ``xml`` for text that must be well-formed.
-    Position 0 means a misshapen row, NULL a good
-    one. Typed columns are added by ``good_rows``; the raw text stays for the rejects.
+    Position 0 means a misshapen row, NULL a good one. The raw columns stay, for the
+    rejects; ``good_rows`` gives the typed ones.
     """
+    dtypes = _dtypes(raw)
     tests = [f"CASE WHEN {CORRUPT} IS NOT NULL THEN 0 END"] if CORRUPT in raw.columns else []
-    tests += [f"CASE WHEN {_is_bad(c, t, tokens)} THEN {i} END" for i, (c, t) in enumerate(types.items(), start=1)]
+    for i, (column, spark_type) in enumerate(types.items(), start=1):
+        tests.append(f"CASE WHEN {_is_bad(column, dtypes[column], spark_type, tokens)} THEN {i} END")
     return raw.withColumn(FIRST_BAD, F.expr(f"coalesce({', '.join(tests)})"))
 
 
-def _text(column: str, tokens: Sequence[str]) -> str:
-    return null_tokens(f"CAST({quoted(column)} AS string)", tokens)
+def _dtypes(df: DataFrame) -> dict[str, T.DataType]:
+    return {f.name: f.dataType for f in df.schema.fields}
 
 
-def _is_bad(column: str, spark_type: str, tokens: Sequence[str]) -> str:
-    text = _text(column, tokens)
+def _value(column: str, dtype: T.DataType, tokens: Sequence[str]) -> str:
+    return null_tokens(quoted(column), tokens) if isinstance(dtype, T.StringType) else quoted(column)
+
+
+def _is_bad(column: str, dtype: T.DataType, spark_type: str, tokens: Sequence[str]) -> str:
+    value = _value(column, dtype, tokens)
+    if dtype.simpleString() == spark_type:
+        return "false"
     if spark_type == XML:
-        return f"NOT {well_formed_xml(text)}"
-    return f"({text} IS NOT NULL AND try_cast({text} AS {spark_type}) IS NULL)"
+        return f"NOT {well_formed_xml(value)}"
+    return f"({value} IS NOT NULL AND NOT ({fits(value, dtype, spark_type)}))"
 
 
-def _typed(column: str, spark_type: str, tokens: Sequence[str]) -> str:
-    text = _text(column, tokens)
-    return text if spark_type == XML else f"try_cast({text} AS {spark_type})"
+def _typed(column: str, dtype: T.DataType, spark_type: str, tokens: Sequence[str]) -> str:
+    value = _value(column, dtype, tokens)
+    return value if spark_type in (XML, dtype.simpleString()) else f"try_cast({value} AS {spark_type})"
 
 
 def good_rows(checked: DataFrame, types: Mapping[str, str], *, tokens: Sequence[str] = LOAD_NULL_TOKENS) -> DataFrame:
     """The rows that convert, in their types."""
-    typed = [f"{_typed(c, t, tokens)} AS {quoted(c)}" for c, t in types.items()]
+    dtypes = _dtypes(checked)
+    typed = [f"{_typed(c, dtypes[c], t, tokens)} AS {quoted(c)}" for c, t in types.items()]
     return checked.filter(F.col(FIRST_BAD).isNull()).selectExpr(*typed)
 
 
 def reject_rows(checked: DataFrame, types: Mapping[str, str], *, tokens: Sequence[str] = LOAD_NULL_TOKENS) -> DataFrame:
     """One row per cell that does not convert, and one per misshapen row."""
     record = "to_csv(struct(" + ", ".join(f"CAST({quoted(c)} AS string) AS {quoted(c)}" for c in types) + "))"
+    dtypes = _dtypes(checked)
     cells = [
         f"named_struct('column_name', {literal(c)}, 'category', {literal(CONVERSION)}, "
-        f"'error', {literal(conversion_error(c, t))}, 'bad', {_is_bad(c, t, tokens)})"
+        f"'error', {literal(conversion_error(c, t))}, 'bad', {_is_bad(c, dtypes[c], t, tokens)})"
         for c, t in types.items()
     ]
     errors = f"filter(array({', '.join(cells)}), cell -> cell.bad)"

@@ -72,10 +72,15 @@ def test_own_type_map(spark):
     assert (mapped["rendered_type"], mapped["spark_type"]) == ("NUMBER(12,3)", "decimal(12,3)")
 
 
-def test_spark_types_of_one_table(spark):
-    rows = [column("t", 2, "decimal", 9, 2), column("t", 1, "int", 10, 0), column("u", 1, "date", 0)]
-    types = typemap.spark_types_of(spark.createDataFrame(rows, CATALOG), database="shop", schema="dbo", table="t")
-    assert list(types.items()) == [("c1", "int"), ("c2", "decimal(9,2)")]
+def test_types_of_one_table(spark):
+    rows = [column("t", 2, "decimal", 9, 2), column("t", 1, "INT", 10, 0), column("u", 1, "date", 0),
+            column("t", 3, "xml", -1), column("t", 4, "tinyint", 3, 0), column("t", 5, "nvarchar", 20),
+            column("t", 6, "nvarchar", -1), column("t", 7, "varbinary", 8)]
+    assert typemap.column_types(spark.createDataFrame(rows, CATALOG), "shop", "dbo", "t") == [
+        ("c1", "int", "int", "int"), ("c2", "decimal", "decimal(9,2)", "decimal(9,2)"), ("c3", "xml", "xml", "string"),
+        ("c4", "tinyint", "smallint", "unsigned tinyint"), ("c5", "nvarchar", "string", "varchar(20)"),
+        ("c6", "nvarchar", "string", "string"), ("c7", "varbinary", "binary", "binary"),
+    ]
 
 
 def analysis_of(spark, *rows, scope=("t",)):
@@ -224,6 +229,8 @@ def test_profile(spark):
         ([99999.99, 99999.994, 99999.995, -100000.0], "v double", "decimal(7,2)", 2),
         ([1, 100000], "v int", "decimal(7, 2)", 1),
         (["1", "x", "1.5"], "v string", "int", 2),
+        (["0", "255", "256", "-1", "x"], "v string", "unsigned tinyint", 3),
+        ([0, 255, 256, -1], "v int", "Unsigned  TinyInt", 2),
         (["1.234", "99999", "1e5"], "v string", "decimal(7,2)", 1),
         (["2024-01-01", "2024-13-01"], "v string", "date", 1),
     ],
@@ -231,7 +238,7 @@ def test_profile(spark):
 def test_fit(spark, values, schema_text, declared, misfits):
     df = spark.createDataFrame([(v,) for v in values], schema_text)
     assert typemap.fit_check(df, {"v": declared}).first()["misfits"] == misfits
-    if "char" not in declared:
+    if "char" not in declared and "unsigned" not in declared.lower():
         col = F.nullif("v", F.lit("NULL")) if "string" in schema_text else F.col("v")
         failing = df.filter(col.isNotNull() & (col.cast("string") != "") & col.try_cast(declared).isNull())
         assert failing.count() == misfits

@@ -10,7 +10,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from reconcile.operators import audit, convert, diff, history, testcases, typemap, xml
+from reconcile.operators import analyze, audit, convert, diff, history, testcases, typemap, xml
 from reconcile.operators.testcases import TestCase
 from reconcile.plans import migrate, reconcile, reports
 from reconcile.session import clear_scratch, shuffle_partitions, split_bytes, write_through
@@ -23,13 +23,13 @@ def rows_of(df):
 
 def test_convert(spark):
     df = spark.createDataFrame(
-        [(1, True, "a&#x0D;b", "x&#x0D;", "09:10:11.99", "12.345", "NULL"), (2, None, None, "", "25:00:00", "x", "ok")],
-        "k int, f boolean, doc string, plain string, t string, n string, s string",
+        [(1, True, "a&#x0D;b", "x&#x0D;", "12.345", "NULL"), (2, None, None, "", "x", "ok")],
+        "k int, f boolean, doc string, plain string, n string, s string",
     )
-    types = {"f": "bit", "doc": "XML", "t": "time", "n": "decimal"}
+    types = {"f": "bit", "doc": "XML", "n": "decimal"}
     assert rows_of(convert.convert(df, types, {"n": "decimal(10,2)"})) == [
-        (1, 1, "a b", "x&#x0D;", "09:10:11", Decimal("12.35"), None),
-        (2, None, None, None, None, None, "ok"),
+        (1, 1, "a b", "x&#x0D;", Decimal("12.35"), None),
+        (2, None, None, None, None, "ok"),
     ]
 
 
@@ -178,6 +178,46 @@ def test_migrate_under_audit(spark, tmp_path):
     assert reports.read_report(spark, root, "audit").count() == 4
 
 
+def test_typed_columns_are_loaded_as_they_are(spark):
+    rows = spark.createDataFrame(
+        [(0, bytearray(b"\xff\x00"), 300, 1.5, dt.datetime(2024, 1, 1), True), (1, None, 5, -1e30, None, False)],
+        "_row bigint, b binary, n bigint, d double, t timestamp_ntz, f boolean",
+    )
+    types = {"b": "binary", "n": "tinyint", "d": "decimal(9,2)", "t": "timestamp_ntz", "f": "int"}
+    checked = staged.check_rows(rows, types)
+    assert sorted(r["column_name"] for r in staged.reject_rows(checked, types).collect()) == ["d", "n"]
+    wide = {**types, "n": "bigint", "d": "double"}
+    assert staged.good_rows(staged.check_rows(rows, wide), wide).collect()[0] == (
+        bytearray(b"\xff\x00"), 300, 1.5, dt.datetime(2024, 1, 1), 1)
+
+
+def test_migrate_as_the_catalog_says(spark, tmp_path):
+    catalog = spark.createDataFrame(
+        [("shop", "dbo", "t", i, c, t, n, "NULL", None, s)
+         for i, (c, t, n, s) in enumerate([("id", "int", 10, 0), ("ok", "bit", None, None), ("doc", "xml", -1, None)], 1)],
+        "database string, schema string, table string, ordinal int, column string, data_type string, length int, "
+        "is_nullable string, default string, scale int")
+    source = spark.createDataFrame([(1, True, "<a>&#x0D;</a>"), (2, False, "<a>"), (3, None, None)], "id int, ok boolean, doc string")
+    job = migrate.job_of(catalog, lambda: source, migrate.Target("shop", "dbo", "t", str(tmp_path / "t")))
+    root = str(tmp_path / "reports")
+    assert migrate.migrate_scope(spark, [job], root, "r") == {"t": "PARTIALLY_LOADED"}
+    assert rows_of(spark.read.parquet(job.target.path)) == [(1, 1, "<a> </a>"), (3, None, None)]
+    assert reports.read_report(spark, root, "rejects").first()["column_name"] == "doc"
+
+
+def test_reports_take_results_as_they_are(spark, sides, tmp_path):
+    root = str(tmp_path / "reports")
+    results = testcases.run_test_cases(spark, [TestCase("t", "ROW_COUNT")], *sides)
+    reports.append_report(results, root, "test_results", "r1")
+    assert reports.read_report(spark, root, "test_results").first()["status"] == "PASS"
+    scope = spark.createDataFrame([("shop", "dbo", "gone")], "database string, schema string, table string")
+    catalog = spark.createDataFrame([], "database string, schema string, table string, ordinal int, column string, "
+                                        "data_type string, length int, is_nullable string, default string, scale int")
+    reports.append_report(analyze.analyze(scope, catalog), root, "analysis", "r1")
+    row = reports.read_report(spark, root, "analysis").first()
+    assert (row["Table"], row["DDL_Migration_Analysis"], row["run_id"]) == ("gone", "Not-Found", "r1")
+
+
 def test_migrate_again_replaces_the_target(spark, tmp_path):
     target, root = migrate.Target("shop", "dbo", "t", str(tmp_path / "t")), str(tmp_path / "reports")
     for n in (5, 3):
