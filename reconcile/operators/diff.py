@@ -97,18 +97,26 @@ def _as(field: T.StructField, dtype: T.DataType, name: str) -> str:
 def _common_type(a: T.DataType, b: T.DataType) -> T.DataType:
     if a == b:
         return a
+    if isinstance(a, T.IntegralType) and isinstance(b, T.IntegralType):
+        return T.LongType()
     if isinstance(a, T.NumericType) and isinstance(b, T.NumericType):
-        if isinstance(a, T.FractionalType) and not isinstance(a, T.DecimalType):
+        if any(isinstance(t, (T.FloatType, T.DoubleType)) for t in (a, b)):
             return T.DoubleType()
-        if isinstance(b, T.FractionalType) and not isinstance(b, T.DecimalType):
-            return T.DoubleType()
-        scale = max(a.scale if isinstance(a, T.DecimalType) else 0, b.scale if isinstance(b, T.DecimalType) else 0)
-        return T.DecimalType(38, scale)
+        (whole_a, scale_a), (whole_b, scale_b) = _digits(a), _digits(b)
+        scale = max(scale_a, scale_b)
+        return T.DecimalType(min(38, max(whole_a, whole_b) + scale), scale)
     if {type(a), type(b)} == {T.DateType, T.TimestampNTZType}:
         return T.TimestampNTZType()
     return T.StringType()
 
 
+def _digits(dtype: T.DataType) -> tuple[int, int]:
+    """Digits before and after the point; whole numbers have up to 19."""
+    if isinstance(dtype, T.DecimalType):
+        return dtype.precision - dtype.scale, dtype.scale
+    return 19, 0
+
+
 def signed_rows(source: DataFrame, target: DataFrame, exclude: Sequence[str] = ()) -> DataFrame:
     """Every distinct row of both sides with its number of copies on each."""
     left, right = aligned(source, target, exclude)
@@ -150,6 +158,9 @@ def pair_by_key(surplus: DataFrame, keys: Sequence[str]) -> DataFrame:
     rows themselves are all in ``diff_multiset``.
     """
     keys = _actual(surplus, keys)
+    taken = {"status", "missing_rows", "extra_rows", "source_row", "target_row", "column_name"} & set(keys)
+    if taken:
+        raise ValueError(f"rename key columns {sorted(taken)}, which the result uses itself")
     missing = F.col(SOURCE_COPIES) - F.col(TARGET_COPIES)
     values = [c for c in surplus.columns if c not in (*keys, SOURCE_COPIES, TARGET_COPIES)]
     # A table of key columns only has one cell to compare, which is always equal.

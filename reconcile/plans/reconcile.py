@@ -22,6 +22,7 @@ from reconcile.operators.diff import (
     key_text,
     normalize,
     surplus_rows,
+    with_ordinals,
 )
 from reconcile.operators.frames import union_all
 from reconcile.operators.schema import compare_schema, schema_mismatches, schema_verdicts
@@ -39,9 +40,15 @@ NO_SCHEMA = "Error while comparing Datatypes"
 FAILED = "Data Comparison failed due to some error"
 
 
+ROW_NUMBER = "row_number"
+
+
 @dataclass(frozen=True)
 class Pair:
-    """A source table, its target (None if there is none), the key, and target types by column."""
+    """A source table, its target (None if there is none), the key, and target types by column.
+
+    ``order_by`` is a total order; with it rows are compared by position instead of by key.
+    """
 
     name: str
     source: DataFrame
@@ -49,6 +56,14 @@ class Pair:
     keys: Sequence[str] = ()
     types: dict[str, str] | None = None
     exclude: Sequence[str] = ()
+    order_by: Sequence[str] = ()
+
+    def sides(self) -> tuple[DataFrame, DataFrame]:
+        """Both sides as they are compared."""
+        source, target = normalize(self.source, self.types), normalize(self.target, self.types)
+        if self.order_by:
+            return with_ordinals(source, self.order_by, ROW_NUMBER), with_ordinals(target, self.order_by, ROW_NUMBER)
+        return source, target
 
 
 def open_table(read: Callable[[], DataFrame]) -> DataFrame | None:
@@ -103,7 +118,7 @@ def data_report(pair: Pair) -> DataFrame:
             "table_name", "result_status", "source_record_count", "target_record_count",
             F.col("source_record_count").alias("missing_rows"), F.lit(0).cast("bigint").alias("extra_rows"),
         )
-    totals = differing_totals(*_normalized(pair), pair.exclude)
+    totals = differing_totals(*pair.sides(), pair.exclude)
     equal = (F.col("missing_rows") == 0) & (F.col("extra_rows") == 0)
     status = (
         F.when((F.col("target_record_count") == 0) & (F.col("source_record_count") > 0), NO_DATA)
@@ -116,10 +131,6 @@ def data_report(pair: Pair) -> DataFrame:
     )
 
 
-def _normalized(pair: Pair) -> tuple[DataFrame, DataFrame]:
-    return normalize(pair.source, pair.types), normalize(pair.target, pair.types)
-
-
 def reconcile(pairs: Iterable[Pair]) -> DataFrame:
     """The data report of all pairs as one frame. For long scopes use ``run_scope``."""
     return union_all([data_report(p) for p in pairs])
@@ -162,6 +173,7 @@ class Table:
     keys: Sequence[str] = ()
     types: dict[str, str] | None = None
     exclude: Sequence[str] = ()
+    order_by: Sequence[str] = ()
     expected: DataFrame | None = None
     actual: DataFrame | None = None
 
@@ -187,22 +199,31 @@ def validate_table(spark: SparkSession, table: Table, reports: str, run_id: str)
         # Without a usable key the rows are compared by their whole content.
         report(NO_KEYS)
         keys = ()
-    pair = Pair(table.name, source, target, keys, table.types, table.exclude)
+    if table.order_by:
+        keys = (ROW_NUMBER,)
+    pair = Pair(table.name, source, target, keys, table.types, table.exclude, table.order_by)
     try:
         _validate_schema(spark, table, reports, run_id)
-        report(MATCHED, data_report(pair))
+        if target is None:
+            return report(NO_TABLE, row_counts([pair]))
+        # The one job over all rows. Verdict and details are read from the rows that differ.
+        surplus = write_through(surplus_rows(*pair.sides(), pair.exclude), "surplus")
+        report(MATCHED, _verdict(pair, surplus))
     except (PySparkException, ValueError):
         return report(FAILED)
-    if target is None:
-        return None
     try:
-        # The rows that differ are computed once and read for each kind of detail.
-        surplus = write_through(surplus_rows(*_normalized(pair), pair.exclude), "surplus")
         append_report(differences(pair, surplus), reports, "data_detail", run_id)
-    except PySparkException:
+    except (PySparkException, ValueError):
         report(NO_DETAIL)
 
 
+def _verdict(pair: Pair, surplus: DataFrame) -> DataFrame:
+    """The data report of a pair whose differing rows are known."""
+    counts = row_counts([pair])
+    status = F.when(F.col("result_status") == NO_DATA, NO_DATA).otherwise(MATCHED if surplus.isEmpty() else NOT_MATCHED)
+    return counts.withColumn("result_status", status)
+
+
 def _validate_schema(spark: SparkSession, table: Table, reports: str, run_id: str) -> None:
     if table.expected is None or table.actual is None:
         return

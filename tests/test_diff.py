@@ -69,6 +69,33 @@ def test_names_match_in_any_case_and_types_are_brought_together(spark):
     assert cells.columns[0] == "k" and rows_of(cells) == [(Decimal(2), "v", "2.0000", "2.0001")]
 
 
+@pytest.mark.parametrize(
+    ("left", "right", "equal"),
+    [
+        ("1", "CAST(1 AS bigint)", True),
+        ("CAST(1 AS tinyint)", "1.00", True),
+        ("CAST(12345678901234567890 AS decimal(38,0))", "CAST(12345678901234567890.5 AS decimal(22,1))", False),
+        ("CAST(9223372036854775807 AS bigint)", "CAST(9223372036854775806 AS decimal(20,0))", False),
+        ("CAST(0.5 AS float)", "CAST(0.5 AS double)", True),
+        ("1.5", "CAST(1.5 AS double)", True),
+        ("date'2024-01-01'", "timestamp_ntz'2024-01-01 00:00:00'", True),
+        ("date'2024-01-01'", "timestamp_ntz'2024-01-01 00:00:01'", False),
+        ("CAST('NaN' AS double)", "CAST('NaN' AS double)", True),
+        ("CAST(0.0 AS double)", "CAST(-0.0 AS double)", True),
+        ("X'00ff'", "X'00FF'", True),
+    ],
+)
+def test_values_of_two_types(spark, left, right, equal):
+    sides = [spark.sql(f"SELECT 1 AS k, {value} AS v") for value in (left, right)]
+    assert diff.diff_cells(*sides, ["k"]).count() == (0 if equal else 1)
+
+
+def test_key_names_the_result_uses_itself(spark):
+    df = spark.createDataFrame([("a", 1)], "status string, v int")
+    with pytest.raises(ValueError, match="rename"):
+        diff.diff_cells(df, df, ["STATUS"])
+
+
 def test_missing_column_is_an_error(spark):
     with pytest.raises(ValueError, match="no column b"):
         diff.surplus_rows(frame(spark, [(1, "x", 1.0)]), frame(spark, [(1, "x")], "k int, a string"))

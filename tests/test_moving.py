@@ -386,6 +386,7 @@ def test_run_scope(spark, tmp_path):
         reconcile.Table("no_target", lambda: source, lambda: target.select("nope")),
         reconcile.Table("narrow", lambda: source, lambda: target.drop("v")),
         reconcile.Table("no_key", lambda: source, lambda: target, ["nope"]),
+        reconcile.Table("by_position", lambda: source, lambda: source.selectExpr("k", "if(k = 2, 'x', v) AS v"), order_by=["k"]),
         reconcile.Table("broken", lambda: source.selectExpr("k / 0 AS k"), lambda: source.select("k")),
     ]
     root = str(tmp_path / "reports")
@@ -394,6 +395,7 @@ def test_run_scope(spark, tmp_path):
                 for r in reports.read_report(spark, root, "data_report").orderBy("created_on").collect()}
     assert verdicts == {
         "no_key": ("Not-Matched", 3, 4),
+        "by_position": ("Not-Matched", 3, 3),
         "same": ("Matched", 3, 3),
         "changed": ("Not-Matched", 3, 4),
         "keyless": ("Not-Matched", 3, 4),
@@ -411,6 +413,8 @@ def test_run_scope(spark, tmp_path):
     detail = reports.read_report(spark, root, "data_detail")
     changed = detail.filter("table_name = 'changed'").select("row_key", "status", "column_name", "source_value", "target_value")
     assert rows_of(changed) == [("2", "changed", "v", "b", "c"), ("4", "extra_in_target", None, "0", "1")]
+    moved = detail.filter("table_name = 'by_position'").select("row_key", "status", "column_name", "source_value", "target_value")
+    assert rows_of(moved) == [("2", "changed", "v", "b", "x")]
     assert detail.filter("table_name = 'keyless'").count() == 3
     assert detail.filter("table_name in ('same', 'both_empty')").count() == 0
     assert reports.read_report(spark, root, "schema_report").first()["result_status"] == "Not-valid"
