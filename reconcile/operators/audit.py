@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,18 +26,11 @@ def audit_event(
     return row.withColumn("event_time", F.current_timestamp()).withColumn("created_by", F.current_user())
 
 
-def latest(events: DataFrame, keys: Sequence[str], sequence: str, columns: Sequence[str]) -> DataFrame:
-    """The last event per key. Events are combined in each task before the shuffle."""
-    last = F.max_by(F.struct(*[F.col(f"`{c}`") for c in columns]), F.col(f"`{sequence}`"))
-    return (
-        events.groupBy(*[f"`{k}`" for k in keys])
-        .agg(F.max(f"`{sequence}`").alias(sequence), F.count(F.lit(1)).alias("events"), last.alias("_last"))
-        .select(*[f"`{k}`" for k in keys], f"`{sequence}`", "events", "_last.*")
-    )
-
-
 def audit_latest(events: DataFrame) -> DataFrame:
-    """Current status per run and table, with the times of its first and last event."""
+    """Current status per run and table, with the times of its first and last event.
+
+    Events are combined in each task before the shuffle, so a long run is no burden.
+    """
     last = F.max_by(F.struct("source_dbms", "target_dbms", "status", F.col("created_by").alias("updated_by")), "event_seq")
     state = events.groupBy(*AUDIT_KEY).agg(
         F.min("event_time").alias("start_time"),

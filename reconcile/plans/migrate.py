@@ -16,6 +16,7 @@ from reconcile.operators.audit import IN_PROGRESS, audit_event
 from reconcile.operators.convert import convert
 from reconcile.operators.typemap import column_types
 from reconcile.plans.reports import append_report
+from reconcile.session import write_through
 from reconcile.sources.staged import (
     FIRST_BAD,
     LOAD_FAILED,
@@ -104,11 +105,15 @@ def migrate_table(
     reports: str,
     run_id: str,
     source_types: Mapping[str, str] | None = None,
+    staged: bool = False,
 ) -> str:
     """Move one table under audit. A failure ends as an audit event, not as an exception.
 
     ``read`` gives the source rows; they get a row id here unless they were staged.
     ``source_types`` are the declared types by column, by which rows are converted first.
+    With ``staged`` the rows are written to scratch first. Do so for a source that gives
+    its rows in another order each time, such as a database, so that the rejects, which
+    need a second read, are those that were counted; it then is read only once.
     """
     table = (target.database, target.schema, target.table)
     _audit(spark, run_id, table, IN_PROGRESS, reports)
@@ -116,6 +121,8 @@ def migrate_table(
         raw = convert(read(), source_types or {})
         if ROW not in raw.columns:
             raw = raw.select(F.monotonically_increasing_id().alias(ROW), "*")
+        if staged:
+            raw = write_through(raw, "staged")
         status = load_with_rejects(raw, types, target, reports, run_id)
     except PySparkException as error:
         status = f"Table not created due to {error.getCondition() or type(error).__name__}"
@@ -131,12 +138,13 @@ class Job:
     types: Mapping[str, str]
     target: Target
     source_types: Mapping[str, str] = field(default_factory=dict)
+    staged: bool = False
 
 
-def job_of(catalog: DataFrame, read: Callable[[], DataFrame], target: Target) -> Job:
+def job_of(catalog: DataFrame, read: Callable[[], DataFrame], target: Target, staged: bool = False) -> Job:
     """The job that moves a table as the catalog declares it."""
     columns = column_types(catalog, target.database, target.schema, target.table)
-    return Job(read, {c: t for c, _, t, _ in columns}, target, {c: s for c, s, _, _ in columns})
+    return Job(read, {c: t for c, _, t, _ in columns}, target, {c: s for c, s, _, _ in columns}, staged)
 
 
 def migrate_scope(
@@ -147,7 +155,7 @@ def migrate_scope(
     def one(job: Job) -> tuple[str, str]:
         spark.sparkContext.setLocalProperty("spark.scheduler.pool", job.target.table)
         return job.target.table, migrate_table(
-            spark, job.read, job.types, job.target, reports, run_id, job.source_types
+            spark, job.read, job.types, job.target, reports, run_id, job.source_types, job.staged
         )
 
     with ThreadPoolExecutor(max_workers=threads) as pool:

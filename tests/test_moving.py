@@ -198,7 +198,7 @@ def test_migrate_as_the_catalog_says(spark, tmp_path):
         "database string, schema string, table string, ordinal int, column string, data_type string, length int, "
         "is_nullable string, default string, scale int")
     source = spark.createDataFrame([(1, True, "<a>&#x0D;</a>"), (2, False, "<a>"), (3, None, None)], "id int, ok boolean, doc string")
-    job = migrate.job_of(catalog, lambda: source, migrate.Target("shop", "dbo", "t", str(tmp_path / "t")))
+    job = migrate.job_of(catalog, lambda: source, migrate.Target("shop", "dbo", "t", str(tmp_path / "t")), staged=True)
     root = str(tmp_path / "reports")
     assert migrate.migrate_scope(spark, [job], root, "r") == {"t": "PARTIALLY_LOADED"}
     assert rows_of(spark.read.parquet(job.target.path)) == [(1, 1, "<a> </a>"), (3, None, None)]

@@ -345,7 +345,12 @@ ORACLES: dict[str, str] = {
                coalesce(string_agg(h.keyword, ', ' ORDER BY h.keyword), '') AS remark
         FROM documents d LEFT JOIN h ON d.doc_id = h.doc_id GROUP BY d.doc_id""",
     "test_case_results": _TESTS,
-    "audit_latest": """SELECT user_id, max(event_id) AS event_id, count(*) AS events,
-        arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY user_id""",
+    "audit_latest": _with("audit") + """
+        SELECT run_id, database_name, schema_name, table_name, arg_max(source_dbms, event_seq) AS source_dbms,
+               arg_max(target_dbms, event_seq) AS target_dbms, arg_max(status, event_seq) AS status,
+               CAST(min(event_time) AS VARCHAR) AS start_time,
+               CASE WHEN arg_max(status, event_seq) <> 'IN PROGRESS' THEN CAST(max(event_time) AS VARCHAR) END AS end_time,
+               arg_min(created_by, event_seq) AS created_by, arg_max(created_by, event_seq) AS updated_by
+        FROM audit GROUP BY run_id, database_name, schema_name, table_name""",
     "history_apply": _HISTORY,
 }

@@ -135,6 +135,13 @@ PLANTED = {
                'shop' AS database, 'dbo' AS schema, 't' || CAST(c.no AS VARCHAR(20)) AS "table",
                'c' || CAST(c.p_partkey AS VARCHAR(20)) AS "column", CAST(8 - c.at AS INT) AS ordinal
         FROM (SELECT p_partkey, p_partkey % 8 AS at, CAST((p_partkey - p_partkey % 8) / 8 AS BIGINT) AS no FROM {part}) c""",
+    # Audit events: a user is a run, an event type a table.
+    "audit": """
+        SELECT CAST(user_id AS VARCHAR(20)) AS run_id, event_id AS event_seq, 'SQL_SERVER' AS source_dbms,
+               'SNOWFLAKE' AS target_dbms, 'shop' AS database_name, 'dbo' AS schema_name, event_type AS table_name,
+               CASE WHEN value < 20 THEN 'IN PROGRESS' WHEN value < 100 THEN 'LOADED' ELSE 'LOAD_FAILED' END AS status,
+               ts AS event_time, 'u' || CAST(event_id % 7 AS VARCHAR(20)) AS created_by
+        FROM {events}""",
 }
 
 TABLES = (

@@ -234,7 +234,7 @@ def test_case_results(spark, sf_dir):
 
 
 def audit_latest(spark, sf_dir):
-    return audit.latest(table(spark, sf_dir, "events"), ["user_id"], "event_id", ["event_type", "value"])
+    return _as_text(audit.audit_latest(planted(spark, sf_dir, "audit")), "start_time", "end_time")
 
 
 def history_apply(spark, sf_dir):
