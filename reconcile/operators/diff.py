@@ -240,14 +240,21 @@ def key_text(keys: Sequence[str]) -> Column:
 def with_ordinals(df: DataFrame, order_by: Sequence[str] = (), name: str = "row_number") -> DataFrame:
     """Number the rows from 1 without putting them all into one task.
 
-    Rows are range-partitioned and sorted by ``order_by``, which must be a total order;
+    Rows are range-partitioned and sorted by ``order_by``, which should be a total order;
     without it the order the frame already has is kept. The placed rows are written to
     scratch because both the count per partition and the numbering must see one and the
     same placement, also after an executor was lost.
+
+    Rows that tie are ordered by a hash of their content, and copies of one row by an id.
+    So no value, however frequent, has to stay in one partition. The id is written with
+    the rows first; a task that runs again then finds the same one.
     """
+    columns = list(map(quoted, df.columns))
     if order_by:
-        columns = list(map(quoted, order_by))
-        df = df.repartitionByRange(*columns).sortWithinPartitions(*columns)
+        kept = write_through(df.withColumn("_id", F.monotonically_increasing_id()), "unordered")
+        order = [*map(quoted, order_by), "_hash", "_id"]
+        hashed = kept.withColumn("_hash", F.expr(f"xxhash64({', '.join(columns)})"))
+        df = hashed.repartitionByRange(*order).sortWithinPartitions(*order).select(*columns)
     placed = write_through(df.withColumn("_place", F.monotonically_increasing_id()), "ordinals")
     part = F.shiftright("_place", 33)
     position = F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
@@ -258,7 +265,7 @@ def with_ordinals(df: DataFrame, order_by: Sequence[str] = (), name: str = "row_
     return (
         placed.withColumn("_part", part)
         .join(F.broadcast(offsets), "_part")
-        .select(*map(quoted, df.columns), (F.col("_offset") + position + 1).alias(name))
+        .select(*columns, (F.col("_offset") + position + 1).alias(name))
     )
 
 

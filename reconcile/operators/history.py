@@ -38,7 +38,8 @@ def history_apply(history: DataFrame, snapshot: DataFrame, at: Column) -> DataFr
         *[F.col(f"`{c}`").cast(old.schema[c].dataType).alias(c) for c in columns],
         F.lit(1).alias("_old"), F.lit(0).alias("_new"), F.col(START),
     )
-    new = new.select("*", F.lit(0).alias("_old"), F.lit(1).alias("_new"), F.lit(None).cast(history.schema[START].dataType).alias(START))
+    no_start = F.lit(None).cast(history.schema[START].dataType).alias(START)
+    new = new.select("*", F.lit(0).alias("_old"), F.lit(1).alias("_new"), no_start)
     versions = old.unionAll(new).groupBy(*[f"`{c}`" for c in columns]).agg(
         F.sum("_old").alias("_old"), F.sum("_new").alias("_new"),
         F.min(START).alias(START), F.max(START).alias("_latest"),

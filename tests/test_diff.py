@@ -1,6 +1,7 @@
 import datetime as dt
 from decimal import Decimal
 
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -152,6 +153,24 @@ def test_ordinals_over_many_partitions(spark):
     assert numbered.agg({"row_number": "max"}).first()[0] == 10_000
 
 
+def test_frequent_values_are_numbered_by_several_tasks(spark):
+    df = spark.range(40_000).selectExpr("id % 2 AS tied", "if(id % 3 = 0, 'copy', concat('r', id)) AS a").repartition(5)
+    # Adaptive execution would put so few rows into one partition again.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        numbered = diff.with_ordinals(df, ["tied"])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sizes = [pq.ParquetFile(f.removeprefix("file://")).metadata.num_rows for f in numbered.inputFiles()]
+    assert max(sizes) < 10_000
+    rows = numbered.orderBy("row_number").collect()
+    assert [r["row_number"] for r in rows] == list(range(1, 40_001))
+    assert [r["tied"] for r in rows] == [0] * 20_000 + [1] * 20_000
+    assert diff.diff_multiset(numbered.drop("row_number"), df).count() == 0
+    # The same rows in another arrangement are numbered alike.
+    assert diff.diff_positional(df, df.repartition(3, "a"), ["tied"]).count() == 0
+
+
 def test_summary_counts_all_and_samples_some(spark):
     source = frame(spark, [(i, "x", 1.0) for i in range(50)])
     target = frame(spark, [(i, "y", 1.0 if i else 2.0) for i in range(50)])
