@@ -12,25 +12,32 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from reconcile.functions import quoted
 from reconcile.operators.audit import IN_PROGRESS, audit_event
 from reconcile.operators.convert import convert
 from reconcile.operators.typemap import column_types
 from reconcile.plans.reports import append_report
 from reconcile.session import write_through
 from reconcile.sources.staged import (
-    FIRST_BAD,
     LOAD_FAILED,
     ROW,
     check_rows,
     good_rows,
+    load_counters,
     reject_rows,
     with_status,
 )
 
 
+COUNTERS = ("rows_parsed", "rows_loaded", "errors_seen", "first_error_line", "_first")
+
+
 @dataclass(frozen=True)
 class Target:
-    """Where a table goes: a path, or a table of the session catalog.
+    """Where a table goes: a path, a table of the session catalog, or another system.
+
+    Another system is named by its Spark format and ``options``, such as ``jdbc`` with
+    ``url`` and ``dbtable``.
 
     A catalog table may be bucketed by a key. Two sides that are bucketed alike are later
     compared without a shuffle. Use it for keys that ``key_profile`` found to be unique;
@@ -42,6 +49,7 @@ class Target:
     table: str
     path: str | None = None
     fmt: str = "parquet"
+    options: Mapping[str, str] = field(default_factory=dict)
     bucket_by: tuple[str, ...] = ()
     buckets: int = 0
 
@@ -53,13 +61,16 @@ class Target:
 def load(rows: DataFrame, target: Target, mode: str = "overwrite") -> None:
     """Create the target from the rows' schema and write them; upper-case column names."""
     named = rows.toDF(*[c.upper() for c in rows.columns])
-    if target.path:
-        named.write.format(target.fmt).mode(mode).save(target.path)
+    writer = named.write.format(target.fmt).options(**target.options).mode(mode)
+    if target.path or target.options:
+        writer.save(target.path)
         return
     rows.sparkSession.sql(f"CREATE DATABASE IF NOT EXISTS `{target.database}_{target.schema}`")
-    writer = named.write.format(target.fmt).mode(mode)
     if target.bucket_by:
-        writer = writer.bucketBy(target.buckets, *[c.upper() for c in target.bucket_by])
+        # One task per bucket, or every task would write a file for every bucket.
+        keys = [c.upper() for c in target.bucket_by]
+        writer = named.repartition(target.buckets, *map(quoted, keys)).write.format(target.fmt).mode(mode)
+        writer = writer.bucketBy(target.buckets, *keys)
     writer.saveAsTable(target.name)
 
 
@@ -70,29 +81,26 @@ def load_with_rejects(
 
     The counters are observed while the rows are written, so the source is read once; it
     is read again only if there are rejects to report. The observed rows come straight
-    from the scan in the writing stage, whose tasks count once each.
+    from the scan in the writing stage, whose tasks count once each. Rows for a bucketed
+    table are shuffled, where a task that is run again would count again, so they are
+    counted in a job of their own.
     """
     checked = check_rows(raw, types)
-    bad = F.col(FIRST_BAD).isNotNull()
-    seen = Observation("load")
-    counted = checked.observe(
-        seen,
-        F.count(F.lit(1)).alias("rows_parsed"),
-        F.count_if(~bad).alias("rows_loaded"),
-        F.count_if(bad).alias("errors_seen"),
-        F.min(F.when(bad, F.col(ROW))).alias("first_error_line"),
-        F.min_by(F.col(FIRST_BAD), F.when(bad, F.col(ROW))).alias("_first"),
-    )
-    load(good_rows(counted, types), target)
-    spark = raw.sparkSession
-    totals = spark.createDataFrame(
-        [(target.table, *[seen.get[k] for k in ("rows_parsed", "rows_loaded", "errors_seen", "first_error_line", "_first")])],
+    if target.bucket_by:
+        load(good_rows(checked, types), target)
+        seen = checked.agg(*load_counters()).first().asDict()
+    else:
+        observed = Observation("load")
+        load(good_rows(checked.observe(observed, *load_counters()), types), target)
+        seen = observed.get
+    totals = raw.sparkSession.createDataFrame(
+        [(target.table, *[seen[k] for k in COUNTERS])],
         "file string, rows_parsed bigint, rows_loaded bigint, errors_seen bigint, first_error_line bigint, _first int",
     )
     result = with_status(totals, types)
     append_report(result, reports, "row_validation", run_id)
     status = result.first()["status"]
-    if seen.get["errors_seen"]:
+    if seen["errors_seen"]:
         append_report(reject_rows(checked, types), reports, "rejects", run_id)
     return status
 
@@ -166,7 +174,9 @@ def read_back(spark: SparkSession, target: Target, status: str) -> DataFrame | N
     """The loaded table, or None if nothing was loaded."""
     if status == LOAD_FAILED or status.startswith("Table not created"):
         return None
-    return spark.read.format(target.fmt).load(target.path) if target.path else spark.table(target.name)
+    if target.path or target.options:
+        return spark.read.format(target.fmt).options(**target.options).load(target.path)
+    return spark.table(target.name)
 
 
 def _audit(spark: SparkSession, run_id: str, table: tuple[str, str, str], status: str, reports: str) -> None:

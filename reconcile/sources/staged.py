@@ -174,23 +174,27 @@ def conversion_error(column: str, spark_type: str) -> str:
     return f"value of {column} is no {spark_type}"
 
 
-def load_result(checked: DataFrame, types: Mapping[str, str]) -> DataFrame:
-    """Counters and the first error per file, with status words of a load.
-
-    Only fixed-width values are aggregated; the error text is put in afterwards.
-    """
-    file = F.col(FILE) if FILE in checked.columns else F.lit(None).cast("string")
+def load_counters() -> list[Column]:
+    """Aggregates over checked rows, for ``with_status``."""
     bad = F.col(FIRST_BAD).isNotNull()
-    counters = [
+    return [
         F.count(F.lit(1)).alias("rows_parsed"),
         F.count_if(~bad).alias("rows_loaded"),
         F.count_if(bad).alias("errors_seen"),
         F.min(F.when(bad, F.col(ROW))).alias("first_error_line"),
         F.min_by(F.col(FIRST_BAD), F.when(bad, F.col(ROW))).alias("_first"),
     ]
+
+
+def load_result(checked: DataFrame, types: Mapping[str, str]) -> DataFrame:
+    """Counters and the first error per file, with status words of a load.
+
+    Only fixed-width values are aggregated; the error text is put in afterwards.
+    """
+    file = F.col(FILE) if FILE in checked.columns else F.lit(None).cast("string")
     if BLOCK not in checked.columns:
-        return with_status(checked.groupBy(file.alias("file")).agg(*counters), types)
-    blocks = checked.groupBy(FILE, BLOCK).agg(*counters, F.count(F.lit(1)).alias("_rows"), F.min(ROW).alias("_first_id"))
+        return with_status(checked.groupBy(file.alias("file")).agg(*load_counters()), types)
+    blocks = checked.groupBy(FILE, BLOCK).agg(*load_counters(), F.count(F.lit(1)).alias("_rows"), F.min(ROW).alias("_first_id"))
     line = _line(F.col("first_error_line"))
     per_file = _with_rows_before(blocks).groupBy(F.col(FILE).alias("file")).agg(
         *[F.sum(c).alias(c) for c in ("rows_parsed", "rows_loaded", "errors_seen")],

@@ -234,6 +234,13 @@ def test_load_creates_a_table(spark):
     spark.sql(f"DROP DATABASE `{target.database}_{target.schema}` CASCADE")
 
 
+@pytest.mark.parametrize(("fmt", "options"), [("orc", {}), ("csv", {"header": "true", "inferSchema": "true", "sep": ";"})])
+def test_load_into_other_formats(spark, tmp_path, fmt, options):
+    target = migrate.Target("shop", "dbo", "t", str(tmp_path / "t"), fmt, options)
+    migrate.load(spark.range(3).selectExpr("CAST(id AS int) AS id", "concat('v', id) AS v"), target)
+    assert rows_of(migrate.read_back(spark, target, "LOADED")) == [(0, "v0"), (1, "v1"), (2, "v2")]
+
+
 def test_tables_bucketed_alike_are_compared_without_a_shuffle(spark):
     database = "shop" + uuid.uuid4().hex[:6]
     sides = [migrate.Target(database, side, "t", bucket_by=("k",), buckets=4) for side in ("a", "b")]
@@ -244,10 +251,20 @@ def test_tables_bucketed_alike_are_compared_without_a_shuffle(spark):
     cells = diff.diff_cells(source, target, ["K"])
     assert rows_of(cells) == [(5, "V", "v5", "new")]
     assert "Exchange" not in cells._jdf.queryExecution().executedPlan().toString()
+    assert len(spark.table(sides[0].name).inputFiles()) == 4
     for t in sides:
         spark.sql(f"DROP DATABASE `{t.database}_{t.schema}` CASCADE")
 
 
+def test_load_into_buckets_counts_rows(spark, tmp_path):
+    target = migrate.Target("shop" + uuid.uuid4().hex[:6], "dbo", "t", bucket_by=("id",), buckets=3)
+    rows = spark.createDataFrame([(i, "x" if i == 4 else str(i)) for i in range(9)], "_row bigint, id string")
+    assert migrate.load_with_rejects(rows, {"id": "int"}, target, str(tmp_path), "r") == "PARTIALLY_LOADED"
+    result = reports.read_report(spark, str(tmp_path), "row_validation").first()
+    assert (result["rows_parsed"], result["rows_loaded"], result["first_error_line"]) == (9, 8, 4)
+    spark.sql(f"DROP DATABASE `{target.database}_{target.schema}` CASCADE")
+
+
 def test_migrate_many_tables(spark, tmp_path):
     jobs = [
         migrate.Job(lambda n=n: spark.range(n).selectExpr("cast(id as string) id"), {"id": "int"},
