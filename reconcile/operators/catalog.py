@@ -66,14 +66,24 @@ def describe(df: DataFrame, database: str, schema: str, table: str) -> DataFrame
 COLUMNS_PER_PASS = 50
 
 
-def profile_columns(df: DataFrame) -> DataFrame:
+def profile_columns(df: DataFrame, catalog: DataFrame | None = None) -> DataFrame:
     """Rows, nulls, longest text, smallest and largest value of every column.
 
     A wide table is profiled some columns at a time; each pass reads only its columns.
+    With the catalog rows of the table, what they declare is added to each column.
     """
     fields = list(enumerate(df.schema.fields, start=1))
     passes = [fields[i : i + COLUMNS_PER_PASS] for i in range(0, len(fields), COLUMNS_PER_PASS)]
-    return union_all([_profile(df, columns) for columns in passes])
+    profile = union_all([_profile(df, columns) for columns in passes])
+    if catalog is None:
+        return profile
+    declared = catalog.select(
+        F.upper("column").alias("_name"),
+        F.col("data_type").alias("declared_type"),
+        F.col("length").alias("declared_length"),
+        "is_nullable",
+    )
+    return profile.join(declared, F.upper("column_name") == F.col("_name"), "left").drop("_name")
 
 
 def _profile(df: DataFrame, columns: list[tuple[int, T.StructField]]) -> DataFrame:

@@ -70,8 +70,11 @@ def _in_type(value: str, dtype: T.DataType, target_type: str) -> str:
     return value
 
 
-def aligned(source: DataFrame, target: DataFrame, exclude: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
-    """Both sides with the source's columns, matched by name in any case, in one type each."""
+def aligned(source: DataFrame, target: DataFrame, exclude: Sequence[str] = ()) -> tuple[list[str], list[str]]:
+    """Select lists that give both sides the source's columns, in one type each.
+
+    Columns are matched by name in any case.
+    """
     skip = {name.upper() for name in exclude}
     by_name = {f.name.upper(): f for f in target.schema.fields}
     left, right = [], []
@@ -84,7 +87,7 @@ def aligned(source: DataFrame, target: DataFrame, exclude: Sequence[str] = ()) -
         common = _common_type(field.dataType, other.dataType)
         left.append(_as(field, common, field.name))
         right.append(_as(other, common, field.name))
-    return source.selectExpr(*left), target.selectExpr(*right)
+    return left, right
 
 
 def _as(field: T.StructField, dtype: T.DataType, name: str) -> str:
@@ -120,10 +123,9 @@ def _digits(dtype: T.DataType) -> tuple[int, int]:
 def signed_rows(source: DataFrame, target: DataFrame, exclude: Sequence[str] = ()) -> DataFrame:
     """Every distinct row of both sides with its number of copies on each."""
     left, right = aligned(source, target, exclude)
-    both = left.select("*", F.lit(1).alias(SOURCE_COPIES), F.lit(0).alias(TARGET_COPIES)).unionAll(
-        right.select("*", F.lit(0).alias(SOURCE_COPIES), F.lit(1).alias(TARGET_COPIES))
-    )
-    return both.groupBy(*map(quoted, left.columns)).agg(
+    ours = source.selectExpr(*left, f"1 AS {SOURCE_COPIES}", f"0 AS {TARGET_COPIES}")
+    theirs = target.selectExpr(*right, f"0 AS {SOURCE_COPIES}", f"1 AS {TARGET_COPIES}")
+    return ours.unionAll(theirs).groupBy(*map(quoted, ours.columns[:-2])).agg(
         F.sum(SOURCE_COPIES).alias(SOURCE_COPIES), F.sum(TARGET_COPIES).alias(TARGET_COPIES)
     )
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reconcile.functions import quoted
 from reconcile.operators.diff import aligned
 
 START, END, ACTIVE = "START_TIME", "END_TIME", "ACTIVE"
@@ -29,18 +30,16 @@ def history_apply(history: DataFrame, snapshot: DataFrame, at: Column) -> DataFr
     needed and repeated keys do no harm. Copies of one row open and close together: when
     their number changes, the old copies are closed and the new ones opened.
     """
-    columns = [c for c in history.columns if c not in (START, END, ACTIVE)]
+    columns = [quoted(c) for c in history.columns if c not in (START, END, ACTIVE)]
     is_open = F.col(ACTIVE) == "Y"
     # Closed rows never change, so they skip the shuffle.
     closed = history.filter(~is_open)
-    old, new = aligned(history.filter(is_open).select(*[f"`{c}`" for c in columns]), snapshot)
-    old = history.filter(is_open).select(
-        *[F.col(f"`{c}`").cast(old.schema[c].dataType).alias(c) for c in columns],
-        F.lit(1).alias("_old"), F.lit(0).alias("_new"), F.col(START),
-    )
-    no_start = F.lit(None).cast(history.schema[START].dataType).alias(START)
-    new = new.select("*", F.lit(0).alias("_old"), F.lit(1).alias("_new"), no_start)
-    versions = old.unionAll(new).groupBy(*[f"`{c}`" for c in columns]).agg(
+    still_open = history.filter(is_open)
+    left, right = aligned(still_open, snapshot, exclude=(START, END, ACTIVE))
+    stamp = history.schema[START].dataType.simpleString()
+    old = still_open.selectExpr(*left, "1 AS _old", "0 AS _new", START)
+    new = snapshot.selectExpr(*right, "0 AS _old", "1 AS _new", f"CAST(NULL AS {stamp}) AS {START}")
+    versions = old.unionAll(new).groupBy(*columns).agg(
         F.sum("_old").alias("_old"), F.sum("_new").alias("_new"),
         F.min(START).alias(START), F.max(START).alias("_latest"),
     )
@@ -56,19 +55,19 @@ def history_apply(history: DataFrame, snapshot: DataFrame, at: Column) -> DataFr
         .when(F.col("_old") == 0, F.array(opened))
         .otherwise(F.array(ended, opened))
     )
-    current = versions.select(*[f"`{c}`" for c in columns], F.inline(entries))
+    current = versions.select(*columns, F.inline(entries))
     return closed.unionByName(with_copies(current, "copies"))
 
 
 def with_copies(df: DataFrame, copies: str) -> DataFrame:
     """Each row as often as ``copies`` says. Very many copies are written by several tasks."""
-    n = F.col(f"`{copies}`")
+    n = F.col(quoted(copies))
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     few = df.filter(n <= COPIES_PER_TASK).select("*", F.explode(F.sequence(F.lit(1), n)).alias("_copy"))
     many = (
         df.filter(n > COPIES_PER_TASK)
         .select("*", F.explode(F.sequence(F.lit(1).cast("bigint"), n, F.lit(COPIES_PER_TASK).cast("bigint"))).alias("_from"))
-        .repartition(tasks, *[f"`{c}`" for c in df.columns], "_from")
+        .repartition(tasks, *map(quoted, df.columns), "_from")
         .select("*", F.explode(F.sequence(F.col("_from"), F.least(n, F.col("_from") + COPIES_PER_TASK - 1))).alias("_copy"))
         .drop("_from")
     )

@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark import inheritable_thread_target
 from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reconcile.operators.catalog import TABLE
 from reconcile.operators.diff import (
     AMBIGUOUS,
     CHANGED,
@@ -178,6 +180,30 @@ class Table:
     actual: DataFrame | None = None
 
 
+def tables_of(
+    scope: DataFrame,
+    read_source: Callable[[str, str, str], DataFrame],
+    read_target: Callable[[str, str, str], DataFrame],
+    keys: DataFrame | None = None,
+) -> list[Table]:
+    """The tables of a scope list, with their keys as ``key_columns`` gives them.
+
+    The readers take database, schema and table. A scope has one row per table, as each is
+    a job of its own, so it is collected.
+    """
+    rows = scope.select(*TABLE)
+    if keys is not None:
+        rows = rows.join(keys.select(*TABLE, "key_columns"), list(TABLE), "left")
+    tables = []
+    for row in rows.orderBy(*TABLE).collect():
+        name = tuple(row[:3])
+        found = row["key_columns"] if keys is not None else None
+        tables.append(
+            Table(".".join(name), partial(read_source, *name), partial(read_target, *name), found.split(",") if found else ())
+        )
+    return tables
+
+
 def validate_table(spark: SparkSession, table: Table, reports: str, run_id: str) -> None:
     """Compare schema, counts and cells of one table and append what was found to the reports."""
 

@@ -217,6 +217,20 @@ def test_profile(spark):
     ]
 
 
+def test_profile_beside_what_is_declared(spark):
+    df = spark.createDataFrame([(1, "abc"), (2, None)], "C1 int, other string")
+    rows = catalog.profile_columns(df, spark.createDataFrame([column("t", 1, "int", 10, 0)], CATALOG)).collect()
+    assert {r["column_name"]: (r["null_count"], r["declared_type"], r["declared_length"]) for r in rows} == {
+        "C1": (0, "int", 10), "other": (1, None, None)}
+
+
+def test_wide_profile_keeps_the_order(spark):
+    df = spark.range(3).selectExpr(*[f"id + {i} AS c{i}" for i in range(120)])
+    rows = catalog.profile_columns(df).collect()
+    assert [(r["ordinal"], r["column_name"], r["max_value"]) for r in rows] == [
+        (i + 1, f"c{i}", str(i + 2)) for i in range(120)]
+
+
 @pytest.mark.parametrize(
     ("values", "schema_text", "declared", "misfits"),
     [

@@ -438,6 +438,19 @@ def test_run_scope(spark, tmp_path):
     assert [r["column_name"] for r in reports.read_report(spark, root, "schema_mismatch").collect()] == ["V"]
 
 
+def test_scope_list(spark, tmp_path):
+    scope = spark.createDataFrame([("s", "d", "b"), ("s", "d", "a")], "database string, schema string, table string")
+    keys = spark.createDataFrame([("s", "d", "a", 2, "K,V")],
+                                 "database string, schema string, table string, key_size bigint, key_columns string")
+    rows = spark.createDataFrame([(1, "x", 1)], "k int, v string, n int")
+    tables = reconcile.tables_of(scope, lambda *name: rows, lambda *name: rows.withColumn("n", F.lit(len(name[2]) + 1)), keys)
+    assert [(t.name, list(t.keys)) for t in tables] == [("s.d.a", ["K", "V"]), ("s.d.b", [])]
+    root = str(tmp_path / "reports")
+    reconcile.run_scope(spark, tables, root, "r")
+    detail = reports.read_report(spark, root, "data_detail").select("table_name", "row_key", "column_name", "source_value")
+    assert ("s.d.a", "1|x", "n", "1") in rows_of(detail) and detail.count() == 3
+
+
 def test_row_counts_of_one_pair(spark):
     pair = reconcile.Pair("t", spark.range(3), spark.range(4))
     assert tuple(reconcile.row_counts([pair]).first()) == ("t", 3, 4, "Not-Matched")
