@@ -44,9 +44,12 @@ def scrub_carriage_returns(value: str) -> str:
     return f"replace({value}, {literal(CARRIAGE_RETURN_REFERENCE)}, ' ')"
 
 
-def flag_to_int(value: str) -> str:
-    """True/false as 1/0; takes booleans, integers and the usual texts."""
-    return f"coalesce(try_cast({value} AS int), CAST(try_cast({value} AS boolean) AS int))"
+def flag_to_int(value: str, dtype: T.DataType) -> str:
+    """True/false as 1/0. Text keeps its type, and stays as it is where it is no flag."""
+    flag = f"coalesce(try_cast({value} AS int), CAST(try_cast({value} AS boolean) AS int))"
+    if isinstance(dtype, T.StringType):
+        return f"coalesce(CAST({flag} AS string), {value})"
+    return flag
 
 
 def date_only(value: str, dtype: T.DataType) -> str:
@@ -62,16 +65,30 @@ def time_to_second(value: str) -> str:
     return f"CASE WHEN {clock} RLIKE r'{CLOCK_TEXT}' THEN {clock} END"
 
 
-def decimal_value(value: str, dtype: T.DataType, precision: int, scale: int) -> str:
-    """The number at a fixed scale.
+def decimal_value(value: str, dtype: T.DataType, scale: int) -> str:
+    """The number in the one spelling it has at a fixed scale; no digit is rounded off.
 
-    Text keeps its type and gets the one spelling of its number. Text that is no number
-    stays as it is, so that it differs from NULL and from every number.
+    Whole numbers and decimals that fit the scale become decimals. Other values become
+    text: the number's spelling if the scale holds all its digits, or else the value as it
+    is, so that it differs from NULL and from every shorter number. Two numbers are equal
+    only in one type, as comparing decimals of two types may round the longer one.
     """
-    number = f"try_cast({value} AS decimal({precision},{scale}))"
+    if isinstance(dtype, T.IntegralType):
+        return f"CAST({value} AS decimal(38,{scale}))"
+    if isinstance(dtype, T.DecimalType) and dtype.scale <= scale <= 38 - dtype.precision + dtype.scale:
+        return f"CAST({value} AS decimal(38,{scale}))"
+    number = f"try_cast({value} AS decimal(38,{scale}))"
     if isinstance(dtype, T.StringType):
-        return f"coalesce(CAST({number} AS string), {value})"
-    return number
+        # Plain numbers are told by their digits; those with an exponent by their value.
+        plain = f"{value} RLIKE r'^[+-]?\\d+(\\.\\d{{0,{scale}}}0*)?$'"
+        finer = f"decimal(38,{max(scale, 18)})"
+        exponent = f"({value} RLIKE '[eE]' AND try_cast({number} AS {finer}) = try_cast({value} AS {finer}))"
+        exact = f"({plain} OR {exponent})"
+    elif isinstance(dtype, T.DecimalType):
+        exact = f"try_cast({number} AS {dtype.simpleString()}) = {value}"
+    else:
+        exact = f"CAST({number} AS double) = {value}"
+    return f"CASE WHEN {number} IS NOT NULL AND {exact} THEN CAST({number} AS string) ELSE CAST({value} AS string) END"
 
 
 def round_decimal(value: str, dtype: T.DataType) -> str:

@@ -14,8 +14,8 @@ def convert(df: DataFrame, source_types: Mapping[str, str], spark_types: Mapping
     """Scrub XML, turn flags into 0/1, remove null tokens, and cast to the mapped types.
 
     ``source_types`` are the declared types by column; ``spark_types`` the types to load.
-    Text that does not cast becomes NULL here; load it with ``check_rows`` to have it
-    rejected instead.
+    Text that does not cast becomes NULL here. To have it rejected instead, give no
+    ``spark_types`` and load the rows with ``check_rows``.
     """
     return df.selectExpr(
         *[
@@ -32,5 +32,5 @@ def _converted(field: T.StructField, source_type: str, spark_type: str | None) -
         if source_type == "xml":
             value = scrub_carriage_returns(value)
     if source_type == "bit":
-        return flag_to_int(value)
+        value = flag_to_int(value, field.dataType)
     return f"try_cast({value} AS {spark_type})" if spark_type else value

@@ -59,11 +59,11 @@ def _in_type(value: str, dtype: T.DataType, target_type: str) -> str:
     if target_type == "TIME" or target_type.startswith("TIME("):
         return time_to_second(value)
     if target_type in ("BOOLEAN", "NUMBER(1,0)"):
-        return flag_to_int(value)
+        return flag_to_int(value, dtype)
     if target_type.startswith("NUMBER("):
-        precision, _, scale = target_type[len("NUMBER("):].rstrip(")").partition(",")
+        scale = target_type.rstrip(")").partition(",")[2]
         if int(scale or 0) > 0:
-            return decimal_value(value, dtype, int(precision), int(scale))
+            return decimal_value(value, dtype, int(scale))
     if target_type == "VARIANT":
         # Well-formed documents count as equal; a lost document still differs.
         return f"CASE WHEN {value} IS NOT NULL AND {well_formed_xml(value)} THEN 'VALID' ELSE {value} END"

@@ -119,18 +119,30 @@ def test_normalize_by_target_type(spark):
         ("2024-02-29", "10:20:30.1234567", "1.5", "true", "<a/>"),
         ("2024-02-30", "24:00:00", "n/a", "0", "<a>"),
         ("", "NULL", None, None, None),
-        ("1700-01-01", "00:00:00", "-9999.9999", "1", "junk"),
+        ("1700-01-01", "00:00:00", "-9999.9999", "maybe", "junk"),
     ]
     schema = "d string, t string, n string, f string, x string"
     types = {"D": "DATE", "T": "TIME(9)", "N": "NUMBER(10,4)", "F": "BOOLEAN", "X": "VARIANT"}
     assert [tuple(r) for r in diff.normalize(spark.createDataFrame(rows, schema), types).collect()] == [
-        (dt.date(2024, 2, 29), "10:20:30", "1.5000", 1, "VALID"),
-        (None, None, "n/a", 0, "<a>"),
+        (dt.date(2024, 2, 29), "10:20:30", "1.5000", "1", "VALID"),
+        (None, None, "n/a", "0", "<a>"),
         (None, None, None, None, None),
-        (dt.date(1700, 1, 1), "00:00:00", "-9999.9999", 1, "junk"),
+        (dt.date(1700, 1, 1), "00:00:00", "-9999.9999", "maybe", "junk"),
     ]
 
 
+def test_flags_of_several_types(spark):
+    types = {"F": "BOOLEAN"}
+    sides = [diff.normalize(spark.sql(q), types) for q in (
+        "SELECT * FROM VALUES (1, true), (2, false), (3, NULL), (4, NULL) AS t(k, f)",
+        "SELECT * FROM VALUES (1, 1), (2, 0), (3, NULL), (4, 0) AS t(k, f)",
+        "SELECT * FROM VALUES (1, 'True'), (2, '0'), (3, 'NULL'), (4, 'maybe') AS t(k, f)",
+    )]
+    for a in sides:
+        for b in sides:
+            assert {r["k"] for r in diff.diff_cells(a, b, ["k"]).collect()} == (set() if a is b else {4})
+
+
 def test_number_text_equals_decimal(spark):
     source = spark.createDataFrame([(1, "1.5"), (2, "x")], "k int, n string")
     target = spark.createDataFrame([(1, Decimal("1.50")), (2, None)], "k int, n decimal(10,2)")
@@ -139,6 +151,36 @@ def test_number_text_equals_decimal(spark):
     assert rows_of(cells) == [(2, "n", "x", None)]
 
 
+@pytest.mark.parametrize(
+    ("left", "right", "equal"),
+    [
+        ("'1.5'", "'1.50'", True),
+        ("'+01.500'", "CAST(1.5 AS decimal(10,2))", True),
+        ("'1.5e1'", "CAST(15 AS int)", True),
+        ("'1.505'", "'1.50'", False),
+        ("'1.500000001e0'", "'1.50'", False),
+        ("'1.505'", "CAST(1.51 AS decimal(10,2))", False),
+        ("'1.50000000000000000000001'", "'1.50'", False),
+        ("CAST(1.505 AS decimal(18,4))", "CAST(1.51 AS decimal(10,2))", False),
+        ("CAST(1.5 AS decimal(18,4))", "CAST(1.5 AS decimal(10,2))", True),
+        ("CAST(1.5 AS decimal(18,4))", "'1.50'", True),
+        ("CAST(1.505 AS double)", "CAST(1.51 AS decimal(10,2))", False),
+        ("CAST(1.51 AS double)", "CAST(1.51 AS decimal(10,2))", True),
+        ("CAST(1.51 AS double)", "'1.510'", True),
+        ("CAST(123456789012 AS bigint)", "CAST(NULL AS decimal(10,2))", False),
+        ("'123456789012'", "CAST(123456789012 AS bigint)", True),
+        ("CAST('NaN' AS double)", "CAST(NULL AS decimal(10,2))", False),
+        ("'n/a'", "CAST(NULL AS decimal(10,2))", False),
+        ("'NULL'", "CAST(NULL AS decimal(10,2))", True),
+        ("CAST('1e36' AS decimal(38,0))", "CAST(NULL AS decimal(10,2))", False),
+    ],
+)
+def test_numbers_in_two_spellings(spark, left, right, equal):
+    sides = [diff.normalize(spark.sql(f"SELECT 1 AS k, {v} AS n"), {"N": "NUMBER(10,2)"}) for v in (left, right)]
+    for a, b in (sides, sides[::-1]):
+        assert diff.diff_cells(a, b, ["k"]).count() == (0 if equal else 1)
+
+
 def test_positional(spark):
     source = frame(spark, [(i, "x", float(i)) for i in range(100)]).repartition(7)
     target = frame(spark, [(i, "x" if i != 42 else "y", float(i)) for i in range(100)]).repartition(3)

@@ -205,6 +205,15 @@ def test_migrate_as_the_catalog_says(spark, tmp_path):
     assert reports.read_report(spark, root, "rejects").first()["column_name"] == "doc"
 
 
+def test_a_flag_that_is_none_is_rejected(spark, tmp_path):
+    source = spark.createDataFrame([("true",), ("0",), ("maybe",), ("NULL",)], "ok string")
+    target, root = migrate.Target("shop", "dbo", "t", str(tmp_path / "t")), str(tmp_path / "reports")
+    job = migrate.Job(lambda: source, {"ok": "int"}, target, {"ok": "bit"})
+    assert migrate.migrate_scope(spark, [job], root, "r") == {"t": "PARTIALLY_LOADED"}
+    assert rows_of(spark.read.parquet(target.path)) == [(0,), (1,), (None,)]
+    assert reports.read_report(spark, root, "rejects").first()["rejected_record"] == "maybe"
+
+
 def test_reports_take_results_as_they_are(spark, sides, tmp_path):
     root = str(tmp_path / "reports")
     results = testcases.run_test_cases(spark, [TestCase("t", "ROW_COUNT")], *sides)
