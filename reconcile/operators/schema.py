@@ -16,14 +16,21 @@ def compare_schema(expected: DataFrame, actual: DataFrame, type_column: str = "r
     ``expected`` has the table columns, ordinal, column, data_type and the expected type:
     ``rendered_type``, or ``spark_type`` for a target that Spark describes. ``actual``
     has the table columns, ordinal, column and type. A column that moved is
-    reported by ``ORDINAL_COMPAR`` and does not shift the columns after it.
+    reported by ``ORDINAL_COMPAR`` and does not shift the columns after it. Names that a side
+    has more than once, in different cases, are reported as one that does not match.
     """
+    name = F.upper("column").alias("_name")
     left = expected.select(
-        *TABLE, F.upper("column").alias("_name"), F.col("ordinal").alias("_left"), "data_type",
-        F.col(type_column).alias("_expected"),
+        *TABLE, name, F.struct("ordinal", "data_type", F.col(type_column).alias("type")).alias("_expected")
+    )
+    right = actual.select(*TABLE, name, F.struct("ordinal", "type").alias("_actual"))
+    # Grouping instead of joining: names that are alike but for case are not paired up.
+    both = left.unionByName(right, allowMissingColumns=True).groupBy(*TABLE, "_name").agg(
+        F.min("_expected").alias("_expected"),
+        F.min("_actual").alias("_actual"),
+        F.count("_expected").alias("_left"),
+        F.count("_actual").alias("_right"),
     )
-    right = actual.select(*TABLE, F.upper("column").alias("_name"), F.col("ordinal").alias("_right"), "type")
-    both = left.join(right, [*TABLE, "_name"], "full_outer")
 
     def flag(condition):
         return F.when(condition, "True").otherwise("False")
@@ -31,12 +38,12 @@ def compare_schema(expected: DataFrame, actual: DataFrame, type_column: str = "r
     return both.select(
         F.concat_ws(".", *TABLE).alias("Table_name"),
         F.col("_name").alias("column_name"),
-        F.col("data_type").alias("SQL_Datatype"),
-        F.col("type").alias("Snowflake_Datatype"),
-        F.col("_expected").alias("Final_Data_types"),
-        flag(F.col("_left").isNotNull() & F.col("_right").isNotNull()).alias("COLUMN_COMPAR"),
-        flag(F.col("_expected") == F.col("type")).alias("COLUMN_AND_LEN_COMPAR"),
-        flag(F.col("_left") == F.col("_right")).alias("ORDINAL_COMPAR"),
+        F.col("_expected.data_type").alias("SQL_Datatype"),
+        F.col("_actual.type").alias("Snowflake_Datatype"),
+        F.col("_expected.type").alias("Final_Data_types"),
+        flag((F.col("_left") == 1) & (F.col("_right") == 1)).alias("COLUMN_COMPAR"),
+        flag(F.col("_expected.type") == F.col("_actual.type")).alias("COLUMN_AND_LEN_COMPAR"),
+        flag(F.col("_expected.ordinal") == F.col("_actual.ordinal")).alias("ORDINAL_COMPAR"),
     )
 
 

@@ -168,6 +168,15 @@ def test_schema_dropped_added_and_narrowed(spark):
     assert schema.schema_verdicts(compared).first()["result_status"] == "Not-valid"
 
 
+def test_schema_with_names_alike_but_for_case(spark):
+    compared = comparison(
+        spark,
+        [column("t", 1, "date", 0)],
+        [("shop", "dbo", "t", 1, "c1", "DATE"), ("shop", "dbo", "t", 2, "C1", "DATE")],
+    )
+    assert [(r["column_name"], r["COLUMN_COMPAR"]) for r in compared.collect()] == [("C1", "False")]
+
+
 def test_schema_of_a_spark_target(spark):
     expected = typemap.map_types(spark.createDataFrame([column("t", 1, "int", 10, 0), column("t", 2, "money", 19, 4)], CATALOG))
     target = spark.createDataFrame([], "C1 int, C2 decimal(19,4)")
