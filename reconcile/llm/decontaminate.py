@@ -100,10 +100,11 @@ def find_hits(
     item_text: str = "text",
     window: int = WINDOW,
     most_bytes: int = MOST_BYTES,
+    name: str = "hits",
 ) -> DataFrame:
-    """Add ``hits``: number of words, hit words, the items found, and the hit byte spans.
+    """Add ``name``: number of words, hit words, the items found, and the hit byte spans.
 
-    A column named ``hits`` is replaced; other columns are kept and not looked at. A null or
+    A column of that name is replaced; other columns are kept and not looked at. A null or
     empty text has no words and no hits; a null item text has no windows, a null item
     id counts as the id ``null``. Repeated items count once by id. The benchmark's size is
     checked: beyond ``most_bytes`` its items are dealt to several automata, and the documents'
@@ -149,7 +150,7 @@ def find_hits(
             yield pa.array(rows, _HIT_TYPE)
 
     hits = F.arrow_udf(find, HITS)
-    return docs.withColumn("hits", hits(F.col(text)))
+    return docs.withColumn(name, hits(F.col(text).cast("string")))
 
 
 _HIT_TYPE = pa.struct(
@@ -167,6 +168,14 @@ def contaminated(hits: str = "hits"):
     return (F.col(f"{hits}.n_hit") > 0) & (20 * F.col(f"{hits}.n_hit") >= F.col(f"{hits}.n_words"))
 
 
+def keep_clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
+    """The documents that are not contaminated, with the columns they came with."""
+    name = "benchmark_hits"
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return find_hits(docs, benchmark, text, name=name).filter(~contaminated(name)).drop(name)
+
+
 def items_digest(hits: str = "hits"):
     """SHA-256 of the sorted item ids, comma-joined; of the empty text if there are none."""
     return F.sha2(F.concat_ws(",", F.array_sort(F.col(f"{hits}.items"))), 256)

@@ -8,9 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reconcile.llm import decontaminate, embeddings, jaccard, language, packing, token_ids
+from reconcile.llm import (
+    decontaminate, embeddings, interpolation, jaccard, language, licenses, packing, quality, surrogates, token_ids,
+)
 from reconcile.session import scratch_path
 
+# A deployment passes a secret of its own; whoever has the key can tell the surrogates' originals.
+PII_KEY = b"key of the registered queries"
+
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -18,6 +23,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with surrogates in place of personal data, and where they stand."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return surrogates.pseudonymize(docs, PII_KEY)
+
+
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from three quarters of the labelled ones."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -31,6 +42,25 @@ def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.cluster(_table(spark, sf_dir, "documents"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chance that a document is good, for every document, and whether it stays."""
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = quality.fit(docs, labels)
+    scored = quality.with_score(docs.select("doc_id", "text", "lang", "source", "n_chars"), model, "score")
+    return scored.select("doc_id", "score", (F.col("score") >= (model.threshold if model else 0.0)).alias("kept"))
+
+
+def op5_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text under a bigram model of six sevenths of the documents."""
+    docs = _table(spark, sf_dir, "documents")
+    return interpolation.score_texts(docs, language.held_out(F.col("doc_id"), 7, 2))
+
+
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence labels of every document, and the places of the base phrases."""
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of at most 4096 ids."""
     return packing.pack(_table(spark, sf_dir, "documents"), TOKENIZER)
@@ -63,7 +93,11 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_language, op3_jaccard, op7_packing, op8_decontaminate, op9_embeddings, op10_token_ids)
-}
+    f.__name__: f
+    for f in (
+        op1_surrogates, op2_language, op3_jaccard, op4_quality, op5_interpolation, op6_licenses, op7_packing,
+        op8_decontaminate, op9_embeddings, op10_token_ids,
+    )
+}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_licenses": licenses.oracle()}
