@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reconcile.llm.batches import written
 from reconcile.llm.bytes_of import mixed, space_words, text_slices
 from reconcile.llm.graph import BLOCK, Forest, components, star_edges, tiles_of, with_tiles
 from reconcile.session import write_through
@@ -127,13 +128,13 @@ def _parts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     sketches = rows.mapInArrow(
         _sketch, "doc_id long, row_key long, n long, node long, sample array<long>, bits binary"
     )
-    sketches = write_through(sketches, "sketches")
+    sketches = written(sketches, "sketches")
     # Whichever row of a node is taken, its set is the same.
     heads = sketches.dropna(subset=["node"]).groupBy("node").agg(F.min("doc_id").alias("head"))
     nodes = sketches.dropna(subset=["node"]).dropDuplicates(["node"]).select("node", "n", "sample", "bits")
     nodes = write_through(nodes, "nodes")
     candidates = components(write_through(_candidates(nodes), "candidates"))
-    links = components(write_through(_verified(rows.drop("row_key"), heads, candidates), "links"))
+    links = components(written(_verified(rows.drop("row_key"), heads, candidates), "links"))
     parts = sketches.select("doc_id", F.col("n").alias("n_shingles"), "row_key", "node").join(links, "node", "left")
     return parts.withColumn("part", F.coalesce("component", "node"))
 

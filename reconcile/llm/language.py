@@ -21,8 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reconcile.llm import bytes_of
+from reconcile.llm.batches import written
 from reconcile.llm.bytes_of import made_once, text_bytes, text_slices
-from reconcile.session import write_through
 
 UNKNOWN = "und"
 
@@ -55,7 +55,7 @@ def fit(training: DataFrame, text: str = "text", lang: str = "lang", most_grams:
     """
     rows = training.select(F.col(lang).alias("lang"), F.col(text).alias("text")).dropna()
     counts = rows.mapInArrow(_count_grams, "lang string, gram long, n long")
-    counts = write_through(counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
+    counts = written(counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
     size = counts.count()
     if size > most_grams:
         least = counts.agg(F.percentile_approx("n", 1 - most_grams / size, 10_000)).first()[0]

@@ -16,9 +16,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reconcile.llm.batches import written
 from reconcile.llm.bytes_of import text_slices
 from reconcile.llm.token_ids import word_ids
-from reconcile.session import write_through
 
 LENGTH = 4096
 WINDOWS = 32
@@ -164,7 +164,7 @@ def pack(
             yield _rows(packer.closed, 1 << 62 | group << 32, group, keep_ids)
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    filled = write_through(rows.mapInArrow(fill, _SCHEMA), "packed")
+    filled = written(rows.mapInArrow(fill, _SCHEMA), "packed")
     left = filled.filter("sequence_id IS NULL").withColumn("group", F.floor(F.col("task") / MERGED_TASKS))
     left = left.repartition("group").sortWithinPartitions("group", F.col("length").desc(), "task", "doc_id", "start")
     packed = filled.filter("sequence_id IS NOT NULL").unionByName(left.mapInArrow(merge, _SCHEMA))
