@@ -7,6 +7,7 @@ after another. Each task asks the library for the words that it has not met and
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,14 +16,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from reconcile.llm.batches import small_batches
 from reconcile.llm.bytes_of import made_once, text_slices
 
 END_ID = 2
 
-# Words that a worker remembers, and the longest of them; the memory starts anew beyond.
-_KNOWN_WORDS = 400_000
+# Words that a worker remembers; the memory starts anew beyond, and never holds longer words.
+_KNOWN_WORDS = 800_000
 _LONGEST_KNOWN = 48
 
+# Between an ASCII letter and one of these marks the tokenizer always cuts. The apostrophe is
+# not among them, as it may begin a contraction.
+_LETTER, _MARK = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[list(b"abcdefghijklmnopqrstuvwxyz")] = True
+_MARK[list(b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")] = True
+
 
 class WordIds:
     """Ids of texts under one tokenizer file, as little-endian unsigned 32-bit integers."""
@@ -36,21 +44,40 @@ class WordIds:
     def of(self, texts: list[str | None], end_id: int = END_ID) -> list[bytes]:
         """The ids of each text and one end id; a null text is an empty one."""
         end = np.array([end_id], "<u4").tobytes()
-        words = [(text or "").encode().split() for text in texts]
-        new = set().union(*words).difference(self.known) if words else set()
-        if len(self.known) + len(new) > _KNOWN_WORDS:
-            new.update(*words)
-            self.known = {}
-        known = dict(self.known)
-        order = list(new)
-        for at in range(0, len(order), 10_000):
-            some = order[at : at + 10_000]
+        words = _words([(text or "").encode() for text in texts])
+        new = list(set().union(*words).difference(self.known))
+        for at in range(0, len(new), 10_000):
+            some = new[at : at + 10_000]
             found = self.tokenizer.encode_batch([w.decode() for w in some], add_special_tokens=False)
             for word, encoding in zip(some, found, strict=True):
-                known[word] = ids = np.array(encoding.ids, "<u4").tobytes()
-                if len(word) <= _LONGEST_KNOWN and len(self.known) < _KNOWN_WORDS:
-                    self.known[word] = ids
-        return [b"".join(map(known.__getitem__, w)) + end for w in words]
+                self.known[word] = array("I", encoding.ids).tobytes()
+        ids = [b"".join(map(self.known.__getitem__, w)) + end for w in words]
+        for word in new:
+            if len(word) > _LONGEST_KNOWN:
+                del self.known[word]
+        if len(self.known) > _KNOWN_WORDS:
+            self.known = {}
+        return ids
+
+
+def _words(texts: list[bytes]) -> list[list[bytes]]:
+    """Parts of each text that the tokenizer codes one by one, in fewer spellings than the text's.
+
+    White space is cut away. As the tokenizer lower-cases and cuts before marks, so does this
+    for ASCII. Texts in which that could change what the tokenizer sees, by a special token or a
+    combining mark after a letter, are cut at white space only.
+    """
+    as_is = [b"<|" in t or b"\xcc" in t or b"\xcd" in t for t in texts]
+    low = [b"" if keep else t.lower() for t, keep in zip(texts, as_is, strict=True)]
+    data = np.frombuffer(b"".join(low), np.uint8)
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in low])])
+    cuts = np.flatnonzero(_LETTER[data[:-1]] & _MARK[data[1:]]) + 1
+    cut = np.insert(data, cuts, 32).tobytes()
+    offsets = (offsets + np.searchsorted(cuts, offsets)).tolist()
+    return [
+        text.split() if keep else cut[a:b].split()
+        for text, keep, a, b in zip(texts, as_is, offsets[:-1], offsets[1:], strict=True)
+    ]
 
 
 def word_ids(path: str) -> WordIds:
@@ -64,11 +91,15 @@ COUNTS = (60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1, 1)
 WIDTHS = (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60, 60)
 ESCAPE = 14
 _PAYLOAD = np.uint64((1 << 60) - 1)
+_WIDTHS = sorted(set(WIDTHS))
 
 # Integers per block. Blocks are coded apart from each other.
-BLOCK = 4096
+BLOCK = 1024
 _MAGIC = b"S8B1"
 
+# Blocks that are coded side by side.
+_BLOCKS = 512
+
 
 def encode(values: np.ndarray, block: int = BLOCK) -> bytes:
     """Simple-8b: a header, the word and escape offsets of each block, then words and escapes.
@@ -77,16 +108,14 @@ def encode(values: np.ndarray, block: int = BLOCK) -> bytes:
     """
     values = np.ascontiguousarray(values, np.uint64)
     n = len(values)
-    blocks = -(-n // block)
     words, first_word, escapes, first_escape = [], [0], [], [0]
-    step = max(1, (1 << 18) // block) * block
-    for at in range(0, n, step):
-        own, counts, large, larges = _encode_blocks(values[at : at + step], block)
+    for at in range(0, n, _BLOCKS * block):
+        own, counts, large, larges = _encode_blocks(values[at : at + _BLOCKS * block], block)
         words.append(own)
         escapes.append(large)
         first_word.extend((first_word[-1] + np.cumsum(counts)).tolist())
         first_escape.extend((first_escape[-1] + np.cumsum(larges)).tolist())
-    head = np.array([n, block, blocks], "<u8").tobytes()
+    head = np.array([n, block, -(-n // block)], "<u8").tobytes()
     index = np.array(first_word + first_escape, "<u8").tobytes()
     body = b"".join(x.astype("<u8").tobytes() for x in (*words, *escapes))
     return _MAGIC + head + index + body
@@ -95,41 +124,41 @@ def encode(values: np.ndarray, block: int = BLOCK) -> bytes:
 def _encode_blocks(values: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     n = len(values)
     blocks = -(-n // block)
-    big = values > _PAYLOAD
-    width = np.full(n, 61, np.int64)
-    for bits in sorted(set(WIDTHS), reverse=True):
-        width[values < np.uint64(1 << bits)] = bits
-    room = np.minimum(block - np.arange(n) % block, n - np.arange(n))  # left in the block
-    # The best selector from each place on: the first whose run of values is narrow enough.
-    selector = np.full(n, len(COUNTS) - 2, np.int64)
-    open_ = ~big
-    selector[big] = ESCAPE
-    for s, (count, bits) in enumerate(zip(COUNTS[:-2], WIDTHS[:-2], strict=True)):
-        wide = np.concatenate([[0], np.cumsum(width > bits)])
-        end = np.minimum(np.arange(n) + count, n)
-        fits = open_ & (wide[end] == wide[:-1]) & (room >= count)
-        selector[fits] = s
-        open_ &= ~fits
+    # Bits of each value, with room after each block that fits no word.
+    bits = np.full((blocks, block + COUNTS[0]), 255, np.uint8)
+    flat = np.full(blocks * block, 255, np.uint8)
+    flat[:n] = np.select([values < np.uint64(1 << b) for b in _WIDTHS], _WIDTHS, 61)
+    bits[:, :block] = flat.reshape(blocks, block)
+    # The widest value of the run of each length from each place on; the longest that fits is best.
+    selector = np.where(flat.reshape(blocks, block) > 60, ESCAPE, ESCAPE - 1).astype(np.uint8)
+    widest, length = bits, 1
+    for s in range(ESCAPE - 2, -1, -1):
+        more = COUNTS[s] - length
+        while more:
+            step = min(more, length)
+            widest = np.maximum(widest[:, : widest.shape[1] - step], widest[:, step:])
+            length, more = length + step, more - step
+        np.copyto(selector, np.uint8(s), where=widest[:, :block] <= WIDTHS[s])
+    selector = selector.reshape(-1)
     taken = np.array(COUNTS)[selector]
     # Follow the words of all blocks side by side.
-    start = np.arange(blocks) * block
-    stop = np.minimum(start + block, n)
-    at, alive, steps = start.copy(), np.arange(blocks), []
-    while len(alive):
-        steps.append((alive, at[alive]))
-        at[alive] += taken[at[alive]]
-        alive = alive[at[alive] < stop[alive]]
-    owner = np.concatenate([a for a, _ in steps])
-    place = np.concatenate([p for _, p in steps])
-    place = np.sort(place)  # places grow with the block, so this is block order
-    counts = np.bincount(owner, minlength=blocks)
+    at = np.arange(blocks) * block
+    stop = np.minimum(at + block, n)
+    begins = np.zeros(n, bool)
+    while len(at):
+        begins[at] = True
+        at = at + taken[at]
+        going = at < stop
+        at, stop = at[going], stop[going]
+    place = np.flatnonzero(begins)
+    counts = np.bincount(place // block, minlength=blocks)
     chosen = selector[place]
     words = chosen.astype(np.uint64) << np.uint64(60)
-    for s, (count, bits) in enumerate(zip(COUNTS[:-1], WIDTHS[:-1], strict=True)):
+    for s, (count, width) in enumerate(zip(COUNTS[:-1], WIDTHS[:-1], strict=True)):
         at_s = np.flatnonzero(chosen == s)
-        for i in range(count):
-            words[at_s] |= values[place[at_s] + i] << np.uint64(bits * i)
-    large = np.flatnonzero(big)
+        for i in range(count if len(at_s) else 0):
+            words[at_s] |= values[place[at_s] + i] << np.uint64(width * i)
+    large = np.flatnonzero(values > _PAYLOAD)
     larges = np.bincount(large // block, minlength=blocks)
     rank = np.arange(len(large)) - np.concatenate([[0], np.cumsum(larges)])[large // block]
     words[chosen == ESCAPE] |= rank.astype(np.uint64)
@@ -157,7 +186,7 @@ def decode(data: bytes, first_block: int = 0, last_block: int | None = None) ->
     for s, (count, bits) in enumerate(zip(COUNTS[:-1], WIDTHS[:-1], strict=True)):
         at_s = np.flatnonzero(chosen == s)
         mask = np.uint64((1 << bits) - 1)
-        for i in range(count):
+        for i in range(count if len(at_s) else 0):
             out[place[at_s] + i] = (words[at_s] >> np.uint64(bits * i)) & mask
     at_s = np.flatnonzero(chosen == ESCAPE)
     if len(at_s):
@@ -207,7 +236,8 @@ def write_ids(
             yield _file_row(shard, row, before, names, blobs)
 
     schema = "shard int, row int, before long, n_ids long, doc_ids array<long>, lengths array<long>, ids binary"
-    rows.mapInArrow(pack, schema).write.parquet(path)
+    with small_batches(spark):
+        rows.mapInArrow(pack, schema).write.parquet(path)
 
 
 def _file_row(shard: int, row: int, before: int, names: list, blobs: list[bytes]) -> pa.RecordBatch:
