@@ -7,6 +7,7 @@ from reconcile.functions.values import (
     is_numeric_text,
     literal,
     null_tokens,
+    number_text,
     quoted,
     round_decimal,
     scrub_carriage_returns,
@@ -24,6 +25,7 @@ __all__ = [
     "is_numeric_text",
     "literal",
     "null_tokens",
+    "number_text",
     "quoted",
     "round_decimal",
     "scrub_carriage_returns",

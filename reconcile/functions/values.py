@@ -24,6 +24,15 @@ CARRIAGE_RETURN_REFERENCE = "&#x0D;"
 
 CLOCK_TEXT = r"^([01]\d|2[0-3]):[0-5]\d:[0-5]\d$"
 
+# A date, with at most a midnight after it.
+DATE_TEXT = r"^\s*\d{4}-\d{1,2}-\d{1,2}([ T]00:00(:00(\.0+)?)?)?\s*$"
+
+# The element that a document is put into to be checked; no document may close it.
+XML_WRAPPER = "reconcile_document"
+
+# What may stand before the root of an XML document and is no part of it.
+XML_PROLOG = r"^\s*(<\?xml[^>]*\?>)?\s*(<!DOCTYPE[^>\[]*(\[[^\]]*\])?\s*>)?"
+
 
 def quoted(name: str) -> str:
     """A column name as SQL."""
@@ -37,6 +46,8 @@ def literal(text: str) -> str:
 
 def null_tokens(value: str, tokens: Sequence[str] = NULL_TOKENS) -> str:
     """The value, or NULL where it is one of ``tokens``."""
+    if not tokens:
+        return value
     return f"CASE WHEN {value} NOT IN ({', '.join(map(literal, tokens))}) THEN {value} END"
 
 
@@ -53,16 +64,17 @@ def flag_to_int(value: str, dtype: T.DataType) -> str:
 
 
 def date_only(value: str, dtype: T.DataType) -> str:
-    """The date; text that is no date becomes NULL."""
+    """The date. Text becomes the date's one spelling, and stays as it is where it is no date."""
     if isinstance(dtype, T.StringType):
-        return f"try_to_date({value}, 'yyyy-MM-dd')"
+        return f"coalesce(CAST(CASE WHEN {value} RLIKE r'{DATE_TEXT}' THEN try_cast({value} AS date) END AS string), {value})"
     return f"CAST({value} AS date)"
 
 
 def time_to_second(value: str) -> str:
-    """``HH:mm:ss`` without the fraction; text that is no time becomes NULL."""
-    clock = f"split_part(CAST({value} AS string), '.', 1)"
-    return f"CASE WHEN {clock} RLIKE r'{CLOCK_TEXT}' THEN {clock} END"
+    """``HH:mm:ss`` without the fraction; text that is no time stays as it is."""
+    text = f"CAST({value} AS string)"
+    clock = f"split_part({text}, '.', 1)"
+    return f"CASE WHEN {clock} RLIKE r'{CLOCK_TEXT}' THEN {clock} ELSE {text} END"
 
 
 def decimal_value(value: str, dtype: T.DataType, scale: int) -> str:
@@ -107,6 +119,31 @@ def strip_parentheses(value: str) -> str:
 
 
 def well_formed_xml(value: str) -> str:
-    """True for well-formed XML and for NULL."""
-    parsed = f"from_xml({value}, '_corrupt_record string', map('mode', 'PERMISSIVE'))"
-    return f"({value} IS NULL OR ({parsed})._corrupt_record IS NULL)"
+    """True for NULL and for a well-formed document: one root, and no text beside it.
+
+    The parser stops at the end of the first element, so the document is put into one of its
+    own. The paths are tried only where that parses, as they fail on anything else.
+    """
+    root = XML_WRAPPER
+    wrapped = f"concat('<{root}>', regexp_replace({value}, r'{XML_PROLOG}', ''), '</{root}>')"
+    parsed = f"(from_xml({wrapped}, '_corrupt_record string', map('mode', 'PERMISSIVE')))._corrupt_record IS NULL"
+    alone = f"xpath_int({wrapped}, 'count(/{root}/*)') = 1"
+    alone += f" AND xpath_int({wrapped}, 'count(/{root}/text()[normalize-space()])') = 0"
+    closes = f"contains({value}, '</{root}')"
+    return f"CASE WHEN {value} IS NULL THEN true WHEN {closes} THEN false WHEN {parsed} THEN {alone} ELSE false END"
+
+
+def number_text(value: str, dtype: T.DataType) -> str:
+    """The number's digits as text, alike for equal numbers of any type.
+
+    A whole or decimal number has all its digits, a binary one those that tell it from its
+    neighbours.
+    """
+    text = f"CAST({value} AS string)"
+    if isinstance(dtype, (T.FloatType, T.DoubleType)):
+        exact = f"try_cast({text} AS decimal(38,18))"
+        kept = f"CAST({exact} AS {dtype.simpleString()}) = {value}"
+        text = f"CASE WHEN {exact} IS NOT NULL AND {kept} THEN CAST({exact} AS string) ELSE {text} END"
+    # A decimal of many places is written with an exponent where it is zero.
+    plain = rf"regexp_replace(regexp_replace({text}, r'^(-?)0E-\d+$', '0'), r'(\.\d*?)0+$', '$1')"
+    return rf"regexp_replace(regexp_replace({plain}, r'\.$', ''), '^-0$', '0')"

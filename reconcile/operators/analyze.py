@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -92,12 +93,32 @@ def keyword_verdict(texts: DataFrame, object_id: str, text: str, keywords: Seque
 
 
 def _keyword_hits(texts: DataFrame, object_id: str, text: str, keywords: Sequence[str]) -> DataFrame:
-    """Counts per object and keyword, and one row with a NULL keyword for objects without any."""
-    wanted = [k.lower() for k in keywords]
-    words = F.regexp_extract_all(F.lower(F.col(f"`{text}`")), F.lit("[a-z0-9_]+"), F.lit(0))
-    found = F.filter(words, lambda word: word.isin(*wanted))
+    """Counts per object and keyword, and one row with a NULL keyword for objects without any.
+
+    Plain words are found among the words of the text. A keyword of several words, or with other
+    signs, is looked for in the text itself, with any white space between its words and no
+    letter, digit or underscore right beside it.
+    """
+    wanted = sorted({" ".join(k.lower().split()) for k in keywords})
+    if "" in wanted:
+        raise ValueError("a keyword is empty")
+    plain = [k for k in wanted if re.fullmatch("[a-z0-9_]+", k)]
+    low = F.lower(F.col(f"`{text}`"))
+    words = F.regexp_extract_all(low, F.lit("[a-z0-9_]+"), F.lit(0))
+    found = F.filter(words, lambda word: word.isin(*plain))
+    for keyword in wanted:
+        if keyword not in plain:
+            hits = F.size(F.regexp_extract_all(low, F.lit(_pattern(keyword)), F.lit(0)))
+            found = F.concat(found, F.array_repeat(F.lit(keyword), F.greatest(hits, F.lit(0))))
     return (
         texts.select(F.col(f"`{object_id}`"), F.explode_outer(found).alias("keyword"))
         .groupBy(f"`{object_id}`", "keyword")
         .agg(F.count(F.lit(1)).alias("hits"))
     )
+
+
+def _pattern(keyword: str) -> str:
+    parts = r"\s+".join("".join(c if c.isalnum() or c == "_" else f"\\{c}" for c in word) for word in keyword.split())
+    before = r"(?<![a-z0-9_])" if keyword[0].isalnum() or keyword[0] == "_" else ""
+    after = r"(?![a-z0-9_])" if keyword[-1].isalnum() or keyword[-1] == "_" else ""
+    return before + parts + after

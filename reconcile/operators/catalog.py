@@ -46,8 +46,13 @@ def usage_rows(key_usage: DataFrame) -> DataFrame:
 
 
 def constraint_rows(constraints: DataFrame) -> DataFrame:
+    """Constraints from a scan of the constraint view, for ``key_columns``."""
     return constraints.select(
-        F.col("CONSTRAINT_NAME").alias("constraint_name"), F.col("CONSTRAINT_TYPE").alias("constraint_type")
+        F.col("CONSTRAINT_NAME").alias("constraint_name"),
+        F.col("TABLE_CATALOG").alias("database"),
+        F.col("TABLE_SCHEMA").alias("schema"),
+        F.col("TABLE_NAME").alias("table"),
+        F.col("CONSTRAINT_TYPE").alias("constraint_type"),
     )
 
 
@@ -62,7 +67,9 @@ def describe(df: DataFrame, database: str, schema: str, table: str) -> DataFrame
     )
 
 
-# Columns that are aggregated together; beyond some dozens, code generation gives up.
+# Columns that are aggregated together; beyond some dozens, code generation gives up. A columnar
+# source reads each column once all the same. One that is not, such as CSV or a database, is read
+# once for every so many columns: stage a wide one first.
 COLUMNS_PER_PASS = 50
 
 
@@ -109,14 +116,18 @@ def _profile(df: DataFrame, columns: list[tuple[int, T.StructField]]) -> DataFra
 def key_columns(constraints: DataFrame, usage: DataFrame) -> DataFrame:
     """Primary-key columns per table, one row each, and the key as one text.
 
-    ``constraints`` has constraint_name and constraint_type, ``usage`` has
-    constraint_name, database, schema, table, column and ordinal. A key is known by its
-    type, or by a name that starts with ``pk`` in any case. The text gathers the columns
-    of one key, whose number the source system limits.
+    ``constraints`` has constraint_name, database, schema, table and constraint_type,
+    ``usage`` has constraint_name, database, schema, table, column and ordinal. A key is known
+    by its type. Where a table has none of that type, its first constraint by a name that
+    starts with ``pk`` in any case is taken. The text gathers the columns of one key, whose
+    number the source system limits.
     """
-    keys = usage.join(constraints, "constraint_name").filter(
-        (F.col("constraint_type") == "PRIMARY KEY") | F.col("constraint_name").ilike("pk%")
-    )
+    by_type = F.col("constraint_type") == "PRIMARY KEY"
+    keys = constraints.filter(by_type | (F.col("constraint_name").ilike("pk%") & (F.col("constraint_type") != "FOREIGN KEY")))
+    # One constraint a table: false comes before true, and names in order.
+    chosen = keys.groupBy(*TABLE).agg(F.min(F.struct(~by_type, "constraint_name")).alias("_key"))
+    chosen = chosen.select(*TABLE, F.col("_key.constraint_name").alias("constraint_name"))
+    keys = usage.join(chosen, [*TABLE, "constraint_name"])
     return keys.groupBy(*TABLE).agg(
         F.count(F.lit(1)).alias("key_size"),
         F.expr("listagg(upper(column), ',') within group (order by ordinal)").alias("key_columns"),

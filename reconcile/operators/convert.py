@@ -2,33 +2,39 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from reconcile.functions import flag_to_int, null_tokens, quoted, scrub_carriage_returns
+from reconcile.functions import NULL_TOKENS, flag_to_int, null_tokens, quoted, scrub_carriage_returns
 
 
-def convert(df: DataFrame, source_types: Mapping[str, str], spark_types: Mapping[str, str] | None = None) -> DataFrame:
+def convert(
+    df: DataFrame,
+    source_types: Mapping[str, str],
+    spark_types: Mapping[str, str] | None = None,
+    tokens: Sequence[str] = NULL_TOKENS,
+) -> DataFrame:
     """Scrub XML, turn flags into 0/1, remove null tokens, and cast to the mapped types.
 
     ``source_types`` are the declared types by column; ``spark_types`` the types to load.
     Text that does not cast becomes NULL here. To have it rejected instead, give no
-    ``spark_types`` and load the rows with ``check_rows``.
+    ``spark_types`` and load the rows with ``check_rows``. ``tokens`` are the texts that stand
+    for NULL; give none to move such texts as they are.
     """
     return df.selectExpr(
         *[
-            f"{_converted(f, source_types.get(f.name, '').lower(), (spark_types or {}).get(f.name))} AS {quoted(f.name)}"
+            f"{_converted(f, source_types.get(f.name, '').lower(), (spark_types or {}).get(f.name), tokens)} AS {quoted(f.name)}"
             for f in df.schema.fields
         ]
     )
 
 
-def _converted(field: T.StructField, source_type: str, spark_type: str | None) -> str:
+def _converted(field: T.StructField, source_type: str, spark_type: str | None, tokens: Sequence[str]) -> str:
     value = quoted(field.name)
     if isinstance(field.dataType, T.StringType):
-        value = null_tokens(value)
+        value = null_tokens(value, tokens)
         if source_type == "xml":
             value = scrub_carriage_returns(value)
     if source_type == "bit":

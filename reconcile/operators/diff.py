@@ -21,14 +21,16 @@ from reconcile.functions import (
     flag_to_int,
     literal,
     null_tokens,
+    number_text,
     quoted,
     time_to_second,
     well_formed_xml,
 )
 from reconcile.session import write_through
 
-SOURCE_COPIES = "source_copies"
-TARGET_COPIES = "target_copies"
+# Added to rows while they are compared.
+SOURCE_COPIES = "_source_copies"
+TARGET_COPIES = "_target_copies"
 
 CHANGED = "changed"
 MISSING = "missing_in_target"
@@ -36,14 +38,20 @@ EXTRA = "extra_in_target"
 AMBIGUOUS = "ambiguous"
 
 
-def normalize(df: DataFrame, types: Mapping[str, str] | None = None) -> DataFrame:
+def normalize(df: DataFrame, types: Mapping[str, str] | None = None, xml_by_validity: bool = False) -> DataFrame:
     """Bring the values of one side to the form in which sides are compared.
 
     ``types`` gives target types by column name, in any case: ``DATE``, ``TIME(n)``,
-    ``NUMBER(p,s)``, ``BOOLEAN`` or ``VARIANT``. Null tokens are removed from all text.
+    ``NUMBER(p,s)``, ``BOOLEAN`` or ``VARIANT``. Null tokens are removed from all text. Text
+    that is no value of its type stays as it is, so that it differs from NULL and other text.
+    XML documents are compared by their text; with ``xml_by_validity`` all well-formed ones of
+    a ``VARIANT`` column count as equal, for a target that does not keep their text.
     """
     wanted = {name.upper(): text.upper().strip() for name, text in (types or {}).items()}
-    return df.selectExpr(*[_normalized(f, wanted.get(f.name.upper(), "")) for f in df.schema.fields])
+    kinds = {f.name: wanted.get(f.name.upper(), "") for f in df.schema.fields}
+    if not xml_by_validity:
+        kinds = {name: "" if kind == "VARIANT" else kind for name, kind in kinds.items()}
+    return df.selectExpr(*[_normalized(f, kinds[f.name]) for f in df.schema.fields])
 
 
 def _normalized(field: T.StructField, target_type: str) -> str:
@@ -73,7 +81,8 @@ def _in_type(value: str, dtype: T.DataType, target_type: str) -> str:
 def aligned(source: DataFrame, target: DataFrame, exclude: Sequence[str] = ()) -> tuple[list[str], list[str]]:
     """Select lists that give both sides the source's columns, in one type each.
 
-    Columns are matched by name in any case.
+    Columns are matched by name in any case. A column that only one side has is an error
+    unless it is excluded: tables of different columns are not equal.
     """
     skip = {name.upper() for name in exclude}
     by_name = {f.name.upper(): f for f in target.schema.fields}
@@ -87,29 +96,44 @@ def aligned(source: DataFrame, target: DataFrame, exclude: Sequence[str] = ()) -
         common = _common_type(field.dataType, other.dataType)
         left.append(_as(field, common, field.name))
         right.append(_as(other, common, field.name))
+    known = skip | {f.name.upper() for f in source.schema.fields}
+    more = [f.name for f in target.schema.fields if f.name.upper() not in known]
+    if more:
+        raise ValueError(f"source has no column {', '.join(more)}")
     return left, right
 
 
-def _as(field: T.StructField, dtype: T.DataType, name: str) -> str:
+def _as(field: T.StructField, dtype: T.DataType | None, name: str) -> str:
     value = quoted(field.name)
-    if field.dataType != dtype:
+    if dtype is None:
+        value = number_text(value, field.dataType)
+    elif field.dataType != dtype:
         value = f"CAST({value} AS {dtype.simpleString()})"
     return f"{value} AS {quoted(name)}"
 
 
-def _common_type(a: T.DataType, b: T.DataType) -> T.DataType:
+def _common_type(a: T.DataType, b: T.DataType) -> T.DataType | None:
+    """A type that holds the values of both; None for numbers that only text holds exactly."""
     if a == b:
         return a
+    if isinstance(a, T.BooleanType) and isinstance(b, T.NumericType):
+        return b
+    if isinstance(b, T.BooleanType) and isinstance(a, T.NumericType):
+        return a
     if isinstance(a, T.IntegralType) and isinstance(b, T.IntegralType):
         return T.LongType()
     if isinstance(a, T.NumericType) and isinstance(b, T.NumericType):
         if any(isinstance(t, (T.FloatType, T.DoubleType)) for t in (a, b)):
-            return T.DoubleType()
+            # A double holds every int and float, but not every bigint or decimal.
+            return None if any(isinstance(t, (T.LongType, T.DecimalType)) for t in (a, b)) else T.DoubleType()
         (whole_a, scale_a), (whole_b, scale_b) = _digits(a), _digits(b)
         scale = max(scale_a, scale_b)
-        return T.DecimalType(min(38, max(whole_a, whole_b) + scale), scale)
+        digits = max(whole_a, whole_b) + scale
+        return T.DecimalType(digits, scale) if digits <= 38 else None
     if {type(a), type(b)} == {T.DateType, T.TimestampNTZType}:
         return T.TimestampNTZType()
+    if {type(a), type(b)} <= {T.DateType, T.TimestampNTZType, T.TimestampType}:
+        return T.TimestampType()
     return T.StringType()
 
 
@@ -123,6 +147,8 @@ def _digits(dtype: T.DataType) -> tuple[int, int]:
 def signed_rows(source: DataFrame, target: DataFrame, exclude: Sequence[str] = ()) -> DataFrame:
     """Every distinct row of both sides with its number of copies on each."""
     left, right = aligned(source, target, exclude)
+    if {SOURCE_COPIES, TARGET_COPIES} & {c.lower() for c in source.columns}:
+        raise ValueError(f"rename columns {SOURCE_COPIES} and {TARGET_COPIES}, which the comparison uses itself")
     ours = source.selectExpr(*left, f"1 AS {SOURCE_COPIES}", f"0 AS {TARGET_COPIES}")
     theirs = target.selectExpr(*right, f"0 AS {SOURCE_COPIES}", f"1 AS {TARGET_COPIES}")
     return ours.unionAll(theirs).groupBy(*map(quoted, ours.columns[:-2])).agg(
@@ -160,7 +186,8 @@ def pair_by_key(surplus: DataFrame, keys: Sequence[str]) -> DataFrame:
     rows themselves are all in ``diff_multiset``.
     """
     keys = _actual(surplus, keys)
-    taken = {"status", "missing_rows", "extra_rows", "source_row", "target_row", "column_name"} & set(keys)
+    used = {"status", "missing_rows", "extra_rows", "source_row", "target_row", "column_name"}
+    taken = {k for k in keys if k.lower() in used}
     if taken:
         raise ValueError(f"rename key columns {sorted(taken)}, which the result uses itself")
     missing = F.col(SOURCE_COPIES) - F.col(TARGET_COPIES)
@@ -182,14 +209,17 @@ def pair_by_key(surplus: DataFrame, keys: Sequence[str]) -> DataFrame:
     return paired.withColumn("status", status)
 
 
-def cells_of(surplus: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One row per differing cell of the keys that have one row on each side."""
+def cells_of(surplus: DataFrame, keys: Sequence[str], names: Mapping[str, str] | None = None) -> DataFrame:
+    """One row per differing cell of the keys that have one row on each side.
+
+    ``names`` gives the names to report for columns that go by others in the frame.
+    """
     pairs = pair_by_key(surplus, keys).filter(F.col("status") == CHANGED)
     cells = []
     for c in pairs.schema["source_row"].dataType.names:
         left, right = f"source_row.{quoted(c)}", f"target_row.{quoted(c)}"
         cells.append(
-            f"named_struct('column_name', {literal(c)}, 'source_value', CAST({left} AS string), "
+            f"named_struct('column_name', {literal((names or {}).get(c, c))}, 'source_value', CAST({left} AS string), "
             f"'target_value', CAST({right} AS string), 'differs', NOT ({left} <=> {right}))"
         )
     differing = f"inline(filter(array({', '.join(cells)}), cell -> cell.differs))"
@@ -216,30 +246,20 @@ def diff_missing_extra(
     return diff_keys(surplus_rows(source, target, exclude), keys, MISSING, EXTRA)
 
 
-def summarize_cells(cells: DataFrame, keys: Sequence[str], sample: int = 5) -> DataFrame:
-    """Mismatches per column with the first ``sample`` keys as examples.
-
-    The complete list is ``cells`` itself. The rank keeps only ``sample`` rows per column
-    in each task before the shuffle, however many cells of one column differ.
-    """
-    counts = cells.groupBy("column_name").agg(F.count(F.lit(1)).alias("mismatches"))
-    order = Window.partitionBy("column_name").orderBy(*map(quoted, keys))
-    first = cells.select("column_name", *map(quoted, keys)).withColumn("rank", F.row_number().over(order))
-    samples = (
-        first.filter(F.col("rank") <= sample)
-        .select("column_name", "rank", key_text(keys).alias("key_text"))
-        .groupBy("column_name")
-        .agg(F.expr("listagg(key_text, ', ') within group (order by rank)").alias("sample_keys"))
-    )
-    return counts.join(samples, "column_name", "left")
+def summarize_cells(cells: DataFrame) -> DataFrame:
+    """Mismatches per column. Which rows they are in is the complete list, ``cells`` itself."""
+    return cells.groupBy("column_name").agg(F.count(F.lit(1)).alias("mismatches"))
 
 
 def key_text(keys: Sequence[str]) -> Column:
-    """The values of a key as one text."""
-    return F.expr("concat_ws('|', " + ", ".join(f"coalesce(CAST({quoted(k)} AS string), 'NULL')" for k in keys) + ")")
+    """The values of a key as one text, different for different keys."""
+    values = ", ".join(f"CAST({quoted(k)} AS string)" for k in keys)
+    return F.expr(f"to_json(array({values}))")
 
 
-def with_ordinals(df: DataFrame, order_by: Sequence[str] = (), name: str = "row_number") -> DataFrame:
+def with_ordinals(
+    df: DataFrame, order_by: Sequence[str] = (), name: str = "row_number", ties: bool = True
+) -> DataFrame:
     """Number the rows from 1 without putting them all into one task.
 
     Rows are range-partitioned and sorted by ``order_by``, which should be a total order;
@@ -249,10 +269,14 @@ def with_ordinals(df: DataFrame, order_by: Sequence[str] = (), name: str = "row_
 
     Rows that tie are ordered by a hash of their content, and copies of one row by an id.
     So no value, however frequent, has to stay in one partition. The id is written with
-    the rows first; a task that runs again then finds the same one.
+    the rows first; a task that runs again then finds the same one. A caller who knows that
+    no rows tie, as ``key_profile`` tells, says so with ``ties``: there is one write less.
     """
     columns = list(map(quoted, df.columns))
-    if order_by:
+    if order_by and not ties:
+        order = list(map(quoted, order_by))
+        df = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    elif order_by:
         kept = write_through(df.withColumn("_id", F.monotonically_increasing_id()), "unordered")
         order = [*map(quoted, order_by), "_hash", "_id"]
         hashed = kept.withColumn("_hash", F.expr(f"xxhash64({', '.join(columns)})"))
@@ -272,10 +296,26 @@ def with_ordinals(df: DataFrame, order_by: Sequence[str] = (), name: str = "row_
 
 
 def diff_positional(
-    source: DataFrame, target: DataFrame, order_by: Sequence[str], name: str = "row_number"
+    source: DataFrame, target: DataFrame, order_by: Sequence[str], name: str = "row_number", ties: bool = True
 ) -> DataFrame:
-    """Differing cells of rows at the same 1-based position in the given total order."""
-    return diff_cells(with_ordinals(source, order_by, name), with_ordinals(target, order_by, name), [name])
+    """Differing cells of rows at the same 1-based position in the given total order.
+
+    A position that only the longer side has is one row without a column name; its values are
+    those of the whole row, as a JSON array in the order of the columns.
+    """
+    surplus = surplus_rows(with_ordinals(source, order_by, name, ties), with_ordinals(target, order_by, name, ties))
+    rows = pair_by_key(surplus, [name]).filter(F.col("status").isin(MISSING, EXTRA))
+    fields = surplus.columns[:-2]
+
+    def whole(row: str) -> str:
+        values = ", ".join(f"CAST({row}.{quoted(c)} AS string)" for c in fields if c != name)
+        return f"CASE WHEN {row} IS NOT NULL THEN to_json(array({values})) END"
+
+    alone = rows.selectExpr(
+        quoted(name), "CAST(NULL AS string) AS column_name",
+        f"{whole('source_row')} AS source_value", f"{whole('target_row')} AS target_value",
+    )
+    return cells_of(surplus, [name]).unionByName(alone)
 
 
 def differing_totals(source: DataFrame, target: DataFrame, exclude: Sequence[str] = ()) -> DataFrame:

@@ -5,8 +5,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 
 
 def union_all(frames: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
+
+
+def condition_of(error: Exception) -> str:
+    """A short name for any error, for a report."""
+    condition = error.getCondition() if isinstance(error, PySparkException) else None
+    return condition or type(error).__name__

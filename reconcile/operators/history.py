@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reconcile.functions import quoted
@@ -13,8 +13,8 @@ START, END, ACTIVE = "START_TIME", "END_TIME", "ACTIVE"
 # Fixed value: end of rows that are still open.
 OPEN_END = "9999-12-31 00:00:00"
 
-# Copies of one row that a single task writes out.
-COPIES_PER_TASK = 100_000
+# Copies of one row that are written out together; the blocks of a row are spread over tasks.
+COPIES_PER_BLOCK = 100_000
 
 
 def history_start(snapshot: DataFrame, at: Column) -> DataFrame:
@@ -31,7 +31,8 @@ def history_apply(history: DataFrame, snapshot: DataFrame, at: Column) -> DataFr
     their number changes, the old copies are closed and the new ones opened.
     """
     columns = [quoted(c) for c in history.columns if c not in (START, END, ACTIVE)]
-    is_open = F.col(ACTIVE) == "Y"
+    # A row without a flag is not open.
+    is_open = F.col(ACTIVE).eqNullSafe("Y")
     # Closed rows never change, so they skip the shuffle.
     closed = history.filter(~is_open)
     still_open = history.filter(is_open)
@@ -60,18 +61,42 @@ def history_apply(history: DataFrame, snapshot: DataFrame, at: Column) -> DataFr
 
 
 def with_copies(df: DataFrame, copies: str) -> DataFrame:
-    """Each row as often as ``copies`` says. Very many copies are written by several tasks."""
+    """Each row as often as ``copies`` says, however often that is.
+
+    A row becomes one or more blocks of copies, which are dealt out before they are written
+    out, so that a row of very many copies is the work of many tasks.
+    """
     n = F.col(quoted(copies))
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    few = df.filter(n <= COPIES_PER_TASK).select("*", F.explode(F.sequence(F.lit(1), n)).alias("_copy"))
-    many = (
-        df.filter(n > COPIES_PER_TASK)
-        .select("*", F.explode(F.sequence(F.lit(1).cast("bigint"), n, F.lit(COPIES_PER_TASK).cast("bigint"))).alias("_from"))
-        .repartition(tasks, *map(quoted, df.columns), "_from")
-        .select("*", F.explode(F.sequence(F.col("_from"), F.least(n, F.col("_from") + COPIES_PER_TASK - 1))).alias("_copy"))
-        .drop("_from")
-    )
-    return few.unionByName(many).drop("_copy", copies)
+    starts = F.sequence(F.lit(1).cast("bigint"), n, F.lit(COPIES_PER_BLOCK).cast("bigint"))
+    blocks = df.select("*", F.explode(starts).alias("_from"))
+    dealt = blocks.repartition(tasks, *map(quoted, df.columns), "_from")
+    last = F.least(n, F.col("_from") + COPIES_PER_BLOCK - 1)
+    return dealt.select("*", F.explode(F.sequence(F.col("_from"), last)).alias("_copy")).drop("_from", "_copy", copies)
+
+
+def store_history(history: DataFrame, root: str) -> str:
+    """Write the next version of a history beside the last one under ``root``; its folder.
+
+    The version before stays readable while and after the new one is written, also by the job
+    that writes it, and a write that fails leaves it the newest.
+    """
+    spark = history.sparkSession
+    path = f"{root}/version={_newest(spark, root) + 1:08d}"
+    history.write.parquet(path)
+    return path
+
+
+def read_history(spark: SparkSession, root: str) -> DataFrame | None:
+    """The newest version that was written in whole, or None if there is none."""
+    newest = _newest(spark, root)
+    return spark.read.parquet(f"{root}/version={newest:08d}") if newest else None
+
+
+def _newest(spark: SparkSession, root: str) -> int:
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/version=*/_SUCCESS")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
+    return max((int(f.getPath().getParent().getName().partition("=")[2]) for f in found), default=0)
 
 
 def _open_end() -> Column:

@@ -20,23 +20,30 @@ def compare_schema(expected: DataFrame, actual: DataFrame, type_column: str = "r
     has more than once, in different cases, are reported as one that does not match.
     """
     name = F.upper("column").alias("_name")
+    # Targets often spell all names in upper case, so tables too are matched in any case.
+    table = F.upper(F.concat_ws(".", *TABLE)).alias("_table")
     left = expected.select(
-        *TABLE, name, F.struct("ordinal", "data_type", F.col(type_column).alias("type")).alias("_expected")
+        table, F.concat_ws(".", *TABLE).alias("_as"), name, F.struct("ordinal", "data_type", F.col(type_column).alias("type")).alias("_expected")
     )
-    right = actual.select(*TABLE, name, F.struct("ordinal", "type").alias("_actual"))
+    right = actual.select(table, F.concat_ws(".", *TABLE).alias("_as_there"), name, F.struct("ordinal", "type").alias("_actual"))
     # Grouping instead of joining: names that are alike but for case are not paired up.
-    both = left.unionByName(right, allowMissingColumns=True).groupBy(*TABLE, "_name").agg(
+    both = left.unionByName(right, allowMissingColumns=True).groupBy("_table", "_name").agg(
         F.min("_expected").alias("_expected"),
         F.min("_actual").alias("_actual"),
         F.count("_expected").alias("_left"),
         F.count("_actual").alias("_right"),
+        F.min("_as").alias("_as"),
+        F.min("_as_there").alias("_as_there"),
     )
+    # One spelling for all columns of a table: the expected one, where there is any.
+    named = both.groupBy("_table").agg(F.coalesce(F.min("_as"), F.min("_as_there")).alias("_shown"))
+    both = both.join(named, "_table")
 
     def flag(condition):
         return F.when(condition, "True").otherwise("False")
 
     return both.select(
-        F.concat_ws(".", *TABLE).alias("Table_name"),
+        F.col("_shown").alias("Table_name"),
         F.col("_name").alias("column_name"),
         F.col("_expected.data_type").alias("SQL_Datatype"),
         F.col("_actual.type").alias("Snowflake_Datatype"),

@@ -3,26 +3,21 @@
 from __future__ import annotations
 
 import datetime as dt
-import decimal
-import json
 from collections.abc import Callable, Iterable, Mapping
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark import inheritable_thread_target
-from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from reconcile.functions import round_decimal
+from reconcile.operators.frames import condition_of
 from reconcile.operators.diff import SOURCE_COPIES, TARGET_COPIES, signed_rows, with_ordinals
+from reconcile.plans.reports import append_report
 
 PASS, FAIL, ERROR = "PASS", "FAIL", "ERROR"
 
-# Distinct rows up to which a result is shown as text in the report.
-SHOWN_ROWS = 1_000
-
 RESULT_SCHEMA = (
     "case_no int, source_table_name string, target_table_name string, test_case string, "
     "source_table_result string, target_table_result string, status string, "
@@ -75,8 +70,8 @@ def run_test_cases(
 ) -> DataFrame:
     """One report row per case. A case that cannot run is reported with status ERROR.
 
-    Results are compared where they are, as distributed tables; a report row takes their
-    text only while it is short, and otherwise their number of rows.
+    Results are compared where they are, as distributed tables. A report row has the number
+    of rows of either result; the rows themselves are in ``result_rows``.
     """
 
     def one(numbered: tuple[int, TestCase]) -> tuple:
@@ -84,8 +79,8 @@ def run_test_cases(
         started = dt.datetime.now(dt.timezone.utc)
         try:
             status, left, right = _compare(case, source, target)
-        except PySparkException as error:
-            status, left, right = ERROR, None, error.getCondition() or type(error).__name__
+        except Exception as error:  # noqa: BLE001  whatever a case meets is its result
+            status, left, right = ERROR, None, condition_of(error)
         ended = dt.datetime.now(dt.timezone.utc)
         return (number, case.table, case.table.upper(), case.sql, left, right, status, started, ended)
 
@@ -117,31 +112,41 @@ def _compare(case: TestCase, source: SparkSession, target: SparkSession) -> tupl
     rows = case_results(case, source, target)
     if rows is None:
         return FAIL, "columns differ in number", "columns differ in number"
-    values = [c for c in rows.columns if c not in (SOURCE_COPIES, TARGET_COPIES)]
-    shown = rows.orderBy(*values).limit(SHOWN_ROWS + 1).collect()
-    if len(shown) > SHOWN_ROWS:
-        return _totals(rows)
-    equal = all(r[SOURCE_COPIES] == r[TARGET_COPIES] for r in shown)
-    texts = [_text(shown, values, side) for side in (SOURCE_COPIES, TARGET_COPIES)]
-    return (PASS if equal else FAIL), *texts
-
-
-def _totals(rows: DataFrame) -> tuple[str, str, str]:
-    source, target, differing = rows.agg(
-        F.sum(SOURCE_COPIES), F.sum(TARGET_COPIES), F.count_if(F.col(SOURCE_COPIES) != F.col(TARGET_COPIES))
+    left, right, differing = rows.agg(
+        F.coalesce(F.sum(SOURCE_COPIES), F.lit(0)),
+        F.coalesce(F.sum(TARGET_COPIES), F.lit(0)),
+        F.count_if(F.col(SOURCE_COPIES) != F.col(TARGET_COPIES)),
     ).first()
-    return (FAIL if differing else PASS), f"{source} rows", f"{target} rows"
-
+    return (FAIL if differing else PASS), f"{left} rows", f"{right} rows"
 
-def _text(shown: list[T.Row], values: list[str], side: str) -> str:
-    columns = [c for c in values if c != "_at"]
-    total = sum(r[side] for r in shown)
-    if total > SHOWN_ROWS:
-        return f"{total} rows"
-    return json.dumps([[_plain(r[c]) for c in columns] for r in shown for _ in range(r[side])], ensure_ascii=False)
 
+def result_rows(number: int, case: TestCase, source: SparkSession, target: SparkSession) -> DataFrame | None:
+    """All rows of both results of a case: ``case_no, row_values, source_copies, target_copies``.
 
-def _plain(value):
-    if isinstance(value, (dt.date, dt.datetime, decimal.Decimal, bytes, bytearray)):
-        return str(value)
-    return value
+    ``row_values`` is a JSON array of the row's values as text; results compared in order have
+    the row's number first. None if the results differ in their number of columns.
+    """
+    rows = case_results(case, source, target)
+    if rows is None:
+        return None
+    values = [f"CAST({c} AS string)" for c in rows.columns if c not in (SOURCE_COPIES, TARGET_COPIES)]
+    return rows.selectExpr(
+        f"{int(number)} AS case_no", f"to_json(array({', '.join(values)})) AS row_values",
+        f"{SOURCE_COPIES} AS source_copies", f"{TARGET_COPIES} AS target_copies",
+    )
+
+
+def run_case_file(
+    spark: SparkSession, path: str, source: SparkSession, target: SparkSession, reports: str, run_id: str,
+    tables: Iterable[str] = (),
+) -> None:
+    """Run the cases of a file and append their verdicts and all result rows to the reports."""
+    cases = read_cases(spark, path, tables)
+    append_report(run_test_cases(spark, cases, source, target), reports, "test_results", run_id)
+    for number, case in enumerate(cases, start=1):
+        try:
+            rows = result_rows(number, case, source, target)
+            if rows is not None:
+                append_report(rows, reports, "test_result_rows", run_id)
+        except Exception:  # noqa: BLE001  the verdict of such a case is already in the report
+            continue

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reconcile.functions import literal, null_tokens, quoted
+from reconcile.functions.values import DATE_TEXT
 
 # Source type, target type, Spark type the column is loaded as.
 TYPE_MAP = [
@@ -141,7 +142,9 @@ WHOLE_RANGES = {
 def fits(value: str, dtype: T.DataType, declared: str) -> str:
     """Whether a non-null value fits a declared type such as ``varchar(8)`` or ``decimal(7,2)``.
 
-    Numbers are tested against the range of the type; a cast that fails costs far more.
+    A value fits only if the type holds all of it: no digit is rounded off, no fraction cut off
+    and no time of day lost. Numbers are tested against the range of the type; a cast that
+    fails costs far more.
     """
     name = " ".join(declared.lower().split()).replace(", ", ",")
     is_float = isinstance(dtype, (T.FloatType, T.DoubleType))
@@ -152,19 +155,40 @@ def fits(value: str, dtype: T.DataType, declared: str) -> str:
     digits = re.fullmatch(r"decimal\((\d+),(\d+)\)", name)
     if digits and isinstance(dtype, T.NumericType):
         precision, scale = int(digits.group(1)), int(digits.group(2))
-        return f"round(abs({value}), {scale}) < {_number(10 ** (precision - scale), is_float)}"
+        bound = f"abs({value}) < {_number(10 ** (precision - scale), is_float)}"
+        return f"({bound} AND round({value}, {scale}) = {value})"
     if name in WHOLE_RANGES and isinstance(dtype, T.NumericType):
         low, high = WHOLE_RANGES[name]
+        whole = "true" if isinstance(dtype, T.IntegralType) else f"{value} = floor({value})"
         if is_float:
-            # The cast cuts the fraction off, so values up to the next whole number fit.
-            above = f"({value} > {_number(low - 1, True)} OR {value} = {_number(low, True)})"
-            return f"{above} AND {value} < {_number(high + 1, True)}"
-        return f"{value} BETWEEN {_number(low, False)} AND {_number(high, False)}"
-    if name == UNSIGNED_TINYINT:
-        return f"coalesce(try_cast({value} AS smallint) BETWEEN 0 AND 255, false)"
+            # The first whole number beyond the range is a double, the last one within may be none.
+            return f"({value} >= {_number(low, True)} AND {value} < {_number(high + 1, True)} AND {whole})"
+        return f"({value} BETWEEN {_number(low, False)} AND {_number(high, False)} AND {whole})"
+    if isinstance(dtype, T.StringType) and (name in WHOLE_RANGES or digits):
+        return _text_fits(value, "smallint" if name == UNSIGNED_TINYINT else name, name == UNSIGNED_TINYINT)
+    if name == "date" and isinstance(dtype, T.StringType):
+        return f"({value} RLIKE r'{DATE_TEXT}' AND try_cast({value} AS date) IS NOT NULL)"
+    if name == "date" and isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
+        return f"{value} = date_trunc('day', {value})"
     return f"try_cast({value} AS {name}) IS NOT NULL"
 
 
+def _text_fits(value: str, name: str, unsigned: bool) -> str:
+    """Whether number text has no digit that the type would lose.
+
+    Plain numbers are told by their digits, as the finest decimal may hold fewer of them; those
+    with an exponent by their value.
+    """
+    cast = f"try_cast({value} AS {name})"
+    digits = re.fullmatch(r"decimal\((\d+),(\d+)\)", name)
+    scale = int(digits.group(2)) if digits else 0
+    plain = rf"{value} RLIKE r'^\s*[+-]?\d*(\.\d{{0,{scale}}}0*)?\s*$'"
+    finer = f"decimal(38,{max(scale, 18)})"
+    exponent = f"({value} RLIKE '[eE]' AND CAST({cast} AS {finer}) = try_cast({value} AS {finer}))"
+    in_range = f" AND {cast} BETWEEN 0 AND 255" if unsigned else ""
+    return f"coalesce({cast} IS NOT NULL AND ({plain} OR {exponent}){in_range}, false)"
+
+
 def _number(number: int, is_float: bool) -> str:
     """A whole number as SQL; no decimal reaches more than 38 digits."""
     return f"{float(number)!r}D" if is_float else f"{min(number, 10**38 - 1)}BD"

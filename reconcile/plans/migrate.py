@@ -8,13 +8,13 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark import inheritable_thread_target
-from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from reconcile.functions import quoted
 from reconcile.operators.audit import IN_PROGRESS, audit_event
 from reconcile.operators.convert import convert
+from reconcile.operators.frames import condition_of
 from reconcile.operators.typemap import column_types
 from reconcile.plans.reports import append_report
 from reconcile.session import write_through
@@ -40,8 +40,8 @@ class Target:
     ``url`` and ``dbtable``.
 
     A catalog table may be bucketed by a key. Two sides that are bucketed alike are later
-    compared without a shuffle. Use it for keys that ``key_profile`` found to be unique;
-    a key that repeats a lot would make one bucket, and so one task, very large.
+    compared without a shuffle. All rows of a key are one task's there, so a load checks how
+    often its most frequent key comes, and refuses one of more than ``most_per_key`` rows.
     """
 
     database: str
@@ -52,6 +52,7 @@ class Target:
     options: Mapping[str, str] = field(default_factory=dict)
     bucket_by: tuple[str, ...] = ()
     buckets: int = 0
+    most_per_key: int = 1_000_000
 
     @property
     def name(self) -> str:
@@ -69,6 +70,9 @@ def load(rows: DataFrame, target: Target, mode: str = "overwrite") -> None:
     if target.bucket_by:
         # One task per bucket, or every task would write a file for every bucket.
         keys = [c.upper() for c in target.bucket_by]
+        most = named.groupBy(*map(quoted, keys)).count().agg(F.max("count")).first()[0] or 0
+        if most > target.most_per_key:
+            raise ValueError(f"{most} rows of {target.name} have one key, too many for a bucket: load it without")
         writer = named.repartition(target.buckets, *map(quoted, keys)).write.format(target.fmt).mode(mode)
         writer = writer.bucketBy(target.buckets, *keys)
     writer.saveAsTable(target.name)
@@ -132,8 +136,8 @@ def migrate_table(
         if staged:
             raw = write_through(raw, "staged")
         status = load_with_rejects(raw, types, target, reports, run_id)
-    except PySparkException as error:
-        status = f"Table not created due to {error.getCondition() or type(error).__name__}"
+    except Exception as error:  # noqa: BLE001  whatever goes wrong is the table's last event
+        status = f"Table not created due to {condition_of(error)}"
     _audit(spark, run_id, table, status, reports)
     return status
 

@@ -8,8 +8,8 @@ from dataclasses import dataclass
 from functools import partial
 
 from pyspark import inheritable_thread_target
-from pyspark.errors import AnalysisException, PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from reconcile.operators.catalog import TABLE
@@ -20,10 +20,12 @@ from reconcile.operators.diff import (
     MISSING,
     cells_of,
     diff_keys,
+    SOURCE_COPIES,
+    TARGET_COPIES,
     differing_totals,
     key_text,
     normalize,
-    surplus_rows,
+    signed_rows,
     with_ordinals,
 )
 from reconcile.operators.frames import union_all
@@ -79,24 +81,33 @@ def open_table(read: Callable[[], DataFrame]) -> DataFrame | None:
 
 
 def row_counts(pairs: Iterable[Pair]) -> DataFrame:
-    """Record counts of every pair in one job, with existence and empty status."""
+    """Record counts of every pair in one job, with existence and empty status.
 
-    def side(pair: Pair, rows: DataFrame, counted: str, other: str) -> DataFrame:
+    Each pair is a row, also where pairs have one name.
+    """
+
+    def side(number: int, pair: Pair, rows: DataFrame, counted: str, other: str) -> DataFrame:
         return rows.agg(F.count(F.lit(1)).alias(counted)).select(
+            F.lit(number).alias("_pair"),
             F.lit(pair.name).alias("table_name"),
             counted,
             F.lit(None).cast("bigint").alias(other),
         )
 
     sides = []
-    for pair in pairs:
-        sides.append(side(pair, pair.source, "source_record_count", "target_record_count"))
+    for i, pair in enumerate(pairs):
+        sides.append(side(i, pair, pair.source, "source_record_count", "target_record_count"))
         if pair.target is not None:
-            sides.append(side(pair, pair.target, "target_record_count", "source_record_count"))
-    counts = union_all(sides).groupBy("table_name").agg(
+            sides.append(side(i, pair, pair.target, "target_record_count", "source_record_count"))
+    counts = union_all(sides).groupBy("_pair", "table_name").agg(
         F.sum("source_record_count").alias("source_record_count"),
         F.sum("target_record_count").alias("target_record_count"),
     )
+    return _counted(counts)
+
+
+def _counted(counts: DataFrame) -> DataFrame:
+    """Record counts with what they say; a count of NULL is that of a table that is not there."""
     source, target = F.col("source_record_count"), F.col("target_record_count")
     status = (
         F.when(target.isNull(), NO_TABLE)
@@ -144,7 +155,11 @@ def differences(pair: Pair, surplus: DataFrame) -> DataFrame:
     A differing cell has its column and both values. A key, or without keys a row, that is
     left over on one side or has no single partner has the numbers of rows left over.
     """
-    keys = list(pair.keys) or surplus.columns[:-2]
+    # Columns go by their places here, as the data's own names may be those of the result.
+    names = {f"c{i}": c for i, c in enumerate(surplus.columns[:-2])}
+    wanted = {k.upper() for k in pair.keys}
+    keys = [c for c, own in names.items() if own.upper() in wanted] or list(names)
+    surplus = surplus.toDF(*names, *surplus.columns[-2:])
     name = F.lit(pair.name).alias("table_name")
     rows = diff_keys(surplus, keys, MISSING, EXTRA, AMBIGUOUS).select(
         name,
@@ -156,7 +171,7 @@ def differences(pair: Pair, surplus: DataFrame) -> DataFrame:
     )
     if len(keys) == len(surplus.columns) - 2:
         return rows
-    cells = cells_of(surplus, keys).select(
+    cells = cells_of(surplus, keys, names).select(
         name, "column_name", key_text(keys).alias("row_key"), F.lit(CHANGED).alias("status"), "source_value", "target_value"
     )
     return rows.unionByName(cells)
@@ -214,11 +229,11 @@ def validate_table(spark: SparkSession, table: Table, reports: str, run_id: str)
 
     try:
         source = table.read_source()
-    except PySparkException:
+    except Exception:  # noqa: BLE001  whatever a reader meets is a finding about its table
         return report(NO_SOURCE_DATA)
     try:
         target = open_table(table.read_target)
-    except PySparkException:
+    except Exception:  # noqa: BLE001
         return report(NO_TARGET_DATA)
     keys = table.keys
     if not {k.upper() for k in keys} <= {c.upper() for c in source.columns}:
@@ -232,20 +247,27 @@ def validate_table(spark: SparkSession, table: Table, reports: str, run_id: str)
         _validate_schema(spark, table, reports, run_id)
         if target is None:
             return report(NO_TABLE, row_counts([pair]))
-        # The one job over all rows. Verdict and details are read from the rows that differ.
-        surplus = write_through(surplus_rows(*pair.sides(), pair.exclude), "surplus")
-        report(MATCHED, _verdict(pair, surplus))
-    except (PySparkException, ValueError):
+        # The one job over all rows: it counts both sides while it writes the rows that differ,
+        # from which verdict and details are read.
+        seen = Observation()
+        counted = signed_rows(*pair.sides(), pair.exclude).observe(
+            seen, F.sum(SOURCE_COPIES).alias("source"), F.sum(TARGET_COPIES).alias("target")
+        )
+        surplus = write_through(counted.filter(F.col(SOURCE_COPIES) != F.col(TARGET_COPIES)), "surplus")
+        report(MATCHED, _verdict(pair, surplus, seen.get))
+    except Exception:  # noqa: BLE001
         return report(FAILED)
     try:
         append_report(differences(pair, surplus), reports, "data_detail", run_id)
-    except (PySparkException, ValueError):
+    except Exception:  # noqa: BLE001
         report(NO_DETAIL)
 
 
-def _verdict(pair: Pair, surplus: DataFrame) -> DataFrame:
-    """The data report of a pair whose differing rows are known."""
-    counts = row_counts([pair])
+def _verdict(pair: Pair, surplus: DataFrame, seen: dict[str, int]) -> DataFrame:
+    """The data report of a pair whose differing rows and counts are known."""
+    row = [(pair.name, seen["source"] or 0, seen["target"] or 0)]
+    schema = "table_name string, source_record_count bigint, target_record_count bigint"
+    counts = _counted(surplus.sparkSession.createDataFrame(row, schema))
     status = F.when(F.col("result_status") == NO_DATA, NO_DATA).otherwise(MATCHED if surplus.isEmpty() else NOT_MATCHED)
     return counts.withColumn("result_status", status)
 
@@ -257,7 +279,7 @@ def _validate_schema(spark: SparkSession, table: Table, reports: str, run_id: st
         comparison = compare_schema(table.expected, table.actual)
         append_report(schema_mismatches(comparison), reports, "schema_mismatch", run_id)
         verdicts = schema_verdicts(comparison).withColumnRenamed("Table_name", "table_name")
-    except PySparkException:
+    except Exception:  # noqa: BLE001
         verdicts = spark.createDataFrame([(table.name, NO_SCHEMA)], "table_name string, result_status string")
     append_report(verdicts, reports, "schema_report", run_id)
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+# The columns of the report tables.
 SCHEMAS = {
     "analysis": (
         "run_id string, Database string, Schema string, `Table` string, DDL_Migration_Analysis string, "
@@ -29,6 +30,10 @@ SCHEMAS = {
         "source_table_result string, target_table_result string, status string, execution_start_time timestamp, "
         "execution_end_time timestamp"
     ),
+    "test_result_rows": (
+        "run_id string, case_no int, row_values string, source_copies bigint, target_copies bigint, "
+        "created_on timestamp, created_by string"
+    ),
     "data_report": (
         "run_id string, source_dbms string, target_dbms string, table_name string, result_status string, "
         "source_record_count bigint, target_record_count bigint, created_on timestamp, created_by string"

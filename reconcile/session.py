@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -13,18 +14,25 @@ from pyspark.sql import DataFrame, SparkSession
 PARTITION_BYTES = 256 * 1024 * 1024
 
 # A shuffle has as many blocks as map tasks times partitions. Beyond this many of either,
-# larger tasks that spill are cheaper than ever smaller blocks.
+# larger tasks that spill are cheaper than ever smaller blocks: from about 6.4 TB a side on a
+# partition holds more than PARTITION_BYTES, at 100 TB 4 GB. Executors with less memory or
+# slower disks do better with more tasks; ``build_session`` takes the number.
 MOST_TASKS = 50_000
 
 
 def build_session(
-    app: str = "reconcile", master: str | None = None, data_bytes: int | None = None, **conf: str
+    app: str = "reconcile",
+    master: str | None = None,
+    data_bytes: int | None = None,
+    most_tasks: int = MOST_TASKS,
+    **conf: str,
 ) -> SparkSession:
     """Session with the settings the jobs rely on; settings given in ``conf`` win.
 
     ``data_bytes`` is the size of the larger side of what is compared. It sizes the
     shuffle: adaptive execution joins partitions that turn out small but splits none
-    of an aggregation, so there have to be enough of them from the start.
+    of an aggregation, so there have to be enough of them from the start. ``most_tasks`` bounds
+    their number.
     """
     builder = SparkSession.builder.appName(app)
     if master:
@@ -36,22 +44,22 @@ def build_session(
         "spark.scheduler.mode": "FAIR",
     }
     if data_bytes:
-        settings["spark.sql.shuffle.partitions"] = str(shuffle_partitions(data_bytes))
-        settings["spark.sql.files.maxPartitionBytes"] = str(split_bytes(data_bytes))
+        settings["spark.sql.shuffle.partitions"] = str(shuffle_partitions(data_bytes, most_tasks))
+        settings["spark.sql.files.maxPartitionBytes"] = str(split_bytes(data_bytes, most_tasks))
     settings.update(conf)
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
 
-def shuffle_partitions(data_bytes: int) -> int:
+def shuffle_partitions(data_bytes: int, most_tasks: int = MOST_TASKS) -> int:
     """Partitions for a comparison that shuffles both sides of ``data_bytes`` each."""
-    return min(MOST_TASKS, max(200, -(-2 * data_bytes // PARTITION_BYTES)))
+    return min(most_tasks, max(200, -(-2 * data_bytes // PARTITION_BYTES)))
 
 
-def split_bytes(data_bytes: int) -> int:
+def split_bytes(data_bytes: int, most_tasks: int = MOST_TASKS) -> int:
     """Bytes that one scan task reads, from Spark's default up to 1 GiB."""
-    return min(2**30, max(2**27, 2 * data_bytes // MOST_TASKS))
+    return min(2**30, max(2**27, 2 * data_bytes // most_tasks))
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -62,7 +70,7 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder shared by the executors")
         root = tempfile.mkdtemp(prefix="reconcile-")
         spark.conf.set("spark.checkpoint.dir", root)

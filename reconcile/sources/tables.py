@@ -83,7 +83,7 @@ COLUMNS_QUERY = (
     "CHARACTER_MAXIMUM_LENGTH, NUMERIC_PRECISION, DATETIME_PRECISION, IS_NULLABLE, COLUMN_DEFAULT, NUMERIC_SCALE "
     "FROM INFORMATION_SCHEMA.COLUMNS"
 )
-CONSTRAINTS_QUERY = "SELECT CONSTRAINT_NAME, CONSTRAINT_TYPE FROM INFORMATION_SCHEMA.TABLE_CONSTRAINTS"
+CONSTRAINTS_QUERY = "SELECT CONSTRAINT_NAME, TABLE_CATALOG, TABLE_SCHEMA, TABLE_NAME, CONSTRAINT_TYPE FROM INFORMATION_SCHEMA.TABLE_CONSTRAINTS"
 KEY_USAGE_QUERY = (
     "SELECT CONSTRAINT_NAME, TABLE_CATALOG, TABLE_SCHEMA, TABLE_NAME, COLUMN_NAME, ORDINAL_POSITION "
     "FROM INFORMATION_SCHEMA.KEY_COLUMN_USAGE"

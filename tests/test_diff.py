@@ -84,6 +84,21 @@ def test_names_match_in_any_case_and_types_are_brought_together(spark):
         ("CAST('NaN' AS double)", "CAST('NaN' AS double)", True),
         ("CAST(0.0 AS double)", "CAST(-0.0 AS double)", True),
         ("X'00ff'", "X'00FF'", True),
+        ("CAST(9007199254740993 AS bigint)", "CAST(9007199254740992 AS double)", False),
+        ("CAST(9007199254740992 AS bigint)", "CAST(9007199254740992 AS double)", True),
+        ("CAST(0 AS bigint)", "CAST(-0.0 AS double)", True),
+        ("CAST(-120 AS bigint)", "CAST(-120 AS double)", True),
+        ("CAST(0.1 AS decimal(10,4))", "CAST(0.1 AS double)", True),
+        ("CAST(1e-7 AS decimal(20,10))", "CAST(1e-7 AS double)", True),
+        ("CAST(12345678901234567.25 AS decimal(20,2))", "CAST(12345678901234568 AS double)", False),
+        ("CAST(5 AS decimal(38,0))", "CAST(5 AS decimal(38,10))", True),
+        ("CAST(0 AS decimal(38,0))", "CAST(0 AS decimal(38,10))", True),
+        ("CAST(12345678901234567890123456789012345678 AS decimal(38,0))", "CAST(5.5 AS decimal(38,10))", False),
+        ("date'2024-01-01'", "timestamp'2024-01-01 00:00:00'", True),
+        ("timestamp_ntz'2024-01-01 00:00:01'", "timestamp'2024-01-01 00:00:00'", False),
+        ("true", "1", True),
+        ("true", "0", False),
+        ("false", "CAST(0 AS decimal(5,2))", True),
     ],
 )
 def test_values_of_two_types(spark, left, right, equal):
@@ -124,11 +139,34 @@ def test_normalize_by_target_type(spark):
     schema = "d string, t string, n string, f string, x string"
     types = {"D": "DATE", "T": "TIME(9)", "N": "NUMBER(10,4)", "F": "BOOLEAN", "X": "VARIANT"}
     assert [tuple(r) for r in diff.normalize(spark.createDataFrame(rows, schema), types).collect()] == [
-        (dt.date(2024, 2, 29), "10:20:30", "1.5000", "1", "VALID"),
-        (None, None, "n/a", "0", "<a>"),
+        ("2024-02-29", "10:20:30", "1.5000", "1", "<a/>"),
+        ("2024-02-30", "24:00:00", "n/a", "0", "<a>"),
         (None, None, None, None, None),
-        (dt.date(1700, 1, 1), "00:00:00", "-9999.9999", "maybe", "junk"),
+        ("1700-01-01", "00:00:00", "-9999.9999", "maybe", "junk"),
     ]
+    valid = diff.normalize(spark.createDataFrame(rows, schema), types, xml_by_validity=True).select("x")
+    assert [r[0] for r in valid.collect()] == ["VALID", "<a>", None, "junk"]
+
+
+@pytest.mark.parametrize(
+    ("kind", "left", "right", "equal"),
+    [
+        ("DATE", "'x'", "'y'", False),
+        ("DATE", "'2024-13-45'", "CAST(NULL AS string)", False),
+        ("DATE", "'2024-01-15 00:00:00'", "date'2024-01-15'", True),
+        ("DATE", "'2024-1-5'", "date'2024-01-05'", True),
+        ("DATE", "'2024-01-15 10:00:00'", "date'2024-01-15'", False),
+        ("DATE", "'2024-01-15 junk'", "date'2024-01-15'", False),
+        ("TIME(7)", "'25:00:00'", "CAST(NULL AS string)", False),
+        ("TIME(7)", "'10:00'", "'garbage'", False),
+        ("TIME(7)", "'10:00:00.123'", "'10:00:00'", True),
+        ("VARIANT", "'<a>1</a>'", "'<a>999</a>'", False),
+        ("VARIANT", "'<a>1</a>'", "'<a>1</a>'", True),
+    ],
+)
+def test_bad_text_differs_from_null_and_other_text(spark, kind, left, right, equal):
+    sides = [diff.normalize(spark.sql(f"SELECT 1 AS k, {value} AS v"), {"V": kind}) for value in (left, right)]
+    assert diff.diff_cells(*sides, ["k"]).count() == (0 if equal else 1)
 
 
 def test_flags_of_several_types(spark):
@@ -213,11 +251,38 @@ def test_frequent_values_are_numbered_by_several_tasks(spark):
     assert diff.diff_positional(df, df.repartition(3, "a"), ["tied"]).count() == 0
 
 
-def test_summary_counts_all_and_samples_some(spark):
+def test_positions_of_the_longer_side(spark):
+    source, target = frame(spark, [(1, "x", 1.0), (2, "y", None)]), frame(spark, [(1, "x", 1.0)])
+    for ties in (True, False):
+        assert rows_of(diff.diff_positional(source, target, ["k"], ties=ties)) == [(2, None, '["2","y",null]', None)]
+        assert rows_of(diff.diff_positional(target, source, ["k"], ties=ties)) == [(2, None, None, '["2","y",null]')]
+
+
+def test_columns_of_the_target_alone_are_an_error(spark):
+    with pytest.raises(ValueError, match="no column b"):
+        diff.surplus_rows(frame(spark, [(1, "x")], "k int, a string"), frame(spark, [(1, "x", 1.0)]))
+    sides = frame(spark, [(1, "x")], "k int, a string"), frame(spark, [(1, "x", 1.0)])
+    assert diff.surplus_rows(*sides, exclude=["B"]).count() == 0
+
+
+def test_names_that_the_comparison_uses(spark):
+    df = frame(spark, [(1, 2)], "k int, source_copies int")
+    assert diff.diff_cells(df, df, ["k"]).count() == 0
+    taken = frame(spark, [(1, 2)], "k int, _source_copies int")
+    with pytest.raises(ValueError, match="rename"):
+        diff.surplus_rows(taken, taken)
+
+
+def test_key_texts_are_told_apart(spark):
+    keys = frame(spark, [("a|b", "c"), ("a", "b|c"), (None, "x"), ("NULL", "x")], "k string, l string")
+    assert keys.select(diff.key_text(["k", "l"])).distinct().count() == 4
+
+
+def test_summary_counts_all(spark):
     source = frame(spark, [(i, "x", 1.0) for i in range(50)])
     target = frame(spark, [(i, "y", 1.0 if i else 2.0) for i in range(50)])
-    summary = diff.summarize_cells(diff.diff_cells(source, target, ["k"]), ["k"], sample=3)
-    assert rows_of(summary) == [("a", 50, "0, 1, 2"), ("b", 1, "0")]
+    summary = diff.summarize_cells(diff.diff_cells(source, target, ["k"]))
+    assert rows_of(summary) == [("a", 50), ("b", 1)]
 
 
 small_rows = st.lists(
@@ -253,12 +318,6 @@ def test_plan_has_no_join_no_python_and_combines_before_the_shuffle(spark):
     assert plan.count("Exchange") == 2 and "partial_sum" in plan
 
 
-def test_sample_rank_is_limited_before_the_shuffle(spark):
-    source, target = frame(spark, [(1, "x", 1.0)]), frame(spark, [(1, "y", 1.0)])
-    plan = plan_of(diff.summarize_cells(diff.diff_cells(source, target, ["k"]), ["k"]))
-    assert "WindowGroupLimit" in plan
-
-
 def test_hot_key(spark):
     """A third of the rows share one key, and a third of those are copies of one row."""
     source = spark.range(90_000).selectExpr(

@@ -99,7 +99,7 @@ SELECT coalesce(e.database, a.database) || '.' || coalesce(e.schema, a.schema) |
        CASE WHEN e."column" IS NOT NULL AND a."column" IS NOT NULL THEN 'True' ELSE 'False' END AS COLUMN_COMPAR,
        CASE WHEN e.rendered_type = a.type THEN 'True' ELSE 'False' END AS COLUMN_AND_LEN_COMPAR,
        CASE WHEN e.ordinal = a.ordinal THEN 'True' ELSE 'False' END AS ORDINAL_COMPAR
-FROM mapped e FULL JOIN actual a ON e."table" = a."table" AND upper(e."column") = upper(a."column"))"""
+FROM mapped e FULL JOIN (SELECT * REPLACE (lower("table") AS "table") FROM actual) a ON e."table" = a."table" AND upper(e."column") = upper(a."column"))"""
 
 _NUMBER = "TRY_CAST(nullif(nullif(nullif({0}, 'NULL'), 'NUL'), '') AS {1})"
 _FILLED = "coalesce({0}, '') NOT IN ('NULL', 'NUL', '')"
@@ -135,9 +135,10 @@ SELECT CASE WHEN count(*) FILTER (bad) = 0 THEN 'LOADED' WHEN count(*) FILTER (N
 FROM r"""
 
 _NORMALIZED = _with("spelled_orders") + """
-SELECT o_orderkey, nullif(nullif(status, ''), 'NULL') AS status, CAST(TRY_CAST(day AS DATE) AS VARCHAR) AS day,
+SELECT o_orderkey, nullif(nullif(status, ''), 'NULL') AS status,
+       CASE WHEN day IN ('2024-13-45', 'no day') THEN day ELSE left(day, 10) END AS day,
        CASE WHEN regexp_matches(split_part(clock, '.', 1), '^([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9]$')
-            THEN split_part(clock, '.', 1) END AS clock,
+            THEN split_part(clock, '.', 1) ELSE clock END AS clock,
        coalesce(CAST(TRY_CAST(price AS DECIMAL(18,4)) AS VARCHAR), price) AS price, CAST(flag AS INTEGER) AS flag
 FROM spelled_orders"""
 
@@ -194,13 +195,40 @@ def _key(name: str, keys: str, rows: str) -> str:
 _PAIRS = (("orders", "src_orders", "tgt_orders"), ("lineitem", "lineitem", "tgt_lineitem"),
           ("customer", "customer", "customer"))
 
+_LINE_ALL = (
+    "l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, "
+    "l_linestatus, l_shipdate"
+)
+_LINE_JSON = "to_json([" + ", ".join(f"CAST({c} AS VARCHAR)" for c in _LINE_ALL.split(", ")) + "])"
+
+_BAD_XML = "o_orderkey % 73 <> 0 AND (o_orderkey % 71 = 0 OR o_orderkey % 61 = 0 OR o_orderkey % 59 = 0)"
+
+_DECLARED = " UNION ALL ".join(
+    f"""SELECT {i} AS ordinal, '{c}' AS column_name, '{t}' AS data_type, count(*) AS row_count,
+        count(*) - count({v}) AS null_count, CAST(max(length(CAST({v} AS VARCHAR))) AS INTEGER) AS max_length,
+        CAST(min({v}) AS VARCHAR) AS min_value, CAST(max({v}) AS VARCHAR) AS max_value,
+        '{t}' AS declared_type, CAST({n} AS INTEGER) AS declared_length,
+        '{'NOT NULL' if i == 1 else 'NULL'}' AS is_nullable FROM lineitem"""
+    for i, (c, t, n) in enumerate(
+        (
+            ("l_orderkey", "bigint", 19), ("l_partkey", "bigint", 19), ("l_suppkey", "bigint", 19),
+            ("l_linenumber", "int", 19), ("l_quantity", "double", "NULL"), ("l_extendedprice", "double", "NULL"),
+            ("l_discount", "double", "NULL"), ("l_tax", "double", "NULL"), ("l_returnflag", "string", 10),
+            ("l_linestatus", "string", 10), ("l_shipdate", "timestamp_ntz", 6),
+        ),
+        start=1,
+    )
+    for v in (_CLEAN.format(c) if t == "string" else c,)
+)
+
 _COUNTS = _with("src_orders", "tgt_orders", "tgt_lineitem") + " " + " UNION ALL ".join(
     f"""SELECT '{n}' AS table_name, (SELECT count(*) FROM {s}) AS source_record_count,
                (SELECT count(*) FROM {t}) AS target_record_count,
                CASE WHEN (SELECT count(*) FROM {s}) = (SELECT count(*) FROM {t}) THEN 'Matched' ELSE 'Not-Matched' END
                    AS result_status"""
     for n, s, t in _PAIRS
-) + """ UNION ALL SELECT 'part', count(*), 0, 'Table does not exist in snowflake' FROM part
+) + """ UNION ALL SELECT 'customer', count(*), count(*), 'Matched' FROM supplier
+    UNION ALL SELECT 'part', count(*), 0, 'Table does not exist in snowflake' FROM part
     UNION ALL SELECT 'events', count(*), 0, 'Table has no data' FROM events"""
 
 
@@ -225,42 +253,35 @@ def _case(number: int, left: str, right: str, status: str) -> str:
         '{sql}' AS test_case, {left} AS source_table_result, {right} AS target_table_result, {status} AS status"""
 
 
-def _single(value: str, table: str) -> str:
-    return f"(SELECT '[[' || CAST({value} AS VARCHAR) || ']]' FROM {table})"
-
-
-def _same(left: str, right: str) -> str:
-    return f"CASE WHEN {left} = {right} THEN 'PASS' ELSE 'FAIL' END"
-
-
-def _valued(number: int, value: str, left: str, right: str) -> str:
-    a, b = _single(value, left), _single(value, right)
-    return _case(number, a, b, _same(a, b))
+def _scalar(number: int, value: str, left: str, right: str) -> str:
+    status = f"CASE WHEN (SELECT {value} FROM {left}) = (SELECT {value} FROM {right}) THEN 'PASS' ELSE 'FAIL' END"
+    return _case(number, "'1 rows'", "'1 rows'", status)
 
 
-_SEGMENTS = """(SELECT '[' || string_agg('["' || c_mktsegment || '", ' || n || ']', ', ' ORDER BY c_mktsegment) || ']'
-    FROM (SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY ALL))"""
+def _listed(number: int, value: str, left: str, right: str) -> str:
+    return f"""SELECT {number} AS case_no, to_json([CAST(v AS VARCHAR)]) AS row_values, CAST(sum(a) AS BIGINT) AS source_copies,
+        CAST(sum(b) AS BIGINT) AS target_copies
+        FROM (SELECT {value} AS v, 1 AS a, 0 AS b FROM {left} UNION ALL SELECT {value}, 0, 1 FROM {right}) GROUP BY v"""
 
 
 def _rows(table: str) -> str:
     return f"(SELECT count(*) || ' rows' FROM {table})"
 
 
-_CUSTOMERS = """(SELECT CASE WHEN count(*) > 1000 THEN count(*) || ' rows' ELSE
-    '[' || string_agg('[' || c_custkey || ', "' || c_name || '"]', ', ' ORDER BY c_custkey) || ']' END FROM customer)"""
+_SEGMENTS = "(SELECT count(DISTINCT c_mktsegment) || ' rows' FROM customer)"
 
 _PRICE_SUM = "round(CAST(sum(CAST(o_totalprice AS DECIMAL(18,4))) AS DOUBLE), 2)"
 _BALANCE_SUM = "round(CAST(sum(CAST(c_acctbal AS DECIMAL(18,4))) AS DOUBLE), 2)"
 _TESTS = _with("tgt_orders") + " " + " UNION ALL ".join(
     (
-        _valued(1, "count(*)", "orders", "tgt_orders"),
-        _valued(2, "min(o_custkey)", "orders", "tgt_orders"),
-        _valued(3, _PRICE_SUM, "orders", "tgt_orders"),
-        _valued(4, _BALANCE_SUM, "customer", "customer"),
-        _valued(5, "count(*) FILTER (lang = 'en')", "documents", "documents"),
+        _scalar(1, "count(*)", "orders", "tgt_orders"),
+        _scalar(2, "min(o_custkey)", "orders", "tgt_orders"),
+        _scalar(3, _PRICE_SUM, "orders", "tgt_orders"),
+        _scalar(4, _BALANCE_SUM, "customer", "customer"),
+        _scalar(5, "count(*) FILTER (lang = 'en')", "documents", "documents"),
         _case(6, _SEGMENTS, _SEGMENTS, "'PASS'"),
         _case(7, _rows("orders"), _rows("tgt_orders"), "'FAIL'"),
-        _case(8, _CUSTOMERS, _CUSTOMERS, "'PASS'"),
+        _case(8, _rows("customer"), _rows("customer"), "'PASS'"),
         _case(9, "NULL", "'UNRESOLVED_COLUMN.WITH_SUGGESTION'", "'ERROR'"),
     )
 )
@@ -276,11 +297,66 @@ SELECT {_ALL_ORDER}, {_AT}, {_END}, 'Y' FROM (SELECT * FROM t EXCEPT SELECT * FR
 
 ORACLES: dict[str, str] = {
     "cell_diff": f"{_ORDERS} {_CELLS}",
-    "cell_diff_summary": f"""{_ORDERS}, cells AS ({_CELLS}),
-        ranked AS (SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY o_orderkey) AS n FROM cells)
-        SELECT column_name, count(*) AS mismatches,
-               string_agg(CAST(o_orderkey AS VARCHAR), ', ' ORDER BY n) FILTER (n <= 5) AS sample_keys
-        FROM ranked GROUP BY column_name""",
+    "cell_diff_summary": f"""{_ORDERS}, cells AS ({_CELLS})
+        SELECT column_name, count(*) AS mismatches FROM cells GROUP BY column_name""",
+    "cell_diff_types": _with("typed_source", "typed_target") + """
+        SELECT o_orderkey, 'big' AS column_name, CAST(9007199254740992 + o_orderkey % 3 AS VARCHAR) AS source_value,
+               '9007199254740992' AS target_value FROM orders WHERE o_orderkey % 3 <> 0
+        UNION ALL SELECT o_orderkey, 'wide', CAST(o_orderkey AS VARCHAR), CAST(o_orderkey AS VARCHAR) || '.5'
+        FROM orders WHERE o_orderkey % 47 = 0
+        UNION ALL SELECT o_orderkey, 'day', 'x', 'y' FROM orders WHERE o_orderkey % 53 = 0
+        UNION ALL SELECT o_orderkey, 'flag', CASE WHEN o_orderkey % 2 = 0 THEN '1' ELSE '0' END, '7'
+        FROM orders WHERE o_orderkey % 59 = 0""",
+    "validate_detail": _with("tgt_lineitem") + f""",
+        d AS (SELECT {_LINE_JSON} AS row_key, CAST(sum(side) AS BIGINT) AS n
+              FROM (SELECT *, 1 AS side FROM lineitem UNION ALL SELECT *, -1 FROM tgt_lineitem)
+              GROUP BY {_LINE_ALL} HAVING sum(side) <> 0)
+        SELECT 'lineitem' AS table_name, CAST(NULL AS VARCHAR) AS column_name, row_key,
+               CASE WHEN n > 0 THEN 'missing_in_target' ELSE 'extra_in_target' END AS status,
+               CAST(greatest(n, 0) AS VARCHAR) AS source_value, CAST(greatest(-n, 0) AS VARCHAR) AS target_value FROM d""",
+    "scope_report": f"""{_ORDERS}, tgt_lineitem AS ({planted_sql('tgt_lineitem')})
+        SELECT 'run-1' AS run_id, 'SQL_SERVER' AS source_dbms, 'SNOWFLAKE' AS target_dbms, *, true AS stamped FROM (
+        SELECT 'orders' AS table_name, 'Not-Matched' AS result_status, (SELECT count(*) FROM s) AS source_record_count,
+               (SELECT count(*) FROM t) AS target_record_count
+        UNION ALL SELECT 'lineitem', 'Not-Matched', (SELECT count(*) FROM lineitem), (SELECT count(*) FROM tgt_lineitem)
+        UNION ALL SELECT 'customer', 'Matched', count(*), count(*) FROM customer
+        UNION ALL SELECT 'supplier', CASE WHEN count(*) >= 7 THEN 'Not-Matched' ELSE 'Matched' END, count(*), count(*) FROM supplier
+        UNION ALL SELECT 'part', 'Table does not exist in snowflake', count(*), 0 FROM part
+        UNION ALL SELECT 'nation', 'Error while fetching data from SQL server, validation failed', NULL, NULL
+        UNION ALL SELECT 'events', 'Data Comparison failed due to some error', NULL, NULL)""",
+    "declared_profile": _DECLARED,
+    "fine_rejects": _with("fine_orders") + """
+        SELECT _row AS row_number, CAST(CAST(whole AS DOUBLE) AS VARCHAR) || ',' || cents AS rejected_record, 'whole' AS column_name,
+               'conversion' AS category, 'value of whole is no int' AS error FROM fine_orders WHERE _row % 31 = 0
+        UNION ALL SELECT _row, CAST(CAST(whole AS DOUBLE) AS VARCHAR) || ',' || cents, 'cents', 'conversion',
+               'value of cents is no decimal(12,2)' FROM fine_orders WHERE _row % 37 = 0""",
+    "load_readback": f"""SELECT o_orderkey AS O_ORDERKEY, o_totalprice AS O_TOTALPRICE,
+        o_orderdate AS O_ORDERDATE FROM ({_GOOD})""",
+    "load_audit": f"""WITH r AS ({_LOAD_RESULT})
+        SELECT 'run-1' AS run_id, 'orders' AS table_name, status, true AS ended, rows_parsed, rows_loaded, errors_seen FROM r
+        UNION ALL SELECT 'run-1', 'customer', 'LOADED', true, count(*), count(*), 0 FROM customer
+        UNION ALL SELECT 'run-1', 'part', 'Table not created due to PATH_NOT_FOUND', true, NULL, NULL, NULL
+        UNION ALL SELECT r, 'supplier', 'LOADED', true, count(*), count(*), 0
+        FROM supplier, (VALUES ('run-1'), ('run-2')) AS v(r) GROUP BY r""",
+    "staged_rejects": _with("raw_lines") + """
+        SELECT line AS rejected_record, CASE WHEN line LIKE 'x%' THEN 'o_orderkey' END AS column_name,
+               CASE WHEN line LIKE 'x%' THEN 'conversion' ELSE 'parsing' END AS category,
+               CASE WHEN line LIKE 'x%' THEN 'value of o_orderkey is no bigint'
+                    ELSE 'number of columns in file does not match the table' END AS error, true AS placed
+        FROM raw_lines WHERE line LIKE 'x%' OR len(regexp_split_to_array(line, ',')) <> 3""",
+    "test_case_rows": _with("tgt_orders") + " " + " UNION ALL ".join((
+        _listed(1, "count(*)", "orders", "tgt_orders"),
+        _listed(2, "min(o_custkey)", "orders", "tgt_orders"),
+        _listed(5, "count(*) FILTER (lang = 'en')", "documents", "documents"),
+        """SELECT 6, to_json([CAST(row_number() OVER (ORDER BY c_mktsegment) AS VARCHAR), c_mktsegment, CAST(count(*) AS VARCHAR)]),
+                  CAST(1 AS BIGINT), CAST(1 AS BIGINT) FROM customer GROUP BY c_mktsegment""",
+        """SELECT 7, to_json([CAST(o_orderkey AS VARCHAR), CAST(o_totalprice AS VARCHAR)]), CAST(sum(a) AS BIGINT), CAST(sum(b) AS BIGINT)
+           FROM (SELECT o_orderkey, o_totalprice, 1 AS a, 0 AS b FROM orders
+                 UNION ALL SELECT o_orderkey, o_totalprice, 0, 1 FROM tgt_orders) GROUP BY o_orderkey, o_totalprice""",
+        """SELECT 8, to_json([CAST(row_number() OVER (ORDER BY c_custkey) AS VARCHAR), CAST(c_custkey AS VARCHAR), c_name]),
+                  CAST(1 AS BIGINT), CAST(1 AS BIGINT) FROM customer""",
+    )),
+    "case_file": f"""SELECT 'run-1' AS run_id, case_no, source_table_name, status, true AS timed FROM ({_TESTS})""",
     "cell_diff_repeated_keys": f"{_LINES} {_LINE_CELLS}",
     "diff_ambiguous_keys": f"""{_LINES} SELECT l_orderkey, l_linenumber, 'ambiguous' AS status, missing_rows, extra_rows
         FROM keys WHERE missing_rows > 0 AND extra_rows > 0 AND missing_rows + extra_rows > 2""",
@@ -307,8 +383,13 @@ ORACLES: dict[str, str] = {
     "key_columns": _with("constraints", "usage") + """
         SELECT database, schema, "table", count(*) AS key_size,
                string_agg(upper("column"), ',' ORDER BY ordinal) AS key_columns
-        FROM usage JOIN constraints USING (constraint_name)
-        WHERE constraint_type = 'PRIMARY KEY' OR constraint_name ILIKE 'pk%' GROUP BY database, schema, "table" """,
+        FROM usage JOIN constraints USING (constraint_name, database, schema, "table")
+        WHERE constraint_type = 'PRIMARY KEY' OR (constraint_name ILIKE 'pk%' AND constraint_type <> 'FOREIGN KEY'
+          AND NOT EXISTS (SELECT 1 FROM constraints c WHERE c.schema = usage.schema AND c."table" = usage."table"
+                          AND (c.constraint_type = 'PRIMARY KEY'
+                               OR (c.constraint_name ILIKE 'pk%' AND c.constraint_type <> 'FOREIGN KEY'
+                                   AND c.constraint_name < usage.constraint_name))))
+        GROUP BY database, schema, "table" """,
     "column_profile": _PROFILE,
     "analyze_tables": f"{_ANALYSIS} SELECT * FROM analysis",
     "analyze_totals": f"""{_ANALYSIS}
@@ -333,11 +414,11 @@ ORACLES: dict[str, str] = {
     "load_rejects": _REJECTS,
     "load_result": _LOAD_RESULT,
     "staged_load": _GOOD,
-    # The second engine has no XML; the documents without an end tag were planted by this rule.
-    "xml_validity": "SELECT o_orderkey, (o_orderkey % 73 = 0 OR o_orderkey % 71 <> 0) AS is_valid FROM orders",
-    "xml_totals": """SELECT count(*) FILTER (o_orderkey % 73 <> 0) AS documents,
-        count(*) FILTER (o_orderkey % 73 <> 0 AND o_orderkey % 71 = 0) AS malformed,
-        count(*) FILTER (o_orderkey % 73 <> 0 AND o_orderkey % 71 = 0) = 0 AS all_valid FROM orders""",
+    # The second engine has no XML; the documents without an end tag, with text after
+    # it or with a second root were planted by this rule.
+    "xml_validity": f"SELECT o_orderkey, NOT ({_BAD_XML}) AS is_valid FROM orders",
+    "xml_totals": f"""SELECT count(*) FILTER (o_orderkey % 73 <> 0) AS documents, count(*) FILTER ({_BAD_XML}) AS malformed,
+        count(*) FILTER ({_BAD_XML}) = 0 AS all_valid FROM orders""",
     "keyword_scan": _HITS,
     "keyword_verdict": f"""WITH h AS ({_HITS})
         SELECT d.doc_id, CASE WHEN count(h.keyword) = 0 THEN 'converts' ELSE 'needs work' END AS verdict,

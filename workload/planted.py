@@ -45,12 +45,39 @@ PLANTED = {
     "spelled_orders": """
         SELECT o_orderkey,
                CASE WHEN o_orderkey % 79 = 0 THEN 'NULL' WHEN o_orderkey % 83 = 0 THEN '' ELSE o_orderstatus END AS status,
-               CASE WHEN o_orderkey % 67 = 0 THEN '2024-13-45' ELSE CAST(CAST(o_orderdate AS DATE) AS VARCHAR(10)) END AS day,
+               CASE WHEN o_orderkey % 67 = 0 THEN '2024-13-45' WHEN o_orderkey % 59 = 0 THEN 'no day'
+                    WHEN o_orderkey % 5 = 0 THEN CAST(CAST(o_orderdate AS DATE) AS VARCHAR(10)) || ' 00:00:00'
+                    ELSE CAST(CAST(o_orderdate AS DATE) AS VARCHAR(10)) END AS day,
                CASE WHEN o_orderkey % 71 = 0 THEN '25:00:00'
                     ELSE concat('10:', CAST(10 + o_orderkey % 50 AS VARCHAR(2)), ':30.1234567') END AS clock,
                CASE WHEN o_orderkey % 61 = 0 THEN 'n/a' ELSE CAST(o_totalprice AS VARCHAR(30)) END AS price,
                o_orderkey % 2 = 0 AS flag
         FROM {orders}""",
+    # One table in two systems' types, with values that a careless comparison calls equal.
+    "typed_source": """
+        SELECT o_orderkey, 9007199254740992 + o_orderkey % 3 AS big, CAST(o_orderkey AS DECIMAL(38,0)) AS wide,
+               CASE WHEN o_orderkey % 53 = 0 THEN 'x' ELSE CAST(CAST(o_orderdate AS DATE) AS VARCHAR(10)) END AS day,
+               o_orderkey % 2 = 0 AS flag
+        FROM {orders}""",
+    "typed_target": """
+        SELECT o_orderkey, CAST(9007199254740992 AS DOUBLE) AS big,
+               CAST(o_orderkey AS DECIMAL(38,10)) + CASE WHEN o_orderkey % 47 = 0 THEN 0.5 ELSE 0.0 END AS wide,
+               CASE WHEN o_orderkey % 53 = 0 THEN 'y' ELSE CAST(CAST(o_orderdate AS DATE) AS VARCHAR(10)) || ' 00:00:00' END AS day,
+               CAST(CASE WHEN o_orderkey % 59 = 0 THEN 7 WHEN o_orderkey % 2 = 0 THEN 1 ELSE 0 END AS INT) AS flag
+        FROM {orders}""",
+    # Lines of a CSV file, some with a column too few or too many, some with a value of no use.
+    "raw_lines": """
+        SELECT CASE WHEN o_orderkey % 43 = 0 THEN CAST(o_orderkey AS VARCHAR(20)) || ',' || CAST(o_totalprice AS VARCHAR(30))
+                    WHEN o_orderkey % 47 = 0 THEN CAST(o_orderkey AS VARCHAR(20)) || ',' || CAST(o_totalprice AS VARCHAR(30)) || ',2024-01-01,more'
+                    WHEN o_orderkey % 53 = 0 THEN 'x' || CAST(o_orderkey AS VARCHAR(20)) || ',' || CAST(o_totalprice AS VARCHAR(30)) || ',2024-01-01'
+                    ELSE CAST(o_orderkey AS VARCHAR(20)) || ',' || CAST(o_totalprice AS VARCHAR(30)) || ',2024-01-01'
+               END AS line
+        FROM {orders}""",
+    # Numbers that a load must not cut or round.
+    "fine_orders": """
+        SELECT o_orderkey AS _row, o_orderkey + CASE WHEN o_orderkey % 31 = 0 THEN 0.5 ELSE 0.0 END AS whole,
+               CAST(o_orderkey AS VARCHAR(20)) || CASE WHEN o_orderkey % 37 = 0 THEN '.239' ELSE '.250' END AS cents
+        FROM {orders}""",
     "conv_orders": """
         SELECT o_orderkey, o_orderkey % 2 = 0 AS flag,
                'a&#x0D;b' || CAST(o_orderkey AS VARCHAR(20)) AS note
@@ -58,7 +85,8 @@ PLANTED = {
     "xml_orders": """
         SELECT o_orderkey, CASE WHEN o_orderkey % 73 = 0 THEN NULL ELSE
                '<p><k>' || CAST(o_orderkey AS VARCHAR(20)) || '</k>' ||
-               CASE WHEN o_orderkey % 71 = 0 THEN '' ELSE '</p>' END END AS doc
+               CASE WHEN o_orderkey % 71 = 0 THEN '' WHEN o_orderkey % 61 = 0 THEN '</p>junk'
+                    WHEN o_orderkey % 59 = 0 THEN '</p><q/>' ELSE '</p>' END END AS doc
         FROM {orders}""",
     # Text rows to load, some cells of which do not convert.
     "raw_orders": """
@@ -95,7 +123,8 @@ PLANTED = {
           ON k.no = CASE WHEN p.table_no % 4 = 0 THEN p.p_partkey % 32 ELSE p.p_partkey % 29 END""",
     # The columns the target has: some dropped, renamed, narrowed or added.
     "actual": """
-        SELECT 'shop' AS database, 'dbo' AS schema, 't' || CAST(p.table_no AS VARCHAR(20)) AS "table",
+        SELECT 'shop' AS database, 'dbo' AS schema,
+               CASE WHEN p.table_no % 2 = 0 THEN 'T' ELSE 't' END || CAST(p.table_no AS VARCHAR(20)) AS "table",
                CAST(p.p_partkey % 8 + 1 AS INT) AS ordinal,
                CASE WHEN p.p_partkey % 97 = 0 THEN 'X' ELSE 'C' END || CAST(p.p_partkey AS VARCHAR(20)) AS "column",
                CASE WHEN p.p_partkey % 89 = 0 THEN 'VARCHAR(1)' ELSE k.type END AS type
@@ -124,17 +153,29 @@ PLANTED = {
     # Key constraints by type and by name, and foreign keys, with two columns each.
     "constraints": """
         SELECT DISTINCT CASE c.no % 3 WHEN 0 THEN 'PK_t' WHEN 1 THEN 'pk_t' ELSE 'key_t' END || CAST(c.no AS VARCHAR(20)) AS constraint_name,
+               'shop' AS database, c.schema, 't' || CAST(c.no AS VARCHAR(20)) AS "table",
                CASE c.no % 3 WHEN 1 THEN 'UNIQUE' ELSE 'PRIMARY KEY' END AS constraint_type
+        FROM (SELECT CAST((p_partkey - p_partkey % 8) / 8 AS BIGINT) AS no, 'dbo' AS schema FROM {part}
+              UNION ALL
+              SELECT CAST((p_partkey - p_partkey % 8) / 8 AS BIGINT), 'old' FROM {part}
+              WHERE CAST((p_partkey - p_partkey % 8) / 8 AS BIGINT) % 11 = 0) c
+        UNION ALL
+        SELECT DISTINCT 'FK_t' || CAST(c.no AS VARCHAR(20)), 'shop', 'dbo', 't' || CAST(c.no AS VARCHAR(20)), 'FOREIGN KEY'
         FROM (SELECT CAST((p_partkey - p_partkey % 8) / 8 AS BIGINT) AS no FROM {part}) c
         UNION ALL
-        SELECT DISTINCT 'FK_t' || CAST(c.no AS VARCHAR(20)), 'FOREIGN KEY'
-        FROM (SELECT CAST((p_partkey - p_partkey % 8) / 8 AS BIGINT) AS no FROM {part}) c""",
+        SELECT DISTINCT 'pk_alt' || CAST(c.no AS VARCHAR(20)), 'shop', 'dbo', 't' || CAST(c.no AS VARCHAR(20)), 'UNIQUE'
+        FROM (SELECT CAST((p_partkey - p_partkey % 8) / 8 AS BIGINT) AS no FROM {part}) c WHERE c.no % 4 = 0""",
     "usage": """
-        SELECT CASE WHEN c.at >= 3 THEN 'FK_t' WHEN c.no % 3 = 0 THEN 'PK_t' WHEN c.no % 3 = 1 THEN 'pk_t' ELSE 'key_t' END
+        SELECT CASE WHEN c.at >= 6 AND c.no % 4 = 0 THEN 'pk_alt' WHEN c.at >= 3 THEN 'FK_t' WHEN c.no % 3 = 0 THEN 'PK_t' WHEN c.no % 3 = 1 THEN 'pk_t' ELSE 'key_t' END
                  || CAST(c.no AS VARCHAR(20)) AS constraint_name,
                'shop' AS database, 'dbo' AS schema, 't' || CAST(c.no AS VARCHAR(20)) AS "table",
                'c' || CAST(c.p_partkey AS VARCHAR(20)) AS "column", CAST(8 - c.at AS INT) AS ordinal
-        FROM (SELECT p_partkey, p_partkey % 8 AS at, CAST((p_partkey - p_partkey % 8) / 8 AS BIGINT) AS no FROM {part}) c""",
+        FROM (SELECT p_partkey, p_partkey % 8 AS at, CAST((p_partkey - p_partkey % 8) / 8 AS BIGINT) AS no FROM {part}) c
+        UNION ALL
+        SELECT CASE WHEN c.no % 3 = 0 THEN 'PK_t' WHEN c.no % 3 = 1 THEN 'pk_t' ELSE 'key_t' END || CAST(c.no AS VARCHAR(20)),
+               'shop', 'old', 't' || CAST(c.no AS VARCHAR(20)), 'o' || CAST(c.p_partkey AS VARCHAR(20)), CAST(8 - c.at AS INT)
+        FROM (SELECT p_partkey, p_partkey % 8 AS at, CAST((p_partkey - p_partkey % 8) / 8 AS BIGINT) AS no FROM {part}) c
+        WHERE c.no % 11 = 0 AND c.at < 2""",
     # Audit events: a user is a run, an event type a table.
     "audit": """
         SELECT CAST(user_id AS VARCHAR(20)) AS run_id, event_id AS event_seq, 'SQL_SERVER' AS source_dbms,

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from reconcile.operators import analyze, audit, catalog, convert, diff, history, schema, testcases, typemap, xml
 from reconcile.operators.frames import union_all
-from reconcile.plans import reconcile
+from reconcile.plans import migrate, reconcile, reports
 from reconcile.plans.reconcile import Pair
 from reconcile.session import scratch_path
 from reconcile.sources import staged, tables
@@ -47,6 +47,9 @@ CASES = (
     testcases.TestCase("customer", "SELECT nope FROM customer"),
 )
 
+# The cases whose result rows are listed: those without sums, which engines spell differently.
+ROW_CASES = (1, 2, 5, 6, 7, 8)
+
 
 def _as_text(df: DataFrame, *columns: str) -> DataFrame:
     """Dates, and the far end of history, as text: readers of results differ in what they hold."""
@@ -63,7 +66,13 @@ def cell_diff(spark, sf_dir):
 
 
 def cell_diff_summary(spark, sf_dir):
-    return diff.summarize_cells(cell_diff(spark, sf_dir), ["o_orderkey"])
+    return diff.summarize_cells(cell_diff(spark, sf_dir))
+
+
+def cell_diff_types(spark, sf_dir):
+    source, target = planted(spark, sf_dir, "typed_source"), planted(spark, sf_dir, "typed_target")
+    types = {"day": "DATE"}
+    return diff.diff_cells(diff.normalize(source, types), diff.normalize(target, types), ["o_orderkey"])
 
 
 def cell_diff_repeated_keys(spark, sf_dir):
@@ -91,8 +100,7 @@ def multiset_diff(spark, sf_dir):
 
 
 def normalize_rows(spark, sf_dir):
-    rows = diff.normalize(planted(spark, sf_dir, "spelled_orders"), SPELLED_TYPES)
-    return _as_text(rows, "day")
+    return diff.normalize(planted(spark, sf_dir, "spelled_orders"), SPELLED_TYPES)
 
 
 def row_counts(spark, sf_dir):
@@ -104,6 +112,8 @@ def row_counts(spark, sf_dir):
             Pair("orders", source, target),
             Pair("lineitem", items, planted(spark, sf_dir, "tgt_lineitem")),
             Pair("customer", table(spark, sf_dir, "customer"), table(spark, sf_dir, "customer")),
+            # Another pair of that name.
+            Pair("customer", table(spark, sf_dir, "supplier"), table(spark, sf_dir, "supplier")),
             Pair("part", table(spark, sf_dir, "part"), gone),
             Pair("events", table(spark, sf_dir, "events"), table(spark, sf_dir, "events").filter("event_id < 0")),
         ]
@@ -122,6 +132,36 @@ def reconcile_report(spark, sf_dir):
     )
 
 
+def validate_detail(spark, sf_dir):
+    """Every difference of a table without a key."""
+    pair = Pair("lineitem", table(spark, sf_dir, "lineitem"), planted(spark, sf_dir, "tgt_lineitem"))
+    return reconcile.differences(pair, diff.surplus_rows(*pair.sides()))
+
+
+def scope_report(spark, sf_dir):
+    """The verdicts of a whole run, read back from its report."""
+    def read(name):
+        return lambda: table(spark, sf_dir, name)
+
+    scope = [
+        reconcile.Table("orders", lambda: planted(spark, sf_dir, "src_orders"), lambda: planted(spark, sf_dir, "tgt_orders"), ["o_orderkey"]),
+        reconcile.Table("lineitem", read("lineitem"), lambda: planted(spark, sf_dir, "tgt_lineitem")),
+        reconcile.Table("customer", read("customer"), read("customer"), ["c_custkey"]),
+        reconcile.Table("supplier", read("supplier"), lambda: planted(spark, sf_dir, "tgt_supplier"), order_by=["s_suppkey"]),
+        reconcile.Table("part", read("part"), read("no_such_table"), ["p_partkey"]),
+        reconcile.Table("nation", read("no_such_table"), read("nation")),
+        reconcile.Table("events", read("events"), lambda: table(spark, sf_dir, "events").drop("props")),
+    ]
+    root = scratch_path(spark, "scope-report")
+    reconcile.run_scope(spark, scope, root, "run-1")
+    report = reports.read_report(spark, root, "data_report")
+    stamped = F.col("created_on").isNotNull() & (F.col("created_by") == F.current_user())
+    return report.select(
+        "run_id", "source_dbms", "target_dbms", "table_name", "result_status", "source_record_count",
+        "target_record_count", stamped.alias("stamped"),
+    )
+
+
 def key_profile(spark, sf_dir):
     items, orders = table(spark, sf_dir, "lineitem"), planted(spark, sf_dir, "src_orders")
     return union_all(
@@ -141,6 +181,23 @@ def column_profile(spark, sf_dir):
     return catalog.profile_columns(planted(spark, sf_dir, "src_orders"))
 
 
+def declared_profile(spark, sf_dir):
+    """The columns of a table as it describes itself, taken for its catalog, beside its data."""
+    items = table(spark, sf_dir, "lineitem")
+    described = catalog.describe(items, "shop", "dbo", "lineitem")
+    no_number = F.lit(None).cast("int")
+    information_schema = described.select(
+        F.col("database").alias("TABLE_CATALOG"), F.col("schema").alias("TABLE_SCHEMA"), F.col("table").alias("TABLE_NAME"),
+        F.col("ordinal").alias("ORDINAL_POSITION"), F.upper("column").alias("COLUMN_NAME"), F.col("type").alias("DATA_TYPE"),
+        F.when(F.col("type") == "string", 10).alias("CHARACTER_MAXIMUM_LENGTH"),
+        F.when(F.col("type").isin("bigint", "int"), 19).alias("NUMERIC_PRECISION"),
+        F.when(F.col("type") == "timestamp_ntz", 6).alias("DATETIME_PRECISION"),
+        F.when(F.col("ordinal") == 1, "NO").otherwise("YES").alias("IS_NULLABLE"),
+        F.lit(None).cast("string").alias("COLUMN_DEFAULT"), no_number.alias("NUMERIC_SCALE"),
+    )
+    return catalog.profile_columns(items, catalog.catalog_rows(information_schema))
+
+
 def analyze_tables(spark, sf_dir):
     return analyze.analyze(planted(spark, sf_dir, "scope"), planted(spark, sf_dir, "catalog"))
 
@@ -199,6 +256,62 @@ def load_result(spark, sf_dir):
     return staged.load_result(_checked(spark, sf_dir), LOAD_TYPES).drop("file", "first_error_character")
 
 
+def fine_rejects(spark, sf_dir):
+    """Values of which a type would keep only a part."""
+    rows = planted(spark, sf_dir, "fine_orders").withColumn("whole", F.col("whole").cast("double"))
+    types = {"whole": "int", "cents": "decimal(12,2)"}
+    return staged.reject_rows(staged.check_rows(rows, types), types).drop("file")
+
+
+def load_readback(spark, sf_dir):
+    """Rows loaded under audit and read back from the target."""
+    root = scratch_path(spark, "load-readback")
+    target = migrate.Target("shop", "dbo", "orders", os.path.join(root, "orders"))
+    raw = planted(spark, sf_dir, "raw_orders")
+    status = migrate.migrate_table(spark, lambda: raw, LOAD_TYPES, target, os.path.join(root, "reports"), "run-1")
+    return _as_text(migrate.read_back(spark, target, status), "O_ORDERDATE")
+
+
+def load_audit(spark, sf_dir):
+    """The last state of every table of a run, with what its load counted."""
+    root = scratch_path(spark, "load-audit")
+    where, reported = os.path.join(root, "tables"), os.path.join(root, "reports")
+
+    def job(name, read, types):
+        return migrate.Job(read, types, migrate.Target("shop", "dbo", name, os.path.join(where, name)))
+
+    jobs = [
+        job("orders", lambda: planted(spark, sf_dir, "raw_orders"), LOAD_TYPES),
+        job("customer", lambda: table(spark, sf_dir, "customer"), {"c_custkey": "bigint", "c_name": "string"}),
+        job("part", lambda: table(spark, sf_dir, "no_such_table"), {"p_partkey": "bigint"}),
+        # Loaded twice: the second load replaces the first.
+        job("supplier", lambda: table(spark, sf_dir, "supplier"), {"s_suppkey": "bigint"}),
+    ]
+    migrate.migrate_scope(spark, jobs, reported, "run-1")
+    migrate.migrate_scope(spark, jobs[-1:], reported, "run-2")
+    states = audit.audit_latest(reports.read_report(spark, reported, "audit"))
+    counts = reports.read_report(spark, reported, "row_validation").select(
+        "run_id", F.col("file").alias("table_name"), "rows_parsed", "rows_loaded", "errors_seen"
+    )
+    ended = F.col("end_time") >= F.col("start_time")
+    return states.join(counts, ["run_id", "table_name"], "left").select(
+        "run_id", "table_name", "status", ended.alias("ended"), "rows_parsed", "rows_loaded", "errors_seen"
+    )
+
+
+def staged_rejects(spark, sf_dir):
+    """What a load rejects of foreign CSV files with rows of the wrong shape."""
+    path = os.path.join(scratch_path(spark, "foreign"), "orders")
+    header = ",".join(LOAD_TYPES)
+    # A line has neither this separator nor a quote, so it is written as it is.
+    planted(spark, sf_dir, "raw_lines").toDF(header).write.options(header="true", sep="\x01").csv(path)
+    raw = staged.read_staged_csv(spark, path, list(LOAD_TYPES), numbered=False, multi_line=False)
+    checked = staged.with_file_rows(staged.check_rows(raw, LOAD_TYPES))
+    rejects = staged.reject_rows(checked, LOAD_TYPES)
+    # Which file and row a line is in is the writer's choice; that they are told is not.
+    return rejects.withColumn("placed", F.col("file").isNotNull() & (F.col("row_number") >= 1)).drop("file", "row_number")
+
+
 def staged_load(spark, sf_dir):
     """The raw rows written as CSV files and loaded back from them."""
     path = os.path.join(scratch_path(spark, "staged"), "orders")
@@ -223,16 +336,38 @@ def keyword_verdict(spark, sf_dir):
     return analyze.keyword_verdict(table(spark, sf_dir, "documents"), "doc_id", "text", KEYWORDS)
 
 
-def test_case_results(spark, sf_dir):
+def _case_sides(spark, sf_dir):
     names = ("orders", "customer", "documents")
     source = {n: f"{sf_dir}/{n}.parquet" for n in names}
     target = {**source, "orders": lambda session: planted(session, sf_dir, "tgt_orders")}
-    report = testcases.run_test_cases(
-        spark, CASES, testcases.session_with(spark, source), testcases.session_with(spark, target)
-    )
+    return testcases.session_with(spark, source), testcases.session_with(spark, target)
+
+
+def test_case_results(spark, sf_dir):
+    report = testcases.run_test_cases(spark, CASES, *_case_sides(spark, sf_dir))
     return report.drop("execution_start_time", "execution_end_time")
 
 
+def test_case_rows(spark, sf_dir):
+    """All result rows of some of the cases, with their copies on either side."""
+    sides = _case_sides(spark, sf_dir)
+    return union_all([testcases.result_rows(number, CASES[number - 1], *sides) for number in ROW_CASES])
+
+
+def case_file(spark, sf_dir):
+    """Cases read from a file and run, and their verdicts read back from the report."""
+    root = scratch_path(spark, "case-file")
+    cases = [(c.table, c.sql, str(c.ordered).lower()) for c in CASES]
+    rows = spark.createDataFrame(cases, "table string, sql string, ordered string").coalesce(1)
+    rows.write.options(header="true", escape='"').csv(os.path.join(root, "cases"))
+    testcases.run_case_file(spark, os.path.join(root, "cases"), *_case_sides(spark, sf_dir), os.path.join(root, "reports"), "run-1")
+    report = reports.read_report(spark, os.path.join(root, "reports"), "test_results")
+    return report.select(
+        "run_id", "case_no", "source_table_name", "status",
+        (F.col("execution_end_time") >= F.col("execution_start_time")).alias("timed"),
+    )
+
+
 def audit_latest(spark, sf_dir):
     return _as_text(audit.audit_latest(planted(spark, sf_dir, "audit")), "start_time", "end_time")
 
@@ -247,7 +382,8 @@ def history_apply(spark, sf_dir):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        cell_diff, cell_diff_summary, cell_diff_repeated_keys, cell_diff_positional, diff_missing_extra,
+        cell_diff, cell_diff_summary, cell_diff_types, cell_diff_repeated_keys, validate_detail, scope_report,
+        declared_profile, fine_rejects, load_readback, load_audit, staged_rejects, test_case_rows, case_file, cell_diff_positional, diff_missing_extra,
         diff_ambiguous_keys, multiset_diff, normalize_rows, row_counts, reconcile_report, key_profile, key_columns,
         column_profile, analyze_tables, analyze_totals, map_types, fit_check, schema_mismatch, schema_verdict,
         extract_filtered, convert_rows, load_good, load_rejects, load_result, staged_load, xml_validity, xml_totals,
