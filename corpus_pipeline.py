@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from reconcile.llm import decontaminate, jaccard, packing, quality, surrogates
 from reconcile.llm.queries import PII_KEY, TOKENIZER
+from reconcile.llm.shipping import shipped
 from reconcile.session import scratch_path
 
 
@@ -52,11 +53,11 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("quality", good_quality),
-    ("near_duplicates", without_near_duplicates),
-    ("decontamination", without_benchmark),
-    ("personal_data", without_personal_data),
-    ("packing", packed),
+    ("quality", shipped(good_quality)),
+    ("near_duplicates", shipped(without_near_duplicates)),
+    ("decontamination", shipped(without_benchmark)),
+    ("personal_data", shipped(without_personal_data)),
+    ("packing", shipped(packed)),
 ]
 
 # No stage's decisions can be told in SQL: a trained classifier comes first, and a tokenizer last.

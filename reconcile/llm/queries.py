@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from reconcile.llm import (
     decontaminate, embeddings, interpolation, jaccard, language, licenses, packing, quality, surrogates, token_ids,
 )
+from reconcile.llm.oracles import ORACLES
+from reconcile.llm.shipping import shipped
 from reconcile.session import scratch_path
 
 # A deployment passes a secret of its own; whoever has the key can tell the surrogates' originals.
@@ -93,11 +95,11 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f
+    f.__name__: shipped(f)
     for f in (
         op1_surrogates, op2_language, op3_jaccard, op4_quality, op5_interpolation, op6_licenses, op7_packing,
         op8_decontaminate, op9_embeddings, op10_token_ids,
     )
 }
 
-ORACLES: dict[str, str] = {"op6_licenses": licenses.oracle()}
+__all__ = ["ORACLES", "QUERIES"]
