@@ -17,7 +17,7 @@ from reconcile.operators.convert import convert
 from reconcile.operators.frames import condition_of
 from reconcile.operators.typemap import column_types
 from reconcile.plans.reports import append_report
-from reconcile.session import write_through
+from reconcile.session import temporary_scratch, write_through
 from reconcile.sources.staged import (
     LOAD_FAILED,
     ROW,
@@ -130,12 +130,13 @@ def migrate_table(
     table = (target.database, target.schema, target.table)
     _audit(spark, run_id, table, IN_PROGRESS, reports)
     try:
-        raw = convert(read(), source_types or {})
-        if ROW not in raw.columns:
-            raw = raw.select(F.monotonically_increasing_id().alias(ROW), "*")
-        if staged:
-            raw = write_through(raw, "staged")
-        status = load_with_rejects(raw, types, target, reports, run_id)
+        with temporary_scratch(spark):
+            raw = convert(read(), source_types or {})
+            if ROW not in raw.columns:
+                raw = raw.select(F.monotonically_increasing_id().alias(ROW), "*")
+            if staged:
+                raw = write_through(raw, "staged")
+            status = load_with_rejects(raw, types, target, reports, run_id)
     except Exception as error:  # noqa: BLE001  whatever goes wrong is the table's last event
         status = f"Table not created due to {condition_of(error)}"
     _audit(spark, run_id, table, status, reports)

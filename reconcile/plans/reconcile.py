@@ -31,7 +31,7 @@ from reconcile.operators.diff import (
 from reconcile.operators.frames import union_all
 from reconcile.operators.schema import compare_schema, schema_mismatches, schema_verdicts
 from reconcile.plans.reports import append_report
-from reconcile.session import write_through
+from reconcile.session import temporary_scratch, write_through
 
 # Status words of the data report.
 MATCHED, NOT_MATCHED = "Matched", "Not-Matched"
@@ -52,6 +52,7 @@ class Pair:
     """A source table, its target (None if there is none), the key, and target types by column.
 
     ``order_by`` is a total order; with it rows are compared by position instead of by key.
+    ``ties`` is false where no rows tie in it, which saves a write of each side.
     """
 
     name: str
@@ -61,12 +62,13 @@ class Pair:
     types: dict[str, str] | None = None
     exclude: Sequence[str] = ()
     order_by: Sequence[str] = ()
+    ties: bool = True
 
     def sides(self) -> tuple[DataFrame, DataFrame]:
         """Both sides as they are compared."""
         source, target = normalize(self.source, self.types), normalize(self.target, self.types)
         if self.order_by:
-            return with_ordinals(source, self.order_by, ROW_NUMBER), with_ordinals(target, self.order_by, ROW_NUMBER)
+            return tuple(with_ordinals(side, self.order_by, ROW_NUMBER, self.ties) for side in (source, target))
         return source, target
 
 
@@ -191,6 +193,7 @@ class Table:
     types: dict[str, str] | None = None
     exclude: Sequence[str] = ()
     order_by: Sequence[str] = ()
+    ties: bool = True
     expected: DataFrame | None = None
     actual: DataFrame | None = None
 
@@ -221,6 +224,11 @@ def tables_of(
 
 def validate_table(spark: SparkSession, table: Table, reports: str, run_id: str) -> None:
     """Compare schema, counts and cells of one table and append what was found to the reports."""
+    with temporary_scratch(spark):
+        _validate_table(spark, table, reports, run_id)
+
+
+def _validate_table(spark: SparkSession, table: Table, reports: str, run_id: str) -> None:
 
     def report(status: str, rows: DataFrame | None = None) -> None:
         if rows is None:
@@ -242,7 +250,7 @@ def validate_table(spark: SparkSession, table: Table, reports: str, run_id: str)
         keys = ()
     if table.order_by:
         keys = (ROW_NUMBER,)
-    pair = Pair(table.name, source, target, keys, table.types, table.exclude, table.order_by)
+    pair = Pair(table.name, source, target, keys, table.types, table.exclude, table.order_by, table.ties)
     try:
         _validate_schema(spark, table, reports, run_id)
         if target is None:

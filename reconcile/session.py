@@ -5,7 +5,10 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -74,7 +77,34 @@ def scratch_path(spark: SparkSession, label: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder shared by the executors")
         root = tempfile.mkdtemp(prefix="reconcile-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return os.path.join(_own_folder(spark, root), f"{label}-{uuid.uuid4().hex}")
+    path = os.path.join(_own_folder(spark, root), f"{label}-{uuid.uuid4().hex}")
+    for paths in getattr(_open, "scopes", []):
+        paths.append(path)
+    return path
+
+
+_open = threading.local()
+
+
+@contextmanager
+def temporary_scratch(spark: SparkSession) -> Iterator[None]:
+    """What this thread writes to scratch within the block is deleted when the block ends.
+
+    Frames that were made there must not be read afterwards.
+    """
+    paths: list[str] = []
+    _open.scopes = [*getattr(_open, "scopes", []), paths]
+    try:
+        yield
+    finally:
+        _open.scopes = _open.scopes[:-1]
+        for path in paths:
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def _own_folder(spark: SparkSession, root: str) -> str:
@@ -85,8 +115,7 @@ def clear_scratch(spark: SparkSession) -> None:
     """Delete what this application wrote to scratch. Frames read from there end with it."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark, root))
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, _own_folder(spark, root))
 
 
 def write_through(df: DataFrame, label: str) -> DataFrame:

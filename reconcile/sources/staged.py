@@ -37,22 +37,50 @@ CSV_OPTIONS = {
 }
 
 
+# How staged CSV writes what would break a line, in the order in which it is written; read back
+# in the opposite order. No backslash is left that does not begin one of these.
+_ESCAPES = (("\\", "\\s"), ("\n", "\\n"), ("\r", "\\r"))
+
+
+def _escaped(value: str) -> str:
+    for plain, written in _ESCAPES:
+        value = f"replace({value}, {_characters(plain)}, {_characters(written)})"
+    return value
+
+
+def _unescaped(value: str) -> str:
+    for plain, written in reversed(_ESCAPES):
+        value = f"replace({value}, {_characters(written)}, {_characters(plain)})"
+    return value
+
+
+def _characters(text: str) -> str:
+    """A text as SQL that is the same under every setting for escapes in literals."""
+    return "concat(" + ", ".join(f"char({ord(c)})" for c in text) + ")"
+
+
 def stage(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Write rows for a later load, each with an id that rejects can refer to."""
+    """Write rows for a later load, each with an id that rejects can refer to.
+
+    In CSV a line is a row, whatever the values: line breaks and backslashes are written as
+    ``\\n``, ``\\r`` and ``\\s``, so that a file of any size can be read by many tasks.
+    """
     rows = df.select(F.monotonically_increasing_id().alias(ROW), *map(quoted, df.columns))
     if fmt == "csv":
-        text = rows.selectExpr(*[f"CAST({quoted(c)} AS string) AS {quoted(c)}" for c in rows.columns])
+        text = rows.selectExpr(*[f"{_escaped(f'CAST({quoted(c)} AS string)')} AS {quoted(c)}" for c in rows.columns])
         text.write.options(**CSV_OPTIONS).csv(path)
     else:
         rows.write.format(fmt).save(path)
 
 
 def read_staged_csv(
-    spark: SparkSession, path: str, columns: Sequence[str], *, numbered: bool = True, multi_line: bool = True
+    spark: SparkSession, path: str, columns: Sequence[str], *, numbered: bool = True, multi_line: bool = False
 ) -> DataFrame:
     """Staged text columns in file order, the source file, and the raw record of misshapen rows.
 
-    ``multi_line`` keeps quoted newlines together; without it large files can be split.
+    A file is read by as many tasks as its size asks for. ``multi_line`` is for foreign files
+    with line breaks inside quotes: it keeps them together, and makes a file one task. A foreign
+    file's backslash is a character like any other; Spark reads no escapes outside quotes.
     ``numbered`` is false for files from elsewhere. Their rows get an id and the start of
     the block they were read from, from which reports work out the row number in the file.
     """
@@ -70,7 +98,8 @@ def read_staged_csv(
     )
     file = F.col("_metadata.file_path").alias(FILE)
     if numbered:
-        return rows.select(file, F.col(ROW).try_cast("bigint").alias(ROW), *map(quoted, columns), CORRUPT)
+        values = [F.expr(_unescaped(quoted(c))).alias(c) for c in columns]
+        return rows.select(file, F.col(ROW).try_cast("bigint").alias(ROW), *values, CORRUPT)
     block = F.col("_metadata.file_block_start").alias(BLOCK)
     return rows.select(file, block, F.monotonically_increasing_id().alias(ROW), *map(quoted, columns), CORRUPT)
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from reconcile.operators import analyze, audit, convert, diff, history, testcases, typemap, xml
 from reconcile.operators.testcases import TestCase
 from reconcile.plans import migrate, reconcile, reports
-from reconcile.session import clear_scratch, shuffle_partitions, split_bytes, write_through
+from reconcile.session import clear_scratch, shuffle_partitions, split_bytes, temporary_scratch, write_through
 from reconcile.sources import staged
 
 
@@ -43,6 +43,12 @@ def test_xml(spark):
     assert xml.xml_totals(df.filter("i in (0, 3)"), "doc").first()["all_valid"]
 
 
+def several_texts(test):
+    texts = st.text(st.sampled_from('a,"\\\n\r\ts n\u2028é'), max_size=6)
+    limits = settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+    return limits(given(values=st.lists(st.none() | texts, min_size=1, max_size=8))(test))
+
+
 TYPES = {"id": "bigint", "price": "decimal(7,2)", "day": "date"}
 
 
@@ -544,6 +550,24 @@ def test_row_counts_of_one_pair(spark):
     assert tuple(reconcile.row_counts([pair]).first()) == ("t", 3, 4, "Not-Matched")
 
 
+def test_scratch_of_a_block_is_deleted_with_it(spark):
+    kept = write_through(spark.range(3), "kept")
+    with temporary_scratch(spark):
+        inner = write_through(spark.range(5), "inner")
+        assert inner.count() == 5
+    assert kept.count() == 3
+    with pytest.raises(Exception, match="FILE_NOT_EXIST|does not exist|PATH_NOT_FOUND"):
+        inner.collect()
+
+
+@several_texts
+def test_staged_lines_give_back_any_value(spark, tmp_path_factory, values):
+    path = str(tmp_path_factory.mktemp("staged") / "rows")
+    staged.stage(spark.createDataFrame([(v,) for v in values], "a string"), path, "csv")
+    rows = staged.read_staged_csv(spark, path, ["a"]).orderBy("_row").select("a").collect()
+    assert [r["a"] or "" for r in rows] == [v or "" for v in values]
+
+
 def test_scratch_is_in_the_folder_the_session_names(spark):
     root = spark.conf.get("spark.checkpoint.dir")
     other = f"{root}/another-application"
