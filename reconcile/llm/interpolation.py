@@ -28,10 +28,10 @@ from reconcile.llm.graph import tiles_of
 from reconcile.session import write_through
 
 # Tokens after which a task begins another chunk; a longer document is not divided.
-CHUNK_TOKENS = 2_000_000
+CHUNK_TOKENS = 800_000
 
 # N-grams that one task totals.
-TASK_GRAMS = 2_000_000
+TASK_GRAMS = 1_000_000
 
 # Buckets of contexts: never seen, then by the power of two of their count.
 BUCKETS = 24
