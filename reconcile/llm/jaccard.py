@@ -180,85 +180,73 @@ def _compared(rows: DataFrame, group: str, edges, payload: str) -> DataFrame:
 
 
 class _Tile:
-    """The nodes of a tile in order of size, and which of them may be compared."""
+    """The nodes of a tile in order of size, with their bitmaps, and which of them may be compared."""
 
-    def __init__(self, node: np.ndarray, n: np.ndarray, block: np.ndarray, a: int, b: int):
+    def __init__(self, tile: pa.Table, kept: np.ndarray, n: np.ndarray, maps: list[np.ndarray]):
+        node, block = (tile.column(c).to_numpy()[kept] for c in ("node", "block"))
         order = np.lexsort((node, n))
-        keep = np.concatenate([[True], (node[order][1:] != node[order][:-1])]) if len(order) else order.astype(bool)
+        keep = np.ones(len(order), bool)
+        keep[1:] = node[order][1:] != node[order][:-1]
         self.order = order[keep]
         self.node, self.n, self.block = node[self.order], n[self.order], block[self.order]
-        self.a, self.b = a, b
+        self.a, self.b = tile.column("tile_a")[0].as_py(), tile.column("tile_b")[0].as_py()
         self.forest = Forest(len(self.node))
+        self.maps = [maps[i] for i in self.order]
+        # Bitmaps of one length side by side, and at which places of the tile they are.
+        sizes = np.array([len(m) for m in self.maps], np.int64)
+        self.places = {int(size): np.flatnonzero(sizes == size) for size in np.unique(sizes)}
+        self.rows = {size: np.stack([self.maps[i] for i in at]) for size, at in self.places.items()}
 
     def partners(self, i: int) -> np.ndarray:
-        """Later nodes of the band of sizes in which the similarity can be reached."""
-        end = np.searchsorted(self.n, self.n[i] * 100 // PERCENT, "right")
-        other = np.arange(i + 1, max(end, i + 1))
-        mine, theirs = self.block[i], self.block[other]
-        return other[((mine == self.a) & (theirs == self.b)) | ((mine == self.b) & (theirs == self.a))]
-
-    def may_link(self, i: int, other: np.ndarray, maps: list[np.ndarray]) -> np.ndarray:
-        """Of these partners, those whose overlap with ``i`` the bitmaps do not rule out.
+        """Later nodes in the band of sizes of the similarity that the bitmaps do not rule out.
 
         A bit that only one of two bitmaps has stands for a shingle that the other set lacks.
         """
-        own = maps[i]
+        end = np.searchsorted(self.n, self.n[i] * 100 // PERCENT, "right")
         passed = []
-        sizes = np.array([len(maps[j]) for j in other])
-        for size in np.unique(sizes):
-            some = other[sizes == size]
-            words = min(len(own), int(size))
-            mine = folded(own, words)
-            theirs = np.stack([maps[j] for j in some])
-            theirs = folded(theirs, words)
-            only_mine = np.bitwise_count(mine & ~theirs).sum(1)
-            only_theirs = np.bitwise_count(theirs & ~mine).sum(1)
-            most = np.minimum(self.n[i] - only_mine.astype(np.int64), self.n[some] - only_theirs.astype(np.int64))
-            passed.append(some[most >= least_overlap(self.n[i], self.n[some])])
-        return np.concatenate(passed) if passed else other
+        for size, places in self.places.items():
+            first, last = np.searchsorted(places, (i + 1, end))
+            if first >= last:
+                continue
+            words = min(len(self.maps[i]), size)
+            mine, theirs = folded(self.maps[i], words), folded(self.rows[size][first:last], words)
+            only_mine = np.bitwise_count(mine & ~theirs).sum(1, dtype=np.int64)
+            only_theirs = np.bitwise_count(theirs & ~mine).sum(1, dtype=np.int64)
+            other = places[first:last]
+            most = np.minimum(self.n[i] - only_mine, self.n[other] - only_theirs)
+            passed.append(other[most >= least_overlap(self.n[i], self.n[other])])
+        other = np.concatenate(passed) if passed else np.zeros(0, np.int64)
+        mine, theirs = self.block[i], self.block[other]
+        return other[((mine == self.a) & (theirs == self.b)) | ((mine == self.b) & (theirs == self.a))]
 
 
 def _bitmap_edges(tile: pa.Table) -> pa.RecordBatch:
-    t = _Tile(
-        tile.column("node").to_numpy(),
-        tile.column("n").to_numpy(),
-        tile.column("block").to_numpy(),
-        tile.column("tile_a")[0].as_py(),
-        tile.column("tile_b")[0].as_py(),
-    )
-    raw = tile.column("bits").to_pylist()
-    maps = [np.frombuffer(raw[i], np.uint64) for i in t.order]
+    maps = [np.frombuffer(bits, np.uint64) for bits in tile.column("bits").to_pylist()]
+    t = _Tile(tile, np.arange(len(maps)), tile.column("n").to_numpy(), maps)
     for i in range(len(t.node)):
-        for j in t.may_link(i, t.partners(i), maps):
-            t.forest.join(i, int(j))
+        for j in t.partners(i).tolist():
+            t.forest.join(i, j)
     return star_edges(t.node, t.forest)
 
 
 def _exact_edges(tile: pa.Table) -> pa.RecordBatch:
     node = tile.column("node").to_numpy()
-    table = tile.select(["text"]).combine_chunks()
     sets: list[np.ndarray] = []
-    for batch in table.to_batches():
+    for batch in tile.select(["text"]).combine_chunks().to_batches():
         for part in text_slices(batch, "text"):
             sets += shingle_sets(part.column("text"))
     # A head's id may belong to other texts as well: only the text of the node's own set counts.
     own = np.array([i for i, s in enumerate(sets) if len(s) and set_key(s) == node[i]], np.int64)
-    t = _Tile(
-        node[own],
-        np.array([len(sets[i]) for i in own], np.int64),
-        tile.column("block").to_numpy()[own],
-        tile.column("tile_a")[0].as_py(),
-        tile.column("tile_b")[0].as_py(),
-    )
+    sizes = np.array([len(sets[i]) for i in own], np.int64)
+    t = _Tile(tile, own, sizes, [bitmap(sets[i]) for i in own])
     arrays = [sets[own[i]] for i in t.order]
-    maps = [bitmap(s) for s in arrays]
     for i in range(len(t.node)):
-        for j in t.may_link(i, t.partners(i), maps):
-            if t.forest.root(i) == t.forest.root(int(j)):
+        for j in t.partners(i).tolist():
+            if t.forest.root(i) == t.forest.root(j):
                 continue
             both = len(np.intersect1d(arrays[i], arrays[j], assume_unique=True))
             if 100 * both >= PERCENT * (len(arrays[i]) + len(arrays[j]) - both):
-                t.forest.join(i, int(j))
+                t.forest.join(i, j)
     return star_edges(t.node, t.forest)
 
 
