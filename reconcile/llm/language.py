@@ -170,7 +170,8 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     A text that is null or has no letter, and any text under a model without languages, is
     ``und`` with score 0. Of languages with equal code lengths the first by name is taken.
-    Columns of ``docs`` are kept; the input must not have the two new names.
+    Repeated rows are predicted alike. Columns of ``docs`` are kept, but for those of the two new
+    names, which are replaced.
     """
     spark = docs.sparkSession
     shared, key = spark.sparkContext.broadcast(model), uuid.uuid4().hex

@@ -6,6 +6,7 @@ after another. Each task asks the library for the words that it has not met and
 
 from __future__ import annotations
 
+import os
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -21,8 +22,9 @@ from reconcile.llm.bytes_of import made_once, text_slices
 
 END_ID = 2
 
-# Words that a worker remembers; the memory starts anew beyond, and never holds longer words.
-_KNOWN_WORDS = 800_000
+# Words of a generation that a worker remembers, and the longest of them. A word that does not
+# come in a whole generation is forgotten, so memory is bounded and frequent words stay known.
+_KNOWN_WORDS = 200_000
 _LONGEST_KNOWN = 48
 
 # Between an ASCII letter and one of these marks the tokenizer always cuts. The apostrophe is
@@ -32,31 +34,48 @@ _LETTER[list(b"abcdefghijklmnopqrstuvwxyz")] = True
 _MARK[list(b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")] = True
 
 
+class _Known(dict):
+    """Ids by word, of two generations. A word that is in neither is coded by the library."""
+
+    def __init__(self, tokenizer: Tokenizer):
+        super().__init__()
+        self.code = tokenizer.encode
+        self.older: dict[bytes, bytes] = {}
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            ids = array("I", self.code(word.decode(), add_special_tokens=False).ids).tobytes()
+            if len(word) > _LONGEST_KNOWN:
+                return ids
+        self[word] = ids
+        return ids
+
+    def forget(self) -> None:
+        """Begin a new generation if this one is full."""
+        if len(self) > _KNOWN_WORDS:
+            self.older = dict(self)
+            self.clear()
+
+
 class WordIds:
     """Ids of texts under one tokenizer file, as little-endian unsigned 32-bit integers."""
 
     def __init__(self, path: str):
+        # A task has one core; threads of the library's own would take those of other tasks.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.known: dict[bytes, bytes] = {}
+        self.known = _Known(self.tokenizer)
 
     def of(self, texts: list[str | None], end_id: int = END_ID) -> list[bytes]:
         """The ids of each text and one end id; a null text is an empty one."""
         end = np.array([end_id], "<u4").tobytes()
-        words = _words([(text or "").encode() for text in texts])
-        new = list(set().union(*words).difference(self.known))
-        for at in range(0, len(new), 10_000):
-            some = new[at : at + 10_000]
-            found = self.tokenizer.encode_batch([w.decode() for w in some], add_special_tokens=False)
-            for word, encoding in zip(some, found, strict=True):
-                self.known[word] = array("I", encoding.ids).tobytes()
-        ids = [b"".join(map(self.known.__getitem__, w)) + end for w in words]
-        for word in new:
-            if len(word) > _LONGEST_KNOWN:
-                del self.known[word]
-        if len(self.known) > _KNOWN_WORDS:
-            self.known = {}
+        ids = []
+        for words in _words([(text or "").encode() for text in texts]):
+            ids.append(b"".join(map(self.known.__getitem__, words)) + end)
+            self.known.forget()
         return ids
 
 
@@ -91,7 +110,17 @@ COUNTS = (60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1, 1)
 WIDTHS = (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60, 60)
 ESCAPE = 14
 _PAYLOAD = np.uint64((1 << 60) - 1)
-_WIDTHS = sorted(set(WIDTHS))
+# The narrowest width for values of each number of bits; 61 is none.
+_WIDTH_FOR = np.array([min((w for w in WIDTHS if w >= bits), default=61) for bits in range(65)], np.uint8)
+
+
+def _widths(values: np.ndarray) -> np.ndarray:
+    """The width that each value needs. Doubles tell the bits of what they hold exactly."""
+    bits = np.frexp(values.astype(np.float64))[1]
+    for i in np.flatnonzero(values >= np.uint64(1 << 53)):
+        bits[i] = int(values[i]).bit_length()
+    return _WIDTH_FOR[bits]
+
 
 # Integers per block. Blocks are coded apart from each other.
 BLOCK = 1024
@@ -127,7 +156,7 @@ def _encode_blocks(values: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarr
     # Bits of each value, with room after each block that fits no word.
     bits = np.full((blocks, block + COUNTS[0]), 255, np.uint8)
     flat = np.full(blocks * block, 255, np.uint8)
-    flat[:n] = np.select([values < np.uint64(1 << b) for b in _WIDTHS], _WIDTHS, 61)
+    flat[:n] = _widths(values)
     bits[:, :block] = flat.reshape(blocks, block)
     # The widest value of the run of each length from each place on; the longest that fits is best.
     selector = np.where(flat.reshape(blocks, block) > 60, ESCAPE, ESCAPE - 1).astype(np.uint8)
