@@ -5,18 +5,28 @@ that its training texts contain, how often each byte followed. A text's code len
 language is exact: each byte is coded in its longest seen context, and a context that has not
 seen the byte codes an escape first and leaves the byte to the next shorter one (method C, with
 the bytes already ruled out excluded). The statistics are frozen before any text is scored, so
-the code length of a byte depends on its context alone and is looked up in a table.
+the code length of a byte depends on its context alone and is looked up in a table. All counts
+are kept and every byte value is a symbol of its own. The tables are a file that the driver makes
+language by language and Spark hands to each executor, where the workers map it into memory.
 """
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
+import tempfile
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,49 +36,68 @@ from reconcile.llm.bytes_of import made_once, text_bytes, text_slices
 
 UNKNOWN = "und"
 
-# The model's size: the most frequent four-byte sequences that it keeps, over all languages.
-MOST_GRAMS = 1_000_000
+# Four-byte sequences that the driver fetches at a time, but for a language that has more.
+FETCHED = 2_000_000
 
-# Bytes with a symbol of their own; all others share one, and are equally likely within it.
-SYMBOLS = 64
-_BITS = 6
+# Byte values: each has a symbol of its own.
+SYMBOLS = 256
 _ORDER = 3
 _PAD = 32
 
 
 @dataclass(frozen=True)
 class Model:
-    """Four-byte sequences of the training texts with their counts, by language."""
+    """Four-byte sequences of the training texts with their counts, by language, in scratch."""
 
     languages: list[str]
-    language: np.ndarray
-    gram: np.ndarray
-    count: np.ndarray
-
-
-def fit(training: DataFrame, text: str = "text", lang: str = "lang", most_grams: int = MOST_GRAMS) -> Model:
+    sizes: list[int]
+    counts: DataFrame
+
+    def by_language(self, fetched: int = FETCHED) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The sequences of each language in order, and their counts; few languages at a time."""
+        start = 0
+        while start < len(self.languages):
+            end, size = start + 1, self.sizes[start]
+            while end < len(self.languages) and size + self.sizes[end] <= fetched:
+                size += self.sizes[end]
+                end += 1
+            table = self.counts.filter(F.col("lang").isin(self.languages[start:end])).toArrow()
+            for name in self.languages[start:end]:
+                own = table.filter(pc.equal(table["lang"], name)).sort_by("gram")
+                yield own["gram"].to_numpy(), own["n"].to_numpy().astype(np.float64)
+            start = end
+
+    @cached_property
+    def _rows(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        return list(self.by_language())
+
+    # All of the model at once, for small ones.
+
+    @property
+    def language(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self._rows)), [len(gram) for gram, _ in self._rows])
+
+    @property
+    def gram(self) -> np.ndarray:
+        return np.concatenate([np.zeros(0, np.int64), *(gram for gram, _ in self._rows)])
+
+    @property
+    def count(self) -> np.ndarray:
+        return np.concatenate([np.zeros(0), *(n for _, n in self._rows)])
+
+
+def fit(training: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     """Count what follows each context in the texts of each language.
 
     Rows with a null text or language teach nothing; an empty text has no bytes. With no
     training bytes at all the model has no language and predicts ``und`` for everything.
-    The model keeps at most about ``most_grams`` sequences, the most frequent ones.
     """
     rows = training.select(F.col(lang).alias("lang"), F.col(text).alias("text")).dropna()
     counts = rows.mapInArrow(_count_grams, "lang string, gram long, n long")
     counts = written(counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
-    size = counts.count()
-    if size > most_grams:
-        least = counts.agg(F.percentile_approx("n", 1 - most_grams / size, 10_000)).first()[0]
-        counts = counts.filter(F.col("n") > least)
-    table = counts.toPandas().sort_values(["lang", "gram"])
-    languages = sorted(table["lang"].unique())
-    index = {name: i for i, name in enumerate(languages)}
-    return Model(
-        languages,
-        table["lang"].map(index).to_numpy(np.int64),
-        table["gram"].to_numpy(np.int64),
-        table["n"].to_numpy(np.float64),
-    )
+    sizes = {r["lang"]: r["size"] for r in counts.groupBy("lang").agg(F.count("*").alias("size")).collect()}
+    languages = sorted(sizes)
+    return Model(languages, [sizes[name] for name in languages], counts)
 
 
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,45 +137,92 @@ def _grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return grams, owner
 
 
+class _Tree(NamedTuple):
+    """Code lengths in one language. Sequences are numbers of their bytes, in order."""
+
+    low: np.ndarray  # of the second of any two bytes, in the first as its context
+    escape2: np.ndarray  # from each context of two bytes; 0 if it was not seen
+    gram3: np.ndarray  # sequences of three bytes seen
+    bits3: np.ndarray
+    context3: np.ndarray  # contexts of three bytes seen
+    escape3: np.ndarray
+    gram4: np.ndarray  # sequences of four bytes seen
+    bits4: np.ndarray
+
+    def bits(self, gram: np.ndarray) -> np.ndarray:
+        """The code length of the last byte of each four, the others being its context."""
+        bits = self.low[gram & 0xFFFF]
+        seen, at = _find(self.gram3, gram & 0xFFFFFF)
+        bits = np.where(seen, self.bits3[at], bits + self.escape2[(gram >> 8) & 0xFFFF])
+        seen, at = _find(self.context3, gram >> 8)
+        bits += np.where(seen, self.escape3[at], np.float32(0))
+        seen, at = _find(self.gram4, gram)
+        return np.where(seen, self.bits4[at], bits)
+
+
+def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return keys[at] == wanted, at
+
+
 @dataclass(frozen=True)
 class _Table:
-    symbol: np.ndarray  # of each byte
-    row: np.ndarray  # of each context of three symbols
-    bits: np.ndarray  # [row * SYMBOLS + symbol, language]: code length
+    trees: list[_Tree]
+
+    # The same as dense arrays, for checks of small models.
+
+    @property
+    def symbol(self) -> np.ndarray:
+        """Of each byte: its place among those seen in any language, 0 if it was not."""
+        seen = np.unique(np.concatenate([tree.gram3 & 0xFF for tree in self.trees]))
+        symbol = np.zeros(256, np.int64)
+        symbol[seen] = np.arange(1, len(seen) + 1)
+        return symbol
+
+    @property
+    def bits(self) -> np.ndarray:
+        """[context * SYMBOLS + symbol, language] for all contexts seen; unseen bytes are alike."""
+        symbol = self.symbol
+        byte = np.full(SYMBOLS, np.flatnonzero(symbol == 0)[0], np.uint32)
+        byte[symbol[symbol > 0]] = np.flatnonzero(symbol)
+        seen = np.unique(np.concatenate([tree.context3 for tree in self.trees]))
+        gram = (seen[:, None] << 8 | byte[None, :]).ravel()
+        return np.stack([tree.bits(gram) for tree in self.trees], 1)
 
 
 def _code_lengths(model: Model) -> _Table:
-    """The code length of every symbol in every context kept, per language."""
-    freq = np.bincount(model.gram & 255, model.count, 256)
-    common = np.argsort(-freq, kind="stable")[: SYMBOLS - 1]
-    common = common[freq[common] > 0]
-    symbol = np.zeros(256, np.int64)
-    symbol[common] = np.arange(1, len(common) + 1)
-    parts = [symbol[(model.gram >> (8 * back)) & 255] for back in range(_ORDER, -1, -1)]
-    gram = np.zeros(len(model.gram), np.int64)
-    for part in parts:
-        gram = gram << _BITS | part
-    short = SYMBOLS ** (_ORDER - 1)
-    seen = np.unique(gram >> _BITS)
-    row = np.arange(SYMBOLS**_ORDER) % short
-    row[seen] = short + np.arange(len(seen))
-    bits = np.empty((short + len(seen), SYMBOLS, len(model.languages)), np.float32)
-    sizes = np.full(SYMBOLS, 1 / 256)
-    sizes[0] = 1 - len(common) / 256
-    sizes[len(common) + 1 :] = 0
-    for i in range(len(model.languages)):
-        own = model.language == i
-        at, n = gram[own], model.count[own]
-        chance = (sizes / sizes.sum())[None, :]
-        for order in range(_ORDER):
-            counts = np.bincount(at % SYMBOLS ** (order + 1), n, SYMBOLS ** (order + 1)).reshape(-1, SYMBOLS)
-            chance = _with_escape(counts, np.tile(chance, (len(counts) // len(chance), 1)))
-        bits[:short, :, i] = _bits(chance)
-        counts = np.bincount(np.searchsorted(seen, at >> _BITS) * SYMBOLS + at % SYMBOLS, n, len(seen) * SYMBOLS)
-        bits[short:, :, i] = _bits(_with_escape(counts.reshape(-1, SYMBOLS), chance[seen % short]))
-    # A byte of the shared class costs the choice among that class as well.
-    bits[:, 0, :] += np.log2(256 - len(common))
-    return _Table(symbol, row, bits.reshape(-1, len(model.languages)))
+    return _Table([_tree(*rows) for rows in model.by_language()])
+
+
+def _tree(gram: np.ndarray, n: np.ndarray) -> _Tree:
+    """The code length of every byte in every context of one language."""
+    chance = np.full((1, 256), 1 / 256)
+    for order in range(2):
+        counts = np.bincount(gram % 256 ** (order + 1), n, 256 ** (order + 1)).reshape(-1, 256)
+        chance = _with_escape(counts, np.tile(chance, (len(counts) // len(chance), 1)))
+    low = chance.ravel()
+    gram3, n3 = bytes_of.group_sums(gram & 0xFFFFFF, n)
+    chance3, escape2 = _seen(gram3 >> 8, n3, low[gram3 & 0xFFFF], 1 << 16)
+    context3, context = np.unique(gram >> 8, return_inverse=True)
+    chance4, escape3 = _seen(context, n, chance3[np.searchsorted(gram3, gram & 0xFFFFFF)], len(context3))
+    bits = [_bits(chance).astype(np.float32) for chance in (low, escape2, chance3, escape3, chance4)]
+    gram3, context3, gram4 = (keys.astype(np.uint32) for keys in (gram3, context3, gram))
+    return _Tree(bits[0], bits[1], gram3, bits[2], context3, bits[3], gram4, bits[4])
+
+
+def _seen(context: np.ndarray, n: np.ndarray, shorter: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Chances of bytes seen in their contexts, and by what each context's escape multiplies the shorter's.
+
+    What is left of the shorter context is at least the chance of its own escape, so the
+    difference below is never near the precision of a number, unless all bytes were seen.
+    """
+    total, distinct = np.bincount(context, n, size), np.bincount(context, minlength=size)
+    escape = np.where(distinct < 256, distinct, 0)
+    rest = 1 - np.bincount(context, shorter, size)
+    factor = np.ones(size)
+    left = escape > 0
+    factor[left] = escape[left] / (total + escape)[left] / np.maximum(rest[left], 1e-30)
+    return n / (total + escape)[context], factor
 
 
 def _bits(chance: np.ndarray) -> np.ndarray:
@@ -165,6 +241,31 @@ def _with_escape(counts: np.ndarray, shorter: np.ndarray) -> np.ndarray:
     return np.where(total > 0, own, shorter)
 
 
+def _handed_out(model: Model) -> tuple[str, list[list[tuple[str, int, int]]]]:
+    """A file of all trees, added to the session's files: its name, and where each array of a tree is."""
+    folder = tempfile.mkdtemp(prefix="reconcile-language-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    name = f"language-{uuid.uuid4().hex}"
+    path, places = os.path.join(folder, name), []
+    with open(path, "wb") as file:
+        for rows in model.by_language():
+            places.append([])
+            for part in _tree(*rows):
+                places[-1].append((part.dtype.str, file.tell(), len(part)))
+                part.tofile(file)
+    model.counts.sparkSession.sparkContext.addFile(path)
+    return name, places
+
+
+def _opened(name: str, places: list[list[tuple[str, int, int]]]) -> _Table:
+    data = np.asarray(np.memmap(SparkFiles.get(name), np.uint8, "r"))
+    trees = []
+    for parts in places:
+        arrays = (np.frombuffer(data, kind, size, start) for kind, start, size in parts)
+        trees.append(_Tree(*arrays))
+    return _Table(trees)
+
+
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Add ``lang_pred`` and ``score``, the chance of that language if all were equally likely.
 
@@ -173,12 +274,11 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     Repeated rows are predicted alike. Columns of ``docs`` are kept, but for those of the two new
     names, which are replaced.
     """
-    spark = docs.sparkSession
-    shared, key = spark.sparkContext.broadcast(model), uuid.uuid4().hex
     names = model.languages
+    key, places = _handed_out(model) if names else ("", [])
 
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        table = made_once(key, lambda: _code_lengths(shared.value))
+        table = made_once(key, lambda: _opened(key, places))
         for texts in batches:
             column = pa.array(texts, pa.large_string())
             batch = pa.RecordBatch.from_arrays([column], ["text"])
@@ -215,16 +315,13 @@ def _free_name(df: DataFrame) -> str:
 
 def _text_bits(table: _Table, column: pa.Array) -> np.ndarray:
     """Code length of each text in each language."""
-    stream, place, _, offsets = _padded(column)
-    symbols = table.symbol[stream]
-    context = np.zeros(len(place), np.int64)
-    for back in range(_ORDER, 0, -1):
-        context = context << _BITS | symbols[place - back]
-    bits = np.take(table.bits, table.row[context] * SYMBOLS + symbols[place], axis=0)
-    total = np.zeros((len(offsets) - 1, bits.shape[1]))
+    offsets = text_bytes(column)[1]
+    distinct, at = np.unique(_grams(column)[0].astype(np.uint32), return_inverse=True)
+    total = np.zeros((len(offsets) - 1, len(table.trees)))
     filled = np.flatnonzero(np.diff(offsets))
     if len(filled):
-        total[filled] = np.add.reduceat(bits, offsets[:-1][filled], axis=0, dtype=np.float64)
+        for i, tree in enumerate(table.trees):
+            total[filled, i] = np.add.reduceat(tree.bits(distinct)[at], offsets[:-1][filled], dtype=np.float64)
     return total
 
 

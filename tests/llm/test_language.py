@@ -95,3 +95,17 @@ def test_inputs_of_a_prediction(spark):
     a = sorted((r["text"] or "", r["lang_pred"], r["score"]) for r in as_dicts(language.predict(docs, model)))
     b = sorted((r["text"] or "", r["lang_pred"], r["score"]) for r in as_dicts(language.predict(other, model)))
     assert a == b
+
+
+def test_rare_languages_beside_a_million_sequences(spark):
+    """No count is dropped: two languages with a few words each, beside one of very many sequences."""
+    text = F.base64(F.unhex(F.sha2(F.col("id").cast("string"), 512)))
+    hot = spark.range(80_000).select(text.alias("text"), F.lit("hot").alias("lang"))
+    rare = [("kissa istuu ikkunalla", "fi"), ("kot siedzi w oknie", "pl")]
+    model = language.fit(hot.unionByName(spark.createDataFrame(rare, "text string, lang string")))
+    assert sum(model.sizes) > 1_000_000 and model.languages == ["fi", "hot", "pl"]
+    docs = spark.createDataFrame([(t[4:],) for t, _ in rare], "text string")
+    got = {r["text"]: r["lang_pred"] for r in as_dicts(language.predict(docs, model))}
+    assert got == {t[4:]: lang for t, lang in rare}
+    # Fetched one language at a time, the rows are the same.
+    assert [len(gram) for gram, _ in model.by_language(fetched=1)] == model.sizes
