@@ -109,3 +109,18 @@ def test_rare_languages_beside_a_million_sequences(spark):
     assert got == {t[4:]: lang for t, lang in rare}
     # Fetched one language at a time, the rows are the same.
     assert [len(gram) for gram, _ in model.by_language(fetched=1)] == model.sizes
+
+
+def test_languages_of_one_script_beside_a_hot_latin_one(spark):
+    """Bytes of another script are told apart, however many bytes the Latin texts have."""
+    latin = "".join(map(chr, range(33, 127))) + " the cat and the hat" * 20
+    ru = "съешь ещё этих мягких французских булок да выпей чаю пока он горячий и сладкий"
+    uk = "щастям б'єш жук її глицю в фон й ґедзь пріч як знайшли її чаювати пізно ввечері"
+    rows = [(latin, "en")] * 200 + [(ru, "ru"), (uk, "uk")]
+    model = language.fit(spark.createDataFrame(rows, "text string, lang string"))
+    used = set((latin.lower() + ru + uk).encode())
+    assert set(np.flatnonzero(language._code_lengths(model).symbol)) == used and len(used) > 63
+    docs = spark.createDataFrame([(ru[40:],), (uk[40:],)], "text string")
+    got = {r["text"]: (r["lang_pred"], r["score"]) for r in as_dicts(language.predict(docs, model))}
+    assert got[ru[40:]][0] == "ru" and got[uk[40:]][0] == "uk"
+    assert min(score for _, score in got.values()) > 0.999
