@@ -5,7 +5,9 @@ agree. Its surrogate is a keyed permutation of the canonical form within the val
 form: digits stay digits, an upper-case name stays one, a valid card number stays valid. Names
 are made of syllables of the name's script, and given names are of the same gender. The
 surrogates of all entities of the corpus are then checked: one that two entities share, or that
-is itself an entity of the corpus, is drawn again.
+is itself an entity of the corpus, is drawn again. Where a form is so full of entities that this
+cannot end, its surrogates are a permutation of the form that leaves no value in place: distinct
+and the same for every mention, though they may be other entities.
 """
 
 from __future__ import annotations
@@ -28,9 +30,13 @@ from reconcile.session import write_through
 # Entities drawn again that may be sent to every task; more are joined to their documents.
 MOST_SHARED = 100_000
 
-# Rounds of the collision check. Each draws all colliding entities again.
+# Rounds of the collision check. Each draws all colliding entities again. Forms that still
+# collide after them count as full.
 MOST_ROUNDS = 50
 
+# The draw of an entity whose form is full.
+FULL = -1
+
 # Common given names by script and gender.
 GIVEN = {
     ("latin", "f"): "Mary Anna Maria Emma Laura Sarah Julia Elena Sofia Alice Marie Claire Camille Lucía Carmen Isabel "
@@ -66,7 +72,7 @@ _SSN = r"(?<![\w-])(?P<ssn>\d{3}-\d{2}-\d{4})(?![\w-])"
 _CARD = r"(?<![\w.-])(?P<card>\d(?:[ -]?\d){12,18})(?![\w-]|\.\d)"
 _PHONE = (
     r"(?<![\w.-])(?P<phone>(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}"
-    r"|\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}|\d{3}[ .-]\d{3}[ .-]\d{4})(?![\w-])"
+    r"|\+(?=(?:[ .-]?\d){7})\d{1,3}(?:[ .-]?\d{2,4}){2,5}|\d{3}[ .-]\d{3}[ .-]\d{4})(?![\w-])"
 )
 _PERSON = (
     rf"(?<!\w)(?:(?P<title>{'|'.join(TITLES)})\.?[ ])?(?P<given>{'|'.join(map(re.escape, _ANY_CASE))})[ ]"
@@ -138,7 +144,10 @@ def script_of(word: str) -> str:
 
 
 class Surrogates:
-    """Surrogates of canonical forms under one key. ``attempt`` numbers the draws of an entity."""
+    """Surrogates of canonical forms under one key.
+
+    ``attempt`` numbers the draws of an entity; ``FULL`` is that of a form full of entities.
+    """
 
     def __init__(self, key: bytes):
         self.key = key
@@ -155,6 +164,8 @@ class Surrogates:
         if name == "email":
             local, _, domain = entity.rpartition("@")
             host, _, top = domain.rpartition(".")
+            if not _has_values(local + host):
+                return f"{self._letters(name, local, attempt)}@{domain}"
             return f"{self._same_form('email', local, attempt)}@{self._same_form('host', host, attempt)}.{top}"
         if name == "card":
             return self._card(entity, attempt)
@@ -163,15 +174,35 @@ class Surrogates:
             return entity[:2] + self._same_form(name, entity[2:], attempt)
         if name == "iban":
             return entity[:2] + self._same_form(name, entity[2:], attempt)
+        if not _has_values(entity):
+            return self._letters(name, entity, attempt)
         return self._same_form(name, entity, attempt)
 
     def _draw(self, size: int, *what: object) -> int:
         data = "\0".join(map(str, what)).encode()
         return int.from_bytes(hmac.digest(self.key, data, "sha256"), "big") % size
 
+    def _drawn(self, value: int, size: int, *what: object) -> int:
+        """A keyed permutation of 0..size-1 for each draw; that of a full form is a single cycle."""
+        if what[-1] != FULL:
+            return self._permuted(value, size, *what)
+        return self._unpermuted((self._permuted(value, size, *what) + 1) % size, size, *what)
+
+    def _unpermuted(self, value: int, size: int, *what: object) -> int:
+        """The value that ``_permuted`` brings to this one."""
+        half = _half(size)
+        mask = (1 << half) - 1
+        while True:
+            left, right = value >> half, value & mask
+            for turn in reversed(range(6)):
+                left, right = right ^ self._draw(1 << half, *what, size, turn, left), left
+            value = left << half | right
+            if value < size:
+                return value
+
     def _permuted(self, value: int, size: int, *what: object) -> int:
         """A keyed permutation of 0..size-1: a balanced Feistel network, walked until in range."""
-        half = max(1, ((size - 1).bit_length() + 1) // 2)
+        half = _half(size)
         mask = (1 << half) - 1
         while True:
             left, right = value >> half, value & mask
@@ -183,16 +214,14 @@ class Surrogates:
 
     def _same_form(self, name: str, text: str, attempt: int) -> str:
         """Every digit a digit, every hexadecimal or other letter one of its kind; the rest stays."""
-        hexadecimal = name == "secret" and re.fullmatch("[0-9a-f]+", text)
-        kinds = ["0123456789abcdef" if hexadecimal else _alphabet(c) for c in text]
-        form = "".join("x" if hexadecimal else "9" if c.isdigit() else "a" if k else c for c, k in zip(text, kinds, strict=True))
+        kinds, form = _form(name, text)
         size, value = 1, 0
         for c, k in zip(text, kinds, strict=True):
             if k:
                 size, value = size * len(k), value * len(k) + k.index(c)
         if size == 1:
             return text
-        value = self._permuted(value, size, name, form, attempt)
+        value = self._drawn(value, size, name, form, attempt)
         out = []
         for c, k in zip(reversed(text), reversed(kinds), strict=True):
             if k:
@@ -202,6 +231,17 @@ class Surrogates:
                 out.append(c)
         return "".join(reversed(out))
 
+    def _letters(self, name: str, marks: str, attempt: int) -> str:
+        """Letters for a value that has neither letters nor digits, more of them as a draw's number grows."""
+        size, value = 26 ** (len(marks) + attempt // 4), 0
+        for c in marks:
+            value = value * len(_MARKS) + _MARKS.index(c)
+        value, out = self._permuted(value, size, name, "marks", len(marks), attempt), ""
+        while size > 1:
+            value, letter = divmod(value, 26)
+            out, size = out + chr(97 + letter), size // 26
+        return out
+
     def _card(self, digits: str, attempt: int) -> str:
         """A number of the same length that passes the check digit test if the entity does."""
         valid, out = luhn(digits), digits
@@ -217,7 +257,7 @@ class Surrogates:
             value = value * 256 + int(part)
         private = _private(value)
         while True:
-            value = self._permuted(value, 1 << 32, "ip", attempt)
+            value = self._drawn(value, 1 << 32, "ip", attempt)
             if _private(value) == private:
                 return ".".join(str(value >> shift & 255) for shift in (24, 16, 8, 0))
 
@@ -229,15 +269,64 @@ class Surrogates:
         return names[(place + shift) % len(names)]
 
     def _surname(self, script: str, entity: str, attempt: int) -> str:
-        parts = SYLLABLES[script].split()
-        drawn = self._draw(len(parts) ** 4 * 4, "surname", script, entity, attempt)
-        count, out = 3 + drawn % 4 // 2, ""
+        """Three or four syllables, more of them as a draw's number grows, so names never run out."""
+        parts, more = SYLLABLES[script].split(), attempt // 4
+        drawn = self._draw(len(parts) ** (4 + more) * 4, "surname", script, entity, attempt)
+        count, out = 3 + drawn % 4 // 2 + more, ""
         for _ in range(count):
             drawn, i = divmod(drawn, len(parts))
             out += parts[i]
         return out.title()
 
 
+def _half(size: int) -> int:
+    return max(1, ((size - 1).bit_length() + 1) // 2)
+
+
+# What an e-mail's name or a secret may have besides letters and digits.
+_MARKS = "._%+-/"
+
+
+def _has_values(text: str) -> bool:
+    return any(map(_alphabet, text))
+
+
+def _form(name: str, text: str) -> tuple[list[str], str]:
+    """The characters that may stand at each place of a text, and the form that they make."""
+    hexadecimal = name == "secret" and re.fullmatch("[0-9a-f]+", text)
+    kinds = ["0123456789abcdef" if hexadecimal else _alphabet(c) for c in text]
+    form = "".join("x" if hexadecimal else "9" if c.isdigit() else "a" if k else c for c, k in zip(text, kinds, strict=True))
+    return kinds, form
+
+
+def form_of(kind: str, entity: str) -> tuple[str | None, float]:
+    """What an entity shares with its possible surrogates, and how many values that has.
+
+    None for those that are not permuted within a form.
+    """
+    if kind == "ip":
+        value = int.from_bytes(bytes(map(int, entity.split("."))), "big")
+        private = 2 * 2**24 + 2**20 + 2**16
+        return ("private", private) if _private(value) else ("public", 2.0**32 - private)
+    if kind not in ("email", "secret", "card", "phone", "iban", "ssn"):
+        return None, 0.0
+    fixed, text, top = "", entity, ""
+    if kind == "iban" or (kind == "phone" and entity[0] == "+"):
+        fixed, text = entity[:2], entity[2:]
+    elif kind == "email":
+        text, _, top = entity.rpartition(".")
+    if not _has_values(text):
+        return None, 0.0
+    kinds, form = _form(kind, text)
+    size = 1.0
+    for k in kinds:
+        size = min(size * (len(k) or 1), 1e300)
+    if kind == "card":
+        valid = luhn(entity)
+        fixed, size = str(valid), size * (0.1 if valid else 0.9)
+    return f"{fixed} {form} {top}", size
+
+
 def _alphabet(c: str) -> str:
     if "0" <= c <= "9":
         return "0123456789"
@@ -302,7 +391,8 @@ def redrawn(entities: DataFrame, key: bytes) -> DataFrame:
     """``kind, entity, attempt`` of the entities whose first surrogates collide.
 
     A surrogate collides if another entity of its kind has it as well, or if it is an entity of
-    the corpus itself. Given names are a fixed list, so they are permuted and may be each
+    the corpus itself. Of a form that has more entities than half its values, or still collides
+    after all rounds, every entity has the draw ``FULL`` and may be another's surrogate. Given names are a fixed list, so they are permuted and may be each
     other's surrogates; they are told apart by their surnames, and are not checked.
     """
     spark = entities.sparkSession
@@ -315,23 +405,46 @@ def redrawn(entities: DataFrame, key: bytes) -> DataFrame:
             rows = zip(kinds.to_pylist(), entity.to_pylist(), attempt.to_pylist(), strict=True)
             yield pa.array([surrogates.of(*row) for row in rows], pa.string())
 
+    def formed(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for kinds, entity in parts:
+            forms = [form_of(*row) for row in zip(kinds.to_pylist(), entity.to_pylist(), strict=True)]
+            yield pa.array([{"form": form, "size": size} for form, size in forms], _FORMED)
+
     drawn = F.arrow_udf(draw, "string")("kind", "entity", "attempt")
-    checked = entities.filter("kind NOT LIKE 'given %'").withColumn("attempt", F.lit(0))
-    checked = write_through(checked.withColumn("surrogate", drawn), "surrogates")
-    for _ in range(MOST_ROUNDS):
+    form = F.arrow_udf(formed, "form string, size double")("kind", "entity")
+    checked = entities.filter("kind NOT LIKE 'given %'").withColumn("attempt", F.lit(0)).withColumn("formed", form)
+    checked = checked.withColumn("surrogate", drawn).select("kind", "entity", "attempt", "surrogate", "formed.*")
+    checked = write_through(checked, "surrogates")
+
+    def filled(checked: DataFrame, forms: DataFrame) -> DataFrame:
+        """All entities of these forms drawn as those of a full form are."""
+        forms = write_through(forms.select("kind", "form"), "full_forms")
+        if forms.isEmpty():
+            return checked
+        moved = checked.join(forms, ["kind", "form"], "left_semi").withColumn("attempt", F.lit(FULL))
+        kept = checked.join(forms, ["kind", "form"], "left_anti")
+        return write_through(kept.unionByName(moved.withColumn("surrogate", drawn)), "surrogates")
+
+    sizes = checked.filter("form IS NOT NULL").groupBy("kind", "form").agg(F.count("*").alias("n"), F.max("size").alias("size"))
+    checked = filled(checked, sizes.filter("n * 2 > size"))
+    for turn in range(2 * MOST_ROUNDS):
         # The holder of a surrogate is the entity that is first to have it, so it stays.
         order = F.struct("attempt", "entity")
         holders = checked.groupBy("kind", "surrogate").agg(F.min(order)["entity"].alias("holder"), F.count("*").alias("n"))
         real = checked.select("kind", F.col("entity").alias("surrogate"), F.lit(True).alias("real"))
         odd = holders.filter("n > 1").join(real, ["kind", "surrogate"], "full").filter("real OR n > 1")
         state = checked.join(odd, ["kind", "surrogate"], "left")
-        again = F.coalesce("real", F.lit(False)) | F.coalesce(F.col("holder") != F.col("entity"), F.lit(False))
-        state = write_through(state.select("kind", "entity", "attempt", "surrogate", again.alias("again")), "surrogates")
+        taken = F.coalesce("real", F.lit(False)) & (F.col("attempt") != FULL)
+        again = taken | F.coalesce(F.col("holder") != F.col("entity"), F.lit(False))
+        state = write_through(state.select(*checked.columns, again.alias("again")), "surrogates")
         if state.filter("again").isEmpty():
-            return checked.filter("attempt > 0").select("kind", "entity", "attempt")
+            return checked.filter(F.col("attempt") != 0).select("kind", "entity", "attempt")
+        if turn == MOST_ROUNDS - 1:
+            checked = filled(checked, state.filter("again AND form IS NOT NULL").select("kind", "form").distinct())
+            continue
         moved = state.filter("again").withColumn("attempt", F.col("attempt") + 1).withColumn("surrogate", drawn)
         checked = state.filter("NOT again").unionByName(moved).drop("again")
-    raise ValueError("surrogates still collide: there are more entities of a form than values")
+    raise ValueError("surrogates still collide")
 
 
 def pseudonymize(
@@ -385,6 +498,7 @@ def pseudonymize(
     return found.select(*columns)
 
 
+_FORMED = pa.struct([("form", pa.string()), ("size", pa.float64())])
 _ATTEMPTS = "array<struct<kind: string, entity: string, attempt: int>>"
 _SCHEMA = "text string, entities array<struct<start: int, end: int, kind: string>>"
 _REWRITTEN = pa.struct(

@@ -146,3 +146,42 @@ def test_query_leaves_no_entity_and_changes_nothing_else(spark):
 def test_written_as_mentioned():
     assert in_format("+10175557713", "+1 (999) 111-2222", "phone") == "+1 (017) 555-7713"
     assert in_format("Kalo", "SMITH", "surname latin") == "KALO"
+
+
+def test_full_forms_are_permuted(spark):
+    """Forms with all, most or too many of their values among the entities, and values of marks only."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [("ssn", f"{i:02d}") for i in range(100)] + [("phone", f"+1{i:03d}") for i in range(700)]
+    rows += [("email", f"{a}@{b}.com") for a in letters for b in letters[:20]] + [("iban", f"DE{i}") for i in range(10)]
+    rows += [("secret", "--------"), ("secret", "-------_"), ("email", "_@-.com"), ("secret", "1-------")]
+    rows += [("surname latin", f"Name{a}") for a in letters]
+    df = spark.createDataFrame(rows, "kind string, entity string")
+    attempts = {(r["kind"], r["entity"]): r["attempt"] for r in as_dicts(surrogates.redrawn(df, KEY))}
+    s = Surrogates(KEY)
+    drawn = {(k, e): s.of(k, e, attempts.get((k, e), 0)) for k, e in rows}
+    assert len({(k, new) for (k, _), new in drawn.items()}) == len(rows)
+    assert all(new != e for (_, e), new in drawn.items())
+    for (k, e), new in drawn.items():
+        full = k in ("ssn", "phone", "iban") or (k == "email" and e != "_@-.com")
+        assert (attempts.get((k, e)) == surrogates.FULL) == full
+        if full:
+            assert surrogates.form_of(k, new) == surrogates.form_of(k, e)
+        else:
+            assert (k, new) not in drawn
+
+
+def test_full_draws_of_cards_and_addresses():
+    s = Surrogates(KEY)
+    for kind, entities in {
+        "card": [f"{i:013d}" for i in range(500)],
+        "ip": [f"192.168.{i}.{j}" for i in range(2) for j in range(50)],
+    }.items():
+        new = [s.of(kind, e, surrogates.FULL) for e in entities]
+        assert len(set(new)) == len(new) and all(a != b for a, b in zip(new, entities, strict=True))
+        assert [surrogates.form_of(kind, n) for n in new] == [surrogates.form_of(kind, e) for e in entities]
+
+
+def test_short_numbers_with_a_plus():
+    """A number with a plus and fewer than seven digits is no phone number."""
+    assert _kinds("add +12345 or +1 23 45") == []
+    assert _kinds("call +1234567 or +683 4002") == [("phone", "+1234567"), ("phone", "+683 4002")]
