@@ -74,15 +74,34 @@ _PHONE = (
     r"(?<![\w.-])(?P<phone>(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}"
     r"|\+(?=(?:[ .-]?\d){7})\d{1,3}(?:[ .-]?\d{2,4}){2,5}|\d{3}[ .-]\d{3}[ .-]\d{4})(?![\w-])"
 )
+# White space without an empty line, and what may stand between the parts of a name.
+_GAP = r"(?:[^\S\n]+(?:\n[^\S\n]*)?|\n[^\S\n]*)"
+_BETWEEN = rf"{_GAP}(?:(?:van|von|der|den|de|del|della|di|da|dos|la|le|zu|ten|ter|[A-Z]\.){_GAP}){{0,3}}"
+_UPPER = r"(?=[^\W\d_a-zа-я])"
 _PERSON = (
-    rf"(?<!\w)(?:(?P<title>{'|'.join(TITLES)})\.?[ ])?(?P<given>{'|'.join(map(re.escape, _ANY_CASE))})[ ]"
-    rf"(?P<surname>(?=[^\W\d_a-zа-я]){_WORD})(?!\w)"
+    rf"(?<!\w)(?:(?P<title>{'|'.join(TITLES)})\.?{_GAP})?(?P<given>{'|'.join(map(re.escape, _ANY_CASE))}){_BETWEEN}"
+    rf"(?P<surname>{_UPPER}{_WORD})(?!\w)"
 )
-_TITLED = rf"(?<!\w)(?P<only_title>{'|'.join(TITLES)})\.?[ ](?P<only_surname>(?=[^\W\d_a-zа-я]){_WORD})(?!\w)"
+_TITLED = rf"(?<!\w)(?P<only_title>{'|'.join(TITLES)})\.?{_BETWEEN}(?P<only_surname>{_UPPER}{_WORD})(?!\w)"
 
 _NUMBERS = re.compile("|".join((_IP, _SSN, _CARD, _PHONE, _IBAN)))
 _WITH_AT, _WITH_KEY = re.compile(_EMAIL), re.compile(_SECRET)
 _PEOPLE = re.compile("|".join((_PERSON, _TITLED)))
+_MORE_NAME = re.compile(rf"{_BETWEEN}(?P<word>{_UPPER}{_WORD})(?!\w)")
+_OWNER = re.compile("['’][sS]$")
+
+# Words after the first of a name, or other mentions of it, are looked for up to so many.
+_MORE_WORDS, _MORE_UPPER_WORDS = 2, 1
+
+# Words that begin sentences. They are no name after a line break or as a further word.
+_NO_NAMES = frozenset(
+    "the a an and or but if in on at to of for from with by as is was are were be has had have he she it they we you i "
+    "his her its their our my your this that these those there then when while where who what which how why not no yes "
+    "so after before later during der die das ein eine und oder aber wenn im am zu von mit bei als ist war er sie es "
+    "wir ihr ich nicht dann nach vor le la les un une et ou mais si dans sur avec par est il elle nous vous je ne ce "
+    "cette ces puis après avant el los las uno una y o pero en con por es era él ella nosotros yo este esta luego "
+    "и в на с по он она они мы вы я не но это как что когда ο η το και σε με για".split()
+)
 
 # What a text must have for each of these to be looked for: most texts have none of it.
 _KEYS = (b"token", b"secret", b"passw", b"key")
@@ -117,14 +136,8 @@ def find(text: str) -> list[Mention]:
         if kind == "phone" and m[0][0] == "+":
             entity = f"+{entity}"
         found.append(Mention(*m.span(), kind, entity))
-    for m in people:
-        if m["given"]:
-            script, gender = _named(m["given"])
-            found.append(Mention(*m.span("given"), f"given {script} {gender}", m["given"].title()))
-            found.append(Mention(*m.span("surname"), f"surname {script_of(m['surname'])}", m["surname"].title()))
-        else:
-            surname = m["only_surname"]
-            found.append(Mention(*m.span("only_surname"), f"surname {script_of(surname)}", surname.title()))
+    named = [mention for m in people for mention in _person(text, m)]
+    found += named + _other_mentions(text, named)
     found.sort(key=lambda m: (m.start, -m.end))
     kept, at = [], 0
     for m in found:
@@ -134,6 +147,59 @@ def find(text: str) -> list[Mention]:
     return kept
 
 
+def _person(text: str, m: re.Match[str]) -> Iterator[Mention]:
+    """The given name and all further words of a name, each an entity of its own."""
+    part = "surname" if m["given"] else "only_surname"
+    start, end = m.span(part)
+    before = text[m.end("given") : start] if m["given"] else text[m.end("only_title") : start]
+    if "\n" in before and m[part].lower() in _NO_NAMES:
+        return
+    if m["given"]:
+        script, gender = _named(m["given"])
+        yield Mention(*m.span("given"), f"given {script} {gender}", m["given"].title())
+    upper = _is_upper(m[part])
+    for more in range(1 + (_MORE_UPPER_WORDS if upper else _MORE_WORDS)):
+        if more:
+            further = _MORE_NAME.match(text, end)
+            word = further["word"] if further else ""
+            if not word[:1].isupper() or _is_upper(word) != upper or word.lower() in _NO_NAMES:
+                return
+            if word in _NAMES or word.title() in _NAMES or word in TITLES:
+                return
+            start, end = further.span("word")
+        word = _OWNER.sub("", text[start:end])
+        yield Mention(start, start + len(word), f"surname {script_of(word)}", word.title())
+        if start + len(word) < end:
+            return
+
+
+def _is_upper(word: str) -> bool:
+    return len(word) > 1 and word.isupper()
+
+
+def _other_mentions(text: str, named: list[Mention]) -> list[Mention]:
+    """Where else in the text the words of the names found there stand, in these cases or upper case."""
+    forms = {}
+    for m in named:
+        own = text[m.start : m.end]
+        if len(own) > 1 and own[0].isupper() and own.lower() not in _NO_NAMES:
+            for form in (own, own.title(), own.upper()):
+                forms.setdefault(form, (m.kind, m.entity))
+    found = []
+    for form, entity in forms.items():
+        at = text.find(form)
+        while at >= 0:
+            end = at + len(form)
+            if not (at and _in_word(text[at - 1])) and not (end < len(text) and _in_word(text[end])):
+                found.append(Mention(at, end, *entity))
+            at = text.find(form, end)
+    return found
+
+
+def _in_word(c: str) -> bool:
+    return c.isalnum() or c == "_"
+
+
 def _named(given: str) -> tuple[str, str]:
     return _NAMES.get(given) or _NAMES[given.title()]
 

@@ -185,3 +185,30 @@ def test_short_numbers_with_a_plus():
     """A number with a plus and fewer than seven digits is no phone number."""
     assert _kinds("add +12345 or +1 23 45") == []
     assert _kinds("call +1234567 or +683 4002") == [("phone", "+1234567"), ("phone", "+683 4002")]
+
+
+@pytest.mark.parametrize(
+    ("text", "expected"),
+    [
+        ("Mary Smith called. Later Smith wrote, and MARY too.", ["Mary", "Smith", "Smith", "MARY"]),
+        ("Then Smith came: Mary Smith's book", ["Smith", "Mary", "Smith"]),
+        ("Mary Jane Smith left", ["Mary", "Jane", "Smith"]),
+        ("Mary Anna Smith left", ["Mary", "Anna", "Smith"]),
+        ("Dr. Olivia Brown and Brown's dog", ["Olivia", "Brown", "Brown"]),
+        ("Mary\nSmith and Mary  Smith and Dr.\n  Jones", ["Mary", "Smith", "Mary", "Smith", "Jones"]),
+        ("John F. Kennedy met Ursula von der Leyen", ["John", "Kennedy", "Ursula", "Leyen"]),
+        ("MARY JANE SMITH, Smith", ["MARY", "JANE", "SMITH", "Smith"]),
+        ("Mary Smith Anna Jones Dr Brown", ["Mary", "Smith", "Anna", "Jones", "Brown"]),
+        ("I saw Mary\nThe end", []),
+        ("Mary Smith The end. The Smithsonian, smith, Smith_1", ["Mary", "Smith"]),
+    ],
+)
+def test_all_words_of_a_name_wherever_they_stand(text, expected):
+    mentions = find(text)
+    assert [text[m.start : m.end] for m in mentions] == expected
+    by_word = {}
+    for m in mentions:
+        by_word.setdefault(text[m.start : m.end].lower(), set()).add((m.kind, m.entity))
+    assert all(len(entities) == 1 for entities in by_word.values())
+    new, _ = replace(text, Surrogates(KEY), {})
+    assert not any(re.search(rf"(?<!\w){word}(?!\w)", new) for word in {"Smith", "SMITH", "Jane", "Brown", "Kennedy"})
