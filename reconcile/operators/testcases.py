@@ -140,13 +140,24 @@ def run_case_file(
     spark: SparkSession, path: str, source: SparkSession, target: SparkSession, reports: str, run_id: str,
     tables: Iterable[str] = (),
 ) -> None:
-    """Run the cases of a file and append their verdicts and all result rows to the reports."""
+    """Run the cases of a file and append their verdicts and all result rows to the reports.
+
+    Raises an error, once all cases are through, if the rows of a case with a verdict of PASS or
+    FAIL could not be appended.
+    """
     cases = read_cases(spark, path, tables)
-    append_report(run_test_cases(spark, cases, source, target), reports, "test_results", run_id)
+    verdicts = run_test_cases(spark, cases, source, target)
+    append_report(verdicts, reports, "test_results", run_id)
+    status = {r["case_no"]: r["status"] for r in verdicts.select("case_no", "status").collect()}
+    missing = {}
     for number, case in enumerate(cases, start=1):
         try:
             rows = result_rows(number, case, source, target)
             if rows is not None:
                 append_report(rows, reports, "test_result_rows", run_id)
-        except Exception:  # noqa: BLE001  the verdict of such a case is already in the report
-            continue
+        except Exception as error:  # noqa: BLE001  the report has the ERROR of a case that cannot run
+            if status[number] != ERROR:
+                missing[number] = error
+    if missing:
+        names = ", ".join(map(str, missing))
+        raise RuntimeError(f"result rows are missing in the report, of cases {names}") from next(iter(missing.values()))

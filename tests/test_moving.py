@@ -451,6 +451,23 @@ def test_run_of_a_case_file_is_reported(spark, sides, tmp_path):
     assert rows_of(rows) == [(1, '["2"]', 1, 1), (2, '["X"]', 0, 1), (2, '["x"]', 1, 0), (2, '["y"]', 1, 1)]
 
 
+def test_result_rows_that_could_not_be_written_are_not_passed_over(spark, sides, tmp_path, monkeypatch):
+    file, root = tmp_path / "cases.csv", str(tmp_path / "reports")
+    file.write_text("table,sql\nt,ROW_COUNT\nt,SELECT s FROM t\nt,SELECT nope FROM t\n")
+    whole = testcases.result_rows
+
+    def broken(number, *case):
+        if number == 1:
+            raise OSError("disk full")
+        return whole(number, *case)
+
+    monkeypatch.setattr(testcases, "result_rows", broken)
+    with pytest.raises(RuntimeError, match="of cases 1$"):
+        testcases.run_case_file(spark, str(file), *sides, root, "r")
+    assert reports.read_report(spark, root, "test_results").count() == 3
+    assert {r["case_no"] for r in reports.read_report(spark, root, "test_result_rows").collect()} == {2}
+
+
 def test_cases_with_different_columns(spark):
     sides = [testcases.session_with(spark, {"t": lambda s, q=q: s.sql(q)}) for q in ("SELECT 1 a", "SELECT 1 a, 2 b")]
     assert testcases.run_test_cases(spark, [TestCase("t", "SELECT * FROM t")], *sides).first()["status"] == "FAIL"
