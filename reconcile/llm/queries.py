@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reconcile.llm import (
-    decontaminate, embeddings, interpolation, jaccard, language, licenses, packing, quality, surrogates, token_ids,
+    decontaminate, embeddings, interpolation, jaccard, language, licenses, manifest, packing, passages,
+    quality, surrogates, token_ids,
 )
+from reconcile.llm.batches import written
 from reconcile.llm.oracles import ORACLES
 from reconcile.llm.shipping import shipped
 from reconcile.session import scratch_path
@@ -94,11 +96,26 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids.read_digests(spark, path)
 
 
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, proof and roots of every document, and whether it verifies after some are tampered with."""
+    rows = manifest.build(_table(spark, sf_dir, "documents"))
+    own = F.coalesce("tampered", "leaf")
+    rows = rows.withColumns({"proof_sha256": manifest.proof(F.col("path")), "folded_root": manifest.folded(own, F.col("path"))})
+    verified = F.col("folded_root") == F.col("root")
+    return rows.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", verified.alias("verified"))
+
+
+def op13_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the words of passages that stand elsewhere as well."""
+    kept = passages.without_repeats(_table(spark, sf_dir, "documents"))
+    return written(kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")), "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: shipped(f)
     for f in (
         op1_surrogates, op2_language, op3_jaccard, op4_quality, op5_interpolation, op6_licenses, op7_packing,
-        op8_decontaminate, op9_embeddings, op10_token_ids,
+        op8_decontaminate, op9_embeddings, op10_token_ids, op11_manifest, op13_passages,
     )
 }
 
