@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reconcile.llm import (
-    decontaminate, embeddings, interpolation, jaccard, language, licenses, manifest, packing, passages,
+    collocations, decontaminate, embeddings, interpolation, jaccard, language, licenses, manifest, packing, passages,
     quality, surrogates, token_ids,
 )
 from reconcile.llm.batches import written
@@ -105,6 +105,11 @@ def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", verified.alias("verified"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 strongest phrases of two to four words in every language."""
+    return collocations.mine(_table(spark, sf_dir, "documents"))
+
+
 def op13_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the words of passages that stand elsewhere as well."""
     kept = passages.without_repeats(_table(spark, sf_dir, "documents"))
@@ -115,7 +120,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: shipped(f)
     for f in (
         op1_surrogates, op2_language, op3_jaccard, op4_quality, op5_interpolation, op6_licenses, op7_packing,
-        op8_decontaminate, op9_embeddings, op10_token_ids, op11_manifest, op13_passages,
+        op8_decontaminate, op9_embeddings, op10_token_ids, op11_manifest, op12_collocations, op13_passages,
     )
 }
 

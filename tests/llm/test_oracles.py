@@ -12,7 +12,7 @@ from tests.llm.cases import SF_DIR, as_dicts
 def test_all_are_registered():
     names = set(entry_point.queries())
     assert set(QUERIES) | {"pipeline"} <= names
-    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 14))
     assert set(ORACLES) <= set(entry_point.oracle_sql())
 
 
