@@ -2,9 +2,9 @@
 
 Documents are never sorted. The ids of a group are merged into compressed bitmaps, one per 4,096
 consecutive ids: a mask of the 64-bit words that are not empty, those words, and a directory of
-how many ids stand before each. Above them a trie of counts, 13 bits a level, says how many ids
+how many ids stand before each. Above them a trie of counts, 17 or 18 bits a level, says how many ids
 stand before a bitmap. So the coordinate of a leaf is a sum of a few counts and of two popcounts,
-all looked up by key, and no task sees more than 8,192 entries of a level at once.
+all looked up by key, and no group of entries that a task sees at once is larger than a level.
 
 Leaves then go into slot arrays of 1,024 by their coordinate. An array is reduced by up to ten
 levels within its row, and the nodes that are left are dealt to arrays again, so 100 billion
@@ -25,7 +25,7 @@ from reconcile.session import write_through
 SLOT_BITS = 10
 
 # Bits of an id below a bitmap, below a word of it, and below each level of the trie above.
-_BITMAP, _WORD, _LEVELS = 12, 6, (12, 25, 38, 51)
+_BITMAP, _WORD, _LEVELS = 12, 6, (12, 29, 46)
 
 # Copies of one row that one step of numbering lays out.
 _COPIES = 65_536
@@ -56,13 +56,15 @@ def build(docs: DataFrame) -> DataFrame:
     no rows and no root.
     """
     leaves = write_through(_leaves(docs), "leaves")
-    placed = write_through(_placed(leaves), "placed")
-    rounds = _up(placed.withColumnRenamed("leaf", "node"), ["doc_id", "lang", "tampered"], "leaf-slots")
-    tops = write_through(rounds[-1].select("group", F.element_at("layers", -1)[0].alias("node"), "first_lang"), "subroots")
-    tops = with_ordinals(tops, ["first_lang"], "ordinal", ties=False)
-    langs = tops.select(F.lit("").alias("group"), (F.col("ordinal") - 1).alias("position"), "node", F.col("group").alias("member"))
-    above = _up(_sized(langs), ["member"], "language-slots")
-    roots = _down(above, above[-1].select("group", F.element_at("layers", -1)[0].alias("root"), _no_path().alias("above")), ["root"])
+    placed = _placed(leaves).withColumnRenamed("leaf", "node")
+    rounds = _up(placed, ["doc_id", "lang", "tampered"], "leaf-slots")
+    top = F.element_at("layers", -1)[0]
+    tops = rounds[-1].select("group", top.alias("node"), "first_lang")
+    langs = with_ordinals(tops, ["first_lang"], "ordinal", ties=False)
+    langs = langs.select(F.lit("").alias("group"), (F.col("ordinal") - 1).alias("position"), "node", F.col("group").alias("member"))
+    langs = langs.withColumns({"leaves": F.lit(tops.count()).cast("long"), "lang": F.lit("")})
+    above = _up(langs, ["member"], "language-slots")
+    roots = _down(above, above[-1].select("group", top.alias("root"), _no_path().alias("above")), ["root"])
     roots = roots.select(F.col("member").alias("group"), F.col("node").alias("subroot"), "root", F.col("path").alias("above"))
     found = _down(rounds, roots, ["subroot", "root"])
     return found.select("doc_id", "lang", "position", F.col("node").alias("leaf"), "tampered", "path", "subroot", "root")
@@ -99,48 +101,39 @@ def _leaves(docs: DataFrame) -> DataFrame:
 
 
 def _placed(leaves: DataFrame) -> DataFrame:
-    """A row for each leaf with its position in its group and the group's number of leaves."""
-    ids = leaves.groupBy("group", F.col("doc_id").alias("id")).agg(F.sum("copies").alias("n"), F.count("*").alias("leaves"))
+    """A row for each leaf with its position in its group, and the group's number of ``leaves``."""
+    ids = leaves.groupBy("group", F.col("doc_id").alias("id")).agg(F.sum("copies").alias("n"), F.count("*").alias("different"))
     ids = write_through(ids, "ids")
-    before = _before(ids).select("group", F.col("id").alias("doc_id"), "before")
-    several = ids.filter("leaves > 1").select("group", F.col("id").alias("doc_id"))
-    same = F.col("doc_id").eqNullSafe(F.col("of_id"))
-    several = several.withColumnRenamed("doc_id", "of_id").withColumnRenamed("group", "of")
-
-    # Leaves of one id are ranked by the first 60 bits of their digest in the same way.
-    tied = leaves.join(several, (F.col("group") == F.col("of")) & same, "left_semi")
+    several = ids.filter("different > 1").select(F.col("group").alias("of"), F.col("id").alias("of_id"))
+    same = (F.col("group") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("of_id"))
+    # Leaves of one id are a group of their own, ranked by the first 60 bits of their digest.
     own = F.concat("group", F.lit("|"), field(F.col("doc_id")))
-    tied = tied.select(own.alias("group"), F.conv(F.substring("leaf", 1, 15), 16, 10).cast("long").alias("id"), "leaf", "copies")
-    tied = write_through(tied, "tied")
-    within = _before(tied.groupBy("group", "id").agg(F.sum("copies").alias("n")))
-    rest = tied.alias("a").join(
-        tied.select("group", "id", F.col("leaf").alias("other"), F.col("copies").alias("others")).alias("b"), ["group", "id"]
-    )
-    rest = rest.groupBy("group", "leaf").agg(F.sum(F.when(F.col("other") < F.col("leaf"), F.col("others")).otherwise(0)).alias("rest"))
-    tied = tied.join(within, ["group", "id"]).join(rest, ["group", "leaf"])
-    tied = tied.select(F.col("group").alias("own"), "leaf", (F.col("before") + F.col("rest")).alias("among"))
-
-    before = before.withColumnRenamed("group", "of").withColumnRenamed("doc_id", "of_id")
-    rows = leaves.join(before, (F.col("group") == F.col("of")) & same).drop("of", "of_id").withColumn("own", own)
-    rows = rows.join(tied, ["own", "leaf"], "left").withColumn("position", F.col("before") + F.coalesce("among", F.lit(0)))
-    rows = rows.select("group", "lang", "doc_id", "leaf", "tampered", "copies", "position")
+    prefix = F.conv(F.substring("leaf", 1, 15), 16, 10).cast("long")
+    tied = leaves.join(several, same, "left_semi").select(own.alias("own"), prefix.alias("prefix"), "leaf", "copies")
+    alike = Window.partitionBy("own", "prefix").orderBy("leaf").rowsBetween(Window.unboundedPreceding, -1)
+    tied = write_through(tied.withColumn("rest", F.coalesce(F.sum("copies").over(alike), F.lit(0))), "tied")
+    prefixes = tied.groupBy(F.col("own").alias("group"), F.col("prefix").alias("id")).agg(F.sum("copies").alias("n"))
+    ranks = write_through(_ranks(ids.drop("different").unionByName(prefixes)), "ranks")
+
+    among = ranks.select(F.col("group").alias("own"), F.col("id").alias("prefix"), F.col("before").alias("among"))
+    tied = tied.join(among, ["own", "prefix"]).select("own", "leaf", (F.col("among") + F.col("rest")).alias("among"))
+    ranks = ranks.toDF("of", "of_id", "before", "leaves")
+    rows = leaves.join(ranks, same).withColumn("own", own).join(tied, ["own", "leaf"], "left")
+    rows = rows.withColumn("position", F.col("before") + F.coalesce("among", F.lit(0)))
+    rows = rows.select("group", "lang", "doc_id", "leaf", "tampered", "copies", "position", "leaves")
     single = rows.filter("copies = 1")
     blocks = rows.filter("copies > 1").withColumn("block", F.explode(F.expr(f"sequence(0L, copies - 1, {_COPIES}L)")))
     blocks = blocks.repartition("group", "position", "block")
     last = F.least(F.col("copies") - 1, F.col("block") + _COPIES - 1)
     copies = blocks.withColumn("position", F.explode(F.sequence(F.col("position") + F.col("block"), F.col("position") + last)))
-    return _sized(single.unionByName(copies.drop("block")).drop("copies"))
-
+    return single.unionByName(copies.drop("block")).drop("copies")
 
-def _sized(rows: DataFrame) -> DataFrame:
-    """Add ``first_lang`` of the group and its number of ``leaves``; one row per group is looked up."""
-    first = F.first("lang", ignorenulls=True) if "lang" in rows.columns else F.lit(None).cast("string")
-    sizes = rows.groupBy("group").agg(F.count("*").alias("leaves"), first.alias("first_lang"))
-    return rows.join(sizes, "group")
 
+def _ranks(ids: DataFrame) -> DataFrame:
+    """``group, id, before, leaves`` for each distinct ``group, id`` of ``n`` rows.
 
-def _before(ids: DataFrame) -> DataFrame:
-    """For each ``group, id`` (distinct, ``n`` rows each): the rows of lesser ids of the group."""
+    ``before`` are the rows of lesser ids of the group, nulls first; ``leaves`` all its rows.
+    """
     known = ids.withColumns({"known": F.col("id").isNotNull(), "id": F.coalesce("id", F.lit(0))})
     bitmap = F.shiftright("id", _BITMAP)
     bit = F.expr("shiftleft(1L, cast(id & 63 AS int))")
@@ -156,8 +149,7 @@ def _before(ids: DataFrame) -> DataFrame:
     )
     directory = F.expr("transform(words, (w, i) -> aggregate(slice(words, 1, i), 0L, (s, x) -> s + x.n))")
     maps = write_through(maps.withColumn("directory", directory), "bitmaps")
-    keyed = _trie(maps.select("group", "known", "at", "n"))
-    maps = maps.drop("n").join(keyed, ["group", "known", "at"])
+    maps = maps.drop("n").join(_trie(maps.select("group", "known", "at", "n")), ["group", "known", "at"])
 
     rows = known.select("group", "known", "id", bitmap.alias("at")).join(maps, ["group", "known", "at"])
     below = "bit_count({0} & ~shiftleft(-1L, {1}))"
@@ -166,32 +158,29 @@ def _before(ids: DataFrame) -> DataFrame:
     ).withColumn("i", F.expr(below.format("present", "place")))
     ties = "aggregate(filter(words[i].ties, t -> t.bit < bit), 0L, (s, t) -> s + t.more)"
     rank = F.expr(f"above + directory[i] + {below.format('words[i].bits', 'bit')} + {ties}")
-    return rows.select("group", F.when(F.col("known"), F.col("id")).alias("id"), rank.alias("before"))
+    return rows.select("group", F.when(F.col("known"), F.col("id")).alias("id"), rank.alias("before"), "leaves")
 
 
 def _trie(maps: DataFrame) -> DataFrame:
-    """Add ``above``: the rows of the group in bitmaps before ``at``, summed level by level."""
-    known = maps
+    """``above``, the rows of the group in bitmaps before ``at``, summed level by level, and ``leaves``."""
+    entries = maps
     levels = []
     for low, high in zip(_LEVELS, (*_LEVELS[1:], 64), strict=True):
         parent = F.shiftright("at", high - low) if high < 64 else F.lit(0).cast("long")
-        levels.append(known.withColumn("parent", parent))
-        known = known.groupBy("group", "known", parent.alias("at")).agg(F.sum("n").alias("n"))
-    # The last level has a row for the null ids and one for all others.
-    before = known.groupBy("group").agg(F.sum(F.when(~F.col("known"), F.col("n")).otherwise(0)).alias("nulls"))
-    before = known.join(before, "group").select(
-        "group", "known", "at", F.when(F.col("known"), F.col("nulls")).otherwise(0).alias("above")
-    )
+        levels.append(entries.withColumn("parent", parent))
+        entries = entries.groupBy("group", "known", parent.alias("at")).agg(F.sum("n").alias("n"))
+    # Of a group there are two entries left at most: its null ids, and all others.
+    sums = entries.groupBy("group").agg(F.sum("n").alias("leaves"), F.sum(F.when(~F.col("known"), F.col("n")).otherwise(0)).alias("nulls"))
+    sides = F.explode(F.array(F.struct(F.lit(False).alias("known"), F.lit(0).cast("long").alias("above")), F.struct(F.lit(True).alias("known"), F.col("nulls").alias("above"))))
+    before = sums.select("group", "leaves", sides.alias("side")).select("group", "side.*", "leaves", F.lit(0).cast("long").alias("parent"))
     for level in reversed(levels):
-        own = _running(level)
-        before = own.join(before.withColumnRenamed("at", "parent"), ["group", "known", "parent"]).select(
-            "group", "known", "at", (F.col("above") + F.col("own")).alias("above")
-        )
-    return before
+        own = _running(level).join(before, ["group", "known", "parent"])
+        before = own.select("group", "known", F.col("at").alias("parent"), (F.col("above") + F.col("own")).alias("above"), "leaves")
+    return before.withColumnRenamed("parent", "at")
 
 
 def _running(level: DataFrame) -> DataFrame:
-    """``own``: rows of entries with the same parent that stand before; a parent has at most 8,192."""
+    """``own``: rows of entries with the same parent that stand before; a parent's entries are bounded."""
     before = Window.partitionBy("group", "known", "parent").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     return level.select("group", "known", "parent", "at", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("own"))
 
@@ -201,15 +190,16 @@ def _no_path() -> Column:
 
 
 def _up(nodes: DataFrame, payload: list[str], label: str) -> list[DataFrame]:
-    """The slot arrays of each round, written: ``group, array, slots, layers``.
+    """The slot arrays of each round, written: ``group, array, slots, layers, steps, first_lang``.
 
-    ``nodes`` has ``group, position, node, leaves, first_lang``. ``layers`` are an array's nodes
-    level by level, the last one alone or as many as a full reduction leaves, that is one.
+    ``nodes`` has ``group, position, node, leaves, lang``; ``leaves`` are the group's. ``layers``
+    are an array's nodes level by level, ``steps`` above the first. An array that is full, or the
+    last of a group that has more levels, is reduced to one node.
     """
-    nodes = nodes.withColumn("levels", F.ceil(F.log2(F.col("leaves").cast("double"))).cast("int"))
     # The logarithm of a large count is rounded; the powers next to it decide.
-    exact = "CASE WHEN shiftleft(1L, levels) < leaves THEN levels + 1 WHEN levels > 0 AND shiftleft(1L, levels - 1) >= leaves THEN levels - 1 ELSE levels END"
-    nodes = nodes.withColumn("levels", F.expr(exact))
+    near = F.ceil(F.log2(F.col("leaves").cast("double"))).cast("int")
+    exact = "CASE WHEN shiftleft(1L, near) < leaves THEN near + 1 WHEN near > 0 AND shiftleft(1L, near - 1) >= leaves THEN near - 1 ELSE near END"
+    nodes = nodes.withColumn("near", near).withColumn("levels", F.expr(exact)).withColumn("first_lang", F.col("lang"))
     size = 1 << SLOT_BITS
     rounds: list[DataFrame] = []
     while True:
