@@ -33,10 +33,10 @@ TOP = 2000
 CONTAINED = 80
 
 # Bytes of text in one chunk; a longer text is a chunk of its own.
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 
 # Rows that cross to the JVM at once; chunks are large, their counts small.
-_CHUNKS, _ROWS = 2, 1 << 16
+_CHUNKS, _ROWS = 1, 1 << 16
 
 _BREAK = np.zeros(256, bool)
 _BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
