@@ -93,15 +93,25 @@ def _pieces(texts: DataFrame, anchors: DataFrame) -> DataFrame:
 
 
 def _segments(found: DataFrame) -> DataFrame:
-    """``anchor, piece, low, high``: runs of windows, within a piece, that occur at least twice."""
+    """``anchor, piece, low, high``: runs of windows, within a piece, that occur at least twice.
+
+    The windows of one piece differ, as its anchor stands elsewhere in each. So a piece that its
+    repeated anchor has no other beside is repeated as a whole, and only others are opened.
+    """
     pieces = found.groupBy("anchor", "piece").agg(F.first("windows").alias("windows"), F.sum("copies").alias("n"))
-    edges = write_through(pieces.select("anchor", "piece", "n", F.posexplode("windows").alias("at", "edge")), "edges")
+    pieces = write_through(pieces, "distinct-pieces")
+    several = pieces.groupBy("anchor").agg(F.count("*").alias("pieces")).filter("pieces > 1").select("anchor")
+    whole = pieces.join(several, "anchor", "left_anti").filter("n > 1")
+    whole = whole.select("anchor", "piece", F.lit(0).alias("low"), (F.size("windows") - 1).alias("high"))
+    opened = pieces.join(several, "anchor", "left_semi")
+    edges = write_through(opened.select("anchor", "piece", "n", F.posexplode("windows").alias("at", "edge")), "edges")
     twice = edges.groupBy("anchor", "edge").agg(F.sum("n").alias("n")).filter("n > 1").select("anchor", "edge")
     marked = edges.select("anchor", "piece", "at", "edge").join(twice, ["anchor", "edge"])
     order = Window.partitionBy("anchor", "piece").orderBy("at")  # a piece has at most 30 windows
     marked = marked.withColumn("run", F.col("at") - F.row_number().over(order))
     runs = marked.groupBy("anchor", "piece", "run").agg(F.min("at").alias("low"), F.max("at").alias("high"))
-    return runs.drop("run")
+    # Written, so that the join with all places of a piece can be split where a piece has many.
+    return write_through(whole.unionByName(runs.drop("run")), "segments")
 
 
 def _paths(places: DataFrame) -> DataFrame:
