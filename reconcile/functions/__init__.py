@@ -14,6 +14,7 @@ from reconcile.functions.values import (
     strip_parentheses,
     time_to_second,
     well_formed_xml,
+    xml_variant,
 )
 
 __all__ = [
@@ -32,4 +33,5 @@ __all__ = [
     "strip_parentheses",
     "time_to_second",
     "well_formed_xml",
+    "xml_variant",
 ]

@@ -30,6 +30,15 @@ DATE_TEXT = r"^\s*\d{4}-\d{1,2}-\d{1,2}([ T]00:00(:00(\.0+)?)?)?\s*$"
 # The element that a document is put into to be checked; no document may close it.
 XML_WRAPPER = "reconcile_document"
 
+# The field of a parsed document for text that is no element's alone; no element has such a name.
+XML_TEXT = "#text"
+
+# Bytes of a document that is parsed into one value, of which Spark allows 128 MB.
+XML_VALUE_BYTES = 64 << 20
+
+# A reference to an entity that is not one of XML's own five.
+XML_OWN_ENTITY = r"&(?!(?:amp|lt|gt|quot|apos);)[A-Za-z_:][A-Za-z0-9_:.-]*;"
+
 # What may stand before the root of an XML document and is no part of it.
 XML_PROLOG = r"^\s*(<\?xml[^>]*\?>)?\s*(<!DOCTYPE[^>\[]*(\[[^\]]*\])?\s*>)?"
 
@@ -121,16 +130,49 @@ def strip_parentheses(value: str) -> str:
 def well_formed_xml(value: str) -> str:
     """True for NULL and for a well-formed document: one root, and no text beside it.
 
-    The parser stops at the end of the first element, so the document is put into one of its
-    own. The paths are tried only where that parses, as they fail on anything else.
+    One parse decides. The parser stops at the end of the first element, so the document is put
+    into one of its own, which then must hold one element, and no text. A document too large to
+    be parsed into one value is parsed for its form alone, and its root is looked for by paths.
+    """
+    parsed = f"try_variant_get({xml_variant(value)}, '$', 'map<string,variant>')"
+    alone = (
+        f"m IS NOT NULL AND size(m) = 1 AND NOT map_contains_key(m, '{XML_TEXT}') "
+        "AND try_variant_get(map_values(m)[0], '$[1]', 'variant') IS NULL"
+    )
+    # The list of one element makes the parse run once for all that is asked of it.
+    small = f"element_at(transform(array({parsed}), m -> {alone}), 1)"
+    closes = f"contains({value}, '</{XML_WRAPPER}')"
+    large = f"octet_length({value}) > {XML_VALUE_BYTES}"
+    return f"CASE WHEN {value} IS NULL THEN true WHEN {closes} THEN false WHEN {large} THEN {_one_root_by_path(value)} ELSE {small} END"
+
+
+def xml_variant(value: str) -> str:
+    """A document as a VARIANT with its root's name at the top; NULL where it is not well-formed.
+
+    Elements are fields, repeated ones arrays, attributes fields with ``_`` before their name, and
+    text beside elements or attributes is the field ``#text``. Text that is a number or a
+    truth value becomes one.
     """
-    root = XML_WRAPPER
-    wrapped = f"concat('<{root}>', regexp_replace({value}, r'{XML_PROLOG}', ''), '</{root}>')"
+    options = f"map('singleVariantColumn', 'v', 'valueTag', '{XML_TEXT}', 'mode', 'PERMISSIVE')"
+    return f"(from_xml({_wrapped(value)}, 'v variant', {options})).v"
+
+
+def _wrapped(value: str) -> str:
+    """The document, without what may stand before its root, in an element of its own."""
+    body = (
+        f"CASE WHEN contains({value}, '<?xml') OR contains({value}, '<!DOCTYPE') "
+        f"THEN regexp_replace({value}, r'{XML_PROLOG}', '') ELSE {value} END"
+    )
+    # Entities that a document declares itself go with the declaration.
+    body = f"CASE WHEN contains({value}, '<!ENTITY') THEN regexp_replace({body}, r'{XML_OWN_ENTITY}', ' ') ELSE {body} END"
+    return f"concat('<{XML_WRAPPER}>', {body}, '</{XML_WRAPPER}>')"
+
+
+def _one_root_by_path(value: str) -> str:
+    root, wrapped = XML_WRAPPER, _wrapped(value)
     parsed = f"(from_xml({wrapped}, '_corrupt_record string', map('mode', 'PERMISSIVE')))._corrupt_record IS NULL"
-    alone = f"xpath_int({wrapped}, 'count(/{root}/*)') = 1"
-    alone += f" AND xpath_int({wrapped}, 'count(/{root}/text()[normalize-space()])') = 0"
-    closes = f"contains({value}, '</{root}')"
-    return f"CASE WHEN {value} IS NULL THEN true WHEN {closes} THEN false WHEN {parsed} THEN {alone} ELSE false END"
+    one = f"xpath_boolean({wrapped}, 'count(/{root}/*) = 1 and count(/{root}/text()[normalize-space()]) = 0')"
+    return f"CASE WHEN {parsed} THEN {one} ELSE false END"
 
 
 def number_text(value: str, dtype: T.DataType) -> str:

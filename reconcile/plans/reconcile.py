@@ -30,6 +30,7 @@ from reconcile.operators.diff import (
 )
 from reconcile.operators.frames import union_all
 from reconcile.operators.schema import compare_schema, schema_mismatches, schema_verdicts
+from reconcile.operators.xml import with_valid_columns
 from reconcile.plans.reports import append_report
 from reconcile.session import temporary_scratch, write_through
 
@@ -52,7 +53,8 @@ class Pair:
     """A source table, its target (None if there is none), the key, and target types by column.
 
     ``order_by`` is a total order; with it rows are compared by position instead of by key.
-    ``ties`` is false where no rows tie in it, which saves a write of each side.
+    ``ties`` is false where no rows tie in it, which saves a write of each side. Of the columns in
+    ``xml_columns`` those count as equal in which all documents of both sides are well-formed.
     """
 
     name: str
@@ -63,10 +65,13 @@ class Pair:
     exclude: Sequence[str] = ()
     order_by: Sequence[str] = ()
     ties: bool = True
+    xml_columns: Sequence[str] = ()
 
     def sides(self) -> tuple[DataFrame, DataFrame]:
         """Both sides as they are compared."""
         source, target = normalize(self.source, self.types), normalize(self.target, self.types)
+        if self.xml_columns:
+            source, target = with_valid_columns(source, target, self.xml_columns)
         if self.order_by:
             return tuple(with_ordinals(side, self.order_by, ROW_NUMBER, self.ties) for side in (source, target))
         return source, target
@@ -194,6 +199,7 @@ class Table:
     exclude: Sequence[str] = ()
     order_by: Sequence[str] = ()
     ties: bool = True
+    xml_columns: Sequence[str] = ()
     expected: DataFrame | None = None
     actual: DataFrame | None = None
 
@@ -250,7 +256,7 @@ def _validate_table(spark: SparkSession, table: Table, reports: str, run_id: str
         keys = ()
     if table.order_by:
         keys = (ROW_NUMBER,)
-    pair = Pair(table.name, source, target, keys, table.types, table.exclude, table.order_by, table.ties)
+    pair = Pair(table.name, source, target, keys, table.types, table.exclude, table.order_by, table.ties, table.xml_columns)
     try:
         _validate_schema(spark, table, reports, run_id)
         if target is None:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reconcile.functions import LOAD_NULL_TOKENS, literal, null_tokens, quoted, well_formed_xml
+from reconcile.functions import LOAD_NULL_TOKENS, literal, null_tokens, quoted, well_formed_xml, xml_variant
 from reconcile.operators.typemap import fits
 
 ROW = "_row"
@@ -21,7 +21,7 @@ FIRST_BAD = "_first_bad"
 LOADED, PARTIALLY_LOADED, LOAD_FAILED = "LOADED", "PARTIALLY_LOADED", "LOAD_FAILED"
 CONVERSION, PARSING = "conversion", "parsing"
 
-XML = "xml"
+XML, VARIANT = "xml", "variant"
 
 SHAPE_ERROR = "number of columns in file does not match the table"
 
@@ -135,7 +135,8 @@ def check_rows(
 ) -> DataFrame:
     """Raw rows with the position of the first column that does not convert.
 
-    ``types`` maps columns to Spark types, or to ``xml`` for text that must be well-formed.
+    ``types`` maps columns to Spark types, to ``xml`` for text that must be a well-formed document,
+    or to ``variant`` for such a document that is loaded as a value with fields.
     Position 0 means a misshapen row, NULL a good one. The raw columns stay, for the
     rejects; ``good_rows`` gives the typed ones.
     """
@@ -158,13 +159,15 @@ def _is_bad(column: str, dtype: T.DataType, spark_type: str, tokens: Sequence[st
     value = _value(column, dtype, tokens)
     if dtype.simpleString() == spark_type:
         return "false"
-    if spark_type == XML:
+    if spark_type in (XML, VARIANT):
         return f"NOT {well_formed_xml(value)}"
     return f"({value} IS NOT NULL AND NOT ({fits(value, dtype, spark_type)}))"
 
 
 def _typed(column: str, dtype: T.DataType, spark_type: str, tokens: Sequence[str]) -> str:
     value = _value(column, dtype, tokens)
+    if spark_type == VARIANT and dtype.simpleString() != VARIANT:
+        return xml_variant(value)
     return value if spark_type in (XML, dtype.simpleString()) else f"try_cast({value} AS {spark_type})"
 
 
@@ -175,8 +178,10 @@ def good_rows(checked: DataFrame, types: Mapping[str, str], *, tokens: Sequence[
     return checked.filter(F.col(FIRST_BAD).isNull()).selectExpr(*typed)
 
 
-def reject_rows(checked: DataFrame, types: Mapping[str, str], *, tokens: Sequence[str] = LOAD_NULL_TOKENS) -> DataFrame:
-    """One row per cell that does not convert, and one per misshapen row."""
+def reject_rows(
+    checked: DataFrame, types: Mapping[str, str], *, tokens: Sequence[str] = LOAD_NULL_TOKENS, also: Sequence[str] = ()
+) -> DataFrame:
+    """One row per cell that does not convert, and one per misshapen row; ``also`` columns are carried on."""
     record = "to_csv(struct(" + ", ".join(f"CAST({quoted(c)} AS string) AS {quoted(c)}" for c in types) + "))"
     dtypes = _dtypes(checked)
     cells = [
@@ -195,7 +200,7 @@ def reject_rows(checked: DataFrame, types: Mapping[str, str], *, tokens: Sequenc
     rows = checked.filter(F.col(FIRST_BAD).isNotNull())
     file = FILE if FILE in checked.columns else "CAST(NULL AS string)"
     return rows.selectExpr(
-        f"{file} AS file", f"{ROW} AS row_number", f"{record} AS rejected_record", f"inline({errors})"
+        f"{file} AS file", f"{ROW} AS row_number", f"{record} AS rejected_record", *map(quoted, also), f"inline({errors})"
     ).drop("bad")
 
 

@@ -434,4 +434,46 @@ ORACLES: dict[str, str] = {
                arg_min(created_by, event_seq) AS created_by, arg_max(created_by, event_seq) AS updated_by
         FROM audit GROUP BY run_id, database_name, schema_name, table_name""",
     "history_apply": _HISTORY,
+    "escaped_load": _with("escaped_records") + """
+        SELECT o_orderkey, CAST(o_custkey AS INT) AS o_custkey,
+               CASE WHEN o_orderkey % 59 = 0 THEN 'x,y' WHEN o_orderkey % 61 = 0 THEN 'a "quoted", text'
+                    WHEN o_orderkey % 67 = 0 THEN 'two' || chr(10) || 'lines'
+                    WHEN o_orderkey % 79 = 0 THEN 'tab' || chr(9) || chr(92) || 'n'
+                    WHEN o_orderkey % 83 = 0 THEN 'C:' || chr(92) || 'new' WHEN o_orderkey % 89 = 0 THEN NULL ELSE 'plain' END AS note
+        FROM orders WHERE o_orderkey % 43 <> 0 AND o_orderkey % 53 <> 0 AND o_orderkey % 73 <> 0
+          AND (o_orderkey % 47 <> 0) AND (o_orderkey % 71 <> 0 OR o_orderkey % 59 = 0 OR o_orderkey % 61 = 0 OR o_orderkey % 67 = 0)""",
+    "escaped_rejects": _with("escaped_records") + """,
+        placed AS (
+          SELECT *, row_number() OVER w AS row_number, 2 + coalesce(sum(1 + len(record) - len(replace(record, chr(10), ''))) OVER before, 0) AS row_start_line,
+                 26 + coalesce(sum(strlen(record) + 1) OVER before, 0) AS byte_offset
+          FROM escaped_records
+          WINDOW w AS (PARTITION BY part ORDER BY o_orderkey), before AS (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+        ),
+        wrong AS (
+          SELECT *, o_orderkey % 53 = 0 AS bad_key, o_orderkey % 73 = 0 AND o_orderkey % 43 <> 0 AS bad_customer,
+                 len(CASE WHEN o_orderkey % 53 = 0 THEN 'x' ELSE '' END || CAST(o_orderkey AS VARCHAR)) + 2 AS second,
+                 CASE WHEN o_orderkey % 43 = 0 THEN 'short' WHEN o_orderkey % 47 = 0 THEN 'long'
+                      WHEN o_orderkey % 71 = 0 AND o_orderkey % 59 <> 0 AND o_orderkey % 61 <> 0 AND o_orderkey % 67 <> 0 THEN 'beside' END AS shape
+          FROM placed
+        ),
+        found AS (
+          SELECT *, CASE shape WHEN 'short' THEN len(record) + 1 WHEN 'long' THEN len(record) - 3 ELSE len(record) - 9 END AS character,
+                 NULL AS column_name, 'parsing' AS category, 'number of columns in file does not match the table' AS error
+          FROM wrong WHERE shape IS NOT NULL
+          UNION ALL SELECT *, 1, 'o_orderkey', 'conversion', 'value of o_orderkey is no bigint' FROM wrong WHERE shape IS NULL AND bad_key
+          UNION ALL SELECT *, second, 'o_custkey', 'conversion', 'value of o_custkey is no int' FROM wrong WHERE shape IS NULL AND bad_customer
+        )
+        SELECT CAST(part AS INT) AS part, row_number, record AS rejected_record, CAST(row_start_line AS BIGINT) AS row_start_line,
+               CAST(byte_offset AS BIGINT) AS byte_offset, CAST(character AS BIGINT) AS character, column_name, category, error
+        FROM found""",
+    "load_xml": f"""SELECT o_orderkey, CASE WHEN o_orderkey % 73 <> 0 THEN o_orderkey END AS id,
+        CASE WHEN o_orderkey % 73 <> 0 THEN o_custkey END AS custkey, CASE WHEN o_orderkey % 73 <> 0 THEN o_orderstatus END AS orderstatus,
+        CASE WHEN o_orderkey % 73 <> 0 THEN CAST(o_orderkey % 7 AS INT) END AS second_item FROM orders WHERE NOT ({_BAD_XML})""",
+    "load_xml_rejects": f"""SELECT o_orderkey AS row_number, 'doc' AS column_name, 'conversion' AS category,
+        'value of doc is no variant' AS error FROM orders WHERE {_BAD_XML}""",
+    "xml_cell_diff": _with("xml_documents", "xml_spelled") + """
+        SELECT 'orders' AS table_name, NULL AS column_name, to_json([CAST(o_orderkey AS VARCHAR)]) AS row_key, 'missing_in_target' AS status,
+               '1' AS source_value, '0' AS target_value FROM xml_documents WHERE o_orderkey % 29 = 0
+        UNION ALL SELECT 'orders', 'doc', to_json([CAST(o_orderkey AS VARCHAR)]), 'changed', s.doc, t.doc
+        FROM xml_documents s JOIN xml_spelled t USING (o_orderkey) WHERE s.doc <> t.doc""",
 }

@@ -88,6 +88,42 @@ PLANTED = {
                CASE WHEN o_orderkey % 71 = 0 THEN '' WHEN o_orderkey % 61 = 0 THEN '</p>junk'
                     WHEN o_orderkey % 59 = 0 THEN '</p><q/>' ELSE '</p>' END END AS doc
         FROM {orders}""",
+    # Records of delimited files, one file for each part: escapes, quotes, line breaks inside quotes,
+    # fields too few or too many, text beside a quoted field, and values of no use.
+    "escaped_records": """
+        SELECT o_orderkey, o_orderkey % 16 AS part,
+               CASE WHEN o_orderkey % 53 = 0 THEN 'x' ELSE '' END || CAST(o_orderkey AS VARCHAR(20)) ||
+               CASE WHEN o_orderkey % 43 = 0 THEN '' WHEN o_orderkey % 73 = 0 THEN ',n/a' ELSE ',' || CAST(o_custkey AS VARCHAR(20)) END ||
+               CASE WHEN o_orderkey % 43 = 0 THEN ',short'
+                    WHEN o_orderkey % 47 = 0 THEN ',a,more'
+                    WHEN o_orderkey % 59 = 0 THEN ',x' || chr(92) || ',y'
+                    WHEN o_orderkey % 61 = 0 THEN ',' || chr(34) || 'a ' || chr(34) || chr(34) || 'quoted' || chr(34) || chr(34) || ', text' || chr(34)
+                    WHEN o_orderkey % 67 = 0 THEN ',' || chr(34) || 'two' || chr(10) || 'lines' || chr(34)
+                    WHEN o_orderkey % 71 = 0 THEN ',' || chr(34) || 'bad' || chr(34) || ' text'
+                    WHEN o_orderkey % 79 = 0 THEN ',tab' || chr(92) || 't' || chr(92) || chr(92) || 'n'
+                    WHEN o_orderkey % 83 = 0 THEN ',' || chr(34) || 'C:' || chr(92) || 'new' || chr(34)
+                    WHEN o_orderkey % 89 = 0 THEN ',NULL'
+                    ELSE ',plain' END AS record
+        FROM {orders}""",
+    "xml_documents": """
+        SELECT o_orderkey,
+               CASE WHEN o_orderkey % 73 = 0 THEN NULL ELSE
+               '<p id=' || chr(34) || CAST(o_orderkey AS VARCHAR(20)) || chr(34) || '><k>' || CAST(o_custkey AS VARCHAR(20)) || '</k><s>' || o_orderstatus ||
+               '</s><i>1</i><i>' || CAST(o_orderkey % 7 AS VARCHAR(20)) || '</i>' ||
+               CASE WHEN o_orderkey % 71 = 0 THEN '' WHEN o_orderkey % 61 = 0 THEN '</p>junk'
+                    WHEN o_orderkey % 59 = 0 THEN '</p><q/>' ELSE '</p>' END END AS doc,
+               '<n>' || CAST(o_orderkey AS VARCHAR(20)) || '</n>' AS note
+        FROM {orders}""",
+    # Documents in another spelling; all of one column are well-formed on both sides.
+    "xml_spelled": """
+        SELECT o_orderkey, doc, '<n >' || CAST(o_orderkey AS VARCHAR(20)) || '</n>' AS note
+        FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 73 = 0 THEN NULL ELSE
+               '<p id=' || chr(34) || CAST(o_orderkey AS VARCHAR(20)) || chr(34) || '><k>' || CAST(o_custkey AS VARCHAR(20)) || '</k><s>' || o_orderstatus ||
+               '</s><i>1</i><i>' || CAST(o_orderkey % 7 AS VARCHAR(20)) || '</i>' ||
+               CASE WHEN o_orderkey % 71 = 0 THEN '' WHEN o_orderkey % 61 = 0 THEN '</p>junk'
+                    WHEN o_orderkey % 59 = 0 THEN '</p><q/>' WHEN o_orderkey % 31 = 0 THEN '</p >' ELSE '</p>' END END AS doc
+              FROM {orders}) d
+        WHERE o_orderkey % 29 <> 0""",
     # Text rows to load, some cells of which do not convert.
     "raw_orders": """
         SELECT o_orderkey AS _row,

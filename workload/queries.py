@@ -13,7 +13,7 @@ from reconcile.operators.frames import union_all
 from reconcile.plans import migrate, reconcile, reports
 from reconcile.plans.reconcile import Pair
 from reconcile.session import scratch_path
-from reconcile.sources import staged, tables
+from reconcile.sources import records, staged, tables
 from workload.planted import planted, table
 
 KEYWORDS = ("with", "for", "of", "and", "or", "merge", "cursor", "goto", "on", "le", "der")
@@ -313,6 +313,34 @@ def staged_rejects(spark, sf_dir):
     return rejects.withColumn("placed", F.col("file").isNotNull() & (F.col("row_number") >= 1)).drop("file", "row_number")
 
 
+FOREIGN_TYPES = {"o_orderkey": "bigint", "o_custkey": "int", "note": "string"}
+
+
+def _foreign(spark, sf_dir):
+    """Lines of files with escapes and quotes, and their records, checked."""
+    path = os.path.join(scratch_path(spark, "escaped"), "orders")
+    rows = planted(spark, sf_dir, "escaped_records")
+    heads = rows.select("part").distinct().select(F.lit(-1).cast("bigint").alias("o_orderkey"), "part", F.lit(",".join(FOREIGN_TYPES)).alias("record"))
+    placed = rows.unionByName(heads).repartition("part").sortWithinPartitions("part", "o_orderkey")
+    placed.select("part", "record").write.partitionBy("part").text(path)
+    lines = records.read_lines(spark, path)
+    parsed = records.parse_records(lines, list(FOREIGN_TYPES), multi_line=True)
+    return lines, staged.check_rows(parsed, FOREIGN_TYPES)
+
+
+def escaped_load(spark, sf_dir):
+    """The good rows of delimited files with escapes, quotes and line breaks."""
+    return staged.good_rows(_foreign(spark, sf_dir)[1], FOREIGN_TYPES)
+
+
+def escaped_rejects(spark, sf_dir):
+    """The others, and where in their files they stand."""
+    lines, checked = _foreign(spark, sf_dir)
+    rejects = records.reject_records(checked, lines, FOREIGN_TYPES)
+    part = F.regexp_extract("file", "part=([0-9]+)", 1).cast("int")
+    return rejects.withColumn("part", part).drop("file")
+
+
 def staged_load(spark, sf_dir):
     """The raw rows written as CSV files and loaded back from them."""
     path = os.path.join(scratch_path(spark, "staged"), "orders")
@@ -329,6 +357,34 @@ def xml_totals(spark, sf_dir):
     return xml.xml_totals(planted(spark, sf_dir, "xml_orders"), "doc")
 
 
+XML_TYPES = {"o_orderkey": "bigint", "doc": "variant"}
+
+
+def _xml_checked(spark, sf_dir):
+    rows = planted(spark, sf_dir, "xml_documents").withColumn("_row", F.col("o_orderkey"))
+    return staged.check_rows(rows, XML_TYPES)
+
+
+def load_xml(spark, sf_dir):
+    """Documents loaded as values with fields, and some of their fields."""
+    return staged.good_rows(_xml_checked(spark, sf_dir), XML_TYPES).selectExpr(
+        "o_orderkey", "variant_get(doc, '$.p._id', 'bigint') AS id", "variant_get(doc, '$.p.k', 'bigint') AS custkey",
+        "variant_get(doc, '$.p.s', 'string') AS orderstatus", "variant_get(doc, '$.p.i[1]', 'int') AS second_item",
+    )
+
+
+def load_xml_rejects(spark, sf_dir):
+    """Documents that are not well-formed."""
+    return staged.reject_rows(_xml_checked(spark, sf_dir), {"doc": "variant"}).drop("file", "rejected_record")
+
+
+def xml_cell_diff(spark, sf_dir):
+    """Cells that differ where only columns of well-formed documents count as equal."""
+    source, target = planted(spark, sf_dir, "xml_documents"), planted(spark, sf_dir, "xml_spelled")
+    pair = Pair("orders", source, target, ["o_orderkey"], xml_columns=["DOC", "NOTE"])
+    return reconcile.differences(pair, diff.surplus_rows(*pair.sides()))
+
+
 def keyword_scan(spark, sf_dir):
     return analyze.scan_keywords(table(spark, sf_dir, "documents"), "doc_id", "text", KEYWORDS)
 
@@ -388,6 +444,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         diff_ambiguous_keys, multiset_diff, normalize_rows, row_counts, reconcile_report, key_profile, key_columns,
         column_profile, analyze_tables, analyze_totals, map_types, fit_check, schema_mismatch, schema_verdict,
         extract_filtered, convert_rows, load_good, load_rejects, load_result, staged_load, xml_validity, xml_totals,
-        keyword_scan, keyword_verdict, test_case_results, audit_latest, history_apply,
+        keyword_scan, keyword_verdict, test_case_results, audit_latest, history_apply, escaped_load, escaped_rejects,
+        load_xml, load_xml_rejects, xml_cell_diff,
     )
 }
