@@ -5,10 +5,10 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reconcile.functions import is_numeric_text, strip_parentheses
+from reconcile.functions import is_numeric_text, quoted, strip_parentheses
 from reconcile.operators.catalog import TABLE
 from reconcile.operators.typemap import TYPE_MAP
 
@@ -67,24 +67,52 @@ def analysis_totals(analysis: DataFrame) -> DataFrame:
     )
 
 
-def scan_keywords(texts: DataFrame, object_id: str, text: str, keywords: Sequence[str]) -> DataFrame:
-    """Hits per object and keyword, over the words of the whole text, in any case."""
-    return _keyword_hits(texts, object_id, text, keywords).filter(F.col("keyword").isNotNull())
+def _nested(depth: int) -> str:
+    """A block comment that holds others, to a depth; one that never ends goes to the end."""
+    inner = f"|{_nested(depth - 1)}" if depth else ""
+    return rf"/\*(?:[^*/]++|\*(?!/)|/(?!\*){inner})*+(?:\*/|\z)"
 
 
-def keyword_verdict(texts: DataFrame, object_id: str, text: str, keywords: Sequence[str]) -> DataFrame:
+# What is no code, as one ordered alternation: of two that could begin at a place the first counts,
+# so that a quote in a comment opens nothing, nor does a comment's sign in a literal.
+NO_CODE = "|".join(
+    (
+        r"--[^\n]*+",
+        _nested(3),
+        r"N?'(?:[^']++|'')*+(?:'|\z)",
+        r'"(?:[^"]++|"")*+(?:"|\z)',
+        r"\[(?:[^\]]++|\]\])*+(?:\]|\z)",
+    )
+)
+
+
+def code_only(text: Column) -> Column:
+    """The text of an object with a blank for every comment, literal and quoted name."""
+    return F.regexp_replace(text, NO_CODE, " ")
+
+
+def scan_keywords(texts: DataFrame, object_id: str, text: str, keywords: Sequence[str], code: bool = False) -> DataFrame:
+    """Hits per object and keyword, over the words of the whole text, in any case.
+
+    With ``code`` the text is that of a database object: comments, literals and quoted names do
+    not count.
+    """
+    return _keyword_hits(texts, object_id, text, keywords, code).filter(F.col("keyword").isNotNull())
+
+
+def keyword_verdict(texts: DataFrame, object_id: str, text: str, keywords: Sequence[str], code: bool = False) -> DataFrame:
     """Every object with its hits and whether it converts as it is.
 
     The remark gathers distinct keywords, so it is no longer than the keyword list.
     """
-    hits = _keyword_hits(texts, object_id, text, keywords)
-    per_object = hits.groupBy(f"`{object_id}`").agg(
+    hits = _keyword_hits(texts, object_id, text, keywords, code)
+    per_object = hits.groupBy(quoted(object_id)).agg(
         F.count("keyword").alias("keywords"),
         F.coalesce(F.sum(F.when(F.col("keyword").isNotNull(), F.col("hits"))), F.lit(0)).alias("hits"),
         F.expr("listagg(keyword, ', ') within group (order by keyword)").alias("remark"),
     )
     return per_object.select(
-        f"`{object_id}`",
+        quoted(object_id),
         F.when(F.col("keywords") == 0, "converts").otherwise("needs work").alias("verdict"),
         "keywords",
         "hits",
@@ -92,7 +120,7 @@ def keyword_verdict(texts: DataFrame, object_id: str, text: str, keywords: Seque
     )
 
 
-def _keyword_hits(texts: DataFrame, object_id: str, text: str, keywords: Sequence[str]) -> DataFrame:
+def _keyword_hits(texts: DataFrame, object_id: str, text: str, keywords: Sequence[str], code: bool) -> DataFrame:
     """Counts per object and keyword, and one row with a NULL keyword for objects without any.
 
     Plain words are found among the words of the text. A keyword of several words, or with other
@@ -103,7 +131,8 @@ def _keyword_hits(texts: DataFrame, object_id: str, text: str, keywords: Sequenc
     if "" in wanted:
         raise ValueError("a keyword is empty")
     plain = [k for k in wanted if re.fullmatch("[a-z0-9_]+", k)]
-    low = F.lower(F.col(f"`{text}`"))
+    whole = F.col(quoted(text))
+    low = F.lower(code_only(whole) if code else whole)
     words = F.regexp_extract_all(low, F.lit("[a-z0-9_]+"), F.lit(0))
     found = F.filter(words, lambda word: word.isin(*plain))
     for keyword in wanted:
@@ -111,8 +140,8 @@ def _keyword_hits(texts: DataFrame, object_id: str, text: str, keywords: Sequenc
             hits = F.size(F.regexp_extract_all(low, F.lit(_pattern(keyword)), F.lit(0)))
             found = F.concat(found, F.array_repeat(F.lit(keyword), F.greatest(hits, F.lit(0))))
     return (
-        texts.select(F.col(f"`{object_id}`"), F.explode_outer(found).alias("keyword"))
-        .groupBy(f"`{object_id}`", "keyword")
+        texts.select(F.col(quoted(object_id)), F.explode_outer(found).alias("keyword"))
+        .groupBy(quoted(object_id), "keyword")
         .agg(F.count(F.lit(1)).alias("hits"))
     )
 

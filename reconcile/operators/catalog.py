@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -113,13 +115,13 @@ def _profile(df: DataFrame, columns: list[tuple[int, T.StructField]]) -> DataFra
     return df.selectExpr(*measures).selectExpr(f"inline(array({', '.join(structs)}))")
 
 
-def key_columns(constraints: DataFrame, usage: DataFrame) -> DataFrame:
-    """Primary-key columns per table, one row each, and the key as one text.
+def key_lists(constraints: DataFrame, usage: DataFrame) -> DataFrame:
+    """Primary-key columns per table, one row each, as an array ``key_list`` in the key's order.
 
     ``constraints`` has constraint_name, database, schema, table and constraint_type,
     ``usage`` has constraint_name, database, schema, table, column and ordinal. A key is known
     by its type. Where a table has none of that type, its first constraint by a name that
-    starts with ``pk`` in any case is taken. The text gathers the columns of one key, whose
+    starts with ``pk`` in any case is taken. The array gathers the columns of one key, whose
     number the source system limits.
     """
     by_type = F.col("constraint_type") == "PRIMARY KEY"
@@ -128,9 +130,52 @@ def key_columns(constraints: DataFrame, usage: DataFrame) -> DataFrame:
     chosen = keys.groupBy(*TABLE).agg(F.min(F.struct(~by_type, "constraint_name")).alias("_key"))
     chosen = chosen.select(*TABLE, F.col("_key.constraint_name").alias("constraint_name"))
     keys = usage.join(chosen, [*TABLE, "constraint_name"])
-    return keys.groupBy(*TABLE).agg(
-        F.count(F.lit(1)).alias("key_size"),
-        F.expr("listagg(upper(column), ',') within group (order by ordinal)").alias("key_columns"),
+    columns = F.array_sort(F.collect_list(F.struct("ordinal", F.upper("column").alias("name"))))
+    return keys.groupBy(*TABLE).agg(F.transform(columns, lambda c: c["name"]).alias("key_list"))
+
+
+def key_columns(constraints: DataFrame, usage: DataFrame) -> DataFrame:
+    """The keys of ``key_lists`` with their size, and as one text for a report.
+
+    The text cannot be taken apart again where a column's name has a comma: use the arrays.
+    """
+    return key_lists(constraints, usage).select(
+        *TABLE, F.size("key_list").cast("bigint").alias("key_size"), F.array_join("key_list", ",").alias("key_columns")
+    )
+
+
+def session_catalog(spark: SparkSession, databases: Sequence[str] = ()) -> DataFrame:
+    """Catalog rows of the session's own tables: those of ``describe``, and what their catalog declares.
+
+    Adds ``nullable, default, comment, provider`` and the bucket columns in their order, NULL where
+    a table has no buckets. All databases of the current catalog are scanned, or those named.
+    Tables that go while they are scanned are left out; temporary views belong to no database.
+    """
+    rows = []
+    for database in databases or [d.name for d in spark.catalog.listDatabases()]:
+        for table in spark.catalog.listTables(database):
+            if table.isTemporary:
+                continue
+            name = ".".join(map(quoted, (*(table.namespace or [database]), table.name)))
+            try:
+                found = json.loads(spark.sql(f"DESCRIBE TABLE EXTENDED {name} AS JSON").first()[0])
+            except AnalysisException as error:
+                if error.getCondition() == "TABLE_OR_VIEW_NOT_FOUND":
+                    continue
+                raise
+            fields = {f.name: f for f in spark.table(name).schema.fields}
+            for i, column in enumerate(found["columns"], start=1):
+                kind = fields[column["name"]].dataType.simpleString()
+                rows.append(
+                    (
+                        found.get("catalog_name"), database, table.name, i, column["name"], kind, column.get("nullable", True),
+                        column.get("default"), column.get("comment"), found.get("provider"), found.get("bucket_columns") or None,
+                    )
+                )
+    return spark.createDataFrame(
+        rows,
+        "catalog string, schema string, table string, ordinal int, column string, type string, nullable boolean, "
+        "default string, comment string, provider string, bucket_columns array<string>",
     )
 
 

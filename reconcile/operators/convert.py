@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from reconcile.functions import NULL_TOKENS, flag_to_int, null_tokens, quoted, scrub_carriage_returns
+from reconcile.operators.frames import in_any_case
 
 
 def convert(
@@ -21,13 +22,16 @@ def convert(
     ``source_types`` are the declared types by column; ``spark_types`` the types to load.
     Text that does not cast becomes NULL here. To have it rejected instead, give no
     ``spark_types`` and load the rows with ``check_rows``. ``tokens`` are the texts that stand
-    for NULL; give none to move such texts as they are.
+    for NULL; give none to move such texts as they are. Names match in any case, and one that
+    ``df`` does not have is an error.
     """
+    fields = {f.name: f for f in df.schema.fields}
+    declared, loaded = (
+        {f.name: kind for f, kind in zip(in_any_case(fields, types).values(), types.values(), strict=True)}
+        for types in (source_types, spark_types or {})
+    )
     return df.selectExpr(
-        *[
-            f"{_converted(f, source_types.get(f.name, '').lower(), (spark_types or {}).get(f.name), tokens)} AS {quoted(f.name)}"
-            for f in df.schema.fields
-        ]
+        *[f"{_converted(f, declared.get(c, '').lower(), loaded.get(c), tokens)} AS {quoted(c)}" for c, f in fields.items()]
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reconcile.functions import quoted
@@ -60,6 +60,43 @@ def history_apply(history: DataFrame, snapshot: DataFrame, at: Column) -> DataFr
     return closed.unionByName(with_copies(current, "copies"))
 
 
+def history_rebuild(snapshots: DataFrame, at: str, taken: DataFrame | None = None) -> DataFrame:
+    """The history of many snapshots at once, as if they had been applied one after another.
+
+    ``snapshots`` has the rows of all snapshots, with the time of each in the column ``at``. A
+    snapshot without rows leaves none there: ``taken``, a frame of one column, has the times of
+    all snapshots where some may be empty. Rows without a time are not of any snapshot.
+
+    Copies of one row are counted per snapshot first, so a row that exists in very many copies is
+    one row of counts. The counts of a row's content are gaps and islands: as long as it is in one
+    snapshot after another, in as many copies, it is one version. What one task sees together is one
+    row's counts, at most one a snapshot.
+    """
+    columns = [c for c in snapshots.columns if c.upper() != at.upper()]
+    names = [quoted(c) for c in columns]
+    stamp = F.col(quoted(at)).cast("timestamp_ntz").alias("_at")
+    rows = snapshots.select(*names, stamp).dropna(subset=["_at"])
+    counts = rows.groupBy(*names, "_at").agg(F.count(F.lit(1)).alias("_copies"))
+    # One row a snapshot.
+    times = (taken.select(F.col(quoted(taken.columns[0])).cast("timestamp_ntz").alias("_at")) if taken is not None else rows.select("_at"))
+    order = Window.orderBy("_at")
+    times = times.dropna().distinct().select("_at", F.lag("_at").over(order).alias("_last"), F.lead("_at").over(order).alias("_next"))
+    counts = counts.join(times, "_at")
+
+    of_row = Window.partitionBy(*names).orderBy("_at")
+    goes_on = F.lag("_at").over(of_row).eqNullSafe(F.col("_last")) & (F.lag("_copies").over(of_row) == F.col("_copies"))
+    begins = F.when(F.col("_last").isNotNull() & goes_on, 0).otherwise(1)
+    islands = counts.withColumn("_begins", begins).withColumn("_island", F.sum("_begins").over(of_row))
+    versions = islands.groupBy(*names, "_island").agg(
+        F.first("_copies").alias("_copies"), F.min("_at").alias(START), F.max_by(F.struct("_next"), "_at")["_next"].alias("_until")
+    )
+    ended = F.col("_until").isNotNull()
+    versions = versions.select(
+        *names, START, F.coalesce("_until", _open_end()).alias(END), F.when(ended, "N").otherwise("Y").alias(ACTIVE), "_copies"
+    )
+    return with_copies(versions, "_copies")
+
+
 def with_copies(df: DataFrame, copies: str) -> DataFrame:
     """Each row as often as ``copies`` says, however often that is.
 

@@ -8,7 +8,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from reconcile.functions import round_decimal
@@ -67,18 +67,21 @@ def run_test_cases(
     source: SparkSession,
     target: SparkSession,
     threads: int = 4,
+    compare: Callable[[int, TestCase], tuple[str, str | None, str | None]] | None = None,
 ) -> DataFrame:
     """One report row per case. A case that cannot run is reported with status ERROR.
 
     Results are compared where they are, as distributed tables. A report row has the number
-    of rows of either result; the rows themselves are in ``result_rows``.
+    of rows of either result; the rows themselves are in ``result_rows``. ``compare`` runs a case
+    in another way and gives its status and what is said of either side.
     """
+    compare = compare or (lambda number, case: _compare(case, source, target))
 
     def one(numbered: tuple[int, TestCase]) -> tuple:
         number, case = numbered
         started = dt.datetime.now(dt.timezone.utc)
         try:
-            status, left, right = _compare(case, source, target)
+            status, left, right = compare(number, case)
         except Exception as error:  # noqa: BLE001  whatever a case meets is its result
             status, left, right = ERROR, None, condition_of(error)
         ended = dt.datetime.now(dt.timezone.utc)
@@ -108,16 +111,25 @@ def _positional(result: DataFrame) -> DataFrame:
     return renamed.selectExpr(*[f"{round_decimal(f.name, f.dataType)} AS {f.name}" for f in renamed.schema.fields])
 
 
+def _counts(source: str, target: str) -> list[Column]:
+    return [
+        F.coalesce(F.sum(source), F.lit(0)).alias("source"),
+        F.coalesce(F.sum(target), F.lit(0)).alias("target"),
+        F.count_if(F.col(source) != F.col(target)).alias("differing"),
+    ]
+
+
+def _verdict(source: int | None, target: int | None, differing: int | None) -> tuple[str, str | None, str | None]:
+    if differing is None:
+        return FAIL, "columns differ in number", "columns differ in number"
+    return (FAIL if differing else PASS), f"{source} rows", f"{target} rows"
+
+
 def _compare(case: TestCase, source: SparkSession, target: SparkSession) -> tuple[str, str | None, str | None]:
     rows = case_results(case, source, target)
     if rows is None:
-        return FAIL, "columns differ in number", "columns differ in number"
-    left, right, differing = rows.agg(
-        F.coalesce(F.sum(SOURCE_COPIES), F.lit(0)),
-        F.coalesce(F.sum(TARGET_COPIES), F.lit(0)),
-        F.count_if(F.col(SOURCE_COPIES) != F.col(TARGET_COPIES)),
-    ).first()
-    return (FAIL if differing else PASS), f"{left} rows", f"{right} rows"
+        return _verdict(None, None, None)
+    return _verdict(*rows.agg(*_counts(SOURCE_COPIES, TARGET_COPIES)).first())
 
 
 def result_rows(number: int, case: TestCase, source: SparkSession, target: SparkSession) -> DataFrame | None:
@@ -142,22 +154,28 @@ def run_case_file(
 ) -> None:
     """Run the cases of a file and append their verdicts and all result rows to the reports.
 
-    Raises an error, once all cases are through, if the rows of a case with a verdict of PASS or
-    FAIL could not be appended.
+    Each case runs once: its rows are counted while they are written, and the verdict is that of
+    the rows in the report. Raises an error, once all cases are through and reported, if the rows of
+    a case with a verdict of PASS or FAIL could not be written; such a case was run again for it.
     """
-    cases = read_cases(spark, path, tables)
-    verdicts = run_test_cases(spark, cases, source, target)
-    append_report(verdicts, reports, "test_results", run_id)
-    status = {r["case_no"]: r["status"] for r in verdicts.select("case_no", "status").collect()}
-    missing = {}
-    for number, case in enumerate(cases, start=1):
+    missing: dict[int, Exception] = {}
+
+    def compare(number: int, case: TestCase) -> tuple[str, str | None, str | None]:
         try:
             rows = result_rows(number, case, source, target)
-            if rows is not None:
-                append_report(rows, reports, "test_result_rows", run_id)
-        except Exception as error:  # noqa: BLE001  the report has the ERROR of a case that cannot run
-            if status[number] != ERROR:
-                missing[number] = error
+            if rows is None:
+                return _verdict(None, None, None)
+            seen = Observation()
+            counts = _counts("source_copies", "target_copies")
+            append_report(rows.observe(seen, *counts), reports, "test_result_rows", run_id)
+            found = seen.get
+            return _verdict(found["source"], found["target"], found["differing"])
+        except Exception as error:  # noqa: BLE001  a case that cannot run at all fails here again
+            verdict = _compare(case, source, target)
+            missing[number] = error
+            return verdict
+
+    append_report(run_test_cases(spark, read_cases(spark, path, tables), source, target, compare=compare), reports, "test_results", run_id)
     if missing:
-        names = ", ".join(map(str, missing))
-        raise RuntimeError(f"result rows are missing in the report, of cases {names}") from next(iter(missing.values()))
+        names = ", ".join(map(str, sorted(missing)))
+        raise RuntimeError(f"result rows are missing in the report, of cases {names}") from missing[min(missing)]

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from reconcile.functions import literal, null_tokens, quoted
 from reconcile.functions.values import DATE_TEXT
+from reconcile.operators.frames import in_any_case
 
 # Source type, target type, Spark type the column is loaded as.
 TYPE_MAP = [
@@ -197,9 +198,9 @@ def _number(number: int, is_float: bool) -> str:
 def fit_check(df: DataFrame, declared: Mapping[str, str]) -> DataFrame:
     """Per declared column: values checked and values that do not fit, in one pass.
 
-    Null tokens are no values. Names in ``declared`` are columns of ``df``.
+    Null tokens are no values. Names in ``declared`` are columns of ``df``, in any case.
     """
-    dtypes = {f.name: f.dataType for f in df.schema.fields}
+    dtypes = in_any_case({f.name: f.dataType for f in df.schema.fields}, declared)
     measures, structs = [], []
     for i, (name, text) in enumerate(declared.items()):
         value = quoted(name)

@@ -18,6 +18,7 @@ from reconcile.operators.frames import condition_of
 from reconcile.operators.typemap import column_types
 from reconcile.plans.reports import append_report
 from reconcile.session import temporary_scratch, write_through
+from reconcile.sources.records import parse_records, read_lines, reject_records
 from reconcile.sources.staged import (
     LOAD_FAILED,
     ROW,
@@ -56,7 +57,12 @@ class Target:
 
     @property
     def name(self) -> str:
-        return f"`{self.database}_{self.schema}`.`{self.table}`"
+        return f"{self.container}.{quoted(self.table)}"
+
+    @property
+    def container(self) -> str:
+        """The database of the session catalog that the table is in."""
+        return quoted(f"{self.database}_{self.schema}")
 
 
 def load(rows: DataFrame, target: Target, mode: str = "overwrite") -> None:
@@ -66,7 +72,7 @@ def load(rows: DataFrame, target: Target, mode: str = "overwrite") -> None:
     if target.path or target.options:
         writer.save(target.path)
         return
-    rows.sparkSession.sql(f"CREATE DATABASE IF NOT EXISTS `{target.database}_{target.schema}`")
+    rows.sparkSession.sql(f"CREATE DATABASE IF NOT EXISTS {target.container}")
     if target.bucket_by:
         # One task per bucket, or every task would write a file for every bucket.
         keys = [c.upper() for c in target.bucket_by]
@@ -89,7 +95,29 @@ def load_with_rejects(
     table are shuffled, where a task that is run again would count again, so they are
     counted in a job of their own.
     """
-    checked = check_rows(raw, types)
+    return _load_checked(check_rows(raw, types), types, target, reports, run_id, lambda bad: reject_rows(bad, types))
+
+
+def load_files(
+    spark: SparkSession, path: str, types: Mapping[str, str], target: Target, reports: str, run_id: str,
+    *, header: bool = True, multi_line: bool = False,
+) -> str:
+    """Load delimited files from elsewhere as ``load_with_rejects`` does; rejects have their places.
+
+    The files hold the columns of ``types`` in that order. ``multi_line`` is for files with line
+    breaks inside quotes; either way a file is the work of as many tasks as its size asks for.
+    """
+    lines = read_lines(spark, path)
+    parsed = parse_records(lines, list(types), header=header, multi_line=multi_line)
+    return _load_checked(
+        check_rows(parsed, types), types, target, reports, run_id, lambda bad: reject_records(bad, lines, types)
+    )
+
+
+def _load_checked(
+    checked: DataFrame, types: Mapping[str, str], target: Target, reports: str, run_id: str,
+    rejects: Callable[[DataFrame], DataFrame],
+) -> str:
     if target.bucket_by:
         load(good_rows(checked, types), target)
         seen = checked.agg(*load_counters()).first().asDict()
@@ -97,7 +125,7 @@ def load_with_rejects(
         observed = Observation("load")
         load(good_rows(checked.observe(observed, *load_counters()), types), target)
         seen = observed.get
-    totals = raw.sparkSession.createDataFrame(
+    totals = checked.sparkSession.createDataFrame(
         [(target.table, *[seen[k] for k in COUNTERS])],
         "file string, rows_parsed bigint, rows_loaded bigint, errors_seen bigint, first_error_line bigint, _first int",
     )
@@ -105,7 +133,7 @@ def load_with_rejects(
     append_report(result, reports, "row_validation", run_id)
     status = result.first()["status"]
     if seen["errors_seen"]:
-        append_report(reject_rows(checked, types), reports, "rejects", run_id)
+        append_report(rejects(checked), reports, "rejects", run_id)
     return status
 
 

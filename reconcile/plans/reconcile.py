@@ -210,21 +210,27 @@ def tables_of(
     read_target: Callable[[str, str, str], DataFrame],
     keys: DataFrame | None = None,
 ) -> list[Table]:
-    """The tables of a scope list, with their keys as ``key_columns`` gives them.
+    """The tables of a scope list, with their keys as ``key_lists`` or ``key_columns`` gives them.
 
     The readers take database, schema and table. A scope has one row per table, as each is
-    a job of its own, so it is collected.
+    a job of its own, so it is collected. Keys as one text are taken apart at its commas; where
+    that gives another number of columns than the key has, the arrays are needed.
     """
     rows = scope.select(*TABLE)
+    listed = keys is not None and "key_list" in keys.columns
     if keys is not None:
-        rows = rows.join(keys.select(*TABLE, "key_columns"), list(TABLE), "left")
+        rows = rows.join(keys.select(*TABLE, *(["key_list"] if listed else ["key_size", "key_columns"])), list(TABLE), "left")
     tables = []
     for row in rows.orderBy(*TABLE).collect():
         name = tuple(row[:3])
-        found = row["key_columns"] if keys is not None else None
-        tables.append(
-            Table(".".join(name), partial(read_source, *name), partial(read_target, *name), found.split(",") if found else ())
-        )
+        key: Sequence[str] = ()
+        if listed:
+            key = row["key_list"] or ()
+        elif keys is not None and row["key_columns"]:
+            key = [row["key_columns"]] if row["key_size"] == 1 else row["key_columns"].split(",")
+            if len(key) != row["key_size"]:
+                raise ValueError(f"the key of {'.'.join(name)} has a comma in a column's name: give the key as an array")
+        tables.append(Table(".".join(name), partial(read_source, *name), partial(read_target, *name), key))
     return tables
 
 

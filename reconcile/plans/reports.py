@@ -44,7 +44,7 @@ SCHEMAS = {
     ),
     "rejects": (
         "run_id string, error string, file string, category string, column_name string, row_number bigint, "
-        "rejected_record string, created_on timestamp, created_by string"
+        "rejected_record string, row_start_line bigint, byte_offset bigint, character bigint, created_on timestamp, created_by string"
     ),
     "row_validation": (
         "run_id string, source_dbms string, target_dbms string, file string, status string, rows_parsed bigint, "

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reconcile.functions import LOAD_NULL_TOKENS, literal, null_tokens, quoted, well_formed_xml, xml_variant
+from reconcile.operators.frames import in_any_case
 from reconcile.operators.typemap import fits
 
 ROW = "_row"
@@ -140,15 +141,15 @@ def check_rows(
     Position 0 means a misshapen row, NULL a good one. The raw columns stay, for the
     rejects; ``good_rows`` gives the typed ones.
     """
-    dtypes = _dtypes(raw)
+    dtypes = _dtypes(raw, types)
     tests = [f"CASE WHEN {CORRUPT} IS NOT NULL THEN 0 END"] if CORRUPT in raw.columns else []
     for i, (column, spark_type) in enumerate(types.items(), start=1):
         tests.append(f"CASE WHEN {_is_bad(column, dtypes[column], spark_type, tokens)} THEN {i} END")
     return raw.withColumn(FIRST_BAD, F.expr(f"coalesce({', '.join(tests)})"))
 
 
-def _dtypes(df: DataFrame) -> dict[str, T.DataType]:
-    return {f.name: f.dataType for f in df.schema.fields}
+def _dtypes(df: DataFrame, columns: Iterable[str]) -> dict[str, T.DataType]:
+    return in_any_case({f.name: f.dataType for f in df.schema.fields}, columns)
 
 
 def _value(column: str, dtype: T.DataType, tokens: Sequence[str]) -> str:
@@ -173,7 +174,7 @@ def _typed(column: str, dtype: T.DataType, spark_type: str, tokens: Sequence[str
 
 def good_rows(checked: DataFrame, types: Mapping[str, str], *, tokens: Sequence[str] = LOAD_NULL_TOKENS) -> DataFrame:
     """The rows that convert, in their types."""
-    dtypes = _dtypes(checked)
+    dtypes = _dtypes(checked, types)
     typed = [f"{_typed(c, dtypes[c], t, tokens)} AS {quoted(c)}" for c, t in types.items()]
     return checked.filter(F.col(FIRST_BAD).isNull()).selectExpr(*typed)
 
@@ -183,7 +184,7 @@ def reject_rows(
 ) -> DataFrame:
     """One row per cell that does not convert, and one per misshapen row; ``also`` columns are carried on."""
     record = "to_csv(struct(" + ", ".join(f"CAST({quoted(c)} AS string) AS {quoted(c)}" for c in types) + "))"
-    dtypes = _dtypes(checked)
+    dtypes = _dtypes(checked, types)
     cells = [
         f"named_struct('column_name', {literal(c)}, 'category', {literal(CONVERSION)}, "
         f"'error', {literal(conversion_error(c, t))}, 'bad', {_is_bad(c, dtypes[c], t, tokens)})"

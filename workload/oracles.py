@@ -55,6 +55,17 @@ _LINE_CELLS = " UNION ALL ".join(
     for c in _LINE_VALUES
 )
 
+_UNPAIRED = """
+        SELECT o_orderkey, 'missing_in_target' AS status, CAST(1 AS BIGINT) AS missing_rows, CAST(0 AS BIGINT) AS extra_rows
+        FROM s WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.o_orderkey = s.o_orderkey)
+        UNION ALL SELECT o_orderkey, 'extra_in_target', 0, 1
+        FROM t WHERE NOT EXISTS (SELECT 1 FROM s WHERE t.o_orderkey = s.o_orderkey)"""
+
+_OBJECTS = """WITH hits AS (
+    SELECT o_orderkey AS object_id, 'merge' AS keyword, CASE WHEN o_orderkey % 11 = 0 THEN 1 ELSE 0 END AS hits FROM orders
+    UNION ALL SELECT o_orderkey, 'goto', CASE WHEN o_orderkey % 13 = 0 THEN 2 ELSE 0 END FROM orders
+    UNION ALL SELECT o_orderkey, 'cursor', CASE WHEN o_orderkey % 19 = 0 THEN 1 ELSE 0 END FROM orders) """
+
 _TYPES = "(VALUES " + ", ".join(f"('{s}', '{t}', '{k}')" for s, t, k in TYPE_MAP) + ") AS m(source_type, target_type, spark_type)"
 
 _RENDERED = """CASE
@@ -476,4 +487,54 @@ ORACLES: dict[str, str] = {
                '1' AS source_value, '0' AS target_value FROM xml_documents WHERE o_orderkey % 29 = 0
         UNION ALL SELECT 'orders', 'doc', to_json([CAST(o_orderkey AS VARCHAR)]), 'changed', s.doc, t.doc
         FROM xml_documents s JOIN xml_spelled t USING (o_orderkey) WHERE s.doc <> t.doc""",
+    "history_rebuild": _with("snapshots") + """,
+        times AS (SELECT n, '2024-01-' || CAST(10 + n AS VARCHAR) || ' 00:00:00' AS taken FROM range(10) AS r(n)),
+        counts AS (SELECT o_orderkey, o_orderstatus, o_totalprice, n, count(*) AS copies FROM snapshots JOIN times USING (taken) GROUP BY ALL),
+        marked AS (
+          SELECT *, CASE WHEN lag(n) OVER w = n - 1 AND lag(copies) OVER w = copies THEN 0 ELSE 1 END AS begins
+          FROM counts WINDOW w AS (PARTITION BY o_orderkey, o_orderstatus, o_totalprice ORDER BY n)
+        ),
+        islands AS (SELECT *, sum(begins) OVER (PARTITION BY o_orderkey, o_orderstatus, o_totalprice ORDER BY n) AS island FROM marked),
+        versions AS (
+          SELECT o_orderkey, o_orderstatus, o_totalprice, min(n) AS first, max(n) + 1 AS next, any_value(copies) AS copies
+          FROM islands GROUP BY o_orderkey, o_orderstatus, o_totalprice, island
+        )
+        SELECT o_orderkey, o_orderstatus, o_totalprice, a.taken AS START_TIME, coalesce(b.taken, '9999-12-31 00:00:00') AS END_TIME,
+               CASE WHEN b.taken IS NULL THEN 'Y' ELSE 'N' END AS ACTIVE
+        FROM (SELECT *, unnest(range(copies)) FROM versions) v JOIN times a ON a.n = first LEFT JOIN times b ON b.n = next""",
+    "object_keywords": _OBJECTS + "SELECT object_id, keyword, hits FROM hits WHERE hits > 0",
+    "object_verdict": _OBJECTS + """
+        SELECT verdict, remark, count(*) AS objects, CAST(sum(hits) AS BIGINT) AS hits FROM (
+          SELECT object_id, CASE WHEN sum(hits) = 0 THEN 'converts' ELSE 'needs work' END AS verdict, sum(hits) AS hits,
+                 coalesce(string_agg(keyword, ', ' ORDER BY keyword) FILTER (hits > 0), '') AS remark
+          FROM hits GROUP BY object_id) GROUP BY verdict, remark""",
+    "key_ranges": "SELECT CAST(n AS INT) AS range_no, true AS even, true AS covered FROM range(1, 17) AS r(n), (SELECT count(*) FROM lineitem)",
+    "catalog_scan": """SELECT table_name AS "table", CAST(o AS INT) AS ordinal, c AS "column", t AS type, true AS nullable, b AS buckets FROM (VALUES
+        ('nation', 1, 'N_NATIONKEY', 'int', 'N_REGIONKEY,N_NATIONKEY'), ('nation', 2, 'N_NAME', 'string', 'N_REGIONKEY,N_NATIONKEY'),
+        ('nation', 3, 'N_REGIONKEY', 'int', 'N_REGIONKEY,N_NATIONKEY'), ('orders', 1, 'O_ORDERKEY', 'bigint', NULL),
+        ('orders', 2, 'FLAG', 'boolean', NULL), ('orders', 3, 'NOTE', 'string', NULL)) AS v(table_name, o, c, t, b), (SELECT count(*) FROM nation)""",
+    "scope_keys_report": _ORDERS + ",\n" + _LINES.removeprefix("WITH ") + f"""
+        SELECT 'shop.dbo.orders' AS table_name, NULL AS column_name, to_json([CAST(o_orderkey AS VARCHAR)]) AS row_key, status,
+               CASE status WHEN 'missing_in_target' THEN '1' ELSE '0' END AS source_value,
+               CASE status WHEN 'missing_in_target' THEN '0' ELSE '1' END AS target_value
+        FROM ({_UNPAIRED})
+        UNION ALL SELECT 'shop.dbo.orders', CASE column_name WHEN 'o_orderkey' THEN 'order,key' ELSE column_name END,
+               to_json([CAST(o_orderkey AS VARCHAR)]), 'changed', source_value, target_value FROM ({_CELLS})
+        UNION ALL SELECT 'shop.dbo.items', NULL, to_json([CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR)]), 'ambiguous',
+               CAST(missing_rows AS VARCHAR), CAST(extra_rows AS VARCHAR)
+        FROM keys WHERE missing_rows > 0 AND extra_rows > 0 AND missing_rows + extra_rows > 2
+        UNION ALL SELECT 'shop.dbo.items', column_name, to_json([CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR)]), 'changed',
+               source_value, target_value FROM ({_LINE_CELLS})""",
+    "limited_extract": """SELECT least(10, count(*)) AS "rows", 'limited' AS part FROM orders WHERE o_orderkey % 2 = 0
+        UNION ALL SELECT count(*), 'whole' FROM orders WHERE o_orderkey % 2 = 0""",
+    "case_tables": f"""SELECT source_table_name, test_case, status FROM ({_TESTS}) WHERE source_table_name IN ('customer', 'documents')""",
+    "failed_readback": f"""SELECT 'orders' AS table_name, 'PARTIALLY_LOADED' AS status, count(*) AS "rows" FROM ({_GOOD})
+        UNION ALL SELECT 'nothing', 'LOAD_FAILED', NULL UNION ALL SELECT 'supplier', 'LOADED', count(*) FROM supplier""",
 }
+
+ORACLES["load_files"] = f"""
+    SELECT CASE WHEN loaded = total THEN 'LOADED' ELSE 'PARTIALLY_LOADED' END AS status, total AS rows_parsed, loaded AS rows_loaded,
+           total - loaded AS errors_seen, rejects, offsets, loaded AS "rows"
+    FROM (SELECT count(*) AS loaded FROM ({ORACLES['escaped_load']})),
+         (SELECT count(*) AS rejects, CAST(sum(byte_offset) AS BIGINT) AS offsets FROM ({ORACLES['escaped_rejects']})),
+         (SELECT count(*) AS total FROM orders)"""

@@ -124,6 +124,26 @@ PLANTED = {
                     WHEN o_orderkey % 59 = 0 THEN '</p><q/>' WHEN o_orderkey % 31 = 0 THEN '</p >' ELSE '</p>' END END AS doc
               FROM {orders}) d
         WHERE o_orderkey % 29 <> 0""",
+    # Ten snapshots of a table, the eighth of them empty: rows that go and come back, change, or stand twice.
+    "snapshots": """
+        SELECT o_orderkey, o_orderstatus, o_totalprice + CASE WHEN o_orderkey % 5 = 0 AND n >= 4 THEN 1 ELSE 0 END AS o_totalprice,
+               '2024-01-' || CAST(10 + n AS VARCHAR(2)) || ' 00:00:00' AS taken
+        FROM (SELECT * FROM {orders} UNION ALL SELECT * FROM {orders} WHERE o_orderkey % 11 = 0) o
+        JOIN (VALUES (0, 0), (1, 0), (2, 0), (3, 0), (4, 0), (5, 0), (6, 0), (8, 0), (9, 0)) AS k(n, one)
+          ON (o_orderkey + n) % 7 <> one
+        WHERE o_orderkey % 11 <> 0 OR n <= 5 OR o_orderkey % 2 = 0""",
+    # Texts of database objects with keywords in code, in comments, in literals and in quoted names.
+    "object_texts": """
+        SELECT o_orderkey AS object_id, 'CREATE VIEW v AS SELECT 1 ' ||
+               CASE WHEN o_orderkey % 3 = 0 THEN '-- cursor in a comment, its quote' || chr(39) || ' opens nothing' || chr(10) ELSE '' END ||
+               CASE WHEN o_orderkey % 5 = 0 THEN '/* merge /* goto */ merge */' ELSE '' END ||
+               CASE WHEN o_orderkey % 7 = 0 THEN ' ' || chr(39) || 'it' || chr(39) || chr(39) || 's a cursor -- no comment' || chr(39) ELSE '' END ||
+               CASE WHEN o_orderkey % 11 = 0 THEN ' MERGE INTO t' ELSE '' END ||
+               CASE WHEN o_orderkey % 13 = 0 THEN ' goto a; GOTO b' ELSE '' END ||
+               CASE WHEN o_orderkey % 17 = 0 THEN ' [cursor] ' || chr(34) || 'merge' || chr(34) ELSE '' END ||
+               CASE WHEN o_orderkey % 19 = 0 THEN ' DECLARE c CURSOR' ELSE '' END ||
+               CASE WHEN o_orderkey % 23 = 0 THEN ' /* never ends: goto' ELSE '' END AS code
+        FROM {orders}""",
     # Text rows to load, some cells of which do not convert.
     "raw_orders": """
         SELECT o_orderkey AS _row,

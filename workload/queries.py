@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reconcile.operators import analyze, audit, catalog, convert, diff, history, schema, testcases, typemap, xml
@@ -316,13 +317,19 @@ def staged_rejects(spark, sf_dir):
 FOREIGN_TYPES = {"o_orderkey": "bigint", "o_custkey": "int", "note": "string"}
 
 
-def _foreign(spark, sf_dir):
-    """Lines of files with escapes and quotes, and their records, checked."""
+def _foreign_files(spark, sf_dir):
+    """Files with escapes and quotes, one for each part."""
     path = os.path.join(scratch_path(spark, "escaped"), "orders")
     rows = planted(spark, sf_dir, "escaped_records")
     heads = rows.select("part").distinct().select(F.lit(-1).cast("bigint").alias("o_orderkey"), "part", F.lit(",".join(FOREIGN_TYPES)).alias("record"))
     placed = rows.unionByName(heads).repartition("part").sortWithinPartitions("part", "o_orderkey")
     placed.select("part", "record").write.partitionBy("part").text(path)
+    return path
+
+
+def _foreign(spark, sf_dir):
+    """Their lines, and their records, checked."""
+    path = _foreign_files(spark, sf_dir)
     lines = records.read_lines(spark, path)
     parsed = records.parse_records(lines, list(FOREIGN_TYPES), multi_line=True)
     return lines, staged.check_rows(parsed, FOREIGN_TYPES)
@@ -436,6 +443,127 @@ def history_apply(spark, sf_dir):
     return _as_text(state, history.START, history.END)
 
 
+def history_rebuild(spark, sf_dir):
+    """The history of ten snapshots at once, one of them without a row."""
+    taken = spark.range(10).select(F.format_string("2024-01-%d 00:00:00", F.col("id") + 10).alias("taken"))
+    state = history.history_rebuild(planted(spark, sf_dir, "snapshots"), "taken", taken)
+    return _as_text(state, history.START, history.END)
+
+
+def object_keywords(spark, sf_dir):
+    """Keywords in the code of objects, not in their comments, literals and quoted names."""
+    return analyze.scan_keywords(planted(spark, sf_dir, "object_texts"), "object_id", "code", ("merge", "goto", "cursor"), code=True)
+
+
+def object_verdict(spark, sf_dir):
+    verdicts = analyze.keyword_verdict(planted(spark, sf_dir, "object_texts"), "object_id", "code", ("merge", "goto", "cursor"), code=True)
+    return verdicts.groupBy("verdict", "remark").agg(F.count("*").alias("objects"), F.sum("hits").alias("hits"))
+
+
+def key_ranges(spark, sf_dir):
+    """Whether reads by key range share the rows of a table evenly, and miss none."""
+    items, n = table(spark, sf_dir, "lineitem"), 16
+    ranges = tables.key_range_predicates("l_orderkey", tables.key_bounds(items, "l_orderkey", n))
+    counts = items.select(F.explode(F.array(*[F.when(F.expr(r), i) for i, r in enumerate(ranges, start=1)])).alias("range_no"))
+    counts = counts.dropna().groupBy("range_no").agg(F.count("*").alias("rows"))
+    total = items.agg(F.count("*").alias("total"))
+    even = F.col("rows").between(F.lit(0.9) * F.col("total") / n, F.lit(1.1) * F.col("total") / n)
+    covered = F.sum("rows").over(Window.partitionBy("total")) == F.col("total")
+    return counts.join(F.broadcast(total)).select("range_no", even.alias("even"), covered.alias("covered"))
+
+
+def catalog_scan(spark, sf_dir):
+    """The columns of loaded tables, as the session's own catalog has them."""
+    database = f"scan_{uuid.uuid4().hex}"
+    nations = migrate.Target(database, "dbo", "nation", bucket_by=("n_regionkey", "n_nationkey"), buckets=2)
+    migrate.load(table(spark, sf_dir, "nation"), nations)
+    migrate.load(planted(spark, sf_dir, "conv_orders"), migrate.Target(database, "dbo", "orders"))
+    try:
+        found = catalog.session_catalog(spark, [f"{database}_dbo"])
+        return found.select("table", "ordinal", "column", "type", "nullable", F.array_join("bucket_columns", ",").alias("buckets"))
+    finally:
+        spark.sql(f"DROP DATABASE {nations.container} CASCADE")
+
+
+def scope_keys_report(spark, sf_dir):
+    """A run over a scope whose keys come from a catalog; one key column has a comma in its name."""
+    def renamed(name):
+        rows = planted(spark, sf_dir, name)
+        return rows.toDF("order,key", *rows.columns[1:])
+
+    usage = [("pk_orders", "shop", "dbo", "orders", "order,key", 1), ("pk_items", "shop", "dbo", "items", "l_linenumber", 2),
+             ("pk_items", "shop", "dbo", "items", "l_orderkey", 1)]
+    keys = catalog.key_lists(
+        catalog.constraint_rows(spark.createDataFrame(sorted({(*u[:4], "PRIMARY KEY") for u in usage}),
+            "CONSTRAINT_NAME string, TABLE_CATALOG string, TABLE_SCHEMA string, TABLE_NAME string, CONSTRAINT_TYPE string")),
+        catalog.usage_rows(spark.createDataFrame(usage,
+            "CONSTRAINT_NAME string, TABLE_CATALOG string, TABLE_SCHEMA string, TABLE_NAME string, COLUMN_NAME string, ORDINAL_POSITION int")),
+    )
+    sources = {"orders": lambda: renamed("src_orders"), "items": lambda: table(spark, sf_dir, "lineitem")}
+    targets = {"orders": lambda: renamed("tgt_orders"), "items": lambda: planted(spark, sf_dir, "taxed_lineitem")}
+    scope = spark.createDataFrame([("shop", "dbo", "orders"), ("shop", "dbo", "items")], "database string, schema string, table string")
+    found = reconcile.tables_of(scope, lambda *name: sources[name[2]](), lambda *name: targets[name[2]](), keys)
+    root = scratch_path(spark, "scope-keys")
+    reconcile.run_scope(spark, found, root, "run-1")
+    detail = reports.read_report(spark, root, "data_detail")
+    return detail.select("table_name", "column_name", "row_key", "status", "source_value", "target_value")
+
+
+def limited_extract(spark, sf_dir):
+    """A limit cuts only where it is asked for, and any rows of the table will do."""
+    orders = table(spark, sf_dir, "orders")
+    keys = orders.select("o_orderkey")
+    few = tables.extract(orders, columns=["o_orderkey"], where="o_orderkey % 2 = 0", limit=10)
+    whole = tables.extract(orders, columns=["o_orderkey"], where="o_orderkey % 2 = 0")
+    count = F.count("*").alias("rows")
+    return (
+        few.join(keys, "o_orderkey", "left_semi").agg(count).withColumn("part", F.lit("limited"))
+        .unionByName(whole.agg(count).withColumn("part", F.lit("whole")))
+    )
+
+
+def case_tables(spark, sf_dir):
+    """The cases of some tables of a file, and their verdicts."""
+    root = scratch_path(spark, "case-tables")
+    rows = spark.createDataFrame([(c.table, c.sql) for c in CASES], "table string, sql string").coalesce(1)
+    rows.write.options(header="true", escape='"').csv(root)
+    cases = testcases.read_cases(spark, root, ["customer", "documents"])
+    report = testcases.run_test_cases(spark, cases, *_case_sides(spark, sf_dir))
+    return report.select("source_table_name", "test_case", "status")
+
+
+def failed_readback(spark, sf_dir):
+    """Of tables to load, those that can be read back afterwards."""
+    root = scratch_path(spark, "failed-readback")
+    jobs = {
+        "orders": (planted(spark, sf_dir, "raw_orders"), LOAD_TYPES),
+        "nothing": (planted(spark, sf_dir, "raw_orders").filter("o_orderkey LIKE 'x%'"), LOAD_TYPES),
+        "supplier": (table(spark, sf_dir, "supplier"), {"s_suppkey": "bigint"}),
+    }
+    found = []
+    for name, (rows, types) in jobs.items():
+        target = migrate.Target("shop", "dbo", name, os.path.join(root, name))
+        status = migrate.migrate_table(spark, lambda rows=rows: rows, types, target, os.path.join(root, "reports"), "run-1")
+        loaded = migrate.read_back(spark, target, status)
+        if loaded is not None:
+            found.append(loaded.agg(F.count("*").alias("rows")).select(F.lit(name).alias("table_name"), F.lit(status).alias("status"), "rows"))
+        else:
+            found.append(spark.range(1).select(F.lit(name).alias("table_name"), F.lit(status).alias("status"), F.lit(None).cast("bigint").alias("rows")))
+    return union_all(found)
+
+
+def load_files(spark, sf_dir):
+    """Delimited files loaded under audit: the counters, and the rejects in the report."""
+    path = _foreign_files(spark, sf_dir)
+    root = scratch_path(spark, "load-files")
+    target = migrate.Target("shop", "dbo", "orders", os.path.join(root, "orders"))
+    migrate.load_files(spark, path, FOREIGN_TYPES, target, root, "run-1", multi_line=True)
+    rejects = reports.read_report(spark, root, "rejects").agg(F.count("*").alias("rejects"), F.sum("byte_offset").alias("offsets"))
+    counts = reports.read_report(spark, root, "row_validation").select("status", "rows_parsed", "rows_loaded", "errors_seen")
+    back = spark.read.parquet(target.path).agg(F.count("*").alias("rows"))
+    return counts.join(F.broadcast(rejects)).join(F.broadcast(back))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -445,6 +573,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         column_profile, analyze_tables, analyze_totals, map_types, fit_check, schema_mismatch, schema_verdict,
         extract_filtered, convert_rows, load_good, load_rejects, load_result, staged_load, xml_validity, xml_totals,
         keyword_scan, keyword_verdict, test_case_results, audit_latest, history_apply, escaped_load, escaped_rejects,
-        load_xml, load_xml_rejects, xml_cell_diff,
+        load_xml, load_xml_rejects, xml_cell_diff, history_rebuild, object_keywords, object_verdict, key_ranges, catalog_scan,
+        scope_keys_report, limited_extract, case_tables, failed_readback, load_files,
     )
 }
