@@ -257,6 +257,10 @@ def key_text(keys: Sequence[str]) -> Column:
     return F.expr(f"to_json(array({values}))")
 
 
+# Copies of one row that one step of numbering writes out.
+COPIES_PER_BLOCK = 1 << 20
+
+
 def with_ordinals(
     df: DataFrame, order_by: Sequence[str] = (), name: str = "row_number", ties: bool = True
 ) -> DataFrame:
@@ -267,32 +271,53 @@ def with_ordinals(
     scratch because both the count per partition and the numbering must see one and the
     same placement, also after an executor was lost.
 
-    Rows that tie are ordered by a hash of their content, and copies of one row by an id.
-    So no value, however frequent, has to stay in one partition. The id is written with
-    the rows first; a task that runs again then finds the same one. A caller who knows that
-    no rows tie, as ``key_profile`` tells, says so with ``ties``: there is one write less.
+    Rows that tie are ordered by a hash of their content, so that no value of ``order_by``, however
+    frequent, has to stay in one partition. Copies of one row tie in that as well; it does not
+    matter which of them gets which number. Rows whose copies would fill a quarter of a partition
+    are known from a count of the hashes; each of them is placed once, takes as many numbers as it
+    has copies, and becomes its copies again at the end. A caller who knows that no rows tie, as ``key_profile`` tells, says so
+    with ``ties``: the count is saved.
     """
     columns = list(map(quoted, df.columns))
-    if order_by and not ties:
+    copies = F.lit(1).cast("bigint").alias("_copies")
+    if not order_by:
+        placed = df.select("*", copies)
+    elif not ties:
         order = list(map(quoted, order_by))
-        df = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    elif order_by:
-        kept = write_through(df.withColumn("_id", F.monotonically_increasing_id()), "unordered")
-        order = [*map(quoted, order_by), "_hash", "_id"]
-        hashed = kept.withColumn("_hash", F.expr(f"xxhash64({', '.join(columns)})"))
-        df = hashed.repartitionByRange(*order).sortWithinPartitions(*order).select(*columns)
-    placed = write_through(df.withColumn("_place", F.monotonically_increasing_id()), "ordinals")
+        placed = df.repartitionByRange(*order).sortWithinPartitions(*order).select("*", copies)
+    else:
+        order = [*map(quoted, order_by), "_hash"]
+        hashed = df.withColumn("_hash", F.expr(f"xxhash64({', '.join(columns)})"))
+        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        most = max(1, df.count() // (4 * parts))
+        frequent = hashed.groupBy("_hash").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > most)
+        frequent = write_through(frequent.select("_hash"), "frequent")  # four a partition at most
+        rows = hashed.withColumn("_copies", copies)
+        if frequent.head(1):
+            many = hashed.join(F.broadcast(frequent), "_hash", "left_semi")
+            many = many.groupBy(*columns, "_hash").agg(F.count(F.lit(1)).alias("_copies"))
+            rows = rows.join(F.broadcast(frequent), "_hash", "left_anti").select(*columns, "_hash", "_copies").unionByName(many)
+        placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).select(*columns, "_copies")
+    placed = write_through(placed.withColumn("_place", F.monotonically_increasing_id()), "ordinals")
     part = F.shiftright("_place", 33)
     position = F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
-    # One row per written partition, so both the window and the broadcast are small.
-    per_part = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_rows"))
+    # One row per written partition, so both the window and the broadcast are small, as are the
+    # lists of rows of many copies in a partition.
+    repeated = F.when(F.col("_copies") > 1, F.struct(position.alias("at"), (F.col("_copies") - 1).alias("more")))
+    per_part = placed.groupBy(part.alias("_part")).agg(F.sum("_copies").alias("_rows"), F.collect_list(repeated).alias("_repeated"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_part.select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
-    return (
-        placed.withColumn("_part", part)
-        .join(F.broadcast(offsets), "_part")
-        .select(*columns, (F.col("_offset") + position + 1).alias(name))
-    )
+    offsets = per_part.select("_part", "_repeated", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
+    passed = "aggregate(filter(_repeated, r -> r.at < _position), 0L, (n, r) -> n + r.more)"
+    numbered = placed.withColumns({"_part": part, "_position": position}).join(F.broadcast(offsets), "_part")
+    numbered = numbered.select(*columns, "_copies", (F.col("_offset") + F.col("_position") + F.expr(passed) + 1).alias(name))
+    if not (order_by and ties):
+        return numbered.drop("_copies")
+    once = numbered.filter("_copies = 1").drop("_copies")
+    blocks = numbered.filter("_copies > 1").withColumn("_from", F.explode(F.expr(f"sequence(0L, _copies - 1, {COPIES_PER_BLOCK}L)")))
+    blocks = blocks.repartition(quoted(name), "_from")
+    last = F.least(F.col("_copies"), F.col("_from") + COPIES_PER_BLOCK) - 1
+    spread = blocks.withColumn("_at", F.explode(F.sequence("_from", last)))
+    return once.unionByName(spread.select(*columns, (F.col(quoted(name)) + F.col("_at")).alias(name)))
 
 
 def diff_positional(

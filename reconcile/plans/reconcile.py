@@ -33,6 +33,7 @@ from reconcile.operators.schema import compare_schema, schema_mismatches, schema
 from reconcile.operators.xml import with_valid_columns
 from reconcile.plans.reports import append_report
 from reconcile.session import temporary_scratch, write_through
+from reconcile.sources.tables import counting_session
 
 # Status words of the data report.
 MATCHED, NOT_MATCHED = "Matched", "Not-Matched"
@@ -113,6 +114,18 @@ def row_counts(pairs: Iterable[Pair]) -> DataFrame:
     return _counted(counts)
 
 
+def file_counts(spark: SparkSession, scope: Iterable[tuple[str, str, str]]) -> DataFrame:
+    """The ``row_counts`` of Parquet tables given as name, source path and target path.
+
+    The counts are those in the files' footers; no row is read.
+    """
+    session = counting_session(spark)
+    pairs = [
+        Pair(name, session.read.parquet(source), open_table(partial(session.read.parquet, target))) for name, source, target in scope
+    ]
+    return row_counts(pairs)
+
+
 def _counted(counts: DataFrame) -> DataFrame:
     """Record counts with what they say; a count of NULL is that of a table that is not there."""
     source, target = F.col("source_record_count"), F.col("target_record_count")

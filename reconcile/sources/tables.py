@@ -28,6 +28,18 @@ def read_path(spark: SparkSession, path: str, fmt: str = "parquet", **options: s
     return spark.read.format(fmt).options(**options).load(path)
 
 
+def counting_session(spark: SparkSession) -> SparkSession:
+    """A session beside ``spark`` in which a count of a Parquet table is read from its footers.
+
+    What is read there goes through the reader that takes aggregates over; a count opens no column.
+    Files with deleted or filtered rows are counted as any reader does.
+    """
+    session = spark.newSession()
+    session.conf.set("spark.sql.sources.useV1SourceList", "")
+    session.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    return session
+
+
 def jdbc_options(
     url: str,
     table: str,

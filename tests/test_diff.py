@@ -327,3 +327,25 @@ def test_hot_key(spark):
     assert rows_of(diff.diff_cells(source, target, ["k"])) == [(500, "a", "r500", "new")]
     gone = source.filter("a <> 'copy'")
     assert rows_of(diff.diff_keys(diff.surplus_rows(source, gone), ["k"])) == [(-1, "missing_in_target", 10_000, 0)]
+
+
+def test_ordinals_of_rows_in_very_many_copies(spark, monkeypatch):
+    monkeypatch.setattr(diff, "COPIES_PER_BLOCK", 50)
+    rows = spark.range(4000).selectExpr("CASE WHEN id < 1500 THEN 3 WHEN id < 2600 THEN 9 ELSE id % 13 END AS k", "CASE WHEN id < 2600 THEN 'x' ELSE concat('v', id % 90) END AS v")
+    numbered = diff.with_ordinals(rows, ["k"], "n")
+    assert numbered.columns == ["k", "v", "n"]
+    found = [tuple(r) for r in numbered.orderBy("n").collect()]
+    assert [n for _, _, n in found] == list(range(1, 4001))
+    assert [k for k, _, _ in found] == sorted(k for k, _, _ in found)
+    assert sorted((k, v) for k, v, _ in found) == sorted(tuple(r) for r in rows.collect())
+
+
+def test_counts_are_read_from_footers(spark, tmp_path):
+    from reconcile.plans import reconcile
+
+    path = str(tmp_path / "t")
+    spark.range(1000).write.parquet(path)
+    counts = reconcile.file_counts(spark, [("t", path, path), ("u", path, str(tmp_path / "gone"))])
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("PushedAggregation: [COUNT(*)]") == 3 and "ReadSchema: struct<count(*):bigint>" in plan
+    assert sorted(tuple(r)[:3] for r in counts.collect()) == [("t", 1000, 1000), ("u", 1000, 0)]

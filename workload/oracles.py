@@ -528,6 +528,15 @@ ORACLES: dict[str, str] = {
     "limited_extract": """SELECT least(10, count(*)) AS "rows", 'limited' AS part FROM orders WHERE o_orderkey % 2 = 0
         UNION ALL SELECT count(*), 'whole' FROM orders WHERE o_orderkey % 2 = 0""",
     "case_tables": f"""SELECT source_table_name, test_case, status FROM ({_TESTS}) WHERE source_table_name IN ('customer', 'documents')""",
+    "file_counts": """
+        SELECT 'orders' AS table_name, (SELECT count(*) FROM orders) AS source_record_count, (SELECT count(*) FROM orders) AS target_record_count,
+               'Matched' AS result_status
+        UNION ALL SELECT 'customer', (SELECT count(*) FROM customer), (SELECT count(*) FROM supplier), 'Not-Matched'
+        UNION ALL SELECT 'part', (SELECT count(*) FROM part), 0, 'Table does not exist in snowflake'
+        UNION ALL SELECT 'events', (SELECT count(*) FROM events), (SELECT count(*) FROM events), 'Matched'""",
+    "ordinals_with_ties": """
+        SELECT l_returnflag, l_linestatus, l_quantity, min(n) AS first_row, max(n) AS last_row, count(DISTINCT n) AS numbers
+        FROM (SELECT *, row_number() OVER (ORDER BY l_returnflag, l_linestatus, l_quantity) AS n FROM lineitem) GROUP BY ALL""",
     "failed_readback": f"""SELECT 'orders' AS table_name, 'PARTIALLY_LOADED' AS status, count(*) AS "rows" FROM ({_GOOD})
         UNION ALL SELECT 'nothing', 'LOAD_FAILED', NULL UNION ALL SELECT 'supplier', 'LOADED', count(*) FROM supplier""",
 }

@@ -122,6 +122,21 @@ def row_counts(spark, sf_dir):
     )
 
 
+def file_counts(spark, sf_dir):
+    """Record counts from the footers of files."""
+    scope = [("orders", "orders", "orders"), ("customer", "customer", "supplier"), ("part", "part", "no_such_table"), ("events", "events", "events")]
+    return reconcile.file_counts(spark, [(name, f"{sf_dir}/{a}.parquet", f"{sf_dir}/{b}.parquet") for name, a, b in scope])
+
+
+def ordinals_with_ties(spark, sf_dir):
+    """Rows numbered in an order in which most of them tie: where each group of equal rows begins and ends."""
+    rows = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", "l_quantity")
+    numbered = diff.with_ordinals(rows, ["l_returnflag", "l_linestatus", "l_quantity"])
+    return numbered.groupBy("l_returnflag", "l_linestatus", "l_quantity").agg(
+        F.min("row_number").alias("first_row"), F.max("row_number").alias("last_row"), F.count_distinct("row_number").alias("numbers")
+    )
+
+
 def reconcile_report(spark, sf_dir):
     return reconcile.reconcile(
         [
@@ -574,6 +589,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         extract_filtered, convert_rows, load_good, load_rejects, load_result, staged_load, xml_validity, xml_totals,
         keyword_scan, keyword_verdict, test_case_results, audit_latest, history_apply, escaped_load, escaped_rejects,
         load_xml, load_xml_rejects, xml_cell_diff, history_rebuild, object_keywords, object_verdict, key_ranges, catalog_scan,
-        scope_keys_report, limited_extract, case_tables, failed_readback, load_files,
+        scope_keys_report, limited_extract, case_tables, failed_readback, load_files, file_counts,
+        ordinals_with_ties,
     )
 }
