@@ -1,7 +1,8 @@
 """Token ids of whole texts, and their files: Simple-8b words in Parquet rows.
 
 The tokenizer splits at white space and drops it, so a text's ids are those of its words one
-after another. Each task asks the library for the words that it has not met and joins the ids.
+after another. Each task asks the library for the words that it has not met, and copies the ids of
+the others.
 """
 
 from __future__ import annotations
@@ -24,38 +25,36 @@ END_ID = 2
 
 # Words of a generation that a worker remembers, and the longest of them. A word that does not
 # come in a whole generation is forgotten, so memory is bounded and frequent words stay known.
-_KNOWN_WORDS = 200_000
+_KNOWN_WORDS = 400_000
 _LONGEST_KNOWN = 48
 
 # Between an ASCII letter and one of these marks the tokenizer always cuts. The apostrophe is
 # not among them, as it may begin a contraction.
-_LETTER, _MARK = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER, _MARK, _SPACE = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
 _LETTER[list(b"abcdefghijklmnopqrstuvwxyz")] = True
 _MARK[list(b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")] = True
+_SPACE[[32, *range(9, 14)]] = True
 
 
-class _Known(dict):
-    """Ids by word, of two generations. A word that is in neither is coded by the library."""
+class _Known:
+    """Ids of words, end to end in one array, and where those of each word begin."""
 
-    def __init__(self, tokenizer: Tokenizer):
-        super().__init__()
-        self.code = tokenizer.encode
-        self.older: dict[bytes, bytes] = {}
+    def __init__(self) -> None:
+        self.place: dict[bytes, int] = {}
+        self.ids = array("I")
+        self.begins = array("q", [0])
 
-    def __missing__(self, word: bytes) -> bytes:
-        ids = self.older.get(word)
-        if ids is None:
-            ids = array("I", self.code(word.decode(), add_special_tokens=False).ids).tobytes()
-            if len(word) > _LONGEST_KNOWN:
-                return ids
-        self[word] = ids
-        return ids
+    def add(self, word: bytes, ids: array) -> int:
+        at = len(self.begins) - 1
+        self.ids.extend(ids)
+        self.begins.append(len(self.ids))
+        if len(word) <= _LONGEST_KNOWN:
+            self.place[word] = at
+        return at
 
-    def forget(self) -> None:
-        """Begin a new generation if this one is full."""
-        if len(self) > _KNOWN_WORDS:
-            self.older = dict(self)
-            self.clear()
+    def of(self, word: bytes) -> array | None:
+        at = self.place.get(word)
+        return None if at is None else self.ids[self.begins[at] : self.begins[at + 1]]
 
 
 class WordIds:
@@ -67,36 +66,69 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.known = _Known(self.tokenizer)
+        self.known, self.older = _Known(), _Known()
 
     def of(self, texts: list[str | None], end_id: int = END_ID) -> list[bytes]:
-        """The ids of each text and one end id; a null text is an empty one."""
+        """The ids of each text and one end id; a null text is an empty one.
+
+        The distinct words of all texts are looked up once, and their ids copied to every place.
+        """
+        codes, words, first = _words([(text or "").encode() for text in texts])
+        if len(self.known.place) > _KNOWN_WORDS:
+            self.known, self.older = _Known(), self.known
+        place = np.fromiter(map(self._place, words), np.int64, len(words))
+        begins = np.frombuffer(self.known.begins, np.int64)
+        begin, size = begins[place][codes], (begins[place + 1] - begins[place])[codes]
+        stops = np.concatenate([[0], np.cumsum(size)])
+        at = np.repeat(begin - stops[:-1], size) + np.arange(stops[-1])
+        ids = np.frombuffer(self.known.ids, "<u4")[at] if len(at) else np.zeros(0, "<u4")
+        del begins  # the arrays grow again
         end = np.array([end_id], "<u4").tobytes()
-        ids = []
-        for words in _words([(text or "").encode() for text in texts]):
-            ids.append(b"".join(map(self.known.__getitem__, words)) + end)
-            self.known.forget()
-        return ids
-
-
-def _words(texts: list[bytes]) -> list[list[bytes]]:
-    """Parts of each text that the tokenizer codes one by one, in fewer spellings than the text's.
-
-    White space is cut away. As the tokenizer lower-cases and cuts before marks, so does this
-    for ASCII. Texts in which that could change what the tokenizer sees, by a special token or a
-    combining mark after a letter, are cut at white space only.
+        bounds = stops[first].tolist()
+        return [ids[a:b].tobytes() + end for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+    def _place(self, word: bytes) -> int:
+        at = self.known.place.get(word)
+        if at is None:
+            ids = self.older.of(word)
+            if ids is None:
+                ids = array("I", self.tokenizer.encode(word.decode(), add_special_tokens=False).ids)
+            at = self.known.add(word, ids)
+        return at
+
+
+def _words(texts: list[bytes]) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """Codes of the words of all texts, the distinct words, and each text's first word.
+
+    Words are parts that the tokenizer codes one by one, in fewer spellings than the text's. White
+    space is cut away. As the tokenizer lower-cases and cuts before marks, so does this for ASCII.
+    Texts in which that could change what the tokenizer sees, by a special token or a combining
+    mark after a letter, are cut at white space only.
     """
     as_is = [b"<|" in t or b"\xcc" in t or b"\xcd" in t for t in texts]
-    low = [b"" if keep else t.lower() for t, keep in zip(texts, as_is, strict=True)]
+    low = [t if keep else t.lower() for t, keep in zip(texts, as_is, strict=True)]
     data = np.frombuffer(b"".join(low), np.uint8)
-    offsets = np.concatenate([[0], np.cumsum([len(t) for t in low])])
-    cuts = np.flatnonzero(_LETTER[data[:-1]] & _MARK[data[1:]]) + 1
-    cut = np.insert(data, cuts, 32).tobytes()
-    offsets = (offsets + np.searchsorted(cuts, offsets)).tolist()
-    return [
-        text.split() if keep else cut[a:b].split()
-        for text, keep, a, b in zip(texts, as_is, offsets[:-1], offsets[1:], strict=True)
-    ]
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in low])]).astype(np.int64)
+    if not len(data):
+        return np.zeros(0, np.int64), [], np.zeros(len(texts) + 1, np.int64)
+    is_word = ~_SPACE[data]
+    cut = np.zeros(len(data), bool)
+    cut[1:] = _LETTER[data[:-1]] & _MARK[data[1:]]
+    for i in np.flatnonzero(as_is):
+        cut[offsets[i] : offsets[i + 1]] = False
+    cut[1:] |= ~is_word[:-1]
+    cut[offsets[:-1][offsets[:-1] < len(data)]] = True
+    begin = is_word & cut
+    last = np.zeros(len(data), bool)
+    last[:-1] = is_word[:-1] & (~is_word[1:] | begin[1:])
+    last[-1] = is_word[-1]
+    starts, stops = np.flatnonzero(begin), np.flatnonzero(last) + 1
+    if not len(starts):
+        return np.zeros(0, np.int64), [], np.zeros(len(texts) + 1, np.int64)
+    ends = np.concatenate([[0], np.cumsum(stops - starts)]).astype(np.int64)
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(data[is_word])])
+    coded = words.dictionary_encode()
+    return coded.indices.to_numpy(), coded.dictionary.to_pylist(), np.searchsorted(starts, offsets)
 
 
 def word_ids(path: str) -> WordIds:
