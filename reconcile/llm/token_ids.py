@@ -25,9 +25,13 @@ END_ID = 2
 
 # Words of a generation that a worker remembers, and the longest of them. A word that does not
 # come in a whole generation is forgotten, so memory is bounded and frequent words stay known.
-_KNOWN_WORDS = 400_000
+_KNOWN_WORDS = 250_000
 _LONGEST_KNOWN = 48
 
+# Unknown words that the library codes in one call, and the end of a word's last token.
+_CODED_TOGETHER = 500
+_WORD_END = "</w>"
+
 # Between an ASCII letter and one of these marks the tokenizer always cuts. The apostrophe is
 # not among them, as it may begin a contraction.
 _LETTER, _MARK, _SPACE = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
@@ -66,6 +70,9 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith(_WORD_END)]] = True
         self.known, self.older = _Known(), _Known()
 
     def of(self, texts: list[str | None], end_id: int = END_ID) -> list[bytes]:
@@ -76,25 +83,54 @@ class WordIds:
         codes, words, first = _words([(text or "").encode() for text in texts])
         if len(self.known.place) > _KNOWN_WORDS:
             self.known, self.older = _Known(), self.known
-        place = np.fromiter(map(self._place, words), np.int64, len(words))
+        place = self._places(words)
         begins = np.frombuffer(self.known.begins, np.int64)
-        begin, size = begins[place][codes], (begins[place + 1] - begins[place])[codes]
-        stops = np.concatenate([[0], np.cumsum(size)])
-        at = np.repeat(begin - stops[:-1], size) + np.arange(stops[-1])
+        size = (begins[place + 1] - begins[place]).astype(np.int32)[codes]
+        stops = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+        # Where each id is found: the places of a word's ids, one behind another.
+        shift = begins[place][codes] - stops[:-1]
+        at = np.repeat(shift.astype(np.int32), size)
+        at += np.arange(len(at), dtype=np.int32)
         ids = np.frombuffer(self.known.ids, "<u4")[at] if len(at) else np.zeros(0, "<u4")
         del begins  # the arrays grow again
         end = np.array([end_id], "<u4").tobytes()
         bounds = stops[first].tolist()
         return [ids[a:b].tobytes() + end for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
-    def _place(self, word: bytes) -> int:
-        at = self.known.place.get(word)
-        if at is None:
-            ids = self.older.of(word)
-            if ids is None:
-                ids = array("I", self.tokenizer.encode(word.decode(), add_special_tokens=False).ids)
-            at = self.known.add(word, ids)
-        return at
+    def _places(self, words: list[bytes]) -> np.ndarray:
+        """Where the ids of each word begin in ``known``, to which those that it lacks are added."""
+        found = list(map(self.known.place.get, words))
+        unknown = []
+        for i, at in enumerate(found):
+            if at is None:
+                ids = self.older.of(words[i])
+                if ids is None:
+                    unknown.append(i)
+                else:
+                    found[i] = self.known.add(words[i], ids)
+        for i, ids in zip(unknown, self._coded([words[i].decode() for i in unknown]), strict=True):
+            found[i] = self.known.add(words[i], ids)
+        return np.array(found, np.int64)
+
+    def _coded(self, words: list[str]) -> list[array]:
+        """The library's ids of each word. Those of letters alone are coded many at a time.
+
+        Such a word is one part to the tokenizer, and the last id of a part is told by its token.
+        """
+        whole = [w.lower().isalpha() for w in words]
+        coded: list[array | None] = [None] * len(words)
+        letters = [i for i, alone in enumerate(whole) if alone]
+        for a in range(0, len(letters), _CODED_TOGETHER):
+            own = letters[a : a + _CODED_TOGETHER]
+            ids = np.array(self._encode(" ".join([words[i] for i in own])), np.uint32)
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) == len(own) and stops[-1] == len(ids):
+                for i, begin, stop in zip(own, [0, *stops[:-1].tolist()], stops.tolist(), strict=True):
+                    coded[i] = array("I", ids[begin:stop].tobytes())
+        return [array("I", self._encode(word)) if ids is None else ids for word, ids in zip(words, coded, strict=True)]
+
+    def _encode(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
 
 def _words(texts: list[bytes]) -> tuple[np.ndarray, list[bytes], np.ndarray]:
@@ -284,7 +320,7 @@ def write_ids(
         ids = word_ids(tokenizer)
         names, blobs, shard, row, held, before = [], [], 0, 0, 0, 0
         for batch in batches:
-            for part in text_slices(batch, "text", 1 << 20):
+            for part in text_slices(batch, "text", 1 << 22):
                 shard = part.column("shard")[0].as_py()
                 names += part.column("doc_id").to_pylist()
                 new = ids.of(part.column("text").to_pylist())
