@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reconcile.llm.batches import written
@@ -31,15 +31,17 @@ PERCENT = 75
 
 SAMPLE = 40
 
-# A shingle of more sets than this is common. A set with no more than two fifths of its sample
-# common is found by the rest: 24 that all miss have a chance below 1e-9 at the threshold.
+# A shingle of more sets than this is common. A set with no more than a fifth of its sample common
+# is found by the rest. At worst the common ones are just those that it shares with another set, and
+# a quarter of all are its own; that 32 or more of 40 are among those has a chance below 1e-12.
 COMMON = BLOCK
-_COMMON_SHARE = 0.4
+_COMMON_SHARE = 0.2
 
 # Bits of the bitmaps of sets up to so many shingles, four times as many for four times the size.
 _BITS, _BITS_FOR = 1024, 1024
 
 _SEED = np.uint64(0x2545F4914F6CDD1D)
+_CHECK = np.uint64(0xD6E8FEB86659FD93)
 _STEP = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 
@@ -65,9 +67,9 @@ def shingle_sets(column: pa.Array, words: int = WORDS) -> list[np.ndarray]:
     return sets
 
 
-def set_key(shingles: np.ndarray) -> int:
+def set_key(shingles: np.ndarray, seed: np.uint64 = _SEED) -> int:
     """A hash of a whole set, alike for equal sets, as a signed integer."""
-    total = mixed(shingles ^ _SEED).sum(dtype=np.uint64) + np.uint64(len(shingles))
+    total = mixed(shingles ^ seed).sum(dtype=np.uint64) + np.uint64(len(shingles))
     return int(mixed(np.array([total]))[0].astype(np.int64))
 
 
@@ -100,11 +102,13 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 part.column("doc_id"),
                 part.column("row_key"),
                 pa.array([len(s) for s in sets], pa.int64()),
+                part.column("row_check"),
                 pa.array([set_key(s) if len(s) else None for s in sets], pa.int64()),
+                pa.array([set_key(s, _CHECK) if len(s) else None for s in sets], pa.int64()),
                 pa.array([s[:SAMPLE].astype(np.int64) for s in sets], pa.list_(pa.int64())),
                 pa.array([bitmap(s).tobytes() if len(s) else None for s in sets], pa.binary()),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row_key", "n", "node", "sample", "bits"])
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row_key", "n", "row_check", "node", "set_check", "sample", "bits"])
 
 
 def cluster(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -122,23 +126,40 @@ def cluster(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
 
 
 def _parts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """``doc_id, n_shingles, row_key, part`` of each row; rows of one component share a part."""
+    """``doc_id, n_shingles, row_key, row_check, part`` of each row; rows of one component share a part."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    rows = rows.withColumn("row_key", F.xxhash64("doc_id", "text"))
+    key, check = _row_hashes("doc_id", "text")
+    rows = rows.withColumns({"row_key": key, "row_check": check})
     sketches = rows.mapInArrow(
-        _sketch, "doc_id long, row_key long, n long, node long, sample array<long>, bits binary"
+        _sketch,
+        "doc_id long, row_key long, n long, row_check long, node long, set_check long, sample array<long>, bits binary",
     )
-    sketches = written(sketches, "sketches")
+    sketches = _told_apart(written(sketches, "sketches"))
     # Whichever row of a node is taken, its set is the same.
-    heads = sketches.dropna(subset=["node"]).groupBy("node").agg(F.min("doc_id").alias("head"))
+    heads = sketches.dropna(subset=["node"]).groupBy("node").agg(F.min("row_key").alias("row_key"))
     nodes = sketches.dropna(subset=["node"]).dropDuplicates(["node"]).select("node", "n", "sample", "bits")
     nodes = write_through(nodes, "nodes")
     candidates = components(write_through(_candidates(nodes), "candidates"))
-    links = components(written(_verified(rows.drop("row_key"), heads, candidates), "links"))
-    parts = sketches.select("doc_id", F.col("n").alias("n_shingles"), "row_key", "node").join(links, "node", "left")
+    links = components(written(_verified(rows.select("row_key", "text"), heads, candidates), "links"))
+    parts = sketches.select("doc_id", F.col("n").alias("n_shingles"), "row_key", "row_check", "node").join(links, "node", "left")
     return parts.withColumn("part", F.coalesce("component", "node"))
 
 
+def _row_hashes(doc_id: str, text: str) -> tuple[Column, Column]:
+    """Two hashes of a row's id and text, with different seeds, that together tell rows apart."""
+    value = [F.col(doc_id).cast("long"), F.col(text).cast("string")]
+    return F.xxhash64(*value), F.xxhash64(F.lit("check"), *value)
+
+
+def _told_apart(sketches: DataFrame) -> DataFrame:
+    """Sets whose first hash is that of another set too go by their second one."""
+    same = sketches.groupBy("node").agg(F.min("set_check").alias("own"), F.max("set_check").alias("last"))
+    same = same.filter("own <> last").drop("last")
+    rows = sketches.join(same, "node", "left")
+    other = F.col("own").isNotNull() & (F.col("own") != F.col("set_check"))
+    return rows.withColumn("node", F.when(other, F.col("set_check")).otherwise(F.col("node"))).drop("own", "set_check")
+
+
 def _candidates(nodes: DataFrame) -> DataFrame:
     """Edges between nodes that the bitmaps of a common tile do not tell apart."""
     tokens = nodes.select("node", F.explode("sample").alias("token"))
@@ -161,8 +182,9 @@ def _candidates(nodes: DataFrame) -> DataFrame:
 
 def _verified(docs: DataFrame, heads: DataFrame, candidates: DataFrame) -> DataFrame:
     """Edges between nodes of one candidate component whose shingle arrays overlap enough."""
-    rows = candidates.join(heads, "node").select("node", "component", F.col("head").alias("head_id"))
-    texts = docs.join(rows, F.col("doc_id").eqNullSafe(F.col("head_id"))).select("node", "component", "text")
+    rows = candidates.join(heads, "node").select("node", "component", "row_key")
+    # Rows that are repeated as a whole have one hash: one of them is enough.
+    texts = docs.join(rows, "row_key").select("node", "component", "text").dropDuplicates(["node"])
     tiles = with_tiles(texts.withColumn("n", F.length("text").cast("long")), ["component"], F.xxhash64("node"))
     return _compared(tiles, "component", _exact_edges, "text string")
 
@@ -235,8 +257,8 @@ def _exact_edges(tile: pa.Table) -> pa.RecordBatch:
     for batch in tile.select(["text"]).combine_chunks().to_batches():
         for part in text_slices(batch, "text"):
             sets += shingle_sets(part.column("text"))
-    # A head's id may belong to other texts as well: only the text of the node's own set counts.
-    own = np.array([i for i, s in enumerate(sets) if len(s) and set_key(s) == node[i]], np.int64)
+    # Should two rows share a hash, only the text of the node's own set counts.
+    own = np.array([i for i, s in enumerate(sets) if len(s) and node[i] in (set_key(s), set_key(s, _CHECK))], np.int64)
     sizes = np.array([len(sets[i]) for i in own], np.int64)
     t = _Tile(tile, own, sizes, [bitmap(sets[i]) for i in own])
     arrays = [sets[own[i]] for i in t.order]
@@ -257,15 +279,16 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     comes after all others. Of rows of equal id, and of repeated ones, an arbitrary but fixed
     text's row stays.
     """
-    key, bare = _free_name(docs, "row_key"), _free_name(docs, "row_without_shingles")
+    key, check, bare = (_free_name(docs, n) for n in ("row_key", "row_check", "row_without_shingles"))
     parts = _parts(docs, doc_id, text)
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key"))["row_key"]
-    heads = parts.filter("n_shingles > 0").groupBy("part").agg(first.alias(key)).select(key, F.lit(False).alias(bare))
-    empty = parts.filter("n_shingles = 0").select(F.col("row_key").alias(key), F.lit(True).alias(bare)).distinct()
-    own = F.xxhash64(F.col(doc_id).cast("long"), F.col(text).cast("string"))
-    kept = docs.withColumn(key, own).join(heads.union(empty), key)
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key", "row_check"))
+    heads = parts.filter("n_shingles > 0").groupBy("part").agg(first.alias("row"))
+    heads = heads.select(F.col("row.row_key").alias(key), F.col("row.row_check").alias(check), F.lit(False).alias(bare))
+    empty = parts.filter("n_shingles = 0").select(F.col("row_key").alias(key), F.col("row_check").alias(check)).distinct()
+    of_key, of_check = _row_hashes(doc_id, text)
+    kept = docs.withColumns({key: of_key, check: of_check}).join(heads.union(empty.withColumn(bare, F.lit(True))), [key, check])
     # Partitioned by the key already: keeping one row of a key costs no further shuffle.
-    single = kept.filter(~F.col(bare)).dropDuplicates([key])
+    single = kept.filter(~F.col(bare)).dropDuplicates([key, check])
     return single.unionByName(kept.filter(F.col(bare))).select(*docs.columns)
 
 

@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from reconcile.llm import graph, jaccard
 from reconcile.llm.queries import op3_jaccard
@@ -119,3 +120,31 @@ def test_components_of_long_chains(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 101), (101, 100), (200, 200)]
     got = {r["node"]: r["component"] for r in as_dicts(graph.components(spark.createDataFrame(edges, "a long, b long")))}
     assert got == {i: 0 for i in range(61)} | {100: 100, 101: 100}
+
+
+@pytest.mark.parametrize("doc_id", ["7L", "cast(NULL AS long)", "id"])
+def test_many_near_copies_under_one_id(spark, doc_id):
+    words = " ".join(f"w{i}" for i in range(120))
+    docs = spark.range(2000).selectExpr(f"{doc_id} AS doc_id", f"concat('{words} tail', id) AS text")
+    # Also rows that are repeated as a whole.
+    docs = docs.union(docs.filter("text LIKE '%tail5'").withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(500)))).drop("n"))
+    rows = jaccard.cluster(docs)
+    assert rows.count() == 2500
+    assert rows.select("component_id").distinct().count() == 1
+    assert jaccard.one_of_each(docs).count() == 1
+
+
+def test_a_text_quoted_by_very_many_others(spark):
+    """Its shingles are common, and all that a longer text shares with it; so is the one link of each."""
+    quoted = " ".join(f"q{i}" for i in range(304))
+    rows = [(0, quoted)] + [(i, quoted + " " + " ".join(f"u{i}x{j}" for j in range(96))) for i in range(1, 1500)]
+    found = jaccard.cluster(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["component_id"] for r in found} == {0}
+
+
+def test_sets_that_share_a_hash_are_told_apart(spark, monkeypatch):
+    sketch = spark.createDataFrame(
+        [(1, 5, 10), (2, 5, 10), (3, 5, 11), (4, 6, 12), (5, None, None)], "doc_id long, node long, set_check long"
+    )
+    found = sorted((r["doc_id"], r["node"]) for r in jaccard._told_apart(sketch).collect())
+    assert found == [(1, 5), (2, 5), (3, 11), (4, 6), (5, None)]
