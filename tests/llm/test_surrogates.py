@@ -24,7 +24,7 @@ def _kinds(text):
         ("+1 (017) 555-7713 and 017-555-7713", [("phone", "+1 (017) 555-7713"), ("phone", "017-555-7713")]),
         ("from 97.51.17.173 to", [("ip", "97.51.17.173")]),
         ("version 2.0.1 of 999.1.1.1 or 1.2.3.4.5", []),
-        ("9807915762804490 and 4111 1111 1111 1111", [("card", "9807915762804490"), ("card", "4111 1111 1111 1111")]),
+        ("9807915762804490, 7536784127813050, 4111 1111 1111 1112 and 4111 1111 1111 1111", [("card", "4111 1111 1111 1111")]),
         ('TOKEN = "9233A8ECF7C5B09FE5949719B6B82BC439E9329B"', [("secret", "9233A8ECF7C5B09FE5949719B6B82BC439E9329B")]),
         ("ssn 123-45-6789", [("ssn", "123-45-6789")]),
         ("DE89 3704 0044 0532 0130 00", [("iban", "DE89 3704 0044 0532 0130 00")]),
