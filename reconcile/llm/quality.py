@@ -5,24 +5,31 @@ size. Both begin with the labelled documents. In each round, each labels the unl
 is most sure of, and these join the other's training rows. In the end both are calibrated on
 labelled documents that neither was trained on, and a combination of the calibrated views, fitted
 there as well, scores every document.
+
+The unlabelled documents are all of them, and stay in Spark. A round is a few passes over their
+features: one counts how sure each view is of how many, which gives the margins from which on
+they are labelled; the others sum up, at the weights so far, the gradient and the curvature of those
+that a view was given. Which rows these are follows from the models and margins of the rounds
+before, so nothing is kept for a row. What the driver gets is as large for any corpus.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reconcile.llm.batches import small_batches
+from reconcile.llm.batches import written
 from reconcile.llm.bytes_of import _LOWER, text_bytes, text_slices, word_bounds, word_hashes
+from reconcile.session import write_through
 
-# The labelled and unlabelled documents that training may take, chosen by a hash of their ids.
+# The labelled documents that training may take, chosen by a hash of their features.
 MOST_LABELLED = 20_000
-MOST_POOL = 20_000
 
 ROUNDS = 5
 
@@ -30,6 +37,12 @@ ROUNDS = 5
 ROUND_SHARE = 0.05
 SURE = 0.95
 
+# Steps of a round towards the best weights, each with a pass over the pool.
+STEPS = 2
+
+# How sure a view is, as its margin beyond that of SURE, in steps; the last one is open.
+_SURE_MARGIN, _STEP, _STEPS = float(np.log(SURE / (1 - SURE))), 0.01, 4_000
+
 # One labelled document in so many is kept for calibration.
 CALIBRATION = 5
 
@@ -129,18 +142,36 @@ class Logistic:
         return z @ self.weights[1:] + self.weights[0]
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0) -> Logistic:
-    """Logistic regression by Newton's method."""
+@dataclass(frozen=True)
+class Curved:
+    """What further rows add to a fit: their gradient at the weights of a model, and a curvature."""
+
+    at: np.ndarray
+    gradient: np.ndarray
+    curvature: np.ndarray
+
+
+def _standard(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    return np.column_stack([np.ones(len(x)), np.clip((x - mean) / scale, -8, 8)])
+
+
+def fit_logistic(
+    x: np.ndarray, y: np.ndarray, penalty: float = 1.0, like: Logistic | None = None, more: Curved | None = None
+) -> Logistic:
+    """Logistic regression by Newton's method; ``like`` gives the standardisation, ``more`` further rows."""
     x = x.astype(np.float64)
-    mean, scale = x.mean(0), x.std(0)
+    mean, scale = (x.mean(0), x.std(0)) if like is None else (like.mean, like.scale)
     scale = np.where(scale > 1e-9, scale, 1.0)
-    z = np.column_stack([np.ones(len(x)), np.clip((x - mean) / scale, -8, 8)])
+    z = _standard(x, mean, scale)
     ridge = np.full(z.shape[1], penalty)
     ridge[0] = 1e-6
-    w = np.zeros(z.shape[1])
+    w = np.zeros(z.shape[1]) if more is None else more.at
     for _ in range(25):
         p = _chance(z @ w)
-        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(ridge), z.T @ (y - p) - ridge * w)
+        slope, curve = z.T @ (y - p) - ridge * w, (z * (p * (1 - p))[:, None]).T @ z + np.diag(ridge)
+        if more is not None:
+            slope, curve = slope + more.gradient - more.curvature @ (w - more.at), curve + more.curvature
+        step = np.linalg.solve(curve, slope)
         w = w + np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-6:
             break
@@ -153,13 +184,19 @@ def _chance(margin: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Model:
-    """Both views, the calibration of each, their combination, and the rejection threshold."""
+    """Both views, the calibration of each, their combination, and the rejection threshold.
+
+    ``lost`` and ``kept`` are the shares of the good calibration documents that the threshold
+    rejects, and of the bad ones that it does not.
+    """
 
     text: Logistic
     record: Logistic
     calibration: tuple[Logistic, Logistic]
     combined: Logistic
     threshold: float
+    lost: float = 0.0
+    kept: float = 1.0
 
     def score(self, text: np.ndarray, record: np.ndarray) -> np.ndarray:
         return _chance(self.combined.margin(self.calibrated(text, record)))
@@ -170,42 +207,119 @@ class Model:
         return np.clip(np.column_stack(views), -12, 12)
 
 
+@dataclass(frozen=True)
+class Round:
+    """The models of a round, and the step of sureness from which on each labels, good and bad."""
+
+    models: tuple[Logistic, Logistic]
+    steps: tuple[tuple[int, int], tuple[int, int]]
+
+
+Views = tuple[np.ndarray, np.ndarray]
+
+
+def _step_of(margin: np.ndarray) -> np.ndarray:
+    """The step of sureness of a margin; below 0 for one that is not sure."""
+    return np.minimum(np.floor((margin - _SURE_MARGIN) / _STEP), _STEPS - 1).astype(np.int64)
+
+
+def _given(rounds: list[Round], views: Views) -> list[np.ndarray]:
+    """The label that each view was given for each row by the other one, NaN where it was given none."""
+    labels = [np.full(len(views[0]), np.nan) for _ in views]
+    for r in rounds:
+        for teacher in (0, 1):
+            label, margin = labels[1 - teacher], r.models[teacher].margin(views[teacher])
+            free = np.isnan(label)
+            for value, sure, step in ((1.0, margin, r.steps[teacher][0]), (0.0, -margin, r.steps[teacher][1])):
+                label[free & (_step_of(sure) >= step)] = value
+    return labels
+
+
+def _sureness(rounds: list[Round], models: tuple[Logistic, Logistic], views: Views) -> np.ndarray:
+    """Rows by teacher, label and step of sureness that the other view was not given yet; then all rows."""
+    counts = np.zeros(4 * _STEPS + 1)
+    given = _given(rounds, views)
+    for teacher in (0, 1):
+        margin = models[teacher].margin(views[teacher])
+        for i, sure in enumerate((margin, -margin)):
+            step = _step_of(sure)[np.isnan(given[1 - teacher])]
+            counts[(2 * teacher + i) * _STEPS :][:_STEPS] += np.bincount(step[step >= 0], minlength=_STEPS)
+    counts[-1] = len(views[0])
+    return counts
+
+
+def _added(rounds: list[Round], models: tuple[Logistic, Logistic], views: Views) -> np.ndarray:
+    """Gradient, at ``models``, and curvature of the rows that each view was given, end to end.
+
+    The curvature is the largest that a logistic loss has anywhere, so that a step under it never
+    goes too far, as it would where a row is labelled against what its view was sure of.
+    """
+    found = []
+    for view, label in enumerate(_given(rounds, views)):
+        model, rows = models[view], ~np.isnan(label)
+        z = _standard(views[view][rows].astype(np.float64), model.mean, model.scale)
+        found += [z.T @ (label[rows] - _chance(z @ model.weights)), (z.T @ z / 4).ravel()]
+    return np.concatenate(found)
+
+
+def _first_steps(counts: np.ndarray, share: float) -> tuple[tuple[int, int], tuple[int, int]]:
+    """From which step on each teacher labels: as many rows as the share of the pool, or the surest step."""
+    steps = []
+    for teacher in (0, 1):
+        for i, part in enumerate((share, 1 - share)):
+            surest = np.cumsum(counts[(2 * teacher + i) * _STEPS :][:_STEPS][::-1])
+            most = np.ceil(ROUND_SHARE * counts[-1] * part)
+            first = _STEPS - int(np.searchsorted(surest, most, "right"))
+            if first == _STEPS and surest[-1]:
+                first = _STEPS - 1 - int(np.flatnonzero(surest)[0])
+            steps.append(first)
+    return (steps[0], steps[1]), (steps[2], steps[3])
+
+
+# Sums a function of the views over all rows of the pool.
+Pool = Callable[[Callable[[Views], np.ndarray]], np.ndarray]
+
+
 def co_train(
     text: np.ndarray, record: np.ndarray, y: np.ndarray, pool_text: np.ndarray, pool_record: np.ndarray,
     calibrates: np.ndarray, rounds: int = ROUNDS,
 ) -> Model:
-    """Train on rows whose ``calibrates`` is false, with the pool; calibrate on the others."""
-    views, pools = (text[~calibrates], record[~calibrates]), (pool_text, pool_record)
+    """``train`` with a pool of arrays."""
+    return train(text, record, y, lambda of: of((pool_text, pool_record)), calibrates, rounds)
+
+
+def train(text: np.ndarray, record: np.ndarray, y: np.ndarray, pool: Pool, calibrates: np.ndarray, rounds: int = ROUNDS) -> Model:
+    """Train on rows whose ``calibrates`` is false, with the pool; calibrate on the others.
+
+    A row of the pool counts as one labelled row does where they are as many, and for less in a
+    larger pool, so that the labels keep their weight at every size.
+    """
+    views = (text[~calibrates], record[~calibrates])
     known = y[~calibrates].astype(np.float64)
-    # Rows of the pool that a view was given by the other one, and their labels.
-    given: list[dict[int, float]] = [{}, {}]
-    models = [fit_logistic(v, known) for v in views]
+    models = tuple(fit_logistic(v, known) for v in views)
+    past: list[Round] = []
     for _ in range(rounds):
-        for view in (0, 1):
-            other = given[1 - view]
-            if not len(pools[view]):
-                continue
-            chance = _chance(models[view].margin(pools[view]))
-            # As many of each class as the labelled documents have, so the balance holds.
-            for label, share in ((1.0, known.mean()), (0.0, 1 - known.mean())):
-                sure = chance if label else 1 - chance
-                order = np.argsort(-sure, kind="stable")
-                fresh = [i for i in order.tolist() if i not in other and sure[i] >= SURE]
-                for i in fresh[: int(np.ceil(ROUND_SHARE * len(chance) * share))]:
-                    other[i] = label
-        models = []
-        for view in (0, 1):
-            rows = np.array(sorted(given[view]), np.int64)
-            x = np.concatenate([views[view], pools[view][rows]])
-            models.append(fit_logistic(x, np.concatenate([known, [given[view][i] for i in rows]])))
+        counts = pool(partial(_sureness, past, models))
+        if not counts[-1]:
+            break
+        past.append(Round(models, _first_steps(counts, known.mean())))
+        for _ in range(STEPS):
+            sums, at, new = pool(partial(_added, past, models)) * min(1.0, len(known) / counts[-1]), 0, []
+            for view, model in zip(views, models, strict=True):
+                n = len(model.weights)
+                gradient, curvature = sums[at : at + n], sums[at + n : at + n + n * n].reshape(n, n)
+                new.append(fit_logistic(view, known, like=model, more=Curved(model.weights, gradient, curvature)))
+                at += n + n * n
+            models = tuple(new)
     held = calibrates if len(set(y[calibrates])) == 2 else np.ones(len(y), bool)
     margins = [m.margin(v[held])[:, None] for m, v in zip(models, (text, record), strict=True)]
     calibration = tuple(fit_logistic(m, y[held]) for m in margins)
     draft = Model(*models, calibration, None, 0.5)
     combined = fit_logistic(draft.calibrated(text[held], record[held]), y[held])
-    good = _chance(combined.margin(draft.calibrated(text[held], record[held])))[y[held] == 1]
+    score = _chance(combined.margin(draft.calibrated(text[held], record[held])))
+    good, bad = score[y[held] == 1], score[y[held] == 0]
     threshold = min(0.5, float(np.quantile(good, MOST_LOST)))
-    return Model(*models, calibration, combined, threshold)
+    return Model(*models, calibration, combined, threshold, float((good < threshold).mean()), float((bad >= threshold).mean()))
 
 
 @dataclass(frozen=True)
@@ -226,46 +340,68 @@ class Columns:
 
 def fit(
     docs: DataFrame, labels: DataFrame, columns: Columns = Columns(), label_id: str = "doc_id", quality: str = "quality",
-    most_labelled: int = MOST_LABELLED, most_pool: int = MOST_POOL,
+    most_labelled: int = MOST_LABELLED,
 ) -> Model | None:
     """Co-train on documents with a quality label, 1 for good and 0 for bad.
 
-    Training takes at most ``most_labelled`` labelled documents and about ``most_pool`` others,
-    so what it collects does not grow. Labels that are null or neither 0 nor 1, and documents
-    labelled both ways, are left out; of repeated documents each row counts. Without labelled
-    documents of both classes there is no model.
+    Training takes at most ``most_labelled`` labelled rows, so what the driver gets of them does
+    not grow, and all other documents as the pool. Labels that are null or neither 0 nor 1, and
+    documents labelled both ways, are left out; of repeated documents each row counts. A document
+    without an id is in the pool. Without labelled documents of both classes there is no model.
     """
-    labelled = labels.select(F.col(label_id).cast("long").alias("label_id"), F.col(quality).cast("int").alias("y"))
-    labelled = labelled.filter("label_id IS NOT NULL AND y IN (0, 1)")
-    labelled = labelled.groupBy("label_id").agg(F.min("y").alias("y"), F.max("y").alias("most")).filter("y = most")
-    # No more rows than most_labelled, which is the bound of the broadcast.
-    chosen = labelled.select("label_id", "y").orderBy(F.xxhash64("label_id"), "label_id").limit(most_labelled)
+    labelled = labels.select(F.col(label_id).cast("long").alias("label_id"), F.col(quality).cast("int").alias("label"))
+    labelled = labelled.filter("label_id IS NOT NULL AND label IN (0, 1)")
+    labelled = labelled.groupBy("label_id").agg(F.min("label").alias("y"), F.max("label").alias("most")).filter("y = most").drop("most")
     rows = docs.select(
         F.col(columns.doc_id).cast("long").alias("doc_id"),
         F.col(columns.text).cast("string").alias("text"),
         *(c.alias(n) for c, n in zip(columns.record(), ("n_chars", "source", "lang"), strict=True)),
     )
-    known = rows.join(F.broadcast(chosen), rows["doc_id"] == chosen["label_id"]).drop("label_id")
-    every = docs.count()
-    share = min(1.0, most_pool / max(1, every))
-    spread = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1_000_000))
-    pool = rows.filter(spread < round(1_000_000 * share)).join(labelled, rows["doc_id"] == labelled["label_id"], "left_anti")
-    schema = "doc_id long, y int, features array<float>, record array<float>"
-    found = known.unionByName(pool.withColumn("y", F.lit(None).cast("int"))).mapInArrow(_featured, schema)
-    # Sorted, as the order of rows must not decide between equal ones.
-    with small_batches(docs.sparkSession):
-        table = found.toPandas()
-    table = table.sort_values(["y", "doc_id"], kind="stable", na_position="last")
-    text, record = (np.stack(table[c]) if len(table) else np.zeros((0, n), np.float32) for c, n in (("features", TEXT_FEATURES), ("record", RECORD_FEATURES)))
-    order = np.lexsort((*record.T, *text.T, table["doc_id"].fillna(-1)))
-    text, record, y, ids = text[order], record[order], table["y"].to_numpy(np.float64)[order], table["doc_id"].to_numpy()[order]
-    has = ~np.isnan(y)
-    if len(set(y[has])) < 2:
+    featured = written(rows.mapInArrow(_featured, "doc_id long, features array<float>, record array<float>"), "features")
+    featured = write_through(featured.join(labelled, F.col("doc_id") == F.col("label_id"), "left").drop("label_id"), "labelled")
+    # The order of rows must not decide which are taken, nor between equal ones.
+    order = (F.xxhash64("doc_id", "features", "record"), "doc_id")
+    table = featured.filter("y IS NOT NULL").orderBy(*order).limit(most_labelled).toArrow()
+    y, ids = (table.column(c).to_numpy().astype(np.int64) for c in ("y", "doc_id"))
+    if len(set(y.tolist())) < 2:
         return None
-    calibrates = ids[has].astype(np.int64) // 3 % CALIBRATION == 0
-    if len(set(y[has][~calibrates])) < 2:
+    text, record = _views(table.combine_chunks())
+    calibrates = ids // 3 % CALIBRATION == 0
+    if len(set(y[~calibrates].tolist())) < 2:
         calibrates[:] = False
-    return co_train(text[has], record[has], y[has], text[~has], record[~has], calibrates)
+    return train(text, record, y.astype(np.float64), _pool_of(featured.filter("y IS NULL").select("features", "record")), calibrates)
+
+
+def _views(rows: pa.RecordBatch | pa.Table) -> Views:
+    """Both views of rows with their features as lists."""
+    found = []
+    for name, n in (("features", TEXT_FEATURES), ("record", RECORD_FEATURES)):
+        column = rows.column(name)
+        column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        found.append(column.flatten().to_numpy(zero_copy_only=False).reshape(-1, n))
+    return found[0], found[1]
+
+
+def _pool_of(rows: DataFrame) -> Pool:
+    """Sums over the rows of a frame: each task sums up its own, and then the tasks' are added."""
+
+    def summed(of: Callable[[Views], np.ndarray]) -> np.ndarray:
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total: np.ndarray | int = 0
+            for batch in batches:
+                total = total + of(_views(batch))
+            if isinstance(total, np.ndarray):
+                place = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array(place, pa.int64()), pa.array(total[place], pa.float64())], ["place", "value"])
+
+        size = len(of((np.zeros((0, TEXT_FEATURES), np.float32), np.zeros((0, RECORD_FEATURES), np.float32))))
+        sums = rows.mapInArrow(work, "place long, value double").groupBy("place").agg(F.sum("value").alias("value"))
+        total = np.zeros(size)
+        for place, value in sums.collect():
+            total[place] = value
+        return total
+
+    return summed
 
 
 def _record_of(part: pa.RecordBatch) -> np.ndarray:
@@ -277,8 +413,8 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in text_slices(batch, "text"):
             text, record = text_features(part.column("text")), _record_of(part)
-            columns = [part.column("doc_id"), part.column("y"), pa.array(list(text)), pa.array(list(record))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "y", "features", "record"])
+            columns = [part.column("doc_id"), pa.array(list(text), pa.list_(pa.float32())), pa.array(list(record), pa.list_(pa.float32()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "features", "record"])
 
 
 def with_score(docs: DataFrame, model: Model | None, name: str = "quality_score", columns: Columns = Columns()) -> DataFrame:
