@@ -485,7 +485,7 @@ def redrawn(entities: DataFrame, key: bytes) -> DataFrame:
     form = F.arrow_udf(formed, "form string, size double")("kind", "entity")
     # Drawing takes time, not room: rows are dealt out by number, however few bytes they have.
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    checked = entities.filter("kind NOT LIKE 'given %'").repartition(tasks, "kind", "entity").withColumn("attempt", F.lit(0)).withColumn("formed", form)
+    checked = entities.filter("kind NOT LIKE 'given %'").repartition(tasks, F.xxhash64("kind", "entity")).withColumn("attempt", F.lit(0)).withColumn("formed", form)
     checked = checked.withColumn("surrogate", drawn).select("kind", "entity", "attempt", "surrogate", "formed.*")
     checked = write_through(checked, "surrogates")
 
