@@ -154,7 +154,9 @@ def _row_hashes(doc_id: str, text: str) -> tuple[Column, Column]:
 def _told_apart(sketches: DataFrame) -> DataFrame:
     """Sets whose first hash is that of another set too go by their second one."""
     same = sketches.groupBy("node").agg(F.min("set_check").alias("own"), F.max("set_check").alias("last"))
-    same = same.filter("own <> last").drop("last")
+    same = write_through(same.filter("own <> last").drop("last"), "shared-hashes")
+    if not same.head(1):
+        return sketches
     rows = sketches.join(same, "node", "left")
     other = F.col("own").isNotNull() & (F.col("own") != F.col("set_check"))
     return rows.withColumn("node", F.when(other, F.col("set_check")).otherwise(F.col("node"))).drop("own", "set_check")

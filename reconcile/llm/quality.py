@@ -38,7 +38,7 @@ ROUND_SHARE = 0.05
 SURE = 0.95
 
 # Steps of a round towards the best weights, each with a pass over the pool.
-STEPS = 2
+STEPS = 1
 
 # How sure a view is, as its margin beyond that of SURE, in steps; the last one is open.
 _SURE_MARGIN, _STEP, _STEPS = float(np.log(SURE / (1 - SURE))), 0.01, 4_000
