@@ -15,11 +15,17 @@ _ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 TEXTS = 1_000
 
 
+def set_small_batches(spark: SparkSession, rows: int = TEXTS) -> None:
+    """From now on jobs of the session pass at most so many rows at once to Python."""
+    before = int(spark.conf.get(_ROWS))
+    spark.conf.set(_ROWS, str(min(rows, before) if before > 0 else rows))
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = TEXTS) -> Iterator[None]:
     """Within the block, jobs of the session pass at most so many rows at once to Python."""
     before = spark.conf.get(_ROWS)
-    spark.conf.set(_ROWS, str(min(rows, int(before)) if int(before) > 0 else rows))
+    set_small_batches(spark, rows)
     try:
         yield
     finally:

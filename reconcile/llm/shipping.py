@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import reconcile
+from reconcile.llm.batches import set_small_batches
 
 
 def ship(spark: SparkSession) -> None:
@@ -37,11 +38,16 @@ def ship(spark: SparkSession) -> None:
 
 
 def shipped(query: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
-    """A function of a session whose tasks import this package."""
+    """A function of a session whose tasks import this package, and get texts in small batches.
+
+    The result may run long after the function is through, so the size of batches is set for the
+    session. It is only ever made smaller.
+    """
 
     @functools.wraps(query)
     def run(spark: SparkSession, *args: object) -> DataFrame:
         ship(spark)
+        set_small_batches(spark)
         return query(spark, *args)
 
     return run
