@@ -542,8 +542,11 @@ ORACLES: dict[str, str] = {
 }
 
 ORACLES["load_files"] = f"""
-    SELECT CASE WHEN loaded = total THEN 'LOADED' ELSE 'PARTIALLY_LOADED' END AS status, total AS rows_parsed, loaded AS rows_loaded,
-           total - loaded AS errors_seen, rejects, offsets, loaded AS "rows"
-    FROM (SELECT count(*) AS loaded FROM ({ORACLES['escaped_load']})),
-         (SELECT count(*) AS rejects, CAST(sum(byte_offset) AS BIGINT) AS offsets FROM ({ORACLES['escaped_rejects']})),
-         (SELECT count(*) AS total FROM orders)"""
+    WITH found AS (
+      SELECT CASE WHEN loaded = total THEN 'LOADED' ELSE 'PARTIALLY_LOADED' END AS status, total AS rows_parsed, loaded AS rows_loaded,
+             total - loaded AS errors_seen, rejects, offsets, loaded AS "rows"
+      FROM (SELECT count(*) AS loaded FROM ({ORACLES['escaped_load']})),
+           (SELECT count(*) AS rejects, CAST(sum(byte_offset) AS BIGINT) AS offsets FROM ({ORACLES['escaped_rejects']})),
+           (SELECT count(*) AS total FROM orders)
+    )
+    SELECT measure, value FROM (SELECT COLUMNS(*)::VARCHAR FROM found) UNPIVOT (value FOR measure IN (status, rows_parsed, rows_loaded, errors_seen, rejects, offsets, "rows"))"""

@@ -128,10 +128,9 @@ PLANTED = {
     "snapshots": """
         SELECT o_orderkey, o_orderstatus, o_totalprice + CASE WHEN o_orderkey % 5 = 0 AND n >= 4 THEN 1 ELSE 0 END AS o_totalprice,
                '2024-01-' || CAST(10 + n AS VARCHAR(2)) || ' 00:00:00' AS taken
-        FROM (SELECT * FROM {orders} UNION ALL SELECT * FROM {orders} WHERE o_orderkey % 11 = 0) o
-        JOIN (VALUES (0, 0), (1, 0), (2, 0), (3, 0), (4, 0), (5, 0), (6, 0), (8, 0), (9, 0)) AS k(n, one)
-          ON (o_orderkey + n) % 7 <> one
-        WHERE o_orderkey % 11 <> 0 OR n <= 5 OR o_orderkey % 2 = 0""",
+        FROM (SELECT *, o_orderkey % 1 AS k FROM {orders} UNION ALL SELECT *, o_orderkey % 1 FROM {orders} WHERE o_orderkey % 11 = 0) o
+        JOIN (VALUES (0, 0), (1, 0), (2, 0), (3, 0), (4, 0), (5, 0), (6, 0), (8, 0), (9, 0)) AS s(n, k) ON o.k = s.k
+        WHERE (o_orderkey + n) % 7 <> 0 AND (o_orderkey % 11 <> 0 OR n <= 5 OR o_orderkey % 2 = 0)""",
     # Texts of database objects with keywords in code, in comments, in literals and in quoted names.
     "object_texts": """
         SELECT o_orderkey AS object_id, 'CREATE VIEW v AS SELECT 1 ' ||

@@ -481,10 +481,9 @@ def key_ranges(spark, sf_dir):
     ranges = tables.key_range_predicates("l_orderkey", tables.key_bounds(items, "l_orderkey", n))
     counts = items.select(F.explode(F.array(*[F.when(F.expr(r), i) for i, r in enumerate(ranges, start=1)])).alias("range_no"))
     counts = counts.dropna().groupBy("range_no").agg(F.count("*").alias("rows"))
-    total = items.agg(F.count("*").alias("total"))
-    even = F.col("rows").between(F.lit(0.9) * F.col("total") / n, F.lit(1.1) * F.col("total") / n)
-    covered = F.sum("rows").over(Window.partitionBy("total")) == F.col("total")
-    return counts.join(F.broadcast(total)).select("range_no", even.alias("even"), covered.alias("covered"))
+    total = items.count()
+    covered = F.sum("rows").over(Window.partitionBy(F.lit(0))) == total  # a row per range
+    return counts.select("range_no", F.col("rows").between(0.9 * total / n, 1.1 * total / n).alias("even"), covered.alias("covered"))
 
 
 def catalog_scan(spark, sf_dir):
@@ -576,7 +575,12 @@ def load_files(spark, sf_dir):
     rejects = reports.read_report(spark, root, "rejects").agg(F.count("*").alias("rejects"), F.sum("byte_offset").alias("offsets"))
     counts = reports.read_report(spark, root, "row_validation").select("status", "rows_parsed", "rows_loaded", "errors_seen")
     back = spark.read.parquet(target.path).agg(F.count("*").alias("rows"))
-    return counts.join(F.broadcast(rejects)).join(F.broadcast(back))
+    return union_all(
+        [
+            frame.select(F.inline(F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).cast("string").alias("value")) for c in frame.columns])))
+            for frame in (counts, rejects, back)
+        ]
+    )
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
