@@ -26,7 +26,7 @@ from reconcile.functions import (
     time_to_second,
     well_formed_xml,
 )
-from reconcile.session import write_through
+from reconcile.session import MOST_TASKS, write_through
 
 # Added to rows while they are compared.
 SOURCE_COPIES = "_source_copies"
@@ -257,8 +257,9 @@ def key_text(keys: Sequence[str]) -> Column:
     return F.expr(f"to_json(array({values}))")
 
 
-# Copies of one row that one step of numbering writes out.
-COPIES_PER_BLOCK = 1 << 20
+# Copies of one row that are written out together, and rows that one task places or writes out.
+COPIES_PER_BLOCK = 100_000
+ROWS_PER_TASK = 1_000_000
 
 
 def with_ordinals(
@@ -275,7 +276,8 @@ def with_ordinals(
     frequent, has to stay in one partition. Copies of one row tie in that as well; it does not
     matter which of them gets which number. Rows whose copies would fill a quarter of a partition
     are known from a count of the hashes; each of them is placed once, takes as many numbers as it
-    has copies, and becomes its copies again at the end. A caller who knows that no rows tie, as ``key_profile`` tells, says so
+    has copies, and becomes its copies again at the end, in blocks that are dealt to as many tasks as
+    there are rows for. A caller who knows that no rows tie, as ``key_profile`` tells, says so
     with ``ties``: the count is saved.
     """
     columns = list(map(quoted, df.columns))
@@ -289,7 +291,10 @@ def with_ordinals(
         order = [*map(quoted, order_by), "_hash"]
         hashed = df.withColumn("_hash", F.expr(f"xxhash64({', '.join(columns)})"))
         parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        most = max(1, df.count() // (4 * parts))
+        count = df.count()
+        # Bytes tell little of rows that repeat, as these compress very well.
+        tasks = max(parts, min(MOST_TASKS, count // ROWS_PER_TASK))
+        most = max(1, count // (4 * tasks))
         frequent = hashed.groupBy("_hash").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > most)
         frequent = write_through(frequent.select("_hash"), "frequent")  # four a partition at most
         rows = hashed.withColumn("_copies", copies)
@@ -297,7 +302,9 @@ def with_ordinals(
             many = hashed.join(F.broadcast(frequent), "_hash", "left_semi")
             many = many.groupBy(*columns, "_hash").agg(F.count(F.lit(1)).alias("_copies"))
             rows = rows.join(F.broadcast(frequent), "_hash", "left_anti").select(*columns, "_hash", "_copies").unionByName(many)
-        placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).select(*columns, "_copies")
+        # Adaptive execution may join the tasks of a small table only.
+        placed = rows.repartitionByRange(tasks, *order) if count > ROWS_PER_TASK else rows.repartitionByRange(*order)
+        placed = placed.sortWithinPartitions(*order).select(*columns, "_copies")
     placed = write_through(placed.withColumn("_place", F.monotonically_increasing_id()), "ordinals")
     part = F.shiftright("_place", 33)
     position = F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
@@ -314,7 +321,9 @@ def with_ordinals(
         return numbered.drop("_copies")
     once = numbered.filter("_copies = 1").drop("_copies")
     blocks = numbered.filter("_copies > 1").withColumn("_from", F.explode(F.expr(f"sequence(0L, _copies - 1, {COPIES_PER_BLOCK}L)")))
-    blocks = blocks.repartition(quoted(name), "_from")
+    # A block is one row until its copies are written out: without a number of tasks, adaptive
+    # execution would take all of them for the work of one.
+    blocks = blocks.repartition(tasks, quoted(name), "_from")
     last = F.least(F.col("_copies"), F.col("_from") + COPIES_PER_BLOCK) - 1
     spread = blocks.withColumn("_at", F.explode(F.sequence("_from", last)))
     return once.unionByName(spread.select(*columns, (F.col(quoted(name)) + F.col("_at")).alias(name)))

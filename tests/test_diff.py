@@ -5,6 +5,7 @@ import pyarrow.parquet as pq
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from reconcile.operators import diff
 
@@ -340,6 +341,15 @@ def test_ordinals_of_rows_in_very_many_copies(spark, monkeypatch):
     assert sorted((k, v) for k, v, _ in found) == sorted(tuple(r) for r in rows.collect())
 
 
+def test_copies_are_written_out_by_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(diff, "COPIES_PER_BLOCK", 1000)
+    monkeypatch.setattr(diff, "ROWS_PER_TASK", 20_000)
+    numbered = diff.with_ordinals(spark.range(400_000).selectExpr("id % 4 AS k"), ["k"], "n")
+    tasks = numbered.groupBy(F.spark_partition_id().alias("task")).agg(F.count("*").alias("rows"), F.sum("n").alias("total")).collect()
+    assert max(t["rows"] for t in tasks) <= 60_000
+    assert sum(t["rows"] for t in tasks) == 400_000 and sum(t["total"] for t in tasks) == 400_000 * 400_001 // 2
+
+
 def test_counts_are_read_from_footers(spark, tmp_path):
     from reconcile.plans import reconcile
 
