@@ -11,12 +11,14 @@ import os
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import WhitespaceSplit
 
 from reconcile.llm.batches import small_batches
 from reconcile.llm.bytes_of import made_once, text_slices
@@ -32,12 +34,19 @@ _LONGEST_KNOWN = 48
 _CODED_TOGETHER = 500
 _WORD_END = "</w>"
 
-# Between an ASCII letter and one of these marks the tokenizer always cuts. The apostrophe is
-# not among them, as it may begin a contraction.
-_LETTER, _MARK, _SPACE = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
-_LETTER[list(b"abcdefghijklmnopqrstuvwxyz")] = True
-_MARK[list(b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")] = True
-_SPACE[[32, *range(9, 14)]] = True
+# What each byte is to the cutting of texts into words. Between a letter, of ASCII or of two bytes
+# that begin with C3, and one of these marks the tokenizer always cuts. The apostrophe is not among
+# them, as it may begin a contraction. The signs for times and division are not letters.
+_BLANKS = bytes([32, *range(9, 14)])
+_BLANK, _OTHER, _LETTER, _MARK, _LEAD, _LATIN = range(6)
+_KINDS = np.full(256, _OTHER, np.uint8)
+_KINDS[list(_BLANKS)] = _BLANK
+_KINDS[list(b"abcdefghijklmnopqrstuvwxyz")] = _LETTER
+_KINDS[list(b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")] = _MARK
+_KINDS[0x80:0xC0] = _LATIN
+_KINDS[[0x97, 0xB7]] = _OTHER
+_KINDS[0xC3] = _LEAD
+_KIND_OF = _KINDS.tobytes()
 
 
 class _Known:
@@ -48,17 +57,29 @@ class _Known:
         self.ids = array("I")
         self.begins = array("q", [0])
 
-    def add(self, word: bytes, ids: array) -> int:
+    def add(self, words: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Append the ids of words, which are end to end as well; the place of each word."""
         at = len(self.begins) - 1
-        self.ids.extend(ids)
-        self.begins.append(len(self.ids))
-        if len(word) <= _LONGEST_KNOWN:
-            self.place[word] = at
-        return at
-
-    def of(self, word: bytes) -> array | None:
-        at = self.place.get(word)
-        return None if at is None else self.ids[self.begins[at] : self.begins[at + 1]]
+        stops = len(self.ids) + np.cumsum(sizes, dtype=np.int64)
+        self.ids.frombytes(ids.astype("<u4").tobytes())
+        self.begins.frombytes(stops.tobytes())
+        self.place.update((word, i) for i, word in enumerate(words, at) if len(word) <= _LONGEST_KNOWN)
+        return np.arange(at, at + len(words))
+
+    def places(self, words: list[bytes]) -> np.ndarray:
+        """The place of each word, -1 if there is none."""
+        return np.fromiter(map(self.place.get, words, repeat(-1)), np.int64, len(words))
+
+    def ids_at(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids at the places, end to end, and where those of each place begin and end."""
+        begins = np.frombuffer(self.begins, np.int64)
+        first = begins[places]
+        sizes = (begins[places + 1] - first).astype(np.int32)
+        stops = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+        # Where each id is found: the places of a word's ids, one behind another.
+        at = np.repeat((first - stops[:-1]).astype(np.int32), sizes)
+        at += np.arange(len(at), dtype=np.int32)
+        return np.frombuffer(self.ids, "<u4")[at] if len(at) else np.zeros(0, "<u4"), stops
 
 
 class WordIds:
@@ -70,6 +91,9 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
+        # The same model for words of small ASCII letters, which nothing normalizes or cuts.
+        self.plain = Tokenizer(self.tokenizer.model)
+        self.plain.pre_tokenizer = WhitespaceSplit()
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith(_WORD_END)]] = True
@@ -83,88 +107,90 @@ class WordIds:
         codes, words, first = _words([(text or "").encode() for text in texts])
         if len(self.known.place) > _KNOWN_WORDS:
             self.known, self.older = _Known(), self.known
-        place = self._places(words)
-        begins = np.frombuffer(self.known.begins, np.int64)
-        size = (begins[place + 1] - begins[place]).astype(np.int32)[codes]
-        stops = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
-        # Where each id is found: the places of a word's ids, one behind another.
-        shift = begins[place][codes] - stops[:-1]
-        at = np.repeat(shift.astype(np.int32), size)
-        at += np.arange(len(at), dtype=np.int32)
-        ids = np.frombuffer(self.known.ids, "<u4")[at] if len(at) else np.zeros(0, "<u4")
-        del begins  # the arrays grow again
+        ids, stops = self.known.ids_at(self._places(words)[codes])
         end = np.array([end_id], "<u4").tobytes()
         bounds = stops[first].tolist()
         return [ids[a:b].tobytes() + end for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
     def _places(self, words: list[bytes]) -> np.ndarray:
         """Where the ids of each word begin in ``known``, to which those that it lacks are added."""
-        found = list(map(self.known.place.get, words))
-        unknown = []
-        for i, at in enumerate(found):
-            if at is None:
-                ids = self.older.of(words[i])
-                if ids is None:
-                    unknown.append(i)
-                else:
-                    found[i] = self.known.add(words[i], ids)
-        for i, ids in zip(unknown, self._coded([words[i].decode() for i in unknown]), strict=True):
-            found[i] = self.known.add(words[i], ids)
-        return np.array(found, np.int64)
-
-    def _coded(self, words: list[str]) -> list[array]:
-        """The library's ids of each word. Those of letters alone are coded many at a time.
+        found = self.known.places(words)
+        lacking = np.flatnonzero(found < 0)
+        before = self.older.places([words[i] for i in lacking])
+        again = lacking[before >= 0]
+        ids, stops = self.older.ids_at(before[before >= 0])
+        found[again] = self.known.add([words[i] for i in again], ids, np.diff(stops))
+        plain, letters, others = [], [], []
+        for i in lacking[before < 0].tolist():
+            word = words[i]
+            kind = plain if word.isalpha() and word.islower() else letters if word.decode().lower().isalpha() else others
+            kind.append(i)
+        for kind, code in ((plain, self._plain), (letters, self._together), (others, self._apart)):
+            for at in range(0, len(kind), _CODED_TOGETHER):
+                own = kind[at : at + _CODED_TOGETHER]
+                new = [words[i] for i in own]
+                found[own] = self.known.add(new, *code(new))
+        return found
+
+    def _plain(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        return self._together(words, self.plain)
+
+    def _together(self, words: list[bytes], tokenizer: Tokenizer | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The library's ids of words of letters alone, end to end, and how many each word has.
 
         Such a word is one part to the tokenizer, and the last id of a part is told by its token.
         """
-        whole = [w.lower().isalpha() for w in words]
-        coded: list[array | None] = [None] * len(words)
-        letters = [i for i, alone in enumerate(whole) if alone]
-        for a in range(0, len(letters), _CODED_TOGETHER):
-            own = letters[a : a + _CODED_TOGETHER]
-            ids = np.array(self._encode(" ".join([words[i] for i in own])), np.uint32)
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) == len(own) and stops[-1] == len(ids):
-                for i, begin, stop in zip(own, [0, *stops[:-1].tolist()], stops.tolist(), strict=True):
-                    coded[i] = array("I", ids[begin:stop].tobytes())
-        return [array("I", self._encode(word)) if ids is None else ids for word, ids in zip(words, coded, strict=True)]
-
-    def _encode(self, text: str) -> list[int]:
-        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+        text = b" ".join(words).decode()
+        ids = np.array((tokenizer or self.tokenizer).encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        if len(stops) == len(words) and stops[-1] == len(ids):
+            return ids, np.diff(stops, prepend=0)
+        return self._apart(words)
+
+    def _apart(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The library's ids of any words, end to end, and how many each word has."""
+        coded = self.tokenizer.encode_batch_fast([word.decode() for word in words], add_special_tokens=False)
+        ids = [word.ids for word in coded]
+        return np.fromiter(chain.from_iterable(ids), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids))
 
 
 def _words(texts: list[bytes]) -> tuple[np.ndarray, list[bytes], np.ndarray]:
     """Codes of the words of all texts, the distinct words, and each text's first word.
 
     Words are parts that the tokenizer codes one by one, in fewer spellings than the text's. White
-    space is cut away. As the tokenizer lower-cases and cuts before marks, so does this for ASCII.
+    space is cut away. As the tokenizer lower-cases and cuts before marks, so does this for ASCII,
+    and cuts so behind letters of two bytes that begin with C3.
     Texts in which that could change what the tokenizer sees, by a special token or a combining
     mark after a letter, are cut at white space only.
     """
     as_is = [b"<|" in t or b"\xcc" in t or b"\xcd" in t for t in texts]
     low = [t if keep else t.lower() for t, keep in zip(texts, as_is, strict=True)]
-    data = np.frombuffer(b"".join(low), np.uint8)
+    data = b"".join(low)
     offsets = np.concatenate([[0], np.cumsum([len(t) for t in low])]).astype(np.int64)
-    if not len(data):
-        return np.zeros(0, np.int64), [], np.zeros(len(texts) + 1, np.int64)
-    is_word = ~_SPACE[data]
+    kind = np.frombuffer(data.translate(_KIND_OF), np.uint8)
+    is_word = kind != _BLANK
+    letter = kind == _LETTER
+    letter[1:] |= (kind[1:] == _LATIN) & (kind[:-1] == _LEAD)
     cut = np.zeros(len(data), bool)
-    cut[1:] = _LETTER[data[:-1]] & _MARK[data[1:]]
+    cut[1:] = letter[:-1] & (kind[1:] == _MARK)
     for i in np.flatnonzero(as_is):
         cut[offsets[i] : offsets[i + 1]] = False
     cut[1:] |= ~is_word[:-1]
     cut[offsets[:-1][offsets[:-1] < len(data)]] = True
     begin = is_word & cut
-    last = np.zeros(len(data), bool)
-    last[:-1] = is_word[:-1] & (~is_word[1:] | begin[1:])
-    last[-1] = is_word[-1]
+    last = is_word.copy()
+    last[:-1] &= ~is_word[1:] | begin[1:]
     starts, stops = np.flatnonzero(begin), np.flatnonzero(last) + 1
     if not len(starts):
         return np.zeros(0, np.int64), [], np.zeros(len(texts) + 1, np.int64)
     ends = np.concatenate([[0], np.cumsum(stops - starts)]).astype(np.int64)
-    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(data[is_word])])
-    coded = words.dictionary_encode()
-    return coded.indices.to_numpy(), coded.dictionary.to_pylist(), np.searchsorted(starts, offsets)
+    body = pa.py_buffer(data.translate(None, _BLANKS))
+    coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(ends), body]).dictionary_encode()
+    _, bounds, distinct = coded.dictionary.buffers()
+    distinct = distinct.to_pybytes()
+    bounds = np.frombuffer(bounds, np.int64, len(coded.dictionary) + 1).tolist()
+    words = [distinct[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    return coded.indices.to_numpy(), words, np.searchsorted(starts, offsets)
 
 
 def word_ids(path: str) -> WordIds:

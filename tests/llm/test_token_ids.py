@@ -47,6 +47,38 @@ def test_words_together_are_the_text(text):
     assert token_ids.WordIds(TOKENIZER).of([text, None]) == [_ids(text), _ids("")]
 
 
+@pytest.mark.parametrize("text", ["É. çà!ß, ×. ÷- a×b é'S ü'll Ã…", "ÿ#é\u0301.é́! ð<|endoftext|>ð.", "\xaa. \xb5! µ×- é≠ Ǆ. ſ, K."])
+def test_words_cut_behind_other_letters_are_the_text(text):
+    ids = token_ids.WordIds(TOKENIZER)
+    assert ids.of([text, "", text.upper()]) == [_ids(text), _ids(""), _ids(text.upper())]
+    assert ids.of([]) == [] and ids.of([""]) == [_ids("")]
+
+
+class _Counted:
+    """A tokenizer that counts how often it is called."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.calls = tokenizer, 0
+
+    def encode_batch_fast(self, *args, **more):
+        self.calls += 1
+        return self.tokenizer.encode_batch_fast(*args, **more)
+
+
+def test_unknown_words_are_coded_many_at_a_time():
+    ids = token_ids.WordIds(TOKENIZER)
+    ids.tokenizer = counted = _Counted(ids.tokenizer)
+    text = " ".join(f"{a}{i}{b}" for i in range(1000) for a, b in (("w", ""), ("", "é."), ("", "ß")))
+    assert ids.of([text]) == [_ids(text)]
+    assert counted.calls <= 10
+
+
+def test_words_cut_alike_are_looked_up_once():
+    text = "déjà déjà. déjà, DÉJÀ"
+    _, words, _ = token_ids._words([text.encode()])
+    assert sorted(w.decode() for w in words) == sorted(["déjà", ".", ",", "dÉjÀ"])
+
+
 def test_words_beyond_the_memory(monkeypatch):
     monkeypatch.setattr(token_ids, "_KNOWN_WORDS", 3)
     ids = token_ids.WordIds(TOKENIZER)
